@@ -30,6 +30,22 @@ from .columns import add_columns
 
 #: Words remembered by each Python worker.
 CACHE_WORDS = 300_000
+# Where the library's Unicode tables differ from those of this Python.
+#: Letters and digits of newer tables that the library's splitter takes for symbols.
+SYMBOLS = (
+    "\\u0558 \\u058b-\\u058c \\u088f \\u0c5c \\u0cdc \\u208f \\u209d \\ua7ce-\\ua7cf \\ua7d2 \\ua7d4 \\ua7dd \\ua7e2 \\ua7f1 \\uab6c-\\uab6d "
+    "\\U000107bb-\\U000107bf \\U00010940-\\U00010959 \\U00010ec5-\\U00010ec7 \\U00010ed9-\\U00010eee \\U00011b0a \\U00011db0-\\U00011ddb \\U00011de0-\\U00011de9 "
+    "\\U00011df1 \\U0001246f \\U00012475-\\U0001247f \\U00012550-\\U00012686 \\U00016ea0-\\U00016eb8 \\U00016ebb-\\U00016ed3 \\U00016ff2-\\U00016ff6 \\U000187f8-\\U000187ff "
+    "\\U00018cd6-\\U00018cda \\U00018d09-\\U00018d20 \\U00018d80-\\U00018df2 \\U00018e00-\\U00019191 \\U000191a0-\\U000191d2 \\U0001b123-\\U0001b128 \\U0001b168 "
+    "\\U0001d6a6 \\U0001df1f-\\U0001df24 \\U0001df2b-\\U0001df81 \\U0001df90-\\U0001df96 \\U0001dfcd-\\U0001dfff \\U0001e6c0-\\U0001e6de \\U0001e6e0-\\U0001e6e2 "
+    "\\U0001e6e4-\\U0001e6e5 \\U0001e6e7-\\U0001e6ed \\U0001e6f0-\\U0001e6f4 \\U0001e6fe-\\U0001e6ff \\U0002b73a-\\U0002b73f \\U0002b81e \\U0002cea2-\\U0002cead "
+    "\\U000323b0-\\U00033479 \\U0003d000-\\U0003fc3f"
+).replace(" ", "")
+#: Lower-case letters that the library knows and this Python doesn't.
+LOWERED = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
 _FIRST_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
@@ -89,12 +105,19 @@ class Encoder:
         chars = byte_characters()
         self.plain = [vocab.ids[c] for c in chars]
         self.final = [vocab.ids[c + vocab.suffix] for c in chars]
-        self.words = regex.compile(vocab.pattern)
+        self.words = regex.compile(self._known(vocab.pattern), regex.V1)
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
         self.odd_space = regex.compile("[\x1c-\x1f]")
         self.space = regex.compile(r"\s+")
         self.cache: dict[str, bytes] = {}
 
+    @staticmethod
+    def _known(pattern: str) -> str:
+        """The pattern with the letters and digits of the library's tables."""
+        for kind in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(kind, f"[{kind}--[{SYMBOLS}]]")
+        return pattern
+
     def merged(self, ids: list[int]) -> list[int]:
         """Merges the lowest rank first, the leftmost of equal ranks."""
         merges = self.vocab.merges
@@ -156,7 +179,7 @@ class Encoder:
 
     def chunk(self, text: str) -> bytes:
         """Ids (little-endian, 32 bits each) of a text without white space."""
-        lower = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        lower = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(LOWERED)
         ids: list[int] = []
         for word in self.words.findall(lower):
             ids += self.piece(word.encode())
@@ -231,3 +254,28 @@ def decode(df: DataFrame, vocab: Vocabulary, ids: str = "ids", decoded: str = "d
         return [[coder.decode(c) for c in codes]]
 
     return add_columns(df, ids, T.StructType([T.StructField(decoded, T.StringType())]), compute)
+
+
+def DEFAULT_FILE() -> str:  # noqa: N802
+    """Path of the word-end vocabulary on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def encode_decode_digests(df: DataFrame, vocab: Vocabulary, text: str = "text") -> DataFrame:
+    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of its texts.
+
+    The ids and the decoded text stay inside the task, so that only digests leave it.
+    """
+    from hashlib import sha256
+
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
+    added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+    def compute(texts: list[str | None]):
+        coder = _encoder(shared)
+        codes = [coder.encode(t) for t in texts]
+        return [[len(c) // 4 for c in codes], [sha256(c).hexdigest() for c in codes], [sha256(coder.decode(c).encode()).hexdigest() for c in codes]]
+
+    return add_columns(df, text, added, compute)
