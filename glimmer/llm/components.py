@@ -11,37 +11,26 @@ from .workspace import Workspace
 def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """``edges`` (a, b) -> (node, component): the smallest node that each node reaches.
 
-    Only nodes with an edge come back.  Each round takes the smallest label among a
-    node's neighbours and then the label of that label, so that the number of rounds
-    grows with the logarithm of the longest path.  Labels are written each round: no
-    group of neighbours is ever collected, and a hot node is only a skewed join key.
+    Nodes may be of any type that Spark orders; edges with a null end and loops are
+    ignored, and only nodes with an edge come back.  Each round takes the smallest
+    label among a node's neighbours and then the label of that label, so that the
+    number of rounds grows with the logarithm of the longest path.  Labels are written
+    each round: no group of neighbours is ever collected, and a hot node is only a
+    skewed join key, which Spark splits.
     """
-    both = ws.keep(
-        edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
-        .where("a <> b")
-        .select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        .select("e.a", "e.b")
-        .distinct(),
-        f"{tag}-edges",
-    )
-    labels = ws.keep(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")),
-        f"{tag}-labels-0",
-    )
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = ws.keep(edges.select("a", "b").where("a <> b").select(ends.alias("e")).select("e.a", "e.b").distinct(), f"{tag}-edges")
+    labels = ws.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), f"{tag}-labels-0")
     turn = 0
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        spread = ws.keep(
-            labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")),
-            f"{tag}-spread-{turn}",
-        )
+        spread = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        spread = ws.keep(spread, f"{tag}-spread-{turn}")
+        if not spread.where("component <> old").limit(1).count():
+            ws.drop(f"{tag}-spread-{turn}", f"{tag}-edges")
+            return labels
         root = spread.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        after = ws.keep(spread.join(root, "component").select("node", "old", F.col("root").alias("component")), f"{tag}-labels-{turn + 1}")
-        changed = after.where("component <> old").limit(1).count()
-        ws.drop(f"{tag}-spread-{turn}")
-        ws.drop(f"{tag}-labels-{turn}")
-        labels = after.select("node", "component")
+        after = ws.keep(spread.join(root, "component").select("node", F.col("root").alias("component")), f"{tag}-labels-{turn + 1}")
+        ws.drop(f"{tag}-spread-{turn}", f"{tag}-labels-{turn}")
+        labels = after
         turn += 1
-        if not changed:
-            ws.drop(f"{tag}-edges")
-            return labels

@@ -27,3 +27,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_decode_digests(docs, Vocabulary.load(DEFAULT_FILE())).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@_query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies by two-word shingles, with the component of every document."""
+    from .minhash import near_duplicates
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")

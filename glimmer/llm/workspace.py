@@ -23,7 +23,7 @@ class Workspace:
     """Writes intermediate results as Parquet and reads them again.
 
     A written table survives the loss of any executor, ends the lineage and gives
-    Spark real sizes to plan with.  ``drop`` removes a table that is no longer needed.
+    Spark real sizes to plan with.  ``drop`` removes tables that are no longer needed.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -35,7 +35,7 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
