@@ -36,3 +36,12 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, width=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@_query
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document after line deduplication: its lines left and a digest of its text."""
+    from .linededup import deduplicate_lines
+
+    out = deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
