@@ -45,3 +45,11 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = deduplicate_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and statements of every document."""
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
