@@ -3,10 +3,10 @@
 A document's set is its distinct shingles of ``width`` words.  Rows with equal sets form
 one class, so that copies cost one row from then on.  Classes that agree in all minima
 of a band are candidates.  Each bucket of a band is a star first: every member is
-compared with the smallest class only.  What remains in another component than that
-class is then compared with the rest of its bucket, so no bucket is capped and none
-emits all its pairs.  A pair is dropped early only where the low bits kept of its minima
-estimate a similarity six standard deviations below the threshold; the others are
+compared with one class only, the one that shares most buckets with others (the original
+among its copies).  What remains in another component than that class is then compared
+with the rest of its bucket, so no bucket is capped and none emits all its pairs.  A pair is dropped early only where the low bits kept of its minima
+estimate a similarity five standard deviations below the threshold; the others are
 confirmed on their full sets.
 
 Probability of missing a pair of similarity 0.8 by bands of 5 x 30: 7e-6.
@@ -134,10 +134,10 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def _floor(threshold: float) -> float:
-    """The estimate below which a pair can't be one: six standard deviations under the threshold."""
+    """The estimate below which a pair is dropped: five standard deviations under the threshold."""
     by_chance = 1 / (1 << LOW_BITS)
     p = threshold + (1 - threshold) * by_chance
-    return threshold - 6 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - by_chance)
+    return threshold - 5 * (p * (1 - p) / MINIMA) ** 0.5 / (1 - by_chance)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,8 +172,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     member = F.col("key").isNotNull()
     classes = ws.keep(sig.where(member).groupBy("key").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"), F.min("copy").alias("copy"), F.min("doc_id").alias("doc_id")), "classes")
     rows = classes.select("key", F.explode("bands").alias("bucket"))
-    stars = rows.groupBy("bucket").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "rep")
-    crowded = ws.keep(rows.join(stars, "bucket"), "crowded")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = ws.keep(rows.join(sizes, "bucket"), "shared")
+    # the class that shares most buckets with others stands in a bucket's middle, as the original among its copies
+    middle = shared.join(shared.groupBy("key").agg(F.sum("size").alias("weight")), "key")
+    stars = middle.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("m")).select("bucket", F.col("m.key").alias("rep"))
+    crowded = ws.keep(shared.select("bucket", "key").join(stars, "bucket"), "crowded")
 
     sketch = classes.select("key", "bits", "n")
     possible = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("ba"), F.col("bb")) >= _floor(percent / 100))

@@ -53,3 +53,29 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
     return scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op8_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of every conversation as canonical JSON, with its calls linked and in order."""
+    from .toolcalls import TOOLS, format_chats
+
+    return format_chats(_table(spark, sf_dir, "conversations"), TOOLS)
+
+
+@_query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents repeated so that every source weighs the same, shuffled."""
+    from .mixing import mix
+
+    out = mix(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_copy").alias("copy"), "source", F.col("_shuffle").alias("shuffle_key"), "text")
+
+
+def _oracles() -> None:
+    from .mixing import ORACLE
+
+    LLM_ORACLES["op9_mixing"] = ORACLE
+
+
+_oracles()
