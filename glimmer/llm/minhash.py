@@ -5,7 +5,9 @@ one class, so that copies cost one row from then on.  Classes that agree in all
 of a band are candidates.  Each bucket of a band is a star first: every member is
 compared with one class only, the one that shares most buckets with others (the original
 among its copies).  What remains in another component than that class is then compared
-with the rest of its bucket, so no bucket is capped and none emits all its pairs.  A pair is dropped early only where the low bits kept of its minima
+with the rest of its bucket: in buckets of at most SMALL classes one by one, in larger ones
+by an exact search for shared rare shingles.  No bucket is capped and no large one emits
+all its pairs.  A pair is dropped early only where the low bits kept of its minima
 estimate a similarity five standard deviations below the threshold; the others are
 confirmed on their full sets.
 
@@ -36,6 +38,10 @@ _FACTORS = (_RNG.integers(1, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np
 _OFFSETS = _RNG.integers(0, 2**32, MINIMA, dtype=np.uint32)
 _BAND = _RNG.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: Buckets of more classes are searched by rare shingles after their star.
+SMALL = 16
+#: Classes sampled to find frequent shingles, and how many of these are kept.
+SAMPLE, COMMON = 2048, 50_000
 #: Shingles whose minima are taken together.
 _CHUNK = 1 << 18
 
@@ -157,6 +163,55 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a bounded sample of classes, sorted, with their counts.
+
+    They only order shingles by rarity; results are the same for any order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, dtype=np.int64))], names=["shingle"])
+
+    counts = classes.select("shingles").limit(SAMPLE).mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
+    rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    found = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r[1] for r in rows], dtype=np.int64)[order]
+
+
+def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``classes`` (key, component, n, shingles) in two components that may be links.
+
+    Exact: with each set's shingles in one order, rare ones first, linked sets share one of
+    the first n - ceil(percent% n) + 1, and behind the first that they share lie enough
+    others.  Documents that only share a frequent passage begin with what is their own.
+    """
+    shared = classes.sparkSession.sparkContext.broadcast(_common(classes))
+    schema = "key binary, component binary, n long, shingle long, place int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for batch in batches:
+            for key, component, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = np.frombuffer(data, dtype=np.uint64)
+                count = np.zeros(len(s), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+                    count = np.where(common[at] == s, counts[at], 0)
+                first = np.lexsort((s, count))[: n - -(-percent * n // 100) + 1]
+                k = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * k), pa.array([component] * k), pa.array(np.full(k, n)), pa.array(s[first].view(np.int64)), pa.array(np.arange(k, dtype=np.int32))], names=["key", "component", "n", "shingle", "place"])
+
+    prefixes = classes.select("key", "component", "n", "shingles").mapInArrow(run, schema)
+    a, b = (prefixes.select("shingle", *(F.col(c).alias(c + x) for c in ("key", "component", "n", "place"))) for x in "ab")
+    behind = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
+    enough = behind * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    pairs = a.join(b, "shingle").where((F.col("keya") < F.col("keyb")) & (F.col("componenta") != F.col("componentb")) & enough)
+    return pairs.select(F.col("keya").alias("a"), F.col("keyb").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``df``: doc_id, copy, n_shingles, component_id, kept, group.
 
@@ -200,22 +255,26 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     labels = connected_components(ws, links, "cc-1")
     ws.drop("sets-1")
 
-    # what isn't connected with the smallest class of its bucket
+    # buckets in which something isn't connected with the star's middle
     named = crowded.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     of_rep = labels.select(F.col("node").alias("rep"), F.col("component").alias("main"))
-    named = named.join(of_rep, "rep", "left").withColumn("main", F.coalesce("main", "rep"))
-    named = named.withColumn("rest", F.col("component") != F.col("main"))
-    open_buckets = named.groupBy("bucket").agg(F.sum(F.col("rest").cast("int")).alias("left_over"), F.count(F.lit(1)).alias("size")).where("left_over > 0 and size > 2").select("bucket")
-    named = ws.keep(named.join(open_buckets, "bucket", "left_semi").join(sketch, "key").select("bucket", "key", "component", "rest", "bits", "n"), "open")
-    r = named.where("rest").select("bucket", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("ba"), F.col("n").alias("na"))
-    m = named.select("bucket", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("bb"), F.col("n").alias("nb"), F.col("rest").alias("restb"))
-    second = r.join(m, "bucket").where((F.col("ca") != F.col("cb")) & (~F.col("restb") | (F.col("a") < F.col("b"))) & possible).select("a", "b").distinct()
-    second = ws.keep(second.join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "pairs-2")
+    named = named.join(of_rep, "rep", "left").withColumn("rest", F.col("component") != F.coalesce("main", "rep"))
+    left_over = named.groupBy("bucket").agg(F.sum(F.col("rest").cast("int")).alias("rests"), F.count(F.lit(1)).alias("size")).where("rests > 0 and size > 2")
+    named = ws.keep(named.join(left_over.select("bucket", "size"), "bucket").join(sketch, "key").select("bucket", "size", "key", "component", "rest", "bits", "n"), "open")
+    small, large = named.where(F.col("size") <= SMALL), named.where(F.col("size") > SMALL)
+    r = small.where("rest").select("bucket", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("ba"), F.col("n").alias("na"))
+    m = small.select("bucket", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("bb"), F.col("n").alias("nb"), F.col("rest").alias("restb"))
+    second = r.join(m, "bucket").where((F.col("ca") != F.col("cb")) & (~F.col("restb") | (F.col("a") < F.col("b"))) & possible).select("a", "b")
+    open_ = ws.keep(large.groupBy("key").agg(F.first("component").alias("component"), F.first("n").alias("n")), "large")
+    if open_.limit(1).count():
+        sets = ws.keep(sets_of(open_.select(F.col("key").alias("a"), F.col("key").alias("b"))), "sets-large")
+        second = second.unionByName(_by_prefix(open_.join(sets, "key"), percent))
+    second = second.distinct().join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    second = ws.keep(second, "pairs-2")
     if second.limit(1).count():
         more = _confirm(second, ws.keep(sets_of(second), "sets-2"), percent)
         links = ws.keep(links.unionByName(more), "links-2")
         labels = connected_components(ws, links, "cc-2")
-        ws.drop("sets-2")
 
     ids = classes.select("key", F.col("doc_id").alias("least")).join(labels.withColumnRenamed("node", "key"), "key", "left")
     linked = ids.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
