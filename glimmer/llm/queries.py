@@ -79,3 +79,20 @@ def _oracles() -> None:
 
 
 _oracles()
+
+
+@_query
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all others."""
+    from .ann import search
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+@_query
+def op10_embeddup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    from .embeddup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
