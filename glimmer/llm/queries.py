@@ -96,3 +96,24 @@ def op10_embeddup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embeddup import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@_query
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    from .langid import fit, held_out, predict
+
+    docs = _table(spark, sf_dir, "documents")
+    net = fit(docs.where(~held_out()).select("text", "lang"))
+    return predict(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of every document, and whether it is kept."""
+    from .quality import KEEP, fit, grades_of, rate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, grades_of(_table(spark, sf_dir, "labels")))
+    last = F.element_at("tails", -1)
+    return rate(docs, model).select("doc_id", "expected_grade", F.element_at("tails", 1).alias("p_1"), last.alias("p_best"), (last >= KEEP).alias("kept"))

@@ -55,11 +55,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _words(raw: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words in lower-cased bytes that begin and end with a separator."""
+def _words(raw: np.ndarray, separators: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words in lower-cased bytes that begin and end with a separator.
+
+    With ``prefix`` only a word's first bytes are hashed.
+    """
     sep = separators[raw]
     edge = np.flatnonzero(sep[1:] != sep[:-1]) + 1
     starts, ends = edge[0::2], edge[1::2]
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     up, down = _power_table(len(raw) + 1)
     total = np.empty(len(raw) + 1, dtype=np.uint64)
     total[0] = 0
@@ -81,7 +86,7 @@ def _pieces(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE) -> Iterator[np.ndarray]:
+def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE, prefix: int = 0) -> Iterator[np.ndarray]:
     """For each text the uint64 hashes of its lower-cased words in order; none for null."""
     group: list[bytes] = []
     size = 0
@@ -90,7 +95,7 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE) -> Iter
         if not group:
             return
         raw = LOWER[np.frombuffer(b" " + b" ".join(group) + b" ", dtype=np.uint8)]
-        hashes, starts = _words(raw, separators)
+        hashes, starts = _words(raw, separators, prefix)
         bounds = np.cumsum([1] + [len(g) + 1 for g in group])
         cuts = np.searchsorted(starts, bounds)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -104,7 +109,7 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE) -> Iter
             parts = []
             for piece in _pieces(data):
                 raw = LOWER[np.frombuffer(b" " + piece + b" ", dtype=np.uint8)]
-                parts.append(_words(raw, separators)[0])
+                parts.append(_words(raw, separators, prefix)[0])
             yield np.concatenate(parts)
             continue
         group.append(data)
