@@ -6,10 +6,11 @@ P(grade <= k) = 1 / (1 + exp(score - threshold_k)).  This gives an expected grad
 probabilities P(grade >= k), by which documents are selected.
 
 A word, and the first PREFIX bytes of a word, counts once a text (A-Z lowered, split at
-ASCII characters that are neither letter nor digit).  Markers are rates of repeated neighbours, of ASCII symbols, digits and line
+ASCII characters that are neither letter nor digit); the score takes the mean weight of
+those that have one, since few bad words make a text no better than many.  Markers are rates of repeated neighbours, of ASCII symbols, digits and line
 ends, and the mean length of words.  Weights are fitted in numpy on at most MAX_LABELLED
 rated texts, those with the smallest hashes; only words get one whose frequency in some
-grade is TELLING standard deviations off chance, so that long texts gather no noise.
+grade is far above chance, so that long texts gather no noise.
 """
 
 from __future__ import annotations
@@ -25,17 +26,20 @@ from pyspark.sql import functions as F
 from .columns import add_columns, slices
 from .texthash import word_hashes
 
-BITS = 18
+#: Bits of a word's hash; and of the table that tells most words without a weight.
+BITS, TABLE = 30, 18
 #: Bytes of a word's beginning that are a feature of their own.
 PREFIX = 4
 #: Rated texts that fitting sees at most.
 MAX_LABELLED = 12_000
-#: Words need this many rated texts, and this many standard deviations from chance in a grade, to get a weight.
-LEAST_TEXTS, TELLING = 5, 6.0
+#: Words get a weight if they are in so many rated texts, and in some grade this many standard deviations and times above chance.
+LEAST_TEXTS, TELLING, LIFT = 5, 6.0, 3
+#: Weight below which a word is left out of the second fit.
+LEAST_WEIGHT = 1.0
 #: Passes of gradient descent.
-ROUNDS = 200
+ROUNDS = 300
 #: A document is kept if it reaches the best grade with this probability.
-KEEP = 0.5
+KEEP = 0.65
 
 _SEPARATORS = np.ones(256, dtype=bool)
 _SEPARATORS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -48,7 +52,7 @@ def markers(text: str, words: np.ndarray) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     counts = np.bincount(data, minlength=256)
     n, w = max(1, len(data)), max(1, len(words))
-    repeats = (words[1:] == words[:-1]).sum() / w
+    repeats = (words[1:] == words[:-1]).sum() / (w + 20)
     rates = [*(counts[_SYMBOLS] / n), repeats, counts[0x30:0x3A].sum() / n, counts[10] / n, n / w / 100]
     return np.log1p(100 * np.array(rates)).astype(np.float32)
 
@@ -63,7 +67,8 @@ def _hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 @dataclass
 class Model:
     grades: int
-    words: np.ndarray
+    buckets: np.ndarray
+    weights: np.ndarray
     markers: np.ndarray
     thresholds: np.ndarray
 
@@ -73,41 +78,62 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.empty(len(texts))
+        table = np.zeros(1 << TABLE, dtype=bool)
+        table[self.buckets >> (BITS - TABLE)] = True
         for i, (text, (words, b)) in enumerate(zip(texts, _hashed(texts), strict=True)):
-            weight = self.words[b]
-            there = np.unique(b[weight != 0])
-            out[i] = self.words[there].sum() + markers(text, words) @ self.markers
+            there = np.isin(self.buckets, b[table[b >> (BITS - TABLE)]])
+            out[i] = self.weights[there].sum() / max(1, there.sum()) + markers(text, words) @ self.markers
         return out
 
 
 def _telling(grade: np.ndarray, rows: np.ndarray, buckets: np.ndarray, k: int) -> np.ndarray:
-    """Which buckets are more or less frequent in some grade than chance explains."""
-    size = 1 << BITS
-    n = np.bincount(grade, minlength=k)
+    """Buckets far more frequent in some grade than chance explains, in number and in share."""
+    size = int(buckets.max()) + 1 if len(buckets) else 0
+    share = np.bincount(grade, minlength=k) / len(grade)
     counts = np.stack([np.bincount(buckets[grade[rows] == g], minlength=size) for g in range(k)])
     total = counts.sum(axis=0)
-    expected = total[None] * (n / n.sum())[:, None]
-    spread = np.sqrt(expected * (1 - n / n.sum())[:, None] + 1e-9)
-    return (total >= LEAST_TEXTS) & ((np.abs(counts - expected) / spread).max(axis=0) >= TELLING)
+    expected = total[None] * share[:, None]
+    surely = (counts - expected) / np.sqrt(expected * (1 - share)[:, None] + 1e-9) >= TELLING
+    mostly = counts >= total[None] * np.minimum(LIFT * share, (1 + share) / 2)[:, None]
+    return (total >= LEAST_TEXTS) & (surely & mostly).any(axis=0)
 
 
 def fit_model(grade: np.ndarray, rows: np.ndarray, buckets: np.ndarray, forms: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Maximum likelihood with weight decay, by Adam; ``rows`` and ``buckets`` are the texts' distinct words."""
+    """Maximum likelihood with weight decay; ``rows`` and ``buckets`` are the texts' distinct words.
+
+    A first fit finds the words that matter, a second one weighs them alone.
+    """
+    k = int(grade.max()) + 1
+    names, buckets = np.unique(buckets, return_inverse=True)
+    names, rows, buckets = _only(_telling(grade, rows, buckets, k), names, rows, buckets)
+    first_try = _descend(grade, rows, buckets, len(names), forms, rounds)
+    names, rows, buckets = _only(np.abs(first_try.weights) >= LEAST_WEIGHT, names, rows, buckets)
+    model = _descend(grade, rows, buckets, len(names), forms, rounds)
+    model.buckets = names
+    return model
+
+
+def _only(kept: np.ndarray, names: np.ndarray, rows: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words that are kept, numbered anew."""
+    there = kept[buckets]
+    return names[kept], rows[there], (np.cumsum(kept) - 1)[buckets[there]]
+
+
+def _descend(grade: np.ndarray, rows: np.ndarray, buckets: np.ndarray, size: int, forms: np.ndarray, rounds: int) -> Model:
+    """One fit by Adam of ``size`` words' weights, the markers' weights and the thresholds."""
     k, n = int(grade.max()) + 1, len(grade)
-    screened = _telling(grade, rows, buckets, k)
-    there = screened[buckets]
-    rows, buckets = rows[there], buckets[there]
+    share_of = 1 / np.maximum(1, np.bincount(rows, minlength=n))[rows]
     center, spread = forms.mean(axis=0), forms.std(axis=0) + 1e-6
     z = (forms - center) / spread
     share = np.clip(np.cumsum(np.bincount(grade, minlength=k))[:-1] / n, 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     # thresholds: the first, and logarithms of the steps to the next ones
-    parts = [np.zeros(1 << BITS), np.zeros(forms.shape[1]), np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 0.1))))]
+    parts = [np.zeros(size), np.zeros(forms.shape[1]), np.concatenate((start[:1], np.log(np.maximum(np.diff(start), 0.1))))]
     first, second = [np.zeros_like(p) for p in parts], [np.zeros_like(p) for p in parts]
     for t in range(1, rounds + 1):
         w, m, cut = parts
         theta = np.concatenate((cut[:1], cut[0] + np.cumsum(np.exp(cut[1:]))))
-        s = np.bincount(rows, weights=w[buckets], minlength=n) + z @ m
+        s = np.bincount(rows, weights=w[buckets] * share_of, minlength=n) + z @ m
         below = np.concatenate((np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(s[:, None] - theta[None], -500, 500))), np.ones((n, 1))), axis=1)
         up, low = below[np.arange(n), grade + 1], below[np.arange(n), grade]
         p = np.maximum(up - low, 1e-12)
@@ -116,7 +142,7 @@ def fit_model(grade: np.ndarray, rows: np.ndarray, buckets: np.ndarray, forms: n
         np.add.at(dtheta, np.minimum(grade, k - 2), np.where(grade < k - 1, -up * (1 - up) / p, 0))
         np.add.at(dtheta, np.maximum(grade - 1, 0), np.where(grade > 0, low * (1 - low) / p, 0))
         dcut = np.concatenate(([dtheta.sum()], [dtheta[j:].sum() * np.exp(cut[j]) for j in range(1, k - 1)]))
-        grads = [np.bincount(buckets, weights=ds[rows], minlength=1 << BITS) + 0.3 * w, z.T @ ds + 0.3 * m, dcut]
+        grads = [np.bincount(buckets, weights=ds[rows] * share_of, minlength=size) + 0.1 * w, z.T @ ds + 0.1 * m, dcut]
         for q, g, a, b in zip(parts, grads, first, second, strict=True):
             a += 0.1 * (g - a)
             b += 0.01 * (g * g - b)
@@ -124,7 +150,7 @@ def fit_model(grade: np.ndarray, rows: np.ndarray, buckets: np.ndarray, forms: n
     w, m, cut = parts
     theta = np.concatenate((cut[:1], cut[0] + np.cumsum(np.exp(cut[1:]))))
     # scores are taken of plain markers, so that their centring goes into the thresholds
-    return Model(k, w, m / spread, theta + (center / spread) @ m)
+    return Model(k, np.zeros(0), w, m / spread, theta + (center / spread) @ m)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
