@@ -97,7 +97,7 @@ class Index:
         return float(np.quantile(needed, RECALL)) * (1 + 1e-9)
 
     def search(self, q: np.ndarray) -> list[int]:
-        """Lists within the ratio of the nearest centroid, found by walking the graph."""
+        """Lists within the ratio of the nearest centroid, found by walking the graph; the nearest first."""
         c, seen = self.centroids, np.zeros(len(self.centroids), dtype=bool)
         start = 0
         seen[start] = True
@@ -122,11 +122,14 @@ class Index:
             for e, j in zip(dist.tolist(), new.tolist(), strict=True):
                 heapq.heappush(heap, (e, j))
                 found.append((e, j))
-        return [j for e, j in found if e <= best * self.ratio]
+        return [j for e, j in sorted(found) if e <= best * self.ratio]
 
 
 def _placed(classes: DataFrame, index, searching: bool) -> DataFrame:
-    """(list, key, vector, least): classes in their lists, or queries in the lists they search."""
+    """(list, key, vector, least, nearest): classes in their lists, or queries in the lists they search.
+
+    ``nearest`` marks the list that a query searches first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
@@ -140,23 +143,25 @@ def _placed(classes: DataFrame, index, searching: bool) -> DataFrame:
                     found = [ix.search(q) for q in ix.asked(part)]
                     row = np.repeat(np.arange(len(part)), [len(f) for f in found])
                     list_ = np.concatenate([np.array(f, dtype=np.int64) for f in found])
+                    nearest = np.concatenate([np.arange(len(f)) == 0 for f in found])
                 else:
                     row, list_ = ix.lists_of(ix.stored(part))
+                    nearest = np.zeros(len(row), dtype=bool)
                 take = pa.array(at + row)
-                yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), *(c.take(take) for c in batch.columns)], names=["list", "key", "vector", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), *(c.take(take) for c in batch.columns), pa.array(nearest)], names=["list", "key", "vector", "least", "nearest"])
 
-    return classes.select("key", "vector", "least").mapInArrow(run, "list int, key binary, vector array<double>, least long")
+    return classes.select("key", "vector", "least").mapInArrow(run, "list int, key binary, vector array<double>, least long, nearest boolean")
 
 
 def _blocks(ws: Workspace, placed: DataFrame, name: str) -> DataFrame:
-    """(list, slot, items): lists cut into blocks of about BLOCK rows."""
+    """(list, slot, items): lists cut into blocks of about BLOCK rows; items have key, vector, least and bound."""
     slots = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slots"))  # a row a list
     cut = placed.join(F.broadcast(slots), "list").withColumn("slot", F.pmod(F.xxhash64("key"), F.col("slots")).cast("int"))
-    return ws.keep(cut.groupBy("list", "slot").agg(F.collect_list(F.struct("key", "vector", "least")).alias("items")), name)
+    return ws.keep(cut.groupBy("list", "slot").agg(F.collect_list(F.struct("key", "vector", "least", "bound")).alias("items")), name)
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """(query, key, score, least): the best ``k`` + 1 classes of each block for each query."""
+    """(query, key, score, least): the best ``k`` + 1 classes of each block for each query, none below its bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,8 +173,8 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
                 least = np.asarray(held.field("least"))
                 rough = q @ x.T
                 take = min(k + 1, len(x))
-                floor = np.partition(rough, len(x) - take, axis=1)[:, len(x) - take]
-                i, j = np.nonzero(rough >= (floor - 1e-9 * (1 + np.abs(floor)))[:, None])
+                floor = np.maximum(np.partition(rough, len(x) - take, axis=1)[:, len(x) - take], np.asarray(asked.field("bound")))
+                i, j = np.nonzero(rough >= (floor - 1e-9 * (1 + np.abs(rough).max()))[:, None])
                 score = (q[i] * x[j]).sum(axis=1)
                 order = np.lexsort((least[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
@@ -209,9 +214,20 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
 
     asked = ws.keep(asked.where(F.size("vector") == dim), "asked")
     query_classes = asked.groupBy("key").agg(F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
-    held = _blocks(ws, _placed(classes, index, False), "lists").select("list", F.col("slot").alias("of"), F.col("items").alias("held"))
-    wanted = _blocks(ws, _placed(query_classes, index, True), "wanted").select("list", "slot", F.col("items").alias("asked"))
-    found = _nearest(wanted.join(held, "list").repartition("list", "slot", "of"), k).dropDuplicates(["query", "key"])
+    lowest = F.lit(float("-inf"))
+    held = _blocks(ws, _placed(classes, index, False).withColumn("bound", lowest), "lists").select("list", F.col("slot").alias("of"), F.col("items").alias("held"))
+    wanted = ws.keep(_placed(query_classes, index, True), "wanted")
+
+    def searched(queries: DataFrame, name: str) -> DataFrame:
+        blocks = _blocks(ws, queries, f"{name}-blocks").select("list", "slot", F.col("items").alias("asked"))
+        return ws.keep(_nearest(blocks.join(held, "list").repartition("list", "slot", "of"), k), name)
+
+    # the nearest list first: what it holds bounds what the others need to return
+    first = searched(wanted.where("nearest").withColumn("bound", lowest), "first")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
+    bounds = first.select("query", "score", rank.alias("r")).where(F.col("r") == k + 1).select(F.col("query").alias("key"), F.col("score").alias("bound"))
+    rest = wanted.where("not nearest").join(bounds, "key", "left").withColumn("bound", F.coalesce("bound", lowest))
+    found = first.unionByName(searched(rest, "rest")).dropDuplicates(["query", "key"])
     best = found.select("query", "key", "score", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "least")).alias("r")).where(F.col("r") <= k + 1).drop("r")
     flat = best.join(ids, "key").select("query", "score", F.explode("ids").alias("id")).select("query", F.struct((-F.col("score")).alias("minus"), "id").alias("hit"))
     top = flat.select("query", "hit", F.row_number().over(Window.partitionBy("query").orderBy("hit")).alias("r")).where(F.col("r") <= k + 1)
