@@ -94,6 +94,7 @@ def encode(df: DataFrame, w: str = "w", h: str = "h", r: str = "r", g: str = "g"
     d = df.select("*", F.col(w).cast("int").alias("_w"), F.col(h).cast("int").alias("_h"))
     size = F.col("_w") * F.col("_h")
     d = d.withColumn("_ok", (size > 0) & (F.size(r) == size) & (F.size(g) == size) & (F.size(b) == size) & (F.size(a) == size if a else F.lit(True)))
+    d = d.withColumns({"_w": F.when(F.col("_ok"), F.col("_w")), "_h": F.when(F.col("_ok"), F.col("_h"))})
     n = F.array_repeat(F.lit(255), size)
     alpha = F.col(a) if a else n
     d = computed(d, _a=F.when(F.col("_ok"), F.transform(alpha, lambda v: v / 255.0)))
@@ -136,7 +137,7 @@ def byte_length(w: Column, h: Column, has_alpha: Column) -> Column:
 
 
 def coefficients(df: DataFrame, hash_: str = "hash") -> DataFrame:
-    """``df`` with ``_head`` (numbers of the header) and arrays of (cy, cx, v) for lightness, chroma and opacity.
+    """``df`` with ``_head_*`` (numbers of the header) and arrays of (cy, cx, v) for lightness, chroma and opacity.
 
     Missing bytes of the header are 0, missing nibbles 8.
     """
@@ -153,19 +154,20 @@ def coefficients(df: DataFrame, hash_: str = "hash") -> DataFrame:
         (part(byte(4), 0, 4) / 15.0).alias("sp"), (part(byte(4), 4, 4) / 15.0).alias("sq"), F.when(has, part(byte(5), 0, 4) / 15.0).otherwise(1.0).alias("a"), F.when(has, part(byte(5), 4, 4) / 15.0).otherwise(0.0).alias("sa"),
     )
     d = computed(df, _head=head)
-    start = F.when(F.col("_head.has"), 12).otherwise(10)
+    d = d.select(*df.columns, *(F.col(f"_head.{f.name}").alias(f"_head_{f.name}") for f in d.schema["_head"].dataType.fields))
+    start = F.when(F.col("_head_has"), 12).otherwise(10)
     text = F.substring(digits, start + 1, F.greatest(F.length(digits) - start, F.lit(0)))
     codes = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))), lambda i: F.conv(F.substring(text, F.when(i % 2 == 0, i + 2).otherwise(i), F.lit(1)), 16, 10).cast("int"))
     d = computed(d, _codes=F.when(F.length(text) == 0, F.array().cast("array<int>")).otherwise(codes), _mask=mask(nx, ny), _small=mask(F.lit(3), F.lit(3)), _wide=mask(F.lit(5), F.lit(5)))
 
     def plane(masked: str, dc: str, scale: str, p: float, skip: Column) -> Column:
-        s = F.col(f"_head.{scale}")
+        s = F.col(f"_head_{scale}")
         code = lambda i: F.coalesce(F.try_element_at(F.col("_codes"), (skip + i).cast("int")), F.lit(8))
-        value = lambda i: F.when(i == 0, F.col(f"_head.{dc}")).when(s <= 0, 0.0).otherwise(color.power(level(code(i), s, p), 1 / p))
+        value = lambda i: F.when(i == 0, F.col(f"_head_{dc}")).when(s <= 0, 0.0).otherwise(color.power(level(code(i), s, p), 1 / p))
         return F.transform(masked, lambda m, i: F.struct(m["cy"].alias("cy"), m["cx"].alias("cx"), value(i).alias("v")))
 
     # a channel whose scale is 0 takes no nibbles from the stream
-    used = lambda masked, scale: F.when(F.col(f"_head.{scale}") > 0, F.size(masked) - 1).otherwise(0)
+    used = lambda masked, scale: F.when(F.col(f"_head_{scale}") > 0, F.size(masked) - 1).otherwise(0)
     at = [F.lit(0), used("_mask", "sl"), used("_mask", "sl") + used("_small", "sp"), used("_mask", "sl") + used("_small", "sp") + used("_small", "sq")]
     return computed(d, _l=plane("_mask", "l", "sl", LIGHT, at[0]), _p=plane("_small", "p", "sp", CHROMA, at[1]), _q=plane("_small", "q", "sq", CHROMA, at[2]), _al=plane("_wide", "a", "sa", OPACITY, at[3]))
 
@@ -180,13 +182,13 @@ def wave(coefs: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
 def decode(df: DataFrame, hash_: str = "hash", base: int = 256, dither: bool = False) -> DataFrame:
     """A row for each pixel: the columns of ``df`` with w, h, y, x, r, g, b, a."""
     keep = df.columns
-    w, h = quant.output_size(F.col("_head.aspect"), base, strict=True)
+    w, h = quant.output_size(F.col("_head_aspect"), base, strict=True)
     d = computed(coefficients(df, hash_), _w=w, _h=h)
     d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("_h") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("x"))
     at = lambda c: wave(F.col(c), F.col("x"), F.col("y"), F.col("_w"), F.col("_h"))
-    d = computed(d, _lab=F.struct(at("_l").alias("l"), at("_p").alias("p"), at("_q").alias("q"), F.when(F.col("_head.has"), at("_al")).alias("a")))
+    d = computed(d, _lab=F.struct(at("_l").alias("l"), at("_p").alias("p"), at("_q").alias("q"), F.when(F.col("_head_has"), at("_al")).alias("a")))
     rgb = color.from_oklab(F.col("_lab.l"), F.col("_lab.p"), F.col("_lab.q"))
     t = color.dither_threshold(F.col("x"), F.col("y")) if dither else F.lit(0.5)
     byte = lambda c: color.quantised(color.companded(c) * 255, t)
-    a = F.when(F.col("_head.has"), color.quantised(F.col("_lab.a") * 255, t)).otherwise(255)
+    a = F.when(F.col("_head_has"), color.quantised(F.col("_lab.a") * 255, t)).otherwise(255)
     return d.select(*keep, F.col("_w").alias("w"), F.col("_h").alias("h"), "y", "x", *(byte(c).alias(n) for c, n in zip(rgb, "rgb", strict=True)), a.alias("a"))
