@@ -94,3 +94,12 @@ def nearest(colors: Column, r: Column, g: Column, b: Column) -> Column:
     """Index of the nearest of ``colors`` (structs idx, r, g, b), the first of equals."""
     d = lambda c: (c["r"] - r) * (c["r"] - r) + (c["g"] - g) * (c["g"] - g) + (c["b"] - b) * (c["b"] - b)
     return F.array_min(F.transform(colors, lambda c: F.struct(d(c).alias("d"), c["idx"].alias("i"))))["i"]
+
+
+def spreads(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """(name, spread): mean distance of each named palette's colours to their nearest others."""
+    a = frame(spark, names)
+    b = a.select("name", F.col("idx").alias("j"), *(F.col(c).alias(f"{c}2") for c in "rgb"))
+    d = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "rgb"), F.lit(0))
+    near = a.join(b, "name").where("idx <> j").groupBy("name", "idx").agg(F.sqrt(F.min(d)).alias("d"))
+    return near.groupBy("name").agg(F.avg("d").alias("spread"))
