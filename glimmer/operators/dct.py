@@ -47,9 +47,9 @@ def level(i: Column, scale: Column, p: float) -> Column:
 
 
 def nibbles(ac: Column, scale: Column, p: float) -> Column:
-    """The first of the nearest of 16 levels for each coefficient; 8 where the scale is 0."""
-    nearest = lambda c: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(F.abs(color.power(c, p) - level(i, scale, p)).alias("d"), i.alias("i"))))["i"]
-    return F.transform(ac, lambda c: F.when(scale <= 0, 8).otherwise(nearest(c)))
+    """The nearest of 16 equally spaced levels for each coefficient, the lower of equals; 8 where the scale is 0."""
+    place = lambda c: F.ceil((color.power(c, p) / F.pow(scale, F.lit(p)) + 1) * 7.5 - 0.5)
+    return F.transform(ac, lambda c: F.when(scale <= 0, 8).otherwise(F.least(F.greatest(place(c), F.lit(0)), F.lit(15)).cast("int")))
 
 
 def best_scale(ac: Column, steps: int, p: float) -> Column:

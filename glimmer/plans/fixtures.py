@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files are too few for them; work a row is far more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, u): every embedding as the 64 bytes of an 8 x 8 picture, by its own minimum and maximum."""
-    e = table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    e = spread(table(spark, sf_dir, "embeddings").where("embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("v")))
     e = e.withColumns({"lo": F.array_min("v"), "hi": F.array_max("v")})
     byte = lambda x: F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.floor((x - F.col("lo")) * 255 / (F.col("hi") - F.col("lo")))).cast("int")
     return e.select("vec_id", F.transform("v", byte).alias("u"))
