@@ -28,6 +28,10 @@ FILTERS, EMBEDDED = 16, 8
 #: Texts of a language that training sees at most, and passes over them.
 PER_LANG, EPOCHS = 600, 8
 UNKNOWN = "und"
+#: Gradient steps at least, however few the texts.
+STEPS = 300
+#: Languages whose counts are broadcast; with more of them Spark chooses the join.
+BROADCAST_LANGS = 10_000
 #: Windows that are predicted together.
 _GROUP = 256
 
@@ -113,7 +117,7 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], epochs: int
     first = [np.zeros_like(p) for p in net.parameters()]
     second = [np.zeros_like(p) for p in net.parameters()]
     t = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS // max(1, -(-len(windows) // 64))))):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), 64):
             some = order[at : at + 64]
@@ -175,12 +179,21 @@ def has_letter(text: str) -> F.Column:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = PER_LANG) -> Network | None:
-    """A network learned from rows with a language and a letter; None without any."""
+    """A network learned from at most ``per_lang`` different texts a language; None without any.
+
+    Rows without a language or a letter aren't looked at.
+    """
     data = F.col(f"`{text}`").cast("binary")
     spare = F.greatest(F.length(data) - WINDOW + 1, F.lit(1))
     start = (F.pmod(F.xxhash64(F.lit(1), data), spare) + 1).cast("int")
     rows = labelled.where(has_letter(text) & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(data).alias("order"), F.substring(data, start, F.lit(WINDOW)).alias("window"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("order", "window"))).where(F.col("r") <= per_lang)
+    # copies count once, and hashes are thinned before they are ranked, so that no language's rows meet in a task
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if counts.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
+        counts = F.broadcast(counts)
+    place = F.shiftrightunsigned("order", 11) / float(1 << 53)
+    few = rows.join(counts, "lang").where(place < 4.0 * per_lang / F.col("n")).select("lang", "order", "window").dropDuplicates(["lang", "order"])
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("order", "window"))).where(F.col("r") <= per_lang)
     found = sorted((r.lang, r.r, bytes(r.window)) for r in ranked.select("lang", "r", "window").collect())
     if not found:
         return None
