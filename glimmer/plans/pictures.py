@@ -275,3 +275,20 @@ def mean_abs_diff(spark, sf):
 def linear_mse(spark, sf):
     d = color.linear(F.col("r")) - color.linear(F.col("r2"))
     return compared(spark, sf).groupBy("vec_id").agg(six(F.avg(d * d)).alias("mse"))
+
+
+_BOX = "avg({0}) OVER (PARTITION BY vec_id, {1} ORDER BY {2} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS {0}"
+_TERMS = ("a", "b", "aa", "bb", "ab")
+
+
+@query(
+    "ssim",
+    f"""WITH {IMAGES}, {_LIN}, {_MEAN}, {_U8}, {_CODE}, {_BACK}, two AS (SELECT px.vec_id, px.y, px.x, px.r::DOUBLE AS a, back.r::DOUBLE AS b FROM px JOIN back ON px.vec_id = back.vec_id AND px.y // 2 = gy AND px.x // 2 = gx),
+    t AS (SELECT *, a * a AS aa, b * b AS bb, a * b AS ab FROM two), h AS (SELECT vec_id, y, x, {", ".join(_BOX.format(k, "y", "x") for k in _TERMS)} FROM t), v AS (SELECT vec_id, y, x, {", ".join(_BOX.format(k, "x", "y") for k in _TERMS)} FROM h),
+    w AS (SELECT vec_id, a, b, (aa - a * a) * 49 / 48 AS va, (bb - b * b) * 49 / 48 AS vb, (ab - a * b) * 49 / 48 AS vab FROM v WHERE y BETWEEN 3 AND 4 AND x BETWEEN 3 AND 4)
+    SELECT vec_id, round(avg((2 * a * b + 6.5025::DOUBLE) * (2 * vab + 58.5225::DOUBLE) / ((a * a + b * b + 6.5025::DOUBLE) * (va + vb + 58.5225::DOUBLE))), 6) AS ssim FROM w GROUP BY vec_id""",
+)
+def ssim(spark, sf):
+    from ..operators.metrics import ssim as of_pixels
+
+    return of_pixels(compared(spark, sf), "vec_id", "r", "r2").select("vec_id", six(F.col("ssim")).alias("ssim"))

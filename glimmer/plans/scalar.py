@@ -257,3 +257,15 @@ def hsl_rgb(spark, sf):
     d = table(spark, sf, "part")
     rgb = color.hsl((F.col("p_partkey") % 360).cast("double"), (F.col("p_size") % 11) / 10, (F.col("p_partkey") % 7) / 6)
     return d.select(F.col("p_partkey").alias("k"), *(x.alias(n) for x, n in zip(rgb, _RGB, strict=True)))
+
+
+@query(
+    "square_cells",
+    f"""WITH {_DIMS}, a AS (SELECT p_partkey, w::DOUBLE / h AS a FROM d), i AS (SELECT *, sqrt(48 * a) AS iw, sqrt(48 / a) AS ih FROM a),
+    t AS (SELECT p_partkey, a, unnest([floor(iw), floor(iw), ceil(iw), ceil(iw)]) AS gw, unnest([floor(ih), ceil(ih), floor(ih), ceil(ih)]) AS gh, unnest([0, 1, 2, 3]) AS place FROM i),
+    s AS (SELECT p_partkey, min((round(abs(ln(greatest(a * gh / gw, 1e-9))) * 5 + abs(gw * gh - 48) / 48, 9), place, gw, gh)) AS best FROM t WHERE gw >= 1 AND gh >= 1 GROUP BY p_partkey)
+    SELECT p_partkey, best[3]::INT AS gw, best[4]::INT AS gh FROM s""",
+)
+def square_cells(spark, sf):
+    d = dims(spark, sf).select("p_partkey", quant.square_cells(48, F.col("w").cast("double") / F.col("h")).alias("g"))
+    return d.select("p_partkey", "g.gw", "g.gh")
