@@ -34,8 +34,8 @@ PREFIX = 4
 MAX_LABELLED = 12_000
 #: Words get a weight if they are in so many rated texts, and in some grade this many standard deviations and times above chance.
 LEAST_TEXTS, TELLING, LIFT = 5, 6.0, 3
-#: Weight below which a word is left out of the second fit.
-LEAST_WEIGHT = 1.0
+#: Weight below which a word is left out of the next fit, and number of fits.
+LEAST_WEIGHT, FITS = 1.0, 3
 #: Passes of gradient descent.
 ROUNDS = 300
 #: A document is kept if it reaches the best grade with this probability.
@@ -48,13 +48,14 @@ MARKERS = len(_SYMBOLS) + 4
 
 
 def markers(text: str, words: np.ndarray) -> np.ndarray:
-    """Rates of a text's form, as log(1 + 100 rate)."""
+    """Rates of a text's form, as log(1 + 100 rate), and of repeated neighbours."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     counts = np.bincount(data, minlength=256)
     n, w = max(1, len(data)), max(1, len(words))
     repeats = (words[1:] == words[:-1]).sum() / (w + 20)
-    rates = [*(counts[_SYMBOLS] / n), repeats, counts[0x30:0x3A].sum() / n, counts[10] / n, n / w / 100]
-    return np.log1p(100 * np.array(rates)).astype(np.float32)
+    rates = [*(counts[_SYMBOLS] / n), counts[0x30:0x3A].sum() / n, counts[10] / n, n / w / 100]
+    # repeats are frequent in clean texts too: their rate isn't stretched near zero
+    return np.append(np.log1p(100 * np.array(rates)), 5 * repeats).astype(np.float32)
 
 
 def _hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,13 +102,14 @@ def _telling(grade: np.ndarray, rows: np.ndarray, buckets: np.ndarray, k: int) -
 def fit_model(grade: np.ndarray, rows: np.ndarray, buckets: np.ndarray, forms: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Maximum likelihood with weight decay; ``rows`` and ``buckets`` are the texts' distinct words.
 
-    A first fit finds the words that matter, a second one weighs them alone.
+    The first fits find the words that matter, the last one weighs them alone.
     """
     k = int(grade.max()) + 1
     names, buckets = np.unique(buckets, return_inverse=True)
     names, rows, buckets = _only(_telling(grade, rows, buckets, k), names, rows, buckets)
-    first_try = _descend(grade, rows, buckets, len(names), forms, rounds)
-    names, rows, buckets = _only(np.abs(first_try.weights) >= LEAST_WEIGHT, names, rows, buckets)
+    for _ in range(FITS - 1):
+        before = _descend(grade, rows, buckets, len(names), forms, rounds)
+        names, rows, buckets = _only(np.abs(before.weights) >= LEAST_WEIGHT, names, rows, buckets)
     model = _descend(grade, rows, buckets, len(names), forms, rounds)
     model.buckets = names
     return model
