@@ -11,20 +11,8 @@ def last_of(df: DataFrame, keys: list[str], order: Column, value: str) -> DataFr
     return df.groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
-def upper_median(values: str | Column) -> Column:
-    """The upper of the two middle values."""
-    s = F.sort_array(F.collect_list(values))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
-
-
-def ranked_percentile(values: str | Column, p: float) -> Column:
-    """The value at place int(n p), without interpolation."""
-    s = F.sort_array(F.collect_list(values))
-    return F.element_at(s, (F.floor(F.size(s) * p) + 1).cast("int"))
-
-
 def percentile_by_counts(df: DataFrame, keys: list[str], value: str, p: float) -> DataFrame:
-    """The same as :func:`ranked_percentile` without ever collecting a key's values.
+    """The value at place int(n p) of each key's sorted values, without interpolation; p = 0.5 is the upper median.
 
     Values are counted first, so that a hot key is spread over its distinct values; the
     place is then found by a running count.
