@@ -187,8 +187,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
     spare = F.greatest(F.length(data) - WINDOW + 1, F.lit(1))
     start = (F.pmod(F.xxhash64(F.lit(1), data), spare) + 1).cast("int")
     rows = labelled.where(has_letter(text) & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.xxhash64(data).alias("order"), F.substring(data, start, F.lit(WINDOW)).alias("window"))
-    # copies count once, and hashes are thinned before they are ranked, so that no language's rows meet in a task
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # copies count once, here too, and hashes are thinned before they are ranked, so that no language's rows meet in a task
+    counts = rows.select("lang", "order").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     if counts.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS:
         counts = F.broadcast(counts)
     place = F.shiftrightunsigned("order", 11) / float(1 << 53)

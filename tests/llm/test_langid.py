@@ -64,3 +64,13 @@ def test_odd_rows(spark):
     assert fit(spark.createDataFrame([], "text string, lang string")) is None
     assert {r.lang_pred for r in predict(df, None).collect()} == {UNKNOWN}
     assert df.where(held_out()).count() in range(8)
+
+
+def test_copies_do_not_thin(spark):
+    english = [(f"the cat and the dog number {i} went to the house", "en") for i in range(30)]
+    french = [(f"le chat et le chien {i} sont dans la maison", "fr") for i in range(20)]
+    learn = spark.createDataFrame(english + french[1:], "text string, lang string")
+    many = spark.range(100_000).select(F.lit(french[0][0]).alias("text"), F.lit("fr").alias("lang"))
+    net, once = (fit(learn.unionByName(x), per_lang=20) for x in (many, many.limit(1)))
+    assert net.langs == ["en", "fr"]
+    assert all((a == b).all() for a, b in zip(net.parameters(), once.parameters(), strict=True))
