@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one is like; ``n_chars`` counts what is left.
 
-    A document stays even if no line of it does.
+    A document stays even if no line of it does, until :func:`mixing`.
     """
     return deduplicate_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -40,8 +40,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return deduplicate(docs)
 
 
+def filled(docs: DataFrame, original: DataFrame) -> DataFrame:
+    """``docs`` without those that line dedup left no word; what had none in ``original`` stays."""
+    bare = ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    as_read = original.where(bare).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_copy")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_copy"))
+    return docs.where(~bare).unionByName(docs.where(bare).join(as_read, same, "left_semi"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that all sources weigh the same, in global random order."""
+    """Documents repeated so that all sources weigh the same, in global random order.
+
+    Documents whose lines are all copies of earlier ones neither count nor come out.
+    """
+    docs = filled(docs, spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return mix(docs).select(*docs.columns)
 
 

@@ -43,3 +43,23 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 50
+
+
+def test_copies_do_not_weigh(spark, tmp_path):
+    fields = "doc_id long, source string, text string, n_chars long"
+    one = "\n".join(f"line {i} of the only text that this source has" for i in range(3))
+    rows = [(i, "copies", one) for i in range(40)] + [(100 + i, "own", f"text number {i} says {i * i} and {i * 7} things of its own") for i in range(40)]
+    rows += [(200, "own", None), (201, "own", ""), (202, "own", " \n")]
+    docs = spark.createDataFrame([(*r, len(r[2] or "")) for r in rows], fields)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, out, str(tmp_path))
+    left = corpus_pipeline.filled(out, docs)
+    # of equal texts one document is left; those that never had a word stay
+    assert sorted(r.doc_id for r in left.collect()) == [0, *range(100, 140), 200, 201, 202]
+    mixed = corpus_pipeline.mixing(spark, out, str(tmp_path))
+    assert mixed.columns == docs.columns
+    assert not {r.doc_id for r in mixed.collect()} & set(range(1, 40))
+    counts = Counter(r.source for r in mixed.collect())
+    assert counts["copies"] > 10
