@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..codec import of
+from ..codec import of, presets
 from ..operators import fit, render, shapes
 from ..registry import query
 from .fixtures import pixels
 from .pictures import dct_encode, pixel_encode
 
-#: Shapes a hash has in these queries.
-SHAPES = 2
+#: Shapes a hash has in these queries: those of the small presets.
+SHAPES = presets()["small_circle"][0].n_shapes
 
 
 def _fitted(kind: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return fit.fit(pixels(spark, sf), of(kind, SHAPES), tries=12, climbs=1).select("vec_id", "hash", F.round("sse", 6).alias("sse"))
+        return fit.fit(pixels(spark, sf), of(kind, SHAPES)).select("vec_id", "hash", F.round("sse", 6).alias("sse"))
 
     return run
 

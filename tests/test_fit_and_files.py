@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from glimmer import codec as C
 from glimmer import palettes
 from glimmer.operators import fit, metrics, render, shapes
+from glimmer.plans import fitted
 from glimmer.plans.codecs import variants
+from glimmer.registry import QUERIES
 from glimmer.sources import pictures, rows
 from glimmer.streaming import encode_pictures, windowed_runs
 
@@ -39,6 +41,25 @@ def test_fit(spark, kind):
         assert abs(sse - r.sse) < 0.05 * r.sse + 0.1
 
 
+@pytest.mark.parametrize("kind", ["circle", "triangle", "square", "rect", "rotrect"])
+def test_registered_fits(monkeypatch, kind):
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def record(px, codec, **search):
+        asked.append((codec, search))
+        raise Stop
+
+    monkeypatch.setattr(fitted, "pixels", lambda spark, sf: None)
+    monkeypatch.setattr(fitted.fit, "fit", record)
+    with pytest.raises(Stop):
+        QUERIES[f"fit_{kind}"](None, "")
+    # a small preset's shapes, by the operator's own search
+    assert asked == [(C.of(kind, 12), {})]
+
+
 def test_fit_with_palette(spark):
     px = pictures.synthetic(spark, "checkerboard", 16, 16).withColumn("vec_id", F.lit(1))
     codec = replace(C.of("rect", 2), palette=palettes.get("pico8"))
