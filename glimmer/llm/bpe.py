@@ -3,8 +3,11 @@
 A pair of neighbouring bytes that occurs inside no token of the vocabulary can never
 be merged, so the text is certainly cut there.  Words (as the file's splitting pattern
 gives them) are cut at such pairs, the fragments are encoded independently, and their
-ids are concatenated.  Nothing here trains a tokenizer; the vocabulary file's path is a
-parameter, and its bounded contents are broadcast.
+ids are concatenated.  All different words of a slice of texts are merged together, one
+merge of every fragment at a time, and remembered in two generations: when the young one
+is full, it becomes the old one, whose words come back as they are met.  Nothing here
+trains a tokenizer; the vocabulary file's path is a parameter, and its bounded contents
+are broadcast.
 
 Supported files: ``tokenizers`` JSON of a byte-level BPE with an end-of-word suffix, whose
 normaliser is NFC, white space to one space, lower case, and whose splitting pattern
@@ -18,18 +21,29 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from array import array
+from collections.abc import Iterable
 from functools import cached_property
+from hashlib import sha256
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .columns import add_columns
 
-#: Words remembered by each Python worker.
-CACHE_WORDS = 300_000
+#: Words in a generation of the words that each Python worker remembers, of at most so many characters each.
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+#: Fragments of more bytes are merged one by one.
+LONG = 64
+#: Texts without these characters are split by Python's own tables, whose letters, digits and
+#: white space are then the library's: controls that are no separators, ASCII, Latin letters, and punctuation.
+_RARE = re.compile("[^\x00-\x1b\x20-\x7f\xa1\xab\xbb\xbf-\u024f\u2010-\u2027]")
+_PLAIN = {r"[\p{L}]": r"[^\W\d_]", r"[\p{N}]": r"\d", r"[^\s\p{L}\p{N}]": r"(?:[^\s\w]|_)"}
+_NONE = np.iinfo(np.int64).max
 # Where the library's Unicode tables differ from those of this Python.
 #: Letters and digits of newer tables that the library's splitter takes for symbols.
 SYMBOLS = (
@@ -61,6 +75,8 @@ class Vocabulary:
 
     def __init__(self, file: str | bytes):
         spec = json.loads(file)
+        #: names the contents, so that a worker can tell what it holds
+        self.token = sha256(file if isinstance(file, bytes) else file.encode()).hexdigest()
         model = spec["model"]
         if model["type"] != "BPE" or not model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
             raise ValueError("not a BPE vocabulary with an end-of-word suffix")
@@ -103,13 +119,28 @@ class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         chars = byte_characters()
-        self.plain = [vocab.ids[c] for c in chars]
-        self.final = [vocab.ids[c + vocab.suffix] for c in chars]
-        self.words = regex.compile(self._known(vocab.pattern), regex.V1)
+        self.plain = np.array([vocab.ids[c] for c in chars], dtype=np.int64)
+        self.final = np.array([vocab.ids[c + vocab.suffix] for c in chars], dtype=np.int64)
+        self.all_words = regex.compile(self._known(vocab.pattern), regex.V1)
+        self.plain_words = self._by_own_tables(vocab.pattern)
         self.special = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")") if vocab.special else None
-        self.odd_space = regex.compile("[\x1c-\x1f]")
-        self.space = regex.compile(r"\s+")
-        self.cache: dict[str, bytes] = {}
+        self.inside = np.zeros(65536, dtype=bool)
+        self.inside[list(vocab.inside)] = True
+        pairs = sorted(vocab.merges)
+        self.pairs = np.array([*pairs, _NONE], dtype=np.int64)
+        self.ranks = np.array([*(vocab.merges[p][0] for p in pairs), _NONE], dtype=np.int64)
+        self.made = np.zeros(1 + max((m[0] for m in vocab.merges.values()), default=0), dtype=np.int64)
+        for rank, made in vocab.merges.values():
+            self.made[rank] = made
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def _by_own_tables(pattern: str) -> re.Pattern | None:
+        """The pattern for texts without rare characters; None where it names other classes."""
+        for theirs, ours in _PLAIN.items():
+            pattern = pattern.replace(theirs, ours)
+        return None if r"\p" in pattern else re.compile(pattern)
 
     @staticmethod
     def _known(pattern: str) -> str:
@@ -118,28 +149,8 @@ class Encoder:
             pattern = pattern.replace(kind, f"[{kind}--[{SYMBOLS}]]")
         return pattern
 
-    def merged(self, ids: list[int]) -> list[int]:
-        """Merges the lowest rank first, the leftmost of equal ranks."""
-        merges = self.vocab.merges
-        if len(ids) > 64:
-            return self._merged_long(ids)
-        found = [merges.get(a << 32 | b) for a, b in zip(ids, ids[1:], strict=False)]
-        while True:
-            best = None
-            for i, m in enumerate(found):
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
-                return ids
-            ids[at : at + 2] = [best[1]]
-            del found[at]
-            if at:
-                found[at - 1] = merges.get(ids[at - 1] << 32 | best[1])
-            if at < len(found):
-                found[at] = merges.get(best[1] << 32 | ids[at + 1])
-
     def _merged_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap over a linked list, for long fragments."""
+        """Merges the lowest rank first, the leftmost of equal ranks, with a heap over a linked list."""
         merges = self.vocab.merges
         n = len(ids)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -166,70 +177,146 @@ class Encoder:
                 offer(before[i])
         return [x for x in ids if x >= 0]
 
-    def piece(self, data: bytes) -> list[int]:
-        """A word's bytes, cut where a pair of bytes is inside no token."""
-        inside, out, start = self.vocab.inside, [], 0
-        for i in range(1, len(data)):
-            if data[i - 1] * 256 + data[i] not in inside:
-                out += self.merged([self.plain[b] for b in data[start:i]])
-                start = i
-        last = [self.plain[b] for b in data[start:]]
-        last[-1] = self.final[data[-1]]
-        return out + self.merged(last)
-
-    def chunk(self, text: str) -> bytes:
-        """Ids (little-endian, 32 bits each) of a text without white space."""
-        lower = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(LOWERED)
-        ids: list[int] = []
-        for word in self.words.findall(lower):
-            ids += self.piece(word.encode())
-        return array("I", ids).tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        cache = self.cache
-        chunks = self.space.split(text) if self.odd_space.search(text) else text.split()
-        try:
-            return b"".join([cache[c] for c in chunks])
-        except KeyError:
-            pass
-        out = []
-        for c in chunks:
-            ids = cache.get(c)
-            if ids is None:
-                ids = self.chunk(c)
-                if len(c) <= 64:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    cache[c] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ranks of pairs, _NONE where they don't merge."""
+        pair = a << 32 | b
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.ranks[at], _NONE)
+
+    def _merged(self, ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merged ids of fragments that lie one after another, and the fragment of each.
+
+        ``cut`` tells where a fragment begins.  In each turn every fragment merges its lowest
+        rank, the leftmost of equal ones; those that can't merge any more leave.
+        """
+        fragment = np.cumsum(cut) - 1
+        rank = np.full(len(ids), _NONE)
+        rank[:-1] = np.where(cut[1:], _NONE, self._rank(ids[:-1], ids[1:]))
+        done_ids, done_fragment = [], []
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], fragment[1:] != fragment[:-1])))
+            sizes = np.diff(np.append(starts, len(ids)))
+            lowest = np.minimum.reduceat(rank, starts)
+            stays = np.repeat(lowest != _NONE, sizes)
+            if not stays.all():
+                done_ids.append(ids[~stays])
+                done_fragment.append(fragment[~stays])
+            at = np.flatnonzero((rank == np.repeat(lowest, sizes)) & stays)
+            if not len(at):
+                break
+            at = at[np.concatenate(([True], fragment[at[1:]] != fragment[at[:-1]]))]
+            ids[at] = self.made[rank[at]]
+            stays[at + 1] = False
+            place = np.cumsum(stays) - 1
+            ids, fragment, rank, at = ids[stays], fragment[stays], rank[stays], place[at]
+            # only the pairs before and behind what was merged have changed
+            last = len(ids) - 1
+            behind = np.minimum(at + 1, last)
+            rank[at] = np.where((at < last) & (fragment[behind] == fragment[at]), self._rank(ids[at], ids[behind]), _NONE)
+            before = at[(at > 0)]
+            before = before[fragment[before - 1] == fragment[before]]
+            rank[before - 1] = self._rank(ids[before - 1], ids[before])
+        return np.concatenate(done_ids), np.concatenate(done_fragment)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits each) of words as the pattern gives them; none is empty."""
+        if not words:
+            return []
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        ends = np.cumsum([len(d) for d in data])
+        raw = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.int64)
+        ids = self.plain[raw]
+        ids[ends - 1] = self.final[raw[ends - 1]]
+        cut = np.ones(len(raw), dtype=bool)
+        cut[1:] = ~self.inside[raw[:-1] * 256 + raw[1:]]
+        cut[ends[:-1]] = True
+        starts = np.flatnonzero(cut)
+        sizes = np.diff(np.append(starts, len(raw)))
+        long = np.flatnonzero(sizes > LONG)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for f in long.tolist():
+            some = self._merged_long(ids[starts[f] : starts[f] + sizes[f]].tolist())
+            parts.append((np.array(some, dtype=np.int64), np.full(len(some), f)))
+        short = np.repeat(sizes <= LONG, sizes)
+        if short.any():
+            number = np.flatnonzero(sizes <= LONG)
+            found, fragment = self._merged(ids[short], cut[short])
+            parts.append((found, number[fragment]))
+        fragment = np.concatenate([p[1] for p in parts])
+        order = np.argsort(fragment, kind="stable")
+        flat = np.concatenate([p[0] for p in parts])[order].astype("<u4").tobytes()
+        word = np.searchsorted(ends, starts, side="right")
+        until = 4 * np.cumsum(np.bincount(word[fragment], minlength=len(words)))
+        out, at = [], 0
+        for e in until.tolist():
+            out.append(flat[at:e])
+            at = e
+        return out
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text that holds no special token."""
+        lower = unicodedata.normalize("NFC", text)
+        if self.plain_words is not None and not _RARE.search(lower):
+            return self.plain_words.findall(lower.lower())
+        return self.all_words.findall(lower.replace("Σ", "σ").lower().translate(LOWERED))
+
+    def _remember(self, words: Iterable[list[str]]) -> dict[str, bytes]:
+        """The ids of all these words; those of short ones stay for later texts."""
+        missing = set().union(*words) - self.young.keys()
+        if len(self.young) + len(missing) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+            missing = set().union(*words)
+        new = {}
+        for w in missing:
+            ids = self.old.get(w)
+            if ids is not None:
+                self.young[w] = ids
+            else:
+                new[w] = None
+        new = dict(zip(new, self.encode_words(list(new)), strict=True))
+        long = {w: ids for w, ids in new.items() if len(w) > CACHE_LENGTH}
+        self.young.update(new)
+        return long
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        special = self.vocab.special
+        pieces: list[list[str] | bytes] = []
+        of_text = []
+        for text in texts:
+            before = len(pieces)
+            if text and self.special is not None and "<" in text and self.special.search(text):
+                for part in self.special.split(text):
+                    i = special.get(part)
+                    pieces.append(self._split(part) if i is None else array("I", [i]).tobytes())
+            elif text:
+                pieces.append(self._split(text))
+            of_text.append((before, len(pieces)))
+        long = self._remember([p for p in pieces if isinstance(p, list)])
+        ids = self.young.__getitem__
+        coded = [p if isinstance(p, bytes) else b"".join(map(ids, p)) for p in pieces]
+        for w in long:
+            del self.young[w]
+        return [coded[a] if b - a == 1 else b"".join(coded[a:b]) for a, b in of_text]
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.special is None or "<" not in text or not self.special.search(text):
-            return self._plain(text)
-        out = []
-        for part in self.special.split(text):
-            i = self.vocab.special.get(part)
-            out.append(self._plain(part) if i is None else array("I", [i]).tobytes())
-        return b"".join(out)
+        """The ids of one text."""
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes | None) -> str:
         """Tokens joined by spaces, as the library does where a file names no decoder."""
         return " ".join(map(self.vocab.tokens.__getitem__, array("I", ids or b"")))
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def _encoder(shared) -> Encoder:
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _encoders:
+    vocab = shared.value
+    if vocab.token not in _encoders:
         _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
+        _encoders[vocab.token] = Encoder(vocab)
+    return _encoders[vocab.token]
 
 
 def encode_decode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -239,7 +326,7 @@ def encode_decode(df: DataFrame, vocab: Vocabulary, text: str = "text", ids: str
 
     def compute(texts: list[str | None]):
         coder = _encoder(shared)
-        codes = [coder.encode(t) for t in texts]
+        codes = coder.encode_all(texts)
         return [codes, [coder.decode(c) for c in codes]] if decoded else [codes]
 
     return add_columns(df, text, added, compute, keep)
@@ -268,14 +355,12 @@ def encode_decode_digests(df: DataFrame, vocab: Vocabulary, text: str = "text")
 
     The ids and the decoded text stay inside the task, so that only digests leave it.
     """
-    from hashlib import sha256
-
     shared = df.sparkSession.sparkContext.broadcast(vocab)
     added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def compute(texts: list[str | None]):
         coder = _encoder(shared)
-        codes = [coder.encode(t) for t in texts]
+        codes = coder.encode_all(texts)
         return [[len(c) // 4 for c in codes], [sha256(c).hexdigest() for c in codes], [sha256(coder.decode(c).encode()).hexdigest() for c in codes]]
 
     return add_columns(df, text, added, compute)

@@ -71,3 +71,24 @@ def test_frames(spark, library):
     back = sorted((str(r.doc_id), r.decoded) for r in decode(out.select("doc_id", "ids"), vocab).collect())
     assert back == sorted((str(a), "hello</w> world</w>" if t else "") for a, t, _ in rows)
     assert encode_decode(df.limit(0), vocab).count() == 0
+
+
+def test_all_documents(library):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    coder = Encoder(Vocabulary.load(DEFAULT_FILE()))
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        want = library.encode_batch([t or "" for t in some], add_special_tokens=False)
+        assert [struct.unpack(f"<{len(g) // 4}I", g) for g in coder.encode_all(some)] == [tuple(w.ids) for w in want]
+
+
+def test_generations(coder, monkeypatch):
+    from glimmer.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    small = Encoder(coder.vocab)
+    texts = [" ".join(f"word{i % 7}x{j % 3} again" for j in range(4)) + " " + "long" * 40 for i in range(40)]
+    assert [small.encode(t) for t in texts] == [coder.encode(t) for t in texts]
+    assert len(small.young) <= 12 and not any(len(w) > bpe.CACHE_LENGTH for w in small.young)
