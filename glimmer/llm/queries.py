@@ -57,10 +57,11 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op8_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message of every conversation as canonical JSON, with its calls linked and in order."""
+    """Every message of every conversation as canonical JSON, with its calls linked, checked and in order."""
+    from .derived import with_tools
     from .toolcalls import TOOLS, format_chats
 
-    return format_chats(_table(spark, sf_dir, "conversations"), TOOLS)
+    return format_chats(with_tools(_table(spark, sf_dir, "conversations")), TOOLS)
 
 
 @_query
@@ -72,15 +73,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_copy").alias("copy"), "source", F.col("_shuffle").alias("shuffle_key"), "text")
 
 
-def _oracles() -> None:
-    from .mixing import ORACLE
-
-    LLM_ORACLES["op9_mixing"] = ORACLE
-
-
-_oracles()
-
-
 @_query
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth embedding among all others."""
@@ -117,3 +109,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, grades_of(_table(spark, sf_dir, "labels")))
     last = F.element_at("tails", -1)
     return rate(docs, model).select("doc_id", "expected_grade", F.element_at("tails", 1).alias("p_1"), last.alias("p_best"), (last >= KEEP).alias("kept"))
+
+
+def _oracles() -> None:
+    from . import derived, mixing
+
+    LLM_ORACLES["op8_toolcalls"] = derived.ORACLE
+    LLM_ORACLES["op9_mixing"] = mixing.ORACLE
+
+
+_oracles()

@@ -8,10 +8,16 @@ by {"$ref": id}.  Anything else is plain content.
 Calls and results are linked by a hash join on (conversation, id): of calls, or of
 results, with one id the first by (turn, place) counts.  A result follows its call, and a
 call follows the results it refers to; messages that already stand so keep their turn,
-others move right behind the last one they need.  Messages on a cycle keep their turn.
-Each message becomes one canonical JSON line: keys sorted, no spaces, UTF-8 unescaped.
+others move right behind the last one they need.  Messages on a cycle, or that need one
+on a cycle, keep their turn.  Each message becomes one canonical JSON line: keys sorted,
+no spaces, UTF-8 unescaped.
 
-One row is one message, so a conversation of any length is never held in one task.
+One row is one message, so a conversation of any length is never held in one task.  A chain
+of messages is ordered by pointer jumping, in a number of rounds that grows with the
+logarithm of its length; a message that needs several others waits for all of them.
+
+JSON that nests too deeply for Python's parser or writer isn't read: a whole text is then
+plain content, and arguments given as text stay text, with the problem "$: not JSON".
 """
 
 from __future__ import annotations
@@ -46,10 +52,10 @@ def _refuse(constant: str) -> None:
 
 
 def _load(text: str) -> object:
-    """A JSON value; ``ValueError`` where it isn't one that UTF-8 JSON can hold."""
+    """A JSON value; ``ValueError`` where it isn't one that a message in UTF-8 JSON can hold."""
     try:
         value = json.loads(text, parse_constant=_refuse)
-        canonical(value).encode()
+        canonical([[[[value]]]]).encode()  # as deep as arguments stand in a message
     except RecursionError as e:
         raise ValueError("too deep") from e
     return value
@@ -87,11 +93,18 @@ def problem(value: object, schema: dict, path: str = "$") -> str | None:
 
 
 def _references(value: object) -> set[str]:
-    if isinstance(value, dict):
-        if set(value) == {"$ref"} and isinstance(value["$ref"], str):
-            return {value["$ref"]}
-        return set().union(*map(_references, value.values())) if value else set()
-    return set().union(*map(_references, value)) if isinstance(value, list) and value else set()
+    """The ids that a value refers to, at any depth."""
+    found, todo = set(), [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if set(v) == {"$ref"} and isinstance(v["$ref"], str):
+                found.add(v["$ref"])
+            else:
+                todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+    return found
 
 
 def parse(role: str | None, text: str | None, schemas: Schemas) -> dict:
@@ -153,31 +166,58 @@ def parsed(df: DataFrame, schemas: Schemas) -> DataFrame:
     return df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(run, _PARSED)
 
 
+#: Conversations that are broadcast; with more of them Spark chooses the join.
+BROADCAST_CONVERSATIONS = 1_000_000
+
+
 def _moved(ws: Workspace, edges: DataFrame) -> DataFrame | None:
     """(conv_id, turn, at_turn, depth) of messages that must move; ``edges`` (conv_id, before, after) of turns.
 
     Messages are settled once all before them are; a message stands behind the latest of
     them.  Only conversations with an edge that points backwards are looked at.
+
+    What a path of messages, each of which needs only the one before it, does to the place
+    (t, d) of what it starts from is known by three numbers, its length and the place
+    (high, deep) it ends in by itself: (t, d + length) if t >= high, else (high, deep).  Each
+    round halves such paths by joining a path with the one that its start ends.
     """
-    wrong = edges.where("before >= after").select("conv_id").distinct()
+    wrong = ws.keep(edges.where("before >= after").select("conv_id").distinct(), "wrong")
+    few = wrong.limit(BROADCAST_CONVERSATIONS + 1).count()
+    if not few:
+        return None
+    wrong = F.broadcast(wrong) if few <= BROADCAST_CONVERSATIONS else wrong
     edges = ws.keep(edges.join(wrong, "conv_id", "left_semi").where("before <> after").distinct(), "edges")
     if not edges.limit(1).count():
         return None
-    nodes = edges.select("conv_id", F.explode(F.array("before", "after")).alias("turn")).distinct()
-    settled = ws.keep(nodes.join(edges.withColumnRenamed("after", "turn"), ["conv_id", "turn"], "left_anti").select("conv_id", "turn", F.col("turn").alias("at_turn"), F.lit(0).alias("depth")), "settled-0")
+    needs = edges.groupBy("conv_id", F.col("after").alias("turn")).agg(F.count(F.lit(1)).alias("needs"), F.min("before").alias("start"))
+    needs = ws.keep(needs, "needs")
+    roots = edges.select("conv_id", F.col("before").alias("turn")).distinct().join(needs, ["conv_id", "turn"], "left_anti")
+    settled = ws.keep(roots.select("conv_id", "turn", F.col("turn").alias("at_turn"), F.lit(0).alias("depth")), "settled-0")
+    paths = ws.keep(needs.where("needs = 1").select("conv_id", "turn", "start", F.lit(1).alias("length"), F.col("turn").alias("high"), F.lit(0).alias("deep")), "paths-0")
+    forks = ws.keep(edges.withColumnRenamed("after", "turn").join(needs.where("needs > 1").select("conv_id", "turn", "needs"), ["conv_id", "turn"]), "forks-0")
     round_ = 0
     while True:
-        place = settled.select("conv_id", F.col("turn").alias("before"), F.struct("at_turn", "depth").alias("place"))
-        open_ = edges.join(settled.select("conv_id", F.col("turn").alias("after")), ["conv_id", "after"], "left_anti")
-        ready = open_.join(place, ["conv_id", "before"], "left").groupBy("conv_id", "after").agg(F.max("place").alias("last"), F.count("place").alias("known"), F.count(F.lit(1)).alias("all")).where("known = all")
-        behind = F.col("last.at_turn") >= F.col("after")
-        more = ready.select("conv_id", F.col("after").alias("turn"), F.when(behind, F.col("last.at_turn")).otherwise(F.col("after")).alias("at_turn"), F.when(behind, F.col("last.depth") + 1).otherwise(0).alias("depth"))
-        more = ws.keep(more, f"more-{round_}")
+        place = settled.select("conv_id", F.col("turn").alias("start"), "at_turn", F.col("depth").alias("d"))
+        above = F.col("at_turn") >= F.col("high")
+        from_paths = paths.join(place, ["conv_id", "start"]).select("conv_id", "turn", F.greatest("at_turn", "high").alias("at_turn"), F.when(above, F.col("d") + F.col("length")).otherwise(F.col("deep")).alias("depth"))
+        last = forks.join(settled.select("conv_id", F.col("turn").alias("before"), F.struct("at_turn", "depth").alias("place")), ["conv_id", "before"])
+        ready = last.groupBy("conv_id", "turn").agg(F.max("place").alias("last"), F.count(F.lit(1)).alias("known"), F.first("needs").alias("needs")).where("known = needs")
+        behind = F.col("last.at_turn") >= F.col("turn")
+        from_forks = ready.select("conv_id", "turn", F.greatest("last.at_turn", "turn").alias("at_turn"), F.when(behind, F.col("last.depth") + 1).otherwise(0).alias("depth"))
+        more = ws.keep(from_paths.unionByName(from_forks), f"more-{round_}")
         if not more.limit(1).count():
             return settled.where("at_turn <> turn or depth <> 0")
         round_ += 1
-        settled = ws.keep(settled.unionByName(more), f"settled-{round_}")
-        ws.drop(f"settled-{round_ - 1}", f"more-{round_ - 1}")
+        done = more.select("conv_id", "turn")
+        left = paths.join(done, ["conv_id", "turn"], "left_anti")
+        before = left.select("conv_id", F.col("turn").alias("start"), F.col("start").alias("start_0"), F.col("length").alias("length_0"), F.col("high").alias("high_0"), F.col("deep").alias("deep_0"))
+        longer = left.join(before, ["conv_id", "start"], "left").select(
+            "conv_id", "turn", F.coalesce("start_0", "start").alias("start"), (F.col("length") + F.coalesce("length_0", F.lit(0))).alias("length"), F.greatest("high", "high_0").alias("high"),
+            F.when(F.col("high_0") >= F.col("high"), F.col("deep_0") + F.col("length")).otherwise(F.col("deep")).alias("deep"),
+        )
+        after = ws.keep(settled.unionByName(more), f"settled-{round_}"), ws.keep(longer, f"paths-{round_}"), ws.keep(forks.join(done, ["conv_id", "turn"], "left_anti"), f"forks-{round_}")
+        ws.drop(*(f"{name}-{round_ - 1}" for name in ("settled", "more", "paths", "forks")))
+        settled, paths, forks = after
 
 
 def format_chats(df: DataFrame, schemas: Schemas) -> DataFrame:

@@ -77,3 +77,104 @@ def test_schemas():
     assert problem({"n": 1, "l": [1, "x"]}, s) == "$.l[1]: not number"
     assert problem({"n": 1, "z": 0}, s) == "$.z: unknown"
     assert problem([], s) == "$: not object"
+
+
+def test_deep_arguments(spark):
+    def text(depth, quoted):
+        arguments = '{"query":' + "[" * depth + "]" * depth + "}"
+        return '{"content":"c","tool_calls":[{"arguments":' + (json.dumps(arguments) if quoted else arguments) + ',"id":"a","name":"search"}]}'
+
+    depths = [1, 300, 900, 990, 1000, 2000, 9000, 50_000, 500_000]
+    rows = [(1, 2 * i + q, "assistant", text(d, bool(q))) for i, d in enumerate(depths) for q in (0, 1)]
+    out = {r.turn: r for r in run(spark, rows)}
+    assert len(out) == len(rows)
+    assert out[0].n_calls == 1 and out[0].n_invalid == 1 and out[len(rows) - 1].n_invalid == 1
+    for turn, _, _, t in ((r[1], r[0], r[2], r[3]) for r in rows):
+        r = out[turn]
+        # what is too deep to read is plain content, or text among the arguments
+        assert r.n_calls == 1 or json.loads(r.json) == {"content": t, "role": "assistant"}
+
+
+def brute(rows):
+    """(conv_id, turn) -> (at_turn, depth, n_linked, linked), message by message."""
+    calls, results, refs = {}, {}, []
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        try:
+            value = json.loads(text)
+        except (ValueError, TypeError):
+            continue
+        if role == "tool" and isinstance(value, dict) and "tool_call_id" in value:
+            results.setdefault((c, value["tool_call_id"]), t)
+        if role == "assistant" and isinstance(value, dict):
+            for call_ in value.get("tool_calls", []):
+                calls.setdefault((c, call_["id"]), t)
+                arguments = call_["arguments"]
+                refs += [(c, t, v["$ref"]) for v in arguments.values() if isinstance(v, dict)]
+    linked = {k: (t, results[k]) for k, t in calls.items() if k in results}
+    before: dict = {}
+    for (c, _), (a, b) in linked.items():
+        before.setdefault((c, b), set()).add(a)
+    for c, t, i in refs:
+        if (c, i) in linked:
+            before.setdefault((c, t), set()).add(linked[c, i][1])
+    before = {k: v - {k[1]} for k, v in before.items()}
+    place: dict = {}
+    nodes = {(c, t) for c, t, _, _ in rows}
+    while True:
+        ready = [k for k in nodes if k not in place and all((k[0], b) in place for b in before.get(k, ()))]
+        if not ready:
+            break
+        for c, t in ready:
+            last = max(((place[c, b]) for b in before.get((c, t), ())), default=(-1, 0))
+            place[c, t] = (last[0], last[1] + 1) if last[0] >= t else (t, 0)
+    answered = {(c, b) for (c, _), (_, b) in linked.items()}
+    counts: dict = {}
+    for (c, _), (a, _) in linked.items():
+        counts[c, a] = counts.get((c, a), 0) + 1
+    return {k: (*place.get(k, (k[1], 0)), counts.get(k, 0), k in answered) for k in nodes}
+
+
+def test_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for c in range(12):
+        n = rng.choice([3, 10, 40])
+        for t in range(n):
+            if rng.random() < 0.5:
+                some = {f"k{j}": {"$ref": f"c{rng.randrange(n)}"} for j in range(rng.choice([0, 0, 1, 1, 2]))}
+                rows.append((c, t, "assistant", call((f"c{t}", "search", some | {"query": "q"}))))
+            else:
+                rows.append((c, t, "tool", result(f"c{rng.randrange(n)}")))
+    got = {(r.conv_id, r.turn): (r.at_turn, r.depth, r.n_linked, bool(r.linked)) for r in run(spark, rows)}
+    assert got == brute(rows)
+
+
+def test_long_chain(spark):
+    # each call needs the result of the next one, so the whole conversation turns about
+    n = 600
+    rows = []
+    for t in range(0, 2 * n, 2):
+        rows.append((1, t, "assistant", call((f"c{t}", "search", {"query": {"$ref": f"c{t + 2}"}}))))
+        rows.append((1, t + 1, "tool", result(f"c{t}")))
+    out = run(spark, rows)
+    assert [r.turn for r in out] == [t + k for t in range(2 * n - 2, -1, -2) for k in (0, 1)]
+    assert {(r.conv_id, r.turn): (r.at_turn, r.depth, r.n_linked, bool(r.linked)) for r in out} == brute(rows)
+
+
+def test_query_sql(spark):
+    import duckdb
+
+    from glimmer.llm.queries import LLM_ORACLES, op8_toolcalls
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    cursor = con.execute(LLM_ORACLES["op8_toolcalls"])
+    names = [d[0] for d in cursor.description]
+    want = sorted(map(str, cursor.fetchall()))
+    out = op8_toolcalls(spark, sf)
+    got = out.select(*names).collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert sum(r.n_linked for r in got) > 100 and sum(r.n_invalid for r in got) > 50 and sum(r.at_turn != r.turn for r in got) > 50
