@@ -350,13 +350,13 @@ def DEFAULT_FILE() -> str:  # noqa: N802
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_decode_digests(df: DataFrame, vocab: Vocabulary, text: str = "text") -> DataFrame:
-    """``df`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of its texts.
+def encode_decode_digests(df: DataFrame, vocab: Vocabulary, text: str = "text", names: tuple[str, str, str] = ("n_tokens", "ids_sha256", "decoded_sha256")) -> DataFrame:
+    """``df`` with the number of tokens and the digests of ids and decoded text, by ``names``.
 
-    The ids and the decoded text stay inside the task, so that only digests leave it.
+    Columns of ``df`` with one of these names give way to them.  The ids and the decoded text stay inside the task, so that only digests leave it.
     """
     shared = df.sparkSession.sparkContext.broadcast(vocab)
-    added = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    added = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.StringType(), T.StringType()), strict=True)])
 
     def compute(texts: list[str | None]):
         coder = _encoder(shared)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -26,6 +27,23 @@ def slices(batch: pa.RecordBatch, column: pa.Array) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named ``_in_0``, ``_in_1``, ..., so that no name of a caller's meets one of ours."""
+    return df.toDF(*(f"_in_{i}" for i in range(len(df.columns))))
+
+
+def named(df: DataFrame, columns: Sequence[str], *more: str) -> DataFrame:
+    """The columns of a :func:`numbered` frame by their old names, and ``more``."""
+    return df.select(*(F.col(f"_in_{i}").alias(c) for i, c in enumerate(columns)), *more)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until ``df`` has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def add_columns(
     df: DataFrame,
     column: str,

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +203,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: i
     return train(x, np.array([langs.index(name) for name, _, _ in found]), langs)
 
 
-_predictors: dict[int, Predictor] = {}
+#: The predictor of this worker, by a token that came with its network.
+_predictors: dict[str, Predictor] = {}
 
 
 def predict(df: DataFrame, net: Network | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,15 +216,15 @@ def predict(df: DataFrame, net: Network | None, doc_id: str = "doc_id", text: st
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.when(has_letter(text), F.col(f"`{text}`")).alias("text"))
     if net is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = df.sparkSession.sparkContext.broadcast(net)
+    shared = df.sparkSession.sparkContext.broadcast((uuid4().hex, net))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.id if hasattr(shared, "id") else id(shared)
-        if key not in _predictors:
+        token, net = shared.value
+        if token not in _predictors:
             _predictors.clear()
-            _predictors[key] = Predictor(shared.value)
-        model = _predictors[key]
+            _predictors[token] = Predictor(net)
+        model = _predictors[token]
         for batch in batches:
             for part in slices(batch, batch.column(1)):
                 data = part.column(1).cast(pa.binary()).to_pylist()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import slices
+from .columns import numbered, slices
 from .texthash import LOWER, mix
 from .workspace import Workspace
 
@@ -127,7 +127,6 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, Lines]]:
 
 _LINES = T.StructType(
     [
-        T.StructField("doc_id", T.LongType()),
         T.StructField("copy", T.LongType()),
         T.StructField("line", T.IntegerType()),
         T.StructField("n_words", T.IntegerType()),
@@ -159,10 +158,10 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                             pa.array(lines.hashes()[there].view(np.int64)),
                             pa.ListArray.from_arrays(pa.array(sizes), pa.array(halves), mask=pa.array(~long)),
                         ],
-                        names=_LINES.names,
+                        names=["doc_id", *_LINES.names],
                     )
 
-    return docs.select("doc_id", "copy", "text").mapInArrow(run, _LINES)
+    return docs.select("doc_id", "copy", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *_LINES]))
 
 
 def _variants(texts: DataFrame) -> DataFrame:
@@ -265,28 +264,30 @@ def deduplicate_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``df`` with every line dropped that an earlier one is alike; other columns stay as they are.
 
     Lines end at "\\n".  Lines without words stay.  A null text stays null; a text all of whose
-    lines go becomes empty.  Rows that repeat both id and text count as one document.  A
-    column ``n_chars`` isn't recomputed here.
+    lines go becomes empty.  Rows that repeat both id and text count as one document.  Whole
+    numbers order ids as numbers, ids of other types are ordered as text.  Other columns may
+    have any names; ``n_chars`` isn't recomputed here.
     """
     ws = Workspace(df.sparkSession, "lines")
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("copy"), F.col(f"`{text}`").alias("text"))
+    whole = dict(df.dtypes)[doc_id] in ("tinyint", "smallint", "int", "bigint")
+    docs = df.select(F.col(f"`{doc_id}`").cast("long" if whole else "string").alias("doc_id"), F.xxhash64(f"`{text}`").alias("copy"), F.col(f"`{text}`").alias("text"))
     _, drop = duplicate_lines(docs, ws, min_words)
     gone = drop.distinct().groupBy(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).agg(F.collect_list("line").alias("_gone"))
     gone = ws.keep(gone, "gone")
-    rows = df.withColumn("_hash", F.xxhash64(f"`{text}`"))
-    out = rows.join(gone, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_copy")), "left")
-    names, at = df.columns, df.columns.index(text)
-    out = out.select(*(f"`{c}`" for c in names), "_gone")
+    names, at, words = df.columns, df.columns.index(doc_id), df.columns.index(text)
+    rows = numbered(df).withColumn("_hash", F.xxhash64(f"_in_{words}"))
+    out = rows.join(gone, F.col(f"_in_{at}").cast("long" if whole else "string").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_copy")), "left")
+    out = out.select(*(f"_in_{i}" for i in range(len(names))), "_gone")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = batch.column(at).to_pylist()
-            for i, gone in enumerate(batch.column(len(names)).to_pylist()):
+            new = batch.column(words).to_pylist()
+            for i, gone in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if gone:
                     gone = set(gone)
                     new[i] = "\n".join([x for j, x in enumerate(new[i].split("\n")) if j not in gone])
             columns = batch.columns[:-1]
-            columns[at] = pa.array(new, type=columns[at].type)
+            columns[words] = pa.array(new, type=columns[words].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return out.mapInArrow(rewrite, df.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columns import add_columns
+from .columns import add_columns, named, numbered
 from .components import connected_components
 from .texthash import mix, shingles, word_hashes
 from .workspace import Workspace
@@ -294,9 +294,10 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width
     # one text of the kept id: a repeated id may have several
     alone = F.coalesce("group", F.col("copy").cast("string").cast("binary"))
     kept = found.groupBy("doc_id", alone.alias("group")).agg(F.min("copy").alias("copy"), F.count(F.lit(1)).alias("rows"))
-    kept = ws.keep(kept.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "rows"), "kept")
-    rows = df.withColumn("_copy", F.xxhash64(f"`{text}`"))
-    out = rows.join(kept.select("_id", "_copy"), F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (rows["_copy"] == kept["_copy"]), "left_semi")
+    kept = ws.keep(kept.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_of"), "rows"), "kept")
+    mine, words = (f"_in_{df.columns.index(c)}" for c in (doc_id, text))
+    rows = numbered(df).withColumn("_copy", F.xxhash64(words))
+    out = rows.join(kept.select("_id", "_of"), F.col(mine).eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_of")), "left_semi")
     if kept.where("rows > 1").limit(1).count():
-        out = out.dropDuplicates([doc_id, "_copy"])
-    return out.drop("_copy")
+        out = out.dropDuplicates([mine, "_copy"])
+    return named(out, df.columns)

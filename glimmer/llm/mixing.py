@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import free, named, numbered
+
 #: Largest mean of one draw.
 PART = 16
 #: Copies of one draw at most; beyond it lies less than 1e-30 of a Poisson distribution of mean 16.
@@ -58,22 +60,25 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
     it doesn't name weigh nothing.  ``total`` is the expected number of rows out, as many
     as come in by default.  A null source is a source like others.  Rows without an id are
     drawn by their text.  Rows that repeat id (or text) get the same number of copies each.
+    Other columns of any name stay; where ``_copy`` or ``_shuffle`` is one, ours has a
+    further underscore.
     """
-    who = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+    mine, kind, words = (F.col(f"_in_{df.columns.index(c)}") for c in (doc_id, source, text))
+    who = F.coalesce(mine.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(words, F.lit("")))))
     per_source = rates(df, source, weights, total)
     if per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
-    joined = df.join(per_source, F.col(f"`{source}`").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_who", who)
+    joined = numbered(df).join(per_source, kind.eqNullSafe(F.col("_mix_source"))).withColumn("_mix_who", who)
 
     def of_draw(j: Column) -> Column:
         return F.struct(_draw(F.lit(str(seed)), F.col("_mix_who"), j.cast("string")).alias("u"))
 
     draws = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), of_draw)
     n = F.aggregate(draws, F.lit(0), lambda acc, d: acc + F.size(F.filter("_mix_cdf", lambda c: c <= d["u"])))
-    copies = joined.withColumn("_mix_n", n).where("_mix_n > 0").select(*(f"`{c}`" for c in df.columns), "_mix_who", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_copy"))
+    copies = joined.withColumn("_mix_n", n).where("_mix_n > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("_copy"))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed} shuffle"), "_mix_who", F.col("_copy").cast("string"))), 1, 13), 16, 10).cast("long")
-    shuffled = copies.withColumn("_shuffle", key).drop("_mix_who").repartition(F.col("_shuffle")).sortWithinPartitions("_shuffle")
-    return shuffled.select(*(f"`{c}`" for c in df.columns), "_copy", "_shuffle")
+    shuffled = copies.withColumn("_shuffle", key).repartition(F.col("_shuffle")).sortWithinPartitions("_shuffle")
+    return named(shuffled, df.columns, F.col("_copy").alias(free(df, "_copy")), F.col("_shuffle").alias(free(df, "_shuffle")))
 
 
 #: The same for equal weights and the default total, in DuckDB's dialect.

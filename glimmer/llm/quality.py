@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import add_columns, slices
+from .columns import add_columns, named, numbered, slices
 from .texthash import word_hashes
 
 #: Bits of a word's hash; and of the table that tells most words without a weight.
@@ -213,5 +213,5 @@ def rate(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
 
 def select(df: DataFrame, model: Model | None, text: str = "text", keep: float = KEEP) -> DataFrame:
     """The rows of ``df`` that reach the best grade with probability ``keep`` or more."""
-    rated = rate(df.select(*(F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(df.columns))), model, f"_in_{df.columns.index(text)}")
-    return rated.where(F.element_at("tails", -1) >= keep).select(*(F.col(f"_in_{i}").alias(c) for i, c in enumerate(df.columns)))
+    rated = rate(numbered(df), model, f"_in_{df.columns.index(text)}")
+    return named(rated.where(F.element_at("tails", -1) >= keep), df.columns)

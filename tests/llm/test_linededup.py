@@ -84,3 +84,13 @@ def test_edits(spark, seed):
 
 def test_documents(spark):
     check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def test_text_ids_and_any_names(spark):
+    rows = [("b", "one two three\nown line b"), ("a", "one two three"), ("10", "One two three\nx"), (None, "y"), ("9", "x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("doc_id", "text", "1 as _hash", "2 as _id", "3 as _gone", "4 as _copy", "5 as `a.b`", "6 as _in_0")
+    out = deduplicate_lines(df)
+    assert out.columns == df.columns
+    # ids that aren't whole numbers are ordered as text, null first
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(None, "y"), ("10", "One two three\nx"), ("9", ""), ("a", ""), ("b", "own line b")}
+    assert all(tuple(r)[2:] == (1, 2, 3, 4, 5, 6) for r in out.collect())

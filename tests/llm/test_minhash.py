@@ -85,3 +85,11 @@ def test_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
     assert got(near_duplicates(df, width=2)) == brute(rows, 2, 80)
+
+
+def test_any_names(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("1 as _copy", "doc_id", "2 as _id", "text", "3 as `group`", "4 as `rows`", "5 as `a.b`", "6 as _of")
+    out = deduplicate(df)
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 2, "a b c d e f", 3, 4, 5, 6), (1, 3, 2, "g h i", 3, 4, 5, 6)]

@@ -46,3 +46,16 @@ def test_shuffled(spark):
     df = spark.range(5000).selectExpr("id as doc_id", "'s' as source", "'t' as text")
     ids = [r.doc_id for r in mix(df).collect()]
     assert sum(a < b for a, b in zip(ids, ids[1:], strict=False)) / len(ids) < 0.55
+
+
+def test_any_names_ties_and_long_texts(spark):
+    rows = [(1, "s", "x" * 3_000_000), (2, "s", "t"), (2, "s", "t"), (3, "u", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "7 as _mix_n", "8 as _mix_source", "9 as _mix_who", "10 as `a.b`")
+    once = mix(df, total=40)
+    assert once.columns == [*df.columns, "_copy", "_shuffle"]
+    twice = mix(once, total=80)
+    assert twice.columns == [*once.columns, "_copy_", "_shuffle_"]
+    kept = once.collect()
+    assert {(r.doc_id, r.source, r.text) for r in kept} <= set(rows) and all(tuple(r)[3:7] == (7, 8, 9, 10) for r in kept)
+    # rows that repeat an id get equally many copies
+    assert sum(r.doc_id == 2 for r in kept) % 2 == 0 and twice.count() > 40
