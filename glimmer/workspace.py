@@ -11,8 +11,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh one where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a fresh one where it is unset in local mode.
+
+    On a cluster executors don't share the driver's folders, so ``ValueError`` is raised there.
+    """
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{SETTING} must name a folder that driver and executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(SETTING, folder)
