@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Fit, on a bounded sample: k-means centroids, a graph that links each centroid with its
-nearest ones, and the distance ratio at which pruning keeps the recall asked for.
+Fit: k-means centroids on a bounded sample; then every list that all rows make longer than
+MOST times the mean is split by k-means on a bounded sample of its own rows, until none is.
+So the number of lists grows with the rows, and so does nothing else.  Of the centroids a
+graph is made that links each with its nearest ones, and the distance ratio is fitted at
+which pruning keeps the recall asked for.
 
 Index, over every row: a vector goes to the list of its nearest centroid and, where it
 lies on a boundary (another centroid is less than BOUNDARY times as far), to the lists of
-up to COPIES - 1 further ones.  Lists are cut into blocks of bounded size, so a list of
-any length stays balanced.
+up to COPIES - 1 further ones.
 
 Search: a query walks the graph of centroids held in memory, best first, and searches the
 lists whose centroid is at most ``ratio`` times as far as the nearest one.
 
 Inner products are searched as distances by one more coordinate, sqrt(M^2 - |x|^2).  Equal
 vectors share a class that keeps the ids needed for any answer, so copies cost nothing.
+Vectors are candidates of queries of their own length only: each length has an index of its
+own, or where it has few vectors, one list.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,61 +33,103 @@ from pyspark.sql import functions as F
 from .vectors import BLOCK, keyed, kmeans, matrix, sample
 from .workspace import Workspace
 
-#: Vectors the index is fitted on, of which the last TRIALS are queries; their recall sets the ratio.
-SAMPLE, TRIALS = 16_384, 256
+#: Vectors the first centroids are fitted on (and numbers in them at most), of which the last TRIALS are queries; their recall sets the ratio.
+SAMPLE, NUMBERS, TRIALS = 16_384, 1 << 24, 256
 #: Share of the sample's true neighbours whose lists must be searched.
 RECALL = 0.98
-#: Centroids: one for so many vectors, this many at most.
-PER_LIST, LISTS = 512, 1024
+#: Vectors of a list on average; a list of MOST times as many is split, in PARTS at most, by SPLIT of its vectors; in so many rounds.
+PER_LIST, MOST, PARTS, SPLIT, ROUNDS = 512, 4, 64, 4096, 10
+#: Sample vectors of each of the first centroids at least.
+PER_CENTROID = 8
+#: Memory for centroids; where more of them were needed, lists are longer instead.
+CENTROID_BYTES = 1 << 28
 #: Neighbours of a centroid in the graph.
 DEGREE = 16
 COPIES, BOUNDARY = 3, 1.05
+#: Groups of centroids that an assignment looks into.
+PROBES = 8
+#: Lengths with fewer vectors are one list.
+LEAST_ROWS = 2048
+#: Lists whose numbers of blocks are broadcast; with more of them Spark chooses the join.
+BROADCAST_LISTS = 1_000_000
+
+
+def stored(x: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors with the coordinate that makes them all as long as the longest."""
+    rest = np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
+    return np.concatenate((x, rest[:, None]), axis=1)
+
+
+class Centroids:
+    """Centroids in groups of about the square root of their number, for assigning vectors to them."""
+
+    def __init__(self, c: np.ndarray):
+        tops = kmeans(c if len(c) <= SAMPLE else c[np.random.Generator(np.random.PCG64(2)).choice(len(c), SAMPLE, replace=False)], max(1, int(len(c) ** 0.5)))
+        home = _closest(c, tops, 1)[1][:, 0]
+        order = np.argsort(home, kind="stable")
+        self.tops, self.c = tops, c[order]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(home, minlength=len(tops)))))
+
+    def near(self, y: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and numbers of the ``take`` nearest centroids in the PROBES nearest groups; infinite where there are fewer."""
+        probed = _closest(y, self.tops, PROBES)[1]
+        dist, at = np.full((len(y), take), np.inf), np.zeros((len(y), take), dtype=np.int64)
+        square = (y * y).sum(axis=1)
+        for t in np.unique(probed):
+            c = self.c[self.start[t] : self.start[t + 1]]
+            if not len(c):
+                continue
+            rows = np.flatnonzero((probed == t).any(axis=1))
+            d = np.sqrt(np.maximum(square[rows, None] + (c * c).sum(axis=1)[None] - 2 * y[rows] @ c.T, 0))
+            both = np.concatenate((dist[rows], d), axis=1)
+            number = np.concatenate((at[rows], np.broadcast_to(np.arange(self.start[t], self.start[t + 1]), d.shape)), axis=1)
+            best = np.argpartition(both, take - 1, axis=1)[:, :take]
+            dist[rows], at[rows] = np.take_along_axis(both, best, axis=1), np.take_along_axis(number, best, axis=1)
+        return dist, at
 
+    def lists_of(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list): the nearest list of each row and its copies beyond a boundary."""
+        dist, at = self.near(y, COPIES)
+        row, col = np.nonzero((dist <= np.maximum(dist.min(axis=1, keepdims=True) * BOUNDARY, 1e-12)) & np.isfinite(dist))
+        return row, at[row, col]
+
+
+def _closest(x: np.ndarray, c: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and numbers of the ``take`` nearest of ``c`` (all, if fewer), in pieces that fit in memory."""
+    take, out = min(take, len(c)), []
+    for at in range(0, len(x), step := max(1, (1 << 22) // len(c))):
+        part = x[at : at + step]
+        d = (part * part).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * part @ c.T
+        best = np.argpartition(d, take - 1, axis=1)[:, :take]
+        out.append((np.take_along_axis(d, best, axis=1), best))
+    return tuple(np.concatenate(o) for o in zip(*out, strict=True))
 
-class Index:
-    """Centroids in augmented space, their graph, and the pruning ratio."""
 
-    def __init__(self, x: np.ndarray, longest: float, lists: int, k: int):
-        self.longest = longest
-        y = self.stored(x)
+class Index:
+    """Centroids, their graph, and the pruning ratio."""
+
+    def __init__(self, groups: Centroids, near: np.ndarray, x: np.ndarray, longest: float, k: int):
+        self.groups, self.longest = groups, longest
+        self.centroids = c = groups.c
+        # each centroid's nearest ones, both ways, and a chain that keeps the graph in one piece
+        chain = np.arange(len(c) - 1)
+        a = np.concatenate((np.repeat(np.arange(len(c)), near.shape[1]), chain))
+        b = np.concatenate((near.reshape(-1), chain + 1))
+        a, b = np.concatenate((a, b)), np.concatenate((b, a))
+        order = np.lexsort((b, a))
+        self.edges = b[order].astype(np.int32)
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(a, minlength=len(c)))))
         trials = min(TRIALS, len(x) // 4)
-        self.centroids = kmeans(y, lists)
-        c = self.centroids
-        apart = ((c[:, None] - c[None]) ** 2).sum(axis=2)
-        near = np.argsort(apart, axis=1)[:, 1 : DEGREE + 1]
-        links: list[set[int]] = [set(map(int, row)) for row in near]
-        for i, row in enumerate(near):
-            for j in row:
-                links[j].add(i)
-        # a chain through all centroids keeps the graph in one piece
-        for i in range(len(c) - 1):
-            links[i].add(i + 1)
-            links[i + 1].add(i)
-        self.graph = [np.array(sorted(s), dtype=np.int64) for s in links]
-        self.ratio = self._fitted(x, y, trials, k) if trials else 10.0
-
-    def stored(self, x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(self.longest**2 - (x * x).sum(axis=1), 0))
-        return np.concatenate((x, rest[:, None]), axis=1)
+        self.ratio = self._fitted(x, trials, k) if trials else 10.0
 
     def asked(self, q: np.ndarray) -> np.ndarray:
         """Queries scaled to the longest vector; their direction alone decides the order."""
         unit = q / np.linalg.norm(q, axis=1)[:, None] * self.longest
         return np.concatenate((unit, np.zeros((len(q), 1))), axis=1)
 
-    def lists_of(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the nearest list of each row and its copies beyond a boundary."""
-        c = self.centroids
-        d = np.sqrt(np.maximum((y * y).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * y @ c.T, 0))
-        take = min(COPIES, len(c))
-        best = np.argpartition(d, take - 1, axis=1)[:, :take]
-        dist = np.take_along_axis(d, best, axis=1)
-        row, col = np.nonzero(dist <= np.maximum(dist.min(axis=1, keepdims=True) * BOUNDARY, 1e-12))
-        return row, best[row, col]
-
-    def _fitted(self, x: np.ndarray, y: np.ndarray, trials: int, k: int) -> float:
+    def _fitted(self, x: np.ndarray, trials: int, k: int) -> float:
         """The ratio at which the lists searched hold RECALL of the trials' neighbours in the sample."""
-        row, list_ = self.lists_of(y)
+        row, list_ = self.groups.lists_of(stored(x, self.longest))
         lists: list[list[int]] = [[] for _ in range(len(x))]
         for r, t in zip(row, list_, strict=True):
             lists[r].append(int(t))
@@ -99,65 +146,174 @@ class Index:
     def search(self, q: np.ndarray) -> list[int]:
         """Lists within the ratio of the nearest centroid, found by walking the graph; the nearest first."""
         c, seen = self.centroids, np.zeros(len(self.centroids), dtype=bool)
-        start = 0
-        seen[start] = True
-        first = float(np.linalg.norm(c[start] - q))
-        heap, best, found = [(first, start)], first, [(first, start)]
-        patience = 0
-        while heap:
-            d, i = heapq.heappop(heap)
-            # go on a little beyond the ratio: the way to a list may lead over farther ones
-            if d > best * self.ratio * 1.02:
-                patience += 1
-                if patience > DEGREE:
-                    break
-            else:
-                patience = 0
-            new = self.graph[i][~seen[self.graph[i]]]
-            if not len(new):
-                continue
+        tops = self.groups.tops
+        sizes = np.diff(self.groups.start)
+        top = int(np.argmin(np.where(sizes > 0, ((tops - q) ** 2).sum(axis=1), np.inf)))
+        new = np.arange(self.groups.start[top], self.groups.start[top + 1])
+        heap: list[tuple[float, int]] = []
+        found: list[tuple[float, int]] = []
+        best, patience = np.inf, 0
+        while True:
             seen[new] = True
             dist = np.sqrt(((c[new] - q) ** 2).sum(axis=1))
-            best = min(best, float(dist.min()))
+            best = min(best, float(dist.min(initial=np.inf)))
             for e, j in zip(dist.tolist(), new.tolist(), strict=True):
                 heapq.heappush(heap, (e, j))
                 found.append((e, j))
+            if not heap:
+                break
+            d, i = heapq.heappop(heap)
+            # go on a little beyond the ratio: the way to a list may lead over farther ones
+            patience = patience + 1 if d > best * self.ratio * 1.02 else 0
+            if patience > DEGREE:
+                break
+            new = np.unique(self.edges[self.first[i] : self.first[i + 1]])
+            new = new[~seen[new]]
         return [j for e, j in sorted(found) if e <= best * self.ratio]
 
 
-def _placed(classes: DataFrame, index, searching: bool) -> DataFrame:
-    """(list, key, vector, least, nearest): classes in their lists, or queries in the lists they search.
+def _sizes(classes: DataFrame, groups: Centroids, longest: float) -> np.ndarray:
+    """How many rows have each centroid as their nearest."""
+    shared = classes.sparkSession.sparkContext.broadcast((groups, longest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, high = shared.value
+        total = np.zeros(len(g.c), dtype=np.int64)
+        for batch in batches:
+            x = matrix(batch.column(0), g.c.shape[1] - 1)
+            for at in range(0, len(x), 4096):
+                total += np.bincount(g.near(stored(x[at : at + 4096], high), 1)[1][:, 0], minlength=len(total))
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["list", "n"])
+
+    rows = classes.select("vector").mapInArrow(run, "list long, n long").groupBy("list").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(groups.c), dtype=np.int64)
+    for r in rows:
+        out[r["list"]] = r["n"]
+    return out
+
+
+def _split(classes: DataFrame, groups: Centroids, longest: float, sizes: np.ndarray, most: int, per_list: int) -> np.ndarray:
+    """The centroids, with those of lists longer than ``most`` replaced by some of their own."""
+    large = np.flatnonzero(sizes > most)
+    share = np.ones(len(sizes))
+    share[large] = 2.0 * SPLIT / sizes[large]
+    shared = classes.sparkSession.sparkContext.broadcast((groups, longest, set(large.tolist()), share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, high, wanted, part = shared.value
+        wanted = np.array(sorted(wanted))
+        for batch in batches:
+            x, draw = matrix(batch.column(0), g.c.shape[1] - 1), np.asarray(batch.column(1))
+            for at in range(0, len(x), 4096):
+                home = g.near(stored(x[at : at + 4096], high), 1)[1][:, 0]
+                keep = np.flatnonzero(np.isin(home, wanted) & (draw[at : at + 4096] < part[home]))
+                yield pa.RecordBatch.from_arrays([pa.array(home[keep]), batch.column(0).take(pa.array(at + keep)), pa.array(draw[at + keep])], names=["list", "vector", "draw"])
+
+    draw = F.shiftrightunsigned(F.xxhash64("key"), 11) / float(1 << 53)
+    some = classes.select("vector", draw.alias("draw")).mapInArrow(run, "list long, vector array<double>, draw double")
+    # a bounded number of each list's rows, the same ones each time
+    few = some.withColumn("r", F.row_number().over(Window.partitionBy("list").orderBy("draw", "vector"))).where(F.col("r") <= SPLIT).select("list", "vector")
+
+    def parts(frame: pd.DataFrame) -> pd.DataFrame:
+        _, high, _, _ = shared.value
+        n = int(sizes[frame["list"].iloc[0]])
+        c = kmeans(stored(np.stack(frame["vector"].to_numpy()), high), max(2, min(PARTS, -(-n // per_list))))
+        return pd.DataFrame({"centroid": list(c)})
+
+    made = few.groupBy("list").applyInPandas(parts, "centroid array<double>").toArrow()
+    new = matrix(made.column("centroid").combine_chunks(), groups.c.shape[1])
+    return np.unique(np.concatenate((np.delete(groups.c, large, axis=0), new)), axis=0)
+
+
+def _graph(classes: DataFrame, groups: Centroids) -> np.ndarray:
+    """The nearest other centroids of each, as a job over pieces of them."""
+    n, take = len(groups.c), min(DEGREE + 1, len(groups.c))
+    shared = classes.sparkSession.sparkContext.broadcast(groups.c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                mine = np.arange(start, min(start + 1024, n))
+                dist, at = _closest(c[mine], c, take)
+                dist[at == mine[:, None]] = -1.0  # itself comes first
+                near = np.take_along_axis(at, np.argsort(dist, axis=1), axis=1)[:, 1:]
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(list(near.astype(np.int32)), type=pa.list_(pa.int32()))], names=["i", "near"])
+
+    pieces = -(-n // 1024)
+    rows = classes.sparkSession.range(0, n, 1024, min(pieces, 1024)).mapInArrow(run, "i long, near array<int>").toArrow().sort_by("i")
+    return np.asarray(rows.column("near").combine_chunks().flatten(), dtype=np.int64).reshape(n, take - 1)
+
+
+def fit(classes: DataFrame, k: int) -> dict[int, Index]:
+    """An index for each length that many of ``classes`` (key, dim, vector) have."""
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    lengths = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest")).where(F.col("n") >= LEAST_ROWS).collect()
+    found = {}
+    for dim, n, longest in sorted(map(tuple, lengths)):
+        mine = classes.where(F.col("dim") == dim)
+        x = sample(mine, SAMPLE, NUMBERS)
+        per_list = max(PER_LIST, -(-n // (CENTROID_BYTES // (8 * (dim + 1)))))
+        groups = Centroids(kmeans(stored(x, longest), max(1, min(n // per_list, len(x) // PER_CENTROID))))
+        for _ in range(ROUNDS):
+            sizes = _sizes(mine, groups, longest)
+            if sizes.max() <= MOST * per_list:
+                break
+            groups = Centroids(_split(mine, groups, longest, sizes, MOST * per_list, per_list))
+        found[dim] = Index(groups, _graph(mine, groups), x, longest, k)
+    return found
+
+
+def _placed(classes: DataFrame, shared, searching: bool) -> DataFrame:
+    """(dim, list, key, vector, least, nearest): classes in their lists, or queries in the lists they search.
 
     ``nearest`` marks the list that a query searches first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = index.value
+        indexes: dict[int, Index] = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            x = matrix(batch.column(1), ix.centroids.shape[1] - 1)
-            for at in range(0, len(x), 2048):
-                part = x[at : at + 2048]
-                if searching:
-                    found = [ix.search(q) for q in ix.asked(part)]
-                    row = np.repeat(np.arange(len(part)), [len(f) for f in found])
-                    list_ = np.concatenate([np.array(f, dtype=np.int64) for f in found])
-                    nearest = np.concatenate([np.arange(len(f)) == 0 for f in found])
-                else:
-                    row, list_ = ix.lists_of(ix.stored(part))
-                    nearest = np.zeros(len(row), dtype=bool)
-                take = pa.array(at + row)
-                yield pa.RecordBatch.from_arrays([pa.array(list_.astype(np.int32)), *(c.take(take) for c in batch.columns), pa.array(nearest)], names=["list", "key", "vector", "least", "nearest"])
-
-    return classes.select("key", "vector", "least").mapInArrow(run, "list int, key binary, vector array<double>, least long, nearest boolean")
+            dims = np.asarray(batch.column(0))
+            for dim in np.unique(dims).tolist():
+                of_dim = batch.filter(pa.array(dims == dim))
+                x, ix = matrix(of_dim.column(2), dim), indexes.get(dim)
+                for at in range(0, len(x), 2048):
+                    part = x[at : at + 2048]
+                    if ix is None:
+                        row, list_, nearest = np.arange(len(part)), np.zeros(len(part), dtype=np.int64), np.full(len(part), searching)
+                    elif searching:
+                        found = [ix.search(q) for q in ix.asked(part)]
+                        row = np.repeat(np.arange(len(part)), [len(f) for f in found])
+                        list_ = np.concatenate([np.array(f, dtype=np.int64) for f in found])
+                        nearest = np.concatenate([np.arange(len(f)) == 0 for f in found])
+                    else:
+                        row, list_ = ix.groups.lists_of(stored(part, ix.longest))
+                        nearest = np.zeros(len(row), dtype=bool)
+                    take = pa.array(at + row)
+                    dim_, key, vector, least = (c.take(take) for c in of_dim.columns)
+                    yield pa.RecordBatch.from_arrays([dim_, pa.array(list_.astype(np.int32)), key, vector, least, pa.array(nearest)], names=["dim", "list", "key", "vector", "least", "nearest"])
+
+    return classes.select("dim", "key", "vector", "least").mapInArrow(run, "dim int, list int, key binary, vector array<double>, least long, nearest boolean")
 
 
 def _blocks(ws: Workspace, placed: DataFrame, name: str) -> DataFrame:
-    """(list, slot, items): lists cut into blocks of about BLOCK rows; items have key, vector, least and bound."""
-    slots = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slots"))  # a row a list
-    cut = placed.join(F.broadcast(slots), "list").withColumn("slot", F.pmod(F.xxhash64("key"), F.col("slots")).cast("int"))
-    return ws.keep(cut.groupBy("list", "slot").agg(F.collect_list(F.struct("key", "vector", "least", "bound")).alias("items")), name)
+    """(dim, list, slot, items): lists cut into blocks of about BLOCK rows; items have key, vector, least and bound."""
+    long = placed.groupBy("dim", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slots")).where("slots > 1")
+    # few lists are longer than a block; their number is looked at before they are broadcast
+    if long.limit(BROADCAST_LISTS + 1).count() <= BROADCAST_LISTS:
+        long = F.broadcast(long)
+    slot = F.pmod(F.xxhash64("key"), F.coalesce("slots", F.lit(1))).cast("int")
+    cut = placed.join(long, ["dim", "list"], "left").withColumn("slot", slot)
+    return ws.keep(cut.groupBy("dim", "list", "slot").agg(F.collect_list(F.struct("key", "vector", "least", "bound")).alias("items")), name)
+
+
+def _sums(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products row by row, summed in the order of the components."""
+    out = q[:, 0] * x[:, 0]
+    for d in range(1, q.shape[1]):
+        out += q[:, d] * x[:, d]
+    return out
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -175,7 +331,7 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
                 take = min(k + 1, len(x))
                 floor = np.maximum(np.partition(rough, len(x) - take, axis=1)[:, len(x) - take], np.asarray(asked.field("bound")))
                 i, j = np.nonzero(rough >= (floor - 1e-9 * (1 + np.abs(rough).max()))[:, None])
-                score = (q[i] * x[j]).sum(axis=1)
+                score = np.concatenate([_sums(q[i[at : at + 65536]], x[j[at : at + 65536]]) for at in range(0, max(len(i), 1), 65536)])
                 order = np.lexsort((least[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
                 rank = np.arange(len(i)) - np.searchsorted(i, i)
@@ -190,9 +346,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
     """query_id, rank, vec_id, score: for each row of ``queries`` its ``k`` nearest found in ``df`` by inner product.
 
     A query's own id is no candidate.  Ties go to the smaller id; fewer candidates than ``k``
-    give fewer rows.  Vectors that take no part (see ``keyed``), rows without an id, and
-    vectors of another length than most are neither queries nor candidates.  Rows that
-    repeat id and vector count once.
+    give fewer rows.  Vectors that take no part (see ``keyed``) and rows without an id are
+    neither queries nor candidates; vectors of another length than the query's are no
+    candidates of it.  Rows that repeat id and vector count once.
     """
     ws = Workspace(df.sparkSession, "ann")
     usable = F.col("key").isNotNull() & F.col("vec_id").isNotNull()
@@ -202,25 +358,19 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
     ids = few.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
     one = rows.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
     classes = ws.keep(one, "classes")
-    some = sample(classes, SAMPLE)
-    empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not len(some):
-        return empty
-    dim = some.shape[1]
-    classes = classes.where(F.col("dim") == dim)
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    n, longest = classes.agg(F.count(F.lit(1)), F.sqrt(F.max(square))).first()
-    index = df.sparkSession.sparkContext.broadcast(Index(some, longest, max(1, min(LISTS, n // PER_LIST)), k))
+    shared = df.sparkSession.sparkContext.broadcast(fit(classes, k))
 
-    asked = ws.keep(asked.where(F.size("vector") == dim), "asked")
-    query_classes = asked.groupBy("key").agg(F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
+    asked = ws.keep(asked.withColumn("dim", F.size("vector")), "asked")
+    query_classes = asked.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
     lowest = F.lit(float("-inf"))
-    held = _blocks(ws, _placed(classes, index, False).withColumn("bound", lowest), "lists").select("list", F.col("slot").alias("of"), F.col("items").alias("held"))
-    wanted = ws.keep(_placed(query_classes, index, True), "wanted")
+    held = _blocks(ws, _placed(classes, shared, False).withColumn("bound", lowest), "lists").select("dim", "list", F.col("slot").alias("of"), F.col("items").alias("held"))
+    wanted = ws.keep(_placed(query_classes, shared, True), "wanted")
 
     def searched(queries: DataFrame, name: str) -> DataFrame:
-        blocks = _blocks(ws, queries, f"{name}-blocks").select("list", "slot", F.col("items").alias("asked"))
-        return ws.keep(_nearest(blocks.join(held, "list").repartition("list", "slot", "of"), k), name)
+        blocks = _blocks(ws, queries, f"{name}-blocks").select("dim", "list", "slot", F.col("items").alias("asked"))
+        # lists are short, so that they are dealt by list; a number given keeps Spark from merging small partitions of much work
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return ws.keep(_nearest(blocks.repartition(n, "dim", "list").join(held.repartition(n, "dim", "list"), ["dim", "list"]), k), name)
 
     # the nearest list first: what it holds bounds what the others need to return
     first = searched(wanted.where("nearest").withColumn("bound", lowest), "first")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
 
+def node(least: Column, key: Column) -> Column:
+    """A node that orders by ``least``, null last, then by ``key``: a component's label then holds its smallest id."""
+    return F.struct(least.isNull().alias("no_id"), least.alias("least"), key.alias("of"))
+
+
 def connected_components(ws: Workspace, edges: DataFrame, tag: str = "cc") -> DataFrame:
     """``edges`` (a, b) -> (node, component): the smallest node that each node reaches.
 

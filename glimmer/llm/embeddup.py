@@ -22,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, node
 from .vectors import BLOCK, keyed, kmeans, matrix, sample
 from .workspace import Workspace
 
-#: Vectors from which pivots are made, and pivots at most.
-SAMPLE, PIVOTS = 8192, 256
+#: Vectors from which pivots are made, numbers in them at most, and vectors of the sample for each pivot.
+SAMPLE, NUMBERS, PER_PIVOT = 65_536, 1 << 24, 4
+#: Components whose products of codes are summed in single precision: 127 * 127 * EXACT < 2^24.
+EXACT = 1024
 _SLACK = 1e-9
-_ROWS = "key binary, cell int, home boolean, size long, code binary, scale double, error double, vector array<double>"
+_NODE = "struct<no_id: boolean, least: bigint, of: binary>"
+_ROWS = f"key {_NODE}, cell int, home boolean, size long, code binary, scale double, error double, vector array<double>"
 
 
 def _quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +47,7 @@ def _cells(classes: DataFrame, pivots: np.ndarray, threshold: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        apart = np.linalg.norm(c[:, None] - c[None], axis=2) if len(c) else None
+        square = (c * c).sum(axis=1) if len(c) else None
         for batch in batches:
             dims = np.asarray(batch.column(1))
             for dim in np.unique(dims):
@@ -55,12 +58,16 @@ def _cells(classes: DataFrame, pivots: np.ndarray, threshold: float) -> DataFram
                 n = len(u)
                 row, cell, home = np.arange(n), np.full(n, -int(dim)), np.ones(n, dtype=bool)
                 if len(c) and c.shape[1] == dim:
-                    near = u @ c.T
-                    cell = near.argmax(axis=1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        margin = (near[row, cell][:, None] - near) / apart[cell]
-                    margin[row, cell] = np.inf
-                    r, to = np.nonzero((margin <= reach) & (np.arange(len(c)) > cell[:, None]))
+                    copies = []
+                    for at in range(0, n, step := max(1, (1 << 22) // len(c))):
+                        near = u[at : at + step] @ c.T
+                        mine = near.argmax(axis=1)
+                        apart = np.sqrt(np.maximum(square[mine][:, None] + square[None] - 2 * c[mine] @ c.T, 1e-12))
+                        margin = near[np.arange(len(near)), mine][:, None] - near
+                        r, to = np.nonzero((margin <= reach * apart) & (np.arange(len(c)) > mine[:, None]))
+                        cell[at : at + step] = mine
+                        copies.append((at + r, to))
+                    r, to = (np.concatenate(x) for x in zip(*copies, strict=True))
                     row, cell, home = np.concatenate((row, r)), np.concatenate((cell, to)), np.concatenate((home, np.zeros(len(r), dtype=bool)))
                 for at in range(0, len(row), 4096):
                     take = row[at : at + 4096]
@@ -95,22 +102,27 @@ class _Block:
         self.norm = np.sqrt((self.x * self.x).sum(axis=1))
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of codes held as float32, in pieces whose sums stay below 2^24."""
+    out = (a[:, :EXACT] @ b[:, :EXACT].T).astype(np.float64)
+    for at in range(EXACT, a.shape[1], EXACT):
+        out += a[:, at : at + EXACT] @ b[:, at : at + EXACT].T
+    return out
+
+
 def links(a: _Block, b: _Block, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs of two blocks (or of one, each once) with cosine at least ``threshold``."""
     left, right = [], []
     for at in range(0, len(a.x), 256):
         rows = slice(at, at + 256)
         ea = a.error[rows, None]
-        near = (a.code[rows] @ b.code.T).astype(np.float64) * (a.scale[rows, None] * b.scale[None])
+        near = products(a.code[rows], b.code) * (a.scale[rows, None] * b.scale[None])
         near += ea + (1 + ea) * b.error[None]
         maybe = near >= threshold - _SLACK
         if same:
             maybe &= np.arange(len(b.x))[None] > np.arange(at, at + len(maybe))[:, None]
         i, j = np.nonzero(maybe)
-        if len(i) > maybe.size // 20:
-            cosine = (a.x[rows] @ b.x.T)[i, j]
-        else:
-            cosine = np.concatenate([np.einsum("ij,ij->i", a.x[at + i[k : k + 65536]], b.x[j[k : k + 65536]]) for k in range(0, max(len(i), 1), 65536)])
+        cosine = np.concatenate([np.einsum("ij,ij->i", a.x[at + i[k : k + 65536]], b.x[j[k : k + 65536]]) for k in range(0, max(len(i), 1), 65536)])
         true = cosine / (a.norm[at + i] * b.norm[j]) >= threshold
         left.append(at + i[true])
         right.append(j[true])
@@ -145,17 +157,15 @@ def _tiles(pairs: DataFrame, threshold: float) -> DataFrame:
                 if not len(i):
                     continue
                 shift = 0 if same else len(a.x)
-                keys = a.keys.to_pylist() + ([] if same else b.keys.to_pylist())
+                keys = a.keys if same else pa.concat_arrays([a.keys, b.keys])
                 size = a.size if same else np.concatenate((a.size, b.size))
                 j = j + shift
-                count = np.zeros(len(keys), dtype=np.int64)
-                np.add.at(count, i, size[j])
-                np.add.at(count, j, size[i])
+                count = (np.bincount(i, weights=size[j], minlength=len(keys)) + np.bincount(j, weights=size[i], minlength=len(keys))).astype(np.int64)
                 group = _groups(len(keys), i, j)
                 at = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array([keys[p] for p in at], type=pa.binary()), pa.array(count[at]), pa.array([keys[p] for p in group[at]], type=pa.binary())], names=["key", "links", "other"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(count[at]), keys.take(pa.array(group[at]))], names=["key", "links", "other"])
 
-    return pairs.select("x", "y").mapInArrow(run, "key binary, links long, other binary")
+    return pairs.select("x", "y").mapInArrow(run, f"key {_NODE}, links long, other {_NODE}")
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -170,10 +180,12 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
         raise ValueError("the threshold must lie between 0 and 1")
     ws = Workspace(df.sparkSession, "embeddings")
     rows = ws.keep(keyed(df, vec_id, vector), "rows")
-    classes = ws.keep(rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("vector").alias("vector")), "classes")
+    # a class goes by a node that orders by its smallest id, which its component's label then holds
+    classes = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("vec_id").alias("least"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
+    classes = ws.keep(classes.select(node(F.col("least"), F.col("key")).alias("key"), "size", "dim", "vector"), "classes")
     n = classes.count()
-    some = sample(classes, SAMPLE)
-    k = min(PIVOTS, n // (2 * BLOCK))
+    some = sample(classes, SAMPLE, NUMBERS)
+    k = min(len(some) // PER_PIVOT, n // (2 * BLOCK))
     unit = some / np.linalg.norm(some, axis=1)[:, None] if len(some) else some
     pivots = kmeans(unit, k) if k > 1 else np.zeros((0, 0))
     cells = ws.keep(_cells(classes, pivots, threshold), "cells")
@@ -194,9 +206,8 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
 
     counts = found.groupBy("key").agg(F.sum("links").alias("links"))
     labels = connected_components(ws, found.select(F.col("key").alias("a"), F.col("other").alias("b")))
-    named = classes.select("key", "size", "least").join(counts, "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left")
-    least = named.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component", "left").select("key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "least").alias("component_id"))
+    named = classes.select("key", "size").join(counts, "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    named = named.select(F.col("key.of").alias("key"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "key")["least"].alias("component_id"))
     out = rows.select("vec_id", "key").join(named, "key", "left")
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -6,12 +6,16 @@ of a band are candidates.  Each bucket of a band is a star first: every member i
 compared with one class only, the one that shares most buckets with others (the original
 among its copies).  What remains in another component than that class is then compared
 with the rest of its bucket: in buckets of at most SMALL classes one by one, in larger ones
-by an exact search for shared rare shingles.  No bucket is capped and no large one emits
-all its pairs.  A pair is dropped early only where the low bits kept of its minima
-estimate a similarity five standard deviations below the threshold; the others are
-confirmed on their full sets.
+by an exact search for shared rare shingles, in which the smaller set of a pair shows so
+few of its shingles that documents which only share a passage don't meet.  No bucket is
+capped.  A pair from a band or a small bucket is dropped early only where the low bits kept
+of its (mixed) minima estimate a similarity five standard deviations below the threshold;
+the search by rare shingles needs no estimate.  All others are confirmed on their full sets.
 
 Probability of missing a pair of similarity 0.8 by bands of 5 x 30: 7e-6.
+
+A class goes by a node that orders by its smallest id, so that a component's label is its
+smallest id already and no join on the component is needed, however large it is.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .columns import add_columns, named, numbered
-from .components import connected_components
+from .components import connected_components, node
 from .texthash import mix, shingles, word_hashes
 from .workspace import Workspace
 
@@ -40,8 +44,8 @@ _BAND = _RNG.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) +
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 #: Buckets of more classes are searched by rare shingles after their star.
 SMALL = 16
-#: Classes sampled to find frequent shingles, and how many of these are kept.
-SAMPLE, COMMON = 2048, 50_000
+#: How many of the most frequent shingles are told apart by their frequency.
+COMMON = 50_000
 #: Shingles whose minima are taken together.
 _CHUNK = 1 << 18
 
@@ -84,7 +88,7 @@ def _sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     wide = mix(m.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)).reshape(len(m), BANDS, ROWS)
     bands = mix((wide * _BAND).sum(axis=2, dtype=np.uint64))
     low = np.zeros((len(m), _LONGS * _PER_LONG), dtype=np.uint64)
-    low[:, :MINIMA] = m & np.uint32((1 << LOW_BITS) - 1)
+    low[:, :MINIMA] = wide.reshape(len(m), MINIMA) & np.uint64((1 << LOW_BITS) - 1)
     shifts = np.arange(_PER_LONG, dtype=np.uint64) * np.uint64(LOW_BITS)
     packed = np.bitwise_or.reduce(low.reshape(len(m), _LONGS, _PER_LONG) << shifts, axis=2)
     return np.concatenate(keys), bands, packed
@@ -160,11 +164,12 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(all_) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    both = both.select("a", "b", "sa", "sb")
+    return both.mapInArrow(run, T.StructType([both.schema["a"], both.schema["b"]]))
 
 
 def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a bounded sample of classes, sorted, with their counts.
+    """The most frequent shingles of all ``classes``, sorted, with their counts.
 
     They only order shingles by rarity; results are the same for any order.
     """
@@ -174,7 +179,7 @@ def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for s in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, dtype=np.int64))], names=["shingle"])
 
-    counts = classes.select("shingles").limit(SAMPLE).mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
+    counts = classes.select("shingles").mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
     rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
     found = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -184,32 +189,42 @@ def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of ``classes`` (key, component, n, shingles) in two components that may be links.
 
-    Exact: with each set's shingles in one order, rare ones first, linked sets share one of
-    the first n - ceil(percent% n) + 1, and behind the first that they share lie enough
-    others.  Documents that only share a frequent passage begin with what is their own.
+    Exact: with each set's shingles in one order, rare ones first, the first shingle that two
+    linked sets share is followed by so many others of both that it stands among the first
+    n - ceil(percent% n) + 1 of the larger set and among the first n - ceil(2 p / (1 + p) n) + 1
+    (p = percent%) of the smaller one.  The smaller set of a pair shows the latter only:
+    documents of about one size that share a frequent passage but too little else begin
+    with more of their own than that, so they never meet.
     """
     shared = classes.sparkSession.sparkContext.broadcast(_common(classes))
-    schema = "key binary, component binary, n long, shingle long, place int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in batches:
-            for key, component, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows, found, places, few = [], [], [], []
+            for i, (n, data) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 s = np.frombuffer(data, dtype=np.uint64)
                 count = np.zeros(len(s), dtype=np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     count = np.where(common[at] == s, counts[at], 0)
                 first = np.lexsort((s, count))[: n - -(-percent * n // 100) + 1]
-                k = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * k), pa.array([component] * k), pa.array(np.full(k, n)), pa.array(s[first].view(np.int64)), pa.array(np.arange(k, dtype=np.int32))], names=["key", "component", "n", "shingle", "place"])
-
-    prefixes = classes.select("key", "component", "n", "shingles").mapInArrow(run, schema)
-    a, b = (prefixes.select("shingle", *(F.col(c).alias(c + x) for c in ("key", "component", "n", "place"))) for x in "ab")
+                rows.append(np.full(len(first), i))
+                found.append(s[first].view(np.int64))
+                places.append(np.arange(len(first), dtype=np.int32))
+                few.append(places[-1] <= n - -(-2 * percent * n // (100 + percent)))
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(3)), *(pa.array(np.concatenate(x)) for x in (found, places, few))], names=["key", "component", "n", "shingle", "place", "few"])
+
+    of = classes.select("key", "component", "n", "shingles")
+    prefixes = of.mapInArrow(run, T.StructType([*of.schema.fields[:3], T.StructField("shingle", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("few", T.BooleanType())]))
+    a, b = (rows.select("shingle", *(F.col(c).alias(c + x) for c in ("key", "component", "n", "place"))) for x, rows in (("a", prefixes.where("few")), ("b", prefixes)))
     behind = F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb"))
     enough = behind * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
-    pairs = a.join(b, "shingle").where((F.col("keya") < F.col("keyb")) & (F.col("componenta") != F.col("componentb")) & enough)
-    return pairs.select(F.col("keya").alias("a"), F.col("keyb").alias("b")).distinct()
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("keya") < F.col("keyb")))
+    pairs = a.join(b, "shingle").where(smaller & (F.col("componenta") != F.col("componentb")) & enough)
+    return pairs.select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -225,7 +240,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     ws = Workspace(spark, "minhash")
     sig = ws.keep(signatures(df, doc_id, text, width), "signatures")
     member = F.col("key").isNotNull()
-    classes = ws.keep(sig.where(member).groupBy("key").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"), F.min("copy").alias("copy"), F.min("doc_id").alias("doc_id")), "classes")
+    classes = sig.where(member).groupBy("key").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"), F.min("copy").alias("copy"), F.min("doc_id").alias("doc_id"))
+    classes = ws.keep(classes.withColumn("key", node(F.col("doc_id"), F.col("key"))), "classes")
     rows = classes.select("key", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = ws.keep(rows.join(sizes, "bucket"), "shared")
@@ -276,9 +292,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         links = ws.keep(links.unionByName(more), "links-2")
         labels = connected_components(ws, links, "cc-2")
 
-    ids = classes.select("key", F.col("doc_id").alias("least")).join(labels.withColumnRenamed("node", "key"), "key", "left")
-    linked = ids.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = ids.join(linked, "component", "left").select("key", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "key").alias("group"))
+    # a class without links is its own component
+    component = F.coalesce("component", "key")
+    named = classes.select("key").join(labels.withColumnRenamed("node", "key"), "key", "left").select(F.col("key.of").alias("key"), component["least"].alias("component_id"), component["of"].alias("group"))
     out = sig.select("doc_id", "copy", "n_shingles", "key").join(named, "key", "left")
     out = out.withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "copy", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "group")

@@ -112,10 +112,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from . import derived, mixing
+    from . import derived, mixing, oracles
 
+    LLM_ORACLES["op1_ann"] = oracles.ANN
+    LLM_ORACLES["op6_minhash"] = oracles.MINHASH
+    LLM_ORACLES["op7_linededup"] = oracles.LINES
     LLM_ORACLES["op8_toolcalls"] = derived.ORACLE
     LLM_ORACLES["op9_mixing"] = mixing.ORACLE
+    LLM_ORACLES["op10_embeddup"] = oracles.EMBEDDINGS
 
 
 _oracles()

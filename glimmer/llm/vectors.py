@@ -43,25 +43,33 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest of the rows of ``c`` to each of ``x``, in pieces that fit in memory."""
+    square = (c * c).sum(axis=1)
+    step = max(1, (1 << 22) // len(c))
+    return np.concatenate([np.argmin(square[None] - 2 * x[at : at + step] @ c.T, axis=1) for at in range(0, len(x), step)])
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
     """Centroids of a sample that fits in memory; at most ``k``, none empty."""
     rng = np.random.Generator(np.random.PCG64(seed))
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        home = np.argmin((c * c).sum(1)[None, :] - 2 * x @ c.T, axis=1)
-        sums, n = np.zeros_like(c), np.bincount(home, minlength=k)
-        np.add.at(sums, home, x)
-        c = sums[n > 0] / n[n > 0][:, None]
+        home = nearest(x, c)
+        order = np.argsort(home, kind="stable")
+        n = np.bincount(home, minlength=len(c))
+        starts = (np.cumsum(n) - n)[n > 0]
+        c = np.add.reduceat(x[order], starts, axis=0) / n[n > 0][:, None]
         if len(c) < k:
             c = np.concatenate((c, x[rng.choice(len(x), k - len(c), replace=False)]))
     return np.unique(c, axis=0)
 
 
-def sample(classes: DataFrame, n: int) -> np.ndarray:
-    """At most ``n`` vectors of the most frequent length, the same ones each time."""
+def sample(classes: DataFrame, n: int, numbers: int) -> np.ndarray:
+    """At most ``n`` vectors of the most frequent length, and of ``numbers`` components; the same ones each time."""
     top = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if top is None:
         return np.zeros((0, 0))
-    rows = classes.where(F.col("dim") == top["dim"]).select("key", "vector").orderBy("key").limit(n).toArrow()
+    rows = classes.where(F.col("dim") == top["dim"]).select("key", "vector").orderBy(F.xxhash64("key"), "key").limit(max(1, min(n, numbers // top["dim"]))).select("vector").toArrow()
     return matrix(rows.column("vector").combine_chunks(), top["dim"])

@@ -93,3 +93,25 @@ def test_any_names(spark):
     out = deduplicate(df)
     assert out.columns == df.columns
     assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 2, "a b c d e f", 3, 4, 5, 6), (1, 3, 2, "g h i", 3, 4, 5, 6)]
+
+
+def test_a_shared_passage_makes_no_pairs(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from glimmer.llm import minhash
+
+    def pairs_of(n):
+        rng = np.random.default_rng(n)
+        passage = rng.integers(0, 2**63, 870, dtype=np.uint64)
+        sets = [np.sort(np.concatenate((passage, rng.integers(0, 2**63, 130, dtype=np.uint64)))) for _ in range(n)]
+        rows = [(i.to_bytes(4, "big"), i.to_bytes(4, "big"), len(s), s.tobytes()) for i, s in enumerate(sets)]
+        df = spark.createDataFrame(rows, "key binary, component binary, n long, shingles binary")
+        return minhash._by_prefix(df, 80).count()
+
+    # every two sets share 870 of 1130 shingles: 0.77, and none of the pairs may be looked at
+    assert pairs_of(300) == 0 and pairs_of(3000) == 0
+
+    text = " ".join(f"p{i}" for i in range(300))
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), *(F.concat(F.lit(f" t{j}x"), F.col("id").cast("string")) for j in range(45))).alias("text"))
+    assert near_duplicates(docs, width=1).where("not kept").count() == 0

@@ -76,12 +76,16 @@ def test_links_of_embeddings(spark):
 
 def nearest(rows, k):
     rows = sorted({(d, tuple(v)) for d, v in rows if d is not None and usable(v)})
-    x = np.array([v for _, v in rows])
     out = {}
-    for i, (d, v) in enumerate(rows):
-        if d % 20 == 0:
-            scores = (np.array(v) * x).sum(axis=1)
-            out[d] = sorted(((-float(s), e) for s, (e, _) in zip(scores, rows, strict=True) if e != d))[:k]
+    for n in {len(v) for _, v in rows}:
+        mine = [(d, v) for d, v in rows if len(v) == n]
+        x = np.array([v for _, v in mine], dtype=float)
+        for d, v in mine:
+            if d % 20 == 0:
+                scores = (np.array(v, dtype=float) * x).sum(axis=1)
+                found = sorted(((-float(s), e) for s, (e, _) in zip(scores, mine, strict=True) if e != d))[:k]
+                if found:
+                    out[d] = found
     return out
 
 
@@ -99,13 +103,35 @@ def recall(got, want):
 
 
 def test_search_of_odd_rows(spark):
-    rows = [(i, v) for i, v in ODD if not v or len(v) == 2] + [(20, [1.0, 1.0]), (40, [1.0, 1.0]), (60, None)]
+    rows = ODD + [(20, [1.0, 1.0]), (40, [1.0, 1.0]), (60, None)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("embedding", "vec_id", "1 as key", "2 as least")
     assert run(df) == nearest(rows, 20)
     assert run(df, 2) == nearest(rows, 2)
     assert search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_by_split_lists_and_lengths(spark, monkeypatch):
+    from glimmer.llm import ann
+
+    monkeypatch.setattr(ann, "PER_LIST", 16)
+    monkeypatch.setattr(ann, "SAMPLE", 600)
+    monkeypatch.setattr(ann, "LEAST_ROWS", 300)
+    rng = np.random.default_rng(6)
+    vectors = sum((family(rng, n) for n in (40, 900)), []) + [rng.normal(size=16).astype(np.float32).tolist() for _ in range(1500)]
+    vectors += [rng.normal(size=5).astype(np.float32).tolist() for _ in range(120)] + [rng.normal(size=24).astype(np.float32).tolist() for _ in range(500)]
+    rows = [(int(i), v) for i, v in zip(rng.permutation(len(vectors)), vectors, strict=True)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got, want = run(df), nearest(rows, 20)
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+    classes = ann.keyed(df, "vec_id", "embedding")
+    index = ann.fit(classes.where("key is not null"), 20)
+    assert set(index) == {16, 24}
+    mine = classes.where("dim = 16")
+    sizes = ann._sizes(mine, index[16].groups, index[16].longest)
+    # the number of lists has grown with the rows, and none is long
+    assert sizes.sum() == mine.count() and sizes.max() <= ann.MOST * 16 and len(sizes) > 600 // ann.PER_CENTROID
+
+
 def test_search_with_copies_and_lengths(spark):
     rng = np.random.default_rng(5)
     vectors = sum((family(rng, n) for n in (30, 50, 700)), []) + [(rng.normal(size=16) * rng.uniform(0.1, 3)).astype(np.float32).tolist() for _ in range(1500)]
@@ -119,3 +145,19 @@ def test_search_with_copies_and_lengths(spark):
 def test_search_of_embeddings(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     assert recall(run(df), nearest([(r.vec_id, r.embedding) for r in df.collect()], 20)) >= 0.9
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(9)
+    for dim in (64, 1500, 4096):
+        a, b = (rng.choice([-127, 126, 127], size=(20, dim)).astype(np.float32) for _ in range(2))
+        a[0], b[0] = 127, 127
+        assert (embeddup.products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+
+
+def test_links_by_many_pivots(spark, monkeypatch):
+    monkeypatch.setattr(embeddup, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    vectors = sum((family(rng, n) for n in (100, 30, 60, 5, 5)), []) + [rng.normal(size=16).astype(np.float32).tolist() for _ in range(800)]
+    rows = list(enumerate(vectors))
+    assert linked(spark.createDataFrame(rows, SCHEMA)) == brute_links(rows)
