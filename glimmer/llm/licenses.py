@@ -1,12 +1,16 @@
 """Licence scan by a positional index of rare words (DataFrame functions only).
 
-Templates are short word sequences.  Of each template the words with the highest inverse
-document frequency, taken over all documents, are its anchors; the index lists where
-each anchor stands in which templates.  A document's anchors give alignments: a template
-and the place where it would start.  Alignments are intersected by that place, weighed
-by the share of the template's IDF mass whose words stand where they should, and accepted
-if that share is high enough and the template's key phrase stands there word by word.
-For a base phrase the key phrase is all of it.
+Templates are short word sequences; their words are the licence words.  One pass over the
+texts finds each file's licence words, and where they stand in files that hold all words
+of some key phrase; no other file can match.  What it finds is written and is small; the
+document frequencies of licence words are counted from it.  Of each template the words with
+the highest inverse document frequency are its anchors, so that a file's highest-IDF
+licence words are looked up first; the index lists where each anchor stands in which
+templates.  A file's anchors give alignments: a template and the place where it would
+start.  Alignments are intersected by that place, weighed by the share of the template's
+IDF mass whose words stand where they should, and accepted if that share is high enough
+and the template's key phrase stands there word by word.  For a base phrase the key phrase
+is all of it.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lowered.  The only things that
 leave the executors are the document frequencies of the templates' own words.
@@ -20,6 +24,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import Workspace
+
 #: Anchors of a template that isn't a base phrase; alignments need one of them.
 ANCHORS = 3
 #: Share of a template's IDF mass that must stand in place.
@@ -67,26 +73,40 @@ STATEMENTS = (
 )
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text in order; null has none."""
+def split_words(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the words of a text in order, instead of the text; null has none."""
     # the Kelvin sign is the only other character that lower() makes an ASCII letter alone
-    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("é")))
-    parts = F.split(lowered, _SEPARATORS)
+    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("é")))
+    d = _barrier(df, "_parts", F.split(lowered, _SEPARATORS)).drop(text)
+    parts = F.col("_parts")
     first, last = F.when(F.element_at(parts, 1) == "", 2).otherwise(1), F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
-    return F.slice(parts, first, F.greatest(F.size(parts) - first + 1 - last, F.lit(0)))
+    return _barrier(d, name, F.slice(parts, first, F.greatest(F.size(parts) - first + 1 - last, F.lit(0)))).drop("_parts")
 
 
 def _strings(words) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def document_frequencies(docs: DataFrame, text: str, templates: tuple[Template, ...]) -> tuple[dict[str, int], int]:
-    """For each word of the templates the number of documents that have it, and the number of documents."""
-    lexicon = sorted({w for t in templates for w in t.words})
-    found = F.array_append(F.array_intersect(words_of(F.col(f"`{text}`")), _strings(lexicon)), F.lit(""))
-    counts = dict(docs.select(F.explode(found).alias("word")).groupBy("word").count().collect())  # as many rows as the templates have words
+def _looked_up(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
+    """(doc_id, n_words, present, words) of ``docs`` (doc_id, text).
+
+    ``present`` are a file's licence words, each once; ``words`` all its words in order, those
+    that are no licence words empty, of files that hold all words of a key phrase, else null.
+    """
+    lexicon = _strings(sorted({w for t in templates for w in t.words}))
+    keys = F.array(*(_strings(sorted(set(t.key))) for t in templates))
+    d = split_words(docs, "text", "all")
+    d = _barrier(d, "present", F.array_intersect("all", lexicon))
+    may = F.exists(keys, lambda k: F.size(F.array_except(k, "present")) == 0)
+    words = F.transform("all", lambda w: F.when(F.array_contains("present", w), w).otherwise(""))
+    return d.select("doc_id", F.size("all").alias("n_words"), "present", F.when(may, words).alias("words"))
+
+
+def document_frequencies(found: DataFrame, templates: tuple[Template, ...]) -> tuple[dict[str, int], int]:
+    """For each word of the templates the number of files that have it, and the number of files."""
+    counts = dict(found.select(F.explode(F.array_append("present", F.lit(""))).alias("word")).groupBy("word").count().collect())  # as many rows as the templates have words
     total = counts.pop("", 0)
-    return {w: counts.get(w, 0) for w in lexicon}, total
+    return {w: counts.get(w, 0) for t in templates for w in t.words}, total
 
 
 def _idf(counts: dict[str, int], total: int) -> dict[str, float]:
@@ -106,7 +126,9 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: t
     mass among accepted alignments, 0 without any.  A null or empty text has no words.
     Rows may repeat; each is scanned on its own.
     """
-    counts, total = document_frequencies(df, text, templates)
+    ws = Workspace(df.sparkSession, "licenses")
+    looked = ws.keep(_looked_up(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), templates), "words")
+    counts, total = document_frequencies(looked, templates)
     idf = _idf(counts, total)
     postings, described = [], []
     for k, t in enumerate(templates):
@@ -119,9 +141,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: t
     index = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(k).alias("t"), F.lit(i).alias("at")) for w, k, i in postings))
     table = F.array(*described)
 
-    rows = _barrier(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "words", words_of(F.col("text"))).drop("text")
     places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(anchors, x["w"]))
-    rows = _barrier(rows, "places", F.when(F.arrays_overlap("words", anchors), places))
+    rows = _barrier(looked.drop("present"), "places", places)
     starts = F.flatten(F.transform("places", lambda x: F.transform(F.filter(index, lambda p: p["w"] == x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["at"]).alias("o")))))
     rows = _barrier(rows, "starts", F.filter(F.array_distinct(starts), lambda s: s["o"] >= 0))
 
@@ -139,7 +160,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: t
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return rows.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
+        F.col("n_words").cast("long").alias("n_words"),
         F.size(base).cast("long").alias("n_base"),
         F.array_min(base).alias("first_word"),
         F.array_max(base).alias("last_word"),
