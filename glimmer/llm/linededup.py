@@ -113,14 +113,37 @@ class Lines:
         return np.concatenate((gone, whole)) if len(at) else whole
 
 
+def _pieces(text: str) -> Iterator[tuple[str, int]]:
+    """A long text in pieces of whole lines, with the number of each piece's first line; a longer line stays whole."""
+    at = line = 0
+    while len(text) - at > 2 * _BLOCK:
+        cut = text.rfind("\n", at, at + _BLOCK)
+        if cut < 0:
+            cut = text.find("\n", at + _BLOCK)
+            if cut < 0:
+                break
+        piece = text[at:cut]
+        yield piece, line
+        at, line = cut + 1, line + piece.count("\n") + 1
+    yield text[at:], line
+
+
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, Lines]]:
-    """Lines of runs of texts, with the place of the run's first text."""
+    """Lines of runs of texts, or of pieces of a long one, with the place of the run's first text."""
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t or "") > _BLOCK:
+        n = len(t or "")
+        if size and size + n > _BLOCK:
             yield start, Lines(texts[start:i])
             start, size = i, 0
-        size += len(t or "")
+        if n > 2 * _BLOCK:
+            for piece, line in _pieces(t):
+                lines = Lines([piece])
+                lines.number += line
+                yield i, lines
+            start, size = i + 1, 0
+            continue
+        size += n
     if start < len(texts):
         yield start, Lines(texts[start:])
 

@@ -94,3 +94,16 @@ def test_text_ids_and_any_names(spark):
     # ids that aren't whole numbers are ordered as text, null first
     assert {(r.doc_id, r.text) for r in out.collect()} == {(None, "y"), ("10", "One two three\nx"), ("9", ""), ("a", ""), ("b", "own line b")}
     assert all(tuple(r)[2:] == (1, 2, 3, 4, 5, 6) for r in out.collect())
+
+
+def test_very_long_text():
+    from glimmer.llm import linededup
+
+    text = "\n".join(f"line {i} has some words {i * 7} of its own {i % 5}" for i in range(90_000)) + "\n" + "w " * 1_200_000 + "\nlast"
+    parts = list(linededup._blocks(["a b", text, None, "c"]))
+    assert len(parts) > 3
+    whole = linededup.Lines([text])
+    mine = [p for at, p in parts if at == 1]
+    assert sum((p.number.tolist() for p in mine), []) == whole.number.tolist()
+    assert sum((p.hashes().tolist() for p in mine), []) == whole.hashes().tolist()
+    assert max(len(p.sums) for p in mine[:3]) < len(whole.sums) / 2
