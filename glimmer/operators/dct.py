@@ -7,11 +7,15 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import color, quant
 from ..functions.rows import computed
+from .fit import by_size, sized
+from .kernel import LINEAR, aspect_code
 
 #: Exponents that compand coefficients: lightness, chroma, opacity, mean chroma.
 LIGHT, CHROMA, OPACITY, MEAN_CHROMA = 0.6, 0.5, 0.6, 0.4
@@ -82,39 +86,70 @@ def _hex_nibbles(digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(text) / 2).cast("int") - 1), lambda i: F.reverse(F.substring(text, i * 2 + 1, F.lit(2)))), "")
 
 
+def spectra(df: DataFrame, w: str, h: str, r: str, g: str, b: str, a: str | None) -> DataFrame:
+    """``df`` with _has (opacity) and coefficients _cl, _cp, _cq, _ca of its pictures; all null where arrays don't fit the size.
+
+    Pictures of one size are transformed together: the cosines of a size are computed once,
+    and a plane takes two matrix products, rows before columns.
+    """
+    names = ("_has", "_cl", "_cp", "_cq", "_ca")
+
+    def most(aspect: float, limit: int) -> tuple[int, int]:
+        part = lambda x: max(int(np.floor(x + 0.5)), 1)
+        return (max(limit, 3), max(part(limit / aspect), 3)) if aspect >= 1 else (max(part(limit * aspect), 3), max(limit, 3))
+
+    @F.arrow_udf("_has boolean, _cl array<double>, _cp array<double>, _cq array<double>, _ca array<double>")
+    def transformed(given: pa.Array) -> pa.Array:
+        n, columns = len(given), given.flatten()
+        planes, ws, hs = sized(pa.RecordBatch.from_arrays(columns, names=list("whrgba")[: len(columns)]), 0, len(columns) - 2)
+        out: list[list] = [[None] * n for _ in names]
+        for (wide, tall), rows in by_size(planes, ws, hs).items():
+            by, bx = (np.cos(pi / n * np.arange(8)[:, None] * (np.arange(n) + 0.5)) for n in (tall, wide))
+            aspect = 2.0 ** (aspect_code(wide, tall) / 254 * 6 - 3)
+
+            def masked(plane, nx: int, ny: int, by=by, bx=bx, size=wide * tall):
+                full = by @ plane @ bx.T / size
+                return np.stack([full[:, cy, cx] for cy in range(ny) for cx in range(nx) if cx * ny < nx * (ny - cy)], axis=1)
+
+            for at in range(0, len(rows), step := max(1, (1 << 19) // (wide * tall))):
+                some = rows[at : at + step]
+                u8 = np.stack([np.stack([p[i] for i in some]) for p in planes[:3]], axis=-1)
+                alpha = np.stack([planes[3][i] for i in some]) / 255.0 if a else np.ones(u8.shape[:2])
+                seen = alpha.sum(axis=1) < wide * tall
+                lin = LINEAR[u8]
+                if seen.any():
+                    total = alpha[seen].sum(axis=1)[:, None]
+                    mean = np.where(total > 0, (u8[seen] * alpha[seen][..., None]).sum(axis=1) / 255 / np.maximum(total, 1e-300), 0.0)
+                    over = np.clip((1 - alpha[seen][..., None]) * mean[:, None] + alpha[seen][..., None] * u8[seen] / 255, 0, 1)
+                    lin[seen] = np.where(over <= 0.04045, over / 12.92, ((over + 0.055) / 1.055) ** 2.4)
+                lab = np.cbrt(lin @ np.array(color.LMS).T) @ np.array(color.LAB).T * np.array([1.0, color.CHROMA, color.CHROMA])
+                lab = lab.reshape(len(some), tall, wide, 3)
+                small = [masked(lab[..., k], 3, 3) for k in (1, 2)]
+                light = {flag: masked(lab[..., 0], *most(aspect, 5 if flag else 7)) for flag in set(seen.tolist())}
+                wide_ = masked(alpha.reshape(len(some), tall, wide), 5, 5) if seen.any() else None
+                for j, i in enumerate(some):
+                    flag = bool(seen[j])
+                    out[0][i], out[1][i], out[2][i], out[3][i] = flag, light[flag][j], small[0][j], small[1][j]
+                    out[4][i] = wide_[j] if flag else None
+        types = [pa.bool_(), *[pa.list_(pa.float64())] * 4]
+        return pa.StructArray.from_arrays([pa.array(v, type=t) for v, t in zip(out, types, strict=True)], names=list(names))
+
+    size = [F.col(c).cast("int").alias(k) for c, k in ((w, "w"), (h, "h"))]
+    planes_of = [F.col(c).cast("array<int>").alias(k) for c, k in ((r, "r"), (g, "g"), (b, "b"), (a, "a")) if c]
+    d = df.withColumn("_spectra", transformed(F.struct(*size, *planes_of)))
+    return d.select("*", *(F.col(f"_spectra.{c}").alias(c) for c in names)).drop("_spectra")
+
+
 def encode(df: DataFrame, w: str = "w", h: str = "h", r: str = "r", g: str = "g", b: str = "b", a: str | None = None, out: str = "hash") -> DataFrame:
     """``df`` with the hash (hex) of the pictures in its flat byte arrays.
 
     With ``a``, an array of opacity bytes, colours are drawn over their own mean and the
     hash holds the opacity, unless all of it is 255.  Arrays that don't fit the size give null.
     """
-    keep = df.columns
-    lin = lambda u: color.linear(u)
-    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    d = df.select("*", F.col(w).cast("int").alias("_w"), F.col(h).cast("int").alias("_h"))
-    size = F.col("_w") * F.col("_h")
-    d = d.withColumn("_ok", (size > 0) & (F.size(r) == size) & (F.size(g) == size) & (F.size(b) == size) & (F.size(a) == size if a else F.lit(True)))
-    d = d.withColumns({"_w": F.when(F.col("_ok"), F.col("_w")), "_h": F.when(F.col("_ok"), F.col("_h"))})
-    n = F.array_repeat(F.lit(255), size)
-    alpha = F.col(a) if a else n
-    d = computed(d, _a=F.when(F.col("_ok"), F.transform(alpha, lambda v: v / 255.0)))
-    d = computed(d, _sum=add(F.col("_a")))
-    d = d.withColumn("_has", F.col("_sum") < size)
-    mean = lambda c: F.when(F.col("_sum") > 0, add(F.zip_with(F.col(c), F.col("_a"), lambda v, t: v * t / 255)) / F.col("_sum")).otherwise(0.0)
-    d = computed(d, _m=F.struct(mean(r).alias("r"), mean(g).alias("g"), mean(b).alias("b")))
-    over = lambda c, k: F.zip_with(F.col(c), F.col("_a"), lambda v, t: (1 - t) * F.col(f"_m.{k}") + t * v / 255)
-    unit = lambda s: F.when(s <= 0.04045, s / 12.92).otherwise(F.pow((s + 0.055) / 1.055, F.lit(2.4)))
-    light = lambda c, k: F.when(F.col("_has"), F.transform(over(c, k), lambda s: unit(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))))).otherwise(F.transform(F.col(c), lin))
-    d = computed(d, _r=light(r, "r"), _g=light(g, "g"), _b=light(b, "b"))
-    d = computed(d, _lab=F.transform(F.arrays_zip("_r", "_g", "_b"), lambda p: F.struct(*(x.alias(k) for x, k in zip(color.oklab(p["_r"], p["_g"], p["_b"]), "lpq", strict=True)))))
-    code = quant.aspect_code(F.col("_w"), F.col("_h"))
-    nx, ny = frequencies(quant.aspect_of_code(code), F.col("_has"))
-    d = computed(d, _code=code, _mask=mask(nx, ny), _small=mask(F.lit(3), F.lit(3)), _wide=mask(F.lit(5), F.lit(5)))
-    plane = lambda k: F.transform("_lab", lambda p: p[k])
-    d = computed(d, _l=plane("l"), _p=plane("p"), _q=plane("q"))
-    ww, hh = F.col("_w"), F.col("_h")
-    d = computed(d, _cl=project(F.col("_l"), F.col("_mask"), ww, hh), _cp=project(F.col("_p"), F.col("_small"), ww, hh), _cq=project(F.col("_q"), F.col("_small"), ww, hh))
-    d = computed(d, _ca=F.when(F.col("_has"), project(F.col("_a"), F.col("_wide"), ww, hh)))
+    keep = [c for c in df.columns if c != out]
+    d = spectra(df.select(*(f"`{c}`" for c in keep)), w, h, r, g, b, a)
+    d = computed(d, _code=F.when(F.col("_has").isNotNull(), quant.aspect_code(F.col(w).cast("int"), F.col(h).cast("int"))))
+    d = d.withColumn("_ok", F.col("_has").isNotNull())
     ac = lambda c: F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0)))
     d = computed(d, _al=ac(F.col("_cl")), _ap=ac(F.col("_cp")), _aq=ac(F.col("_cq")), _aa=F.when(F.col("_has"), ac(F.col("_ca"))))
     d = computed(d, _sl=best_scale(F.col("_al"), 31, LIGHT), _sp=best_scale(F.col("_ap"), 15, CHROMA), _sq=best_scale(F.col("_aq"), 15, CHROMA), _sa=F.when(F.col("_has"), best_scale(F.col("_aa"), 15, OPACITY)))
@@ -126,7 +161,7 @@ def encode(df: DataFrame, w: str = "w", h: str = "h", r: str = "r", g: str = "g"
     all_ = F.concat(nibbles(F.col("_al"), F.col("_sl"), LIGHT), nibbles(F.col("_ap"), F.col("_sp"), CHROMA), nibbles(F.col("_aq"), F.col("_sq"), CHROMA))
     all_ = F.when(F.col("_has"), F.concat(all_, nibbles(F.col("_aa"), F.col("_sa"), OPACITY))).otherwise(all_)
     value = F.concat(_hex_bytes(head, 3), _hex_bytes(second, 2), third, _hex_nibbles(all_))
-    return d.select(*keep, F.when(F.col("_ok"), value).alias(out))
+    return d.select(*(f"`{c}`" for c in keep), F.when(F.col("_ok"), value).alias(out))
 
 
 def byte_length(w: Column, h: Column, has_alpha: Column) -> Column:
@@ -184,9 +219,18 @@ def decode(df: DataFrame, hash_: str = "hash", base: int = 256, dither: bool = F
     keep = df.columns
     w, h = quant.output_size(F.col("_head_aspect"), base, strict=True)
     d = computed(coefficients(df, hash_), _w=w, _h=h)
-    d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("_h") - 1)).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("x"))
-    at = lambda c: wave(F.col(c), F.col("x"), F.col("y"), F.col("_w"), F.col("_h"))
-    d = computed(d, _lab=F.struct(at("_l").alias("l"), at("_p").alias("p"), at("_q").alias("q"), F.when(F.col("_head_has"), at("_al")).alias("a")))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("_h") - 1)).alias("y"))
+    # along a row the vertical cosines stay: they go into coefficients by horizontal frequency first
+    twice = lambda c: F.when(c == 0, 1.0).otherwise(2.0)
+
+    def along(coefs: str) -> Column:
+        term = lambda m: F.struct(m["cx"].alias("cx"), (m["v"] * F.cos(pi / F.col("_h") * (F.col("y") + 0.5) * m["cy"]) * twice(m["cy"]) * twice(m["cx"])).alias("v"))
+        return F.transform(coefs, term)
+
+    d = computed(d, _rl=along("_l"), _rp=along("_p"), _rq=along("_q"), _ra=F.when(F.col("_head_has"), along("_al")))
+    d = d.drop("_l", "_p", "_q", "_al").select("*", F.explode(F.sequence(F.lit(0), F.col("_w") - 1)).alias("x"))
+    at = lambda c: F.aggregate(c, F.lit(0.0), lambda s, m: s + m["v"] * F.cos(pi / F.col("_w") * (F.col("x") + 0.5) * m["cx"]))
+    d = computed(d, _lab=F.struct(at("_rl").alias("l"), at("_rp").alias("p"), at("_rq").alias("q"), F.when(F.col("_head_has"), at("_ra")).alias("a")))
     rgb = color.from_oklab(F.col("_lab.l"), F.col("_lab.p"), F.col("_lab.q"))
     t = color.dither_threshold(F.col("x"), F.col("y")) if dither else F.lit(0.5)
     byte = lambda c: color.quantised(color.companded(c) * 255, t)

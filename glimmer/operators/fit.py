@@ -1,145 +1,310 @@
-"""Fitting shapes to pictures, a round of joins and aggregates for all pictures at once.
-
-Each shape takes a round.  Places are drawn from a picture's pixels with odds that follow
-the remaining error, by seeded hashes; forms are drawn in the codes of the hash itself, so
-that what is judged is what a decoder will draw.  All candidates of all pictures are
-compared in one aggregation over the pixels they cover; the best one's neighbours in code
-space are compared next; the winner is painted and the canvas written.  The result depends
-on picture and seed alone, not on partitions, so a lost task gives the same again.
+"""Fitting shapes to pictures: a row a picture, searched inside the task that holds it, without a shuffle.
+
+A picture's shapes follow one another.  For each, forms are drawn in the codes of the hash
+itself, so that what is judged is what a decoder will draw; places follow the remaining
+error, every other one any pixel.  A candidate's sums are differences of running sums along
+the rows it covers.  The best ones climb over their neighbours in code space; each gets
+the opacity and the colour, as the wire rounds it, with the least squared error, and the
+best of them is painted.  Draws come from one seeded stream for all pictures: a picture's hash depends
+on its pixels, the codec, the seed and the options alone.
+
+Pictures are small (a thumbnail's pixels), and batches of equal size are searched together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..codec import Codec
-from ..functions import bits, color, quant
-from ..palettes import linear_array, nearest
-from ..workspace import Workspace
-from . import shapes, sums
+from ..functions.stream import Stream
+from .kernel import LINEAR, Colors, Forms, aspect_code, fields, packed, records
 
+KINDS = ("circle", "triangle", "square", "rect", "rotrect")
 #: A shape is kept if it lowers the squared error by more than this.
 LEAST_GAIN = 1e-3
 #: Opacity while forms are compared; all levels are tried for the winner.
 TRIAL_ALPHA = 0.5
+#: Numbers that a step holds at most: pictures times candidates times rows.
+STEP = 1 << 19
 
 
-def _codes(codec: Codec) -> dict[str, int]:
-    """Bits of each geometric code of a shape, in the order of the hash."""
-    x, y, r = codec.cx_bits, codec.cy_bits, codec.r_bits
-    return {
-        "circle": {"x": x, "y": y, "r": r}, "square": {"x": x, "y": y, "r": r}, "rect": {"x": x, "y": y, "w": r, "h": r}, "rotrect": {"x": x, "y": y, "w": r, "h": r, "t": codec.theta_bits},
-        "triangle": {"x": x, "y": y, "x1": x, "y1": y, "x2": x, "y2": y},
-    }[codec.shape]
-
-
-def geometry(c: Column, codec: Codec, w: Column, h: Column) -> Column:
-    """The drawn form of a struct of codes."""
-    zero, whole = F.lit(0), lambda v: F.round(v).cast("int")
-    f = {"cx": quant.position_of_code(c["x"], w, codec.cx_bits), "cy": quant.position_of_code(c["y"], h, codec.cy_bits), "w": zero, "h": zero, "theta": F.lit(0.0), "x1": zero, "y1": zero, "x2": zero, "y2": zero}
-    if codec.shape in ("circle", "square"):
-        f["w"] = f["h"] = whole(quant.radius_of_code(c["r"], w, h, codec.r_bits))
-    elif codec.shape == "triangle":
-        for i in "12":
-            f["x" + i], f["y" + i] = quant.position_of_code(c["x" + i], w, codec.cx_bits), quant.position_of_code(c["y" + i], h, codec.cy_bits)
-    else:
-        f["w"], f["h"] = whole(quant.extent_of_code(c["w"], w, codec.r_bits)), whole(quant.extent_of_code(c["h"], h, codec.r_bits))
-        if codec.shape == "rotrect":
-            f["theta"] = quant.angle_of_code(c["t"], codec.theta_bits)
-    return F.struct(*(v.alias(k) for k, v in f.items()))
-
-
-def _unit(*parts: Column) -> Column:
-    """A number in (0, 1) from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 11) + 0.5) / float(1 << 53)
-
-
-def _judged(canvas: DataFrame, tried: DataFrame, codec: Codec, levels: list[float]) -> DataFrame:
-    """The best of ``tried`` (id, w, h, c) for each picture: id, c, delta, code, alpha, p_r, p_g, p_b."""
-    forms = tried.select(F.col("id").alias("_id"), "c", geometry(F.col("c"), codec, F.col("w"), F.col("h")).alias("s"))
-    over = canvas.join(forms, F.col("id") == F.col("_id")).where(shapes.inside(codec.shape, F.col("s"), F.col("x"), F.col("y")))
-    found = sums.swept(sums.shape_sums(over, ["id", "c"]), levels, ["id", "c"])
-    best = found.groupBy("id").agg(F.min(F.struct("delta", "c", "code", "alpha", "p_r", "p_g", "p_b")).alias("b"))
-    return best.select("id", "b.*")
-
-
-def _wire_color(codec: Codec) -> tuple[Column, list[Column]]:
-    """The colour code of p_r, p_g, p_b as bits, and the linear colour a decoder reads from it."""
-    p = [F.col(f"p_{k}") for k in "rgb"]
-    if codec.palette is not None:
-        table = linear_array(codec.palette, codec.colors)
-        i = nearest(table, *p)
-        return F.substring(bits.bits_of(i, codec.palette_bits), 1, codec.palette_bits), [F.element_at(table, i + 1)[k] for k in "rgb"]
-    u8 = [color.srgb_u8(x) for x in p]
-    if codec.color_bits == 16:
-        packed = color.rgb565(*u8)
-        return F.substring(bits.bits_of(packed, 16), 1, 16), [color.linear(v) for v in color.from_rgb565(packed)]
-    return F.concat(*(F.substring(bits.bits_of(u, 8), 1, 8) for u in u8)), [color.linear(u) for u in u8]
-
-
-def fit(pixels: DataFrame, codec: Codec, key: str = "vec_id", seed: int = 0, tries: int = 24, climbs: int = 2) -> DataFrame:
-    """(key, hash, sse) of pictures given as pixel rows (key, y, x, r, g, b of bytes).
-
-    ``tries`` candidates a shape, then ``climbs`` rounds over the neighbours of the best.
-    Where nothing lowers the error the shape is drawn empty: the smallest form in the
-    colour below it.
+@dataclass(frozen=True)
+class SearchOptions:
+    """How forms are searched.
+
+    ``strategy`` is "primitive" (places follow the error) or "topk-uniform" (places anywhere,
+    corners up to a quarter beyond each other's range).  ``n_random`` forms are drawn; of these
+    the best ``max(n_topk, n_attempts)`` climb, in at most
+    ``hill_climb_steps`` rounds, each until a round without gain: as a round tries all
+    neighbours, a ``hill_climb_max_age`` above one changes nothing.  ``refine_passes`` times each
+    shape is taken out and searched again.
     """
-    if codec.shape not in ("circle", "triangle", "square", "rect", "rotrect"):
+
+    strategy: str = "primitive"
+    n_random: int = 64
+    n_topk: int = 1
+    hill_climb_steps: int = 40
+    hill_climb_max_age: int | None = 30
+    n_attempts: int = 4
+    refine_passes: int = 0
+
+    def __post_init__(self) -> None:
+        if self.strategy.replace("_", "-") not in ("primitive", "topk-uniform"):
+            raise ValueError(f"unknown strategy {self.strategy!r}")
+        if min(self.n_random, self.n_topk, self.n_attempts) < 1 or min(self.hill_climb_steps, self.refine_passes) < 0:
+            raise ValueError("a search needs at least one draw, one start and one attempt")
+
+
+def defaults(kind: str) -> SearchOptions:
+    """Options of a kind of shape; triangles are cheap to compare and take fewer draws."""
+    return SearchOptions(n_random=50, hill_climb_max_age=50, n_attempts=3) if kind == "triangle" else SearchOptions()
+
+
+@lru_cache(maxsize=64)
+def _draws(seed: int, turns: int, many: int, numbers: int) -> np.ndarray:
+    """Numbers in [0, 1) for every turn, draw and field, from one stream."""
+    stream = Stream(seed)
+    return np.array([stream.unit() for _ in range(turns * many * numbers)]).reshape(turns, many, numbers)
+
+
+class _Search:
+    """The search over a batch of pictures of one size; ``target`` is (pictures, h, w, 3) in linear light."""
+
+    def __init__(self, target: np.ndarray, codec: Codec, options: SearchOptions):
+        self.t, self.codec, self.o = target, codec, options
+        self.n, self.h, self.w = target.shape[:3]
+        self.forms, self.colors = Forms(codec, self.w, self.h), Colors(codec)
+        self.bits = [b for _, b in fields(codec)]
+        self.names = [name for name, _ in fields(codec)]
+        self.top = np.array([(1 << b) - 1 for b in self.bits])
+        #: adds up the four numbers of all rows
+        self.fold = np.tile(np.eye(4, dtype=np.float32), (self.h, 1))
+        self.moves = np.array([[k * (f == i) for i in range(len(self.bits))] for f in range(len(self.bits)) for k in (-2, -1, 1, 2)])
+
+    def _gains(self, running: np.ndarray, codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Change of squared error by candidates (rows, candidates) of the pictures ``of``, in the best colour at TRIAL_ALPHA."""
+        low, high = self.forms.spans(codes)
+        base = ((of[:, None, None] * self.h + np.arange(self.h)) * (self.w + 1)).astype(np.int32)
+        along = (running[base + high].view(np.float32) - running[base + low].view(np.float32)).reshape(-1, 4 * self.h)
+        sums = (along @ self.fold).reshape(*low.shape[:2], 4)
+        area = TRIAL_ALPHA * (high - low).sum(axis=2)
+        g = sums[..., :3]
+        if self.codec.palette is not None:
+            table = self.colors.table
+            change = (TRIAL_ALPHA * area[..., None] * (table * table).sum(axis=1) - 2 * TRIAL_ALPHA * g @ table.T).min(axis=-1) + sums[..., 3]
+        else:
+            p = np.clip(g / np.maximum(area, 1e-9)[..., None], 0, 1)
+            change = (TRIAL_ALPHA * area[..., None] * p * p - 2 * TRIAL_ALPHA * p * g).sum(axis=-1) + sums[..., 3]
+        return np.where(area > 0, change, 0.0)
+
+    def _running(self, canvas: np.ndarray) -> np.ndarray:
+        """Running sums along rows of what candidates are judged by: four numbers a pixel, as one element each."""
+        d = self.t - canvas
+        each = np.concatenate((d + TRIAL_ALPHA * canvas, (2 * TRIAL_ALPHA * d * canvas + TRIAL_ALPHA**2 * canvas * canvas).sum(axis=-1, keepdims=True)), axis=-1)
+        out = np.zeros((self.n, self.h, self.w + 1, 4), dtype=np.float32)
+        np.cumsum(each, axis=2, out=out[:, :, 1:])
+        return out.view(np.complex128).reshape(-1)
+
+    def _drawn(self, canvas: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Candidates (pictures, draws, fields): a place first, then the other codes."""
+        many = len(u)
+        place = np.broadcast_to((u[:, 0] * self.h * self.w).astype(np.int64), (self.n, many)).copy()
+        if self.o.strategy == "primitive":
+            error = np.cumsum(((self.t - canvas) ** 2).sum(axis=-1).reshape(self.n, -1), axis=1)
+            share = error / np.maximum(error[:, -1:], 1e-300) + np.arange(self.n)[:, None]
+            by_error = np.searchsorted(share.reshape(-1), (np.arange(self.n)[:, None] + u[::2, 0]).reshape(-1), side="right").reshape(self.n, -1)
+            place[:, ::2] = np.minimum(by_error - np.arange(self.n)[:, None] * self.h * self.w, self.h * self.w - 1)
+        codes = np.empty((self.n, many, len(self.bits)), dtype=np.int64)
+        codes[..., 0] = np.floor(place % self.w / max(self.w - 1, 1) * self.top[0] + 0.5)
+        codes[..., 1] = np.floor(place // self.w / max(self.h - 1, 1) * self.top[1] + 0.5)
+        reach = 1.0 if self.o.strategy == "primitive" else 1.5
+        for i in range(2, len(self.bits)):
+            if self.names[i][0] in "xy":  # other corners lie about the first
+                codes[..., i] = codes[..., "xy".index(self.names[i][0])] + np.floor((u[:, i] - 0.5) * reach * self.top[i] + 0.5).astype(np.int64)
+            else:
+                codes[..., i] = np.floor(u[:, i] * (self.top[i] + 1))
+        return np.clip(codes, 0, self.top)
+
+    def best(self, canvas: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(codes, colour, alpha, change) of the best form found for each picture."""
+        running, all_ = self._running(canvas), np.arange(self.n)
+        codes = self._drawn(canvas, u)
+        gain = self._gains(running, codes, all_)
+        starts = min(max(self.o.n_topk, self.o.n_attempts), codes.shape[1])
+        at = np.argsort(gain, axis=1, kind="stable")[:, :starts]
+        codes, gain = np.take_along_axis(codes, at[..., None], axis=1).reshape(-1, codes.shape[-1]), np.take_along_axis(gain, at, axis=1).reshape(-1)
+        climbing = np.arange(len(codes))
+        for _ in range(self.o.hill_climb_steps):
+            near = np.clip(codes[climbing, None] + self.moves, 0, self.top)
+            change = self._gains(running, near, climbing // starts)
+            to = change.argmin(axis=1)
+            new = change[np.arange(len(to)), to]
+            better = new < gain[climbing] - 1e-7
+            codes[climbing[better]] = near[better, to[better]]
+            gain[climbing[better]] = new[better]
+            climbing = climbing[better]
+            if not len(climbing):
+                break
+        dressed = self.dressed(canvas, codes.reshape(self.n, starts, -1))
+        win = dressed[3].argmin(axis=1)
+        return tuple(part[all_, win] for part in dressed)
+
+    def dressed(self, canvas: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Codes (pictures, candidates, fields) with the colour and the opacity, both as the wire has them, of the least error, and its change."""
+        n, many = codes.shape[:2]
+        mask = self.forms.mask(codes).reshape(n, many, -1).astype(np.float64)
+        d = self.t - canvas
+        parts = np.concatenate((d, canvas, (d * canvas), canvas * canvas, np.ones((*d.shape[:3], 1))), axis=-1).reshape(n, -1, 13)
+        sums = np.matmul(mask, parts).reshape(n * many, 13)
+        (sd, sc, sdc, scc), area = np.split(sums[:, :12], 4, axis=-1), sums[:, 12:]
+        levels = np.array(self.codec.levels)[:, None, None, None]
+        if self.codec.palette is not None:
+            color = np.broadcast_to(np.arange(self.codec.colors), (len(levels), n * many, self.codec.colors))
+        else:
+            color = self.colors.code(np.clip((sd + levels[..., 0] * sc) / np.maximum(levels[..., 0] * area, 1e-9), 0, 1))[..., None]
+        p = self.colors.light(color)
+        change = (-2 * levels * (p * sd[:, None] - sdc[:, None]) + levels**2 * (p * p * area[:, None] - 2 * p * sc[:, None] + scc[:, None])).sum(axis=-1)
+        change = np.where((area > 0) & (levels[..., 0] > 0), change, 0.0).transpose(1, 0, 2).reshape(n * many, -1)
+        best, one = change.argmin(axis=1), np.arange(n * many)
+        level, which = np.divmod(best, color.shape[-1])
+        return codes, *(x.reshape(n, many) for x in (color[level, one, which], level, change[one, best]))
+
+    def paint(self, canvas: np.ndarray, codes: np.ndarray, color: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+        a = np.array(self.codec.levels)[alpha][:, None, None, None] * self.forms.mask(codes)[..., None]
+        return canvas + a * (self.colors.light(color)[:, None, None] - canvas)
+
+    def run(self, seed: int) -> tuple[list[str], np.ndarray]:
+        """Hashes and squared errors of all pictures."""
+        n, shapes = self.n, self.codec.n_shapes
+        ground = self.colors.code(self.t.mean(axis=(1, 2)))
+        blank = np.broadcast_to(self.colors.light(ground)[:, None, None], self.t.shape)
+        u = _draws(seed, shapes * (1 + self.o.refine_passes), self.o.n_random, len(self.bits))
+        codes = np.zeros((n, shapes, len(self.bits)), dtype=np.int64)
+        color, alpha = np.zeros((n, shapes), dtype=np.int64), np.zeros((n, shapes), dtype=np.int64)
+        canvas = blank
+        for k in range(shapes):
+            found = self.best(canvas, u[k])
+            good = found[3] < -LEAST_GAIN
+            # where nothing helps the shape is the smallest one, in the colour below it
+            codes[:, k] = np.where(good[:, None], found[0], 0)
+            color[:, k] = np.where(good, found[1], self.colors.code(canvas[:, 0, 0]))
+            alpha[:, k] = np.where(good, found[2], 0)
+            canvas = self.paint(canvas, codes[:, k], color[:, k], alpha[:, k])
+        for turn in range(self.o.refine_passes):
+            if not self._refined(blank, codes, color, alpha, u[(turn + 1) * shapes :]):
+                break
+        canvas = blank
+        for k in range(shapes):
+            canvas = self.paint(canvas, codes[:, k], color[:, k], alpha[:, k])
+        stream = records(codes, color, alpha, self.codec).reshape(n, -1)
+        head = [(np.full(n, aspect_code(self.w, self.h)), 8), (ground, self.codec.color_field)]
+        bits = [(stream[:, i], 1) for i in range(stream.shape[1])]
+        return packed(head + bits, n), ((self.t - canvas) ** 2).sum(axis=(1, 2, 3))
+
+    def _refined(self, blank: np.ndarray, codes: np.ndarray, color: np.ndarray, alpha: np.ndarray, u: np.ndarray) -> bool:
+        """One pass over the shapes, each taken out and searched again; what is accepted moves last.  Whether any was."""
+        shapes, one, some = codes.shape[1], np.arange(self.n), False
+        at = np.zeros(self.n, dtype=np.int64)  # the shape of each picture that is next
+        for k in range(shapes):
+            full, rest = blank, blank
+            for j in range(shapes):
+                shape = codes[:, j], color[:, j], alpha[:, j]
+                full = self.paint(full, *shape)
+                rest = np.where((at == j)[:, None, None, None], rest, self.paint(rest, *shape))
+            found = self.best(rest, u[k])
+            before, after = (((self.t - c) ** 2).sum(axis=(1, 2, 3)) for c in (full, rest))
+            good = after + found[3] < before - 1e-9
+            for i in one[good]:
+                for values, new in ((codes, found[0]), (color, found[1]), (alpha, found[2])):
+                    values[i] = np.concatenate((np.delete(values[i], at[i], axis=0), new[i : i + 1]))
+            some |= bool(good.any())
+            # behind one that moved stands the next one in its place
+            at = np.where(good, at, at + 1)
+        return some
+
+
+def fitted(df: DataFrame, codec: Codec, seed: int = 0, options: SearchOptions | None = None, w: str = "w", h: str = "h", r: str = "r", g: str = "g", b: str = "b") -> DataFrame:
+    """``df`` with ``hash`` and ``sse`` of the pictures in its flat byte arrays.
+
+    Arrays that don't fit the size, or hold nulls, give null.  Columns of ``df`` by these two
+    names give way to them.
+    """
+    if codec.shape not in KINDS:
         raise ValueError(f"{codec.shape} hashes aren't fitted")
-    ws = Workspace(pixels.sparkSession, "fit")
-    fields = _codes(codec)
-    lin = pixels.select(F.col(key).alias("id"), "y", "x", *(color.linear(F.col(k)).alias(f"t_{k}") for k in "rgb"))
-    mean = lin.groupBy("id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), *(F.avg(f"t_{k}").alias(f"p_{k}") for k in "rgb"))
-    code, under = _wire_color(codec)
-    mean = ws.keep(mean.select("id", "w", "h", code.alias("bg"), *(v.alias(f"c_{k}") for v, k in zip(under, "rgb", strict=True))), "mean")
-    canvas = ws.keep(lin.join(mean.select("id", "w", "h", "c_r", "c_g", "c_b"), "id"), "canvas-0")
-    drawn = None
-    for n in range(codec.n_shapes):
-        # places by an exponential race: the odds of a pixel follow its error
-        err = sum(((F.col(f"t_{k}") - F.col(f"c_{k}")) * (F.col(f"t_{k}") - F.col(f"c_{k}")) for k in "rgb"), F.lit(1e-9))
-        race = -F.log(_unit(F.lit(seed), F.lit(n), F.col("id"), F.col("y"), F.col("x"))) / err
-        places = canvas.groupBy("id", "w", "h").agg(F.slice(F.array_sort(F.collect_list(F.struct(race.alias("k"), "x", "y"))), 1, tries).alias("places"))
-        places = places.select("id", "w", "h", F.posexplode("places").alias("try", "p"))
-
-        def drawn_code(name: str, b: int, n: int = n) -> Column:
-            u = _unit(F.lit(seed), F.lit(n), F.col("id"), F.col("try"), F.lit(name))
-            top = (1 << b) - 1
-            if name in ("x", "y"):
-                return quant.position_code(F.col(f"p.{name}"), F.col("w" if name == "x" else "h"), b)
-            if name[0] in "xy":  # other corners lie about the first
-                first = quant.position_code(F.col(f"p.{name[0]}"), F.col("w" if name[0] == "x" else "h"), b)
-                return F.least(F.greatest(first + F.round((u - 0.5) * top).cast("int"), F.lit(0)), F.lit(top))
-            return F.floor(u * (top + 1)).cast("int")
-
-        tried = places.select("id", "w", "h", F.struct(*(drawn_code(k, b).alias(k) for k, b in fields.items())).alias("c"))
-        best = ws.keep(_judged(canvas, tried, codec, [TRIAL_ALPHA]), f"best-{n}-0")
-        sizes = mean.select("id", "w", "h")
-        for climb in range(climbs):
-            moves = [F.col("c")]
-            for k, b in fields.items():
-                for step in (-2, -1, 1, 2):
-                    moves.append(F.col("c").withField(k, F.least(F.greatest(F.col(f"c.{k}") + step, F.lit(0)), F.lit((1 << b) - 1))))
-            levels = codec.levels if climb == climbs - 1 else [TRIAL_ALPHA]
-            near = best.join(sizes, "id").select("id", "w", "h", F.explode(F.array_distinct(F.array(*moves))).alias("c"))
-            best = ws.keep(_judged(canvas, near, codec, levels), f"best-{n}-{climb + 1}")
-        good = F.coalesce(F.col("delta") < -LEAST_GAIN, F.lit(False))
-        empty = F.struct(*(F.lit(0).alias(k) for k in fields))
-        code, paint = _wire_color(codec)
-        won = sizes.join(best, "id", "left").select("id", "w", "h", F.when(good, F.col("c")).otherwise(empty).alias("c"), good.alias("good"), F.when(good, F.col("code")).otherwise(0).alias("code"), F.when(good, F.col("alpha")).otherwise(codec.levels[0]).alias("alpha"), *(F.coalesce(f"p_{k}", F.lit(0.0)).alias(f"p_{k}") for k in "rgb"))
-        corner = canvas.where("x = 0 and y = 0").select("id", *(F.col(f"c_{k}").alias(f"o_{k}") for k in "rgb"))
-        won = won.join(corner, "id").withColumns({f"p_{k}": F.when(F.col("good"), F.col(f"p_{k}")).otherwise(F.col(f"o_{k}")) for k in "rgb"})
-        stream = F.concat(*(F.substring(bits.bits_of(F.col(f"c.{k}"), b), 1, b) for k, b in fields.items() if b), code, F.substring(bits.bits_of(F.col("code"), codec.alpha_bits), 1, codec.alpha_bits))
-        won = ws.keep(won.select("id", F.lit(n).alias("idx"), stream.alias("bits"), geometry(F.col("c"), codec, F.col("w"), F.col("h")).alias("s"), "alpha", *(v.alias(f"d_{k}") for v, k in zip(paint, "rgb", strict=True))), f"won-{n}")
-        hit = shapes.inside(codec.shape, F.col("s"), F.col("x"), F.col("y"))
-        painted = canvas.join(won.select("id", "s", "alpha", "d_r", "d_g", "d_b"), "id").withColumns({f"c_{k}": F.when(hit, (1 - F.col("alpha")) * F.col(f"c_{k}") + F.col("alpha") * F.col(f"d_{k}")).otherwise(F.col(f"c_{k}")) for k in "rgb"})
-        canvas = ws.keep(painted.drop("s", "alpha", "d_r", "d_g", "d_b"), f"canvas-{n + 1}")
-        ws.drop(f"canvas-{n}", *(f"best-{n}-{i}" for i in range(climbs + 1)))
-        rows = won.select("id", "idx", "bits")
-        drawn = rows if drawn is None else drawn.unionByName(rows)
-    err = sum(((F.col(f"t_{k}") - F.col(f"c_{k}")) * (F.col(f"t_{k}") - F.col(f"c_{k}")) for k in "rgb"), F.lit(0.0))
-    left = canvas.groupBy("id").agg(F.sum(err).alias("sse"))
-    body = drawn.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("idx", "bits"))).alias("all"))
-    head = F.concat(F.substring(bits.bits_of(quant.aspect_code(F.col("w"), F.col("h")), 8), 1, 8), F.col("bg"))
-    out = mean.join(body, "id").join(left, "id")
-    return out.select(F.col("id").alias(key), bits.to_hex(F.concat(head, F.array_join(F.transform("all", lambda a: a["bits"]), ""))).alias("hash"), "sse")
+    options = options or defaults(codec.shape)
+    kept = [f for f in df.schema if f.name not in ("hash", "sse")]
+    schema = T.StructType([*kept, T.StructField("hash", T.StringType()), T.StructField("sse", T.DoubleType())])
+    names = [f.name for f in kept]
+    size = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            planes, ws, hs = sized(batch, size)
+            hashes: list[str | None] = [None] * len(batch)
+            errors: list[float | None] = [None] * len(batch)
+            many = options.n_random
+            for (wide, tall), rows in by_size(planes, ws, hs).items():
+                step = max(1, STEP // (many * tall))
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    target = np.stack([np.stack([planes[k][i] for k in range(3)], axis=-1) for i in some]).reshape(len(some), tall, wide, 3)
+                    found, sse = _Search(LINEAR[target], codec, options).run(seed)
+                    for i, text, e in zip(some, found, sse.tolist(), strict=True):
+                        hashes[i], errors[i] = text, e
+            yield pa.RecordBatch.from_arrays([*batch.columns[:size], pa.array(hashes, type=pa.string()), pa.array(errors, type=pa.float64())], names=schema.names)
+
+    of = [F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(names)]
+    given = [F.col(f"`{w}`").cast("int").alias("_w"), F.col(f"`{h}`").cast("int").alias("_h"), *(F.col(f"`{c}`").cast("array<int>").alias(f"_{k}") for c, k in zip((r, g, b), "rgb", strict=True))]
+    return df.select(*of, *given).mapInArrow(run, schema)
+
+
+def sized(batch: pa.RecordBatch, at: int, planes: int = 3) -> tuple[list[list[np.ndarray | None]], list, list]:
+    """The planes, widths and heights that stand from column ``at`` on; a plane is None where it is null or holds nulls."""
+    ws, hs = batch.column(at).to_pylist(), batch.column(at + 1).to_pylist()
+
+    def rows(column: pa.Array) -> list[np.ndarray | None]:
+        values, bounds = column.values, np.asarray(column.offsets)
+        there = np.asarray(column.is_valid())
+        if values.null_count:
+            holes = np.concatenate(([0], np.cumsum(np.asarray(values.is_null()))))
+            there &= holes[bounds[1:]] == holes[bounds[:-1]]
+            values = values.fill_null(0)
+        flat = np.asarray(values)
+        return [flat[a:b] if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], there, strict=True)]
+
+    return [rows(batch.column(at + 2 + k)) for k in range(planes)], ws, hs
+
+
+def by_size(planes: list[list[np.ndarray | None]], ws: list, hs: list) -> dict[tuple[int, int], list[int]]:
+    """The rows of each size whose planes fit it and hold bytes."""
+    out: dict[tuple[int, int], list[int]] = {}
+    for i, (wide, tall) in enumerate(zip(ws, hs, strict=True)):
+        if not wide or not tall or wide < 0 or tall < 0:
+            continue
+        if all(p[i] is not None and len(p[i]) == wide * tall and p[i].min() >= 0 and p[i].max() <= 255 for p in planes):
+            out.setdefault((wide, tall), []).append(i)
+    return out
+
+
+def pictures(pixels: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(key, w, h, r, g, b) of pixel rows (key, y, x, r, g, b): a picture's pixels meet in one row.
+
+    A pixel that occurs more than once counts by its smallest colours; one that is missing makes the arrays not fit.
+    """
+    row = F.struct("y", "x", "r", "g", "b")
+    one = pixels.groupBy(key, "y", "x").agg(*(F.min(c).alias(c) for c in "rgb"))
+    d = one.groupBy(key).agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"), F.array_sort(F.collect_list(row)).alias("all"))
+    return d.select(key, "w", "h", *(F.col(f"all.{c}").alias(c) for c in "rgb"))
+
+
+def fit(pixels: DataFrame, codec: Codec, key: str = "vec_id", seed: int = 0, options: SearchOptions | None = None) -> DataFrame:
+    """(key, hash, sse) of pictures given as pixel rows (key, y, x, r, g, b of bytes)."""
+    return fitted(pictures(pixels, key), codec, seed, options).select(key, "hash", "sse")

@@ -50,13 +50,19 @@ def finalised(sums: DataFrame, alpha: Column) -> DataFrame:
     return d.withColumn("delta", F.when(F.col("n") == 0, 0.0).otherwise(error_change(F.col("alpha"), {k: F.col(f"p_{k}") for k in CHANNELS})))
 
 
-def swept(sums: DataFrame, levels: list[float], keys: list[str]) -> DataFrame:
-    """For each key the opacity with the least error, the first of equals, with its colour."""
+def swept(sums: DataFrame, levels: list[float], keys: list[str], digits: int = 12) -> DataFrame:
+    """For each key the opacity with the least error (to ``digits`` decimals), the first of equals, with its colour."""
     d = finalised(sums.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(levels)))).alias("level")), F.col("level.v"))
-    row = F.struct(F.round("delta", 12).alias("delta"), F.col("level.i").alias("code"), "alpha", "p_r", "p_g", "p_b")
+    row = F.struct(F.round("delta", digits).alias("delta"), F.col("level.i").alias("code"), "alpha", "p_r", "p_g", "p_b")
     return d.groupBy(*keys).agg(F.min(row).alias("best")).select(*keys, "best.*")
 
 
+def squared_error(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the squared error ``sse`` between target and canvas."""
+    err = sum(((F.col(f"t_{k}") - F.col(f"c_{k}")) * (F.col(f"t_{k}") - F.col(f"c_{k}")) for k in CHANNELS), F.lit(0.0))
+    return pixels.groupBy(*keys).agg(F.sum(err).alias("sse"))
+
+
 def row_integral(pixels: DataFrame, value: Column, key: str = "vec_id") -> DataFrame:
     """Running sums along each row of a picture."""
     w = Window.partitionBy(key, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import computed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +26,13 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.transform("v", byte).alias("u"))
 
 
+def pictures(spark: SparkSession, sf_dir: str, edge: int = 8) -> DataFrame:
+    """(vec_id, w, h, r, g, b): :func:`images` with three channels, each pixel repeated to an edge of ``edge``."""
+    d = images(spark, sf_dir)
+    place = lambda k: F.transform(F.sequence(F.lit(0), F.lit(edge * edge - 1)), lambda i: F.element_at("u", ((F.floor(F.floor(i / edge) * 8 / edge) * 8 + F.floor(i % edge * 8 / edge) + k) % 64 + 1).cast("int")))
+    return computed(d, r=place(0), g=place(21), b=place(42)).select("vec_id", F.lit(edge).alias("w"), F.lit(edge).alias("h"), "r", "g", "b")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, y, x, r, g, b) of :func:`images`; green and blue are the bytes 21 and 42 further on."""
     at = images(spark, sf_dir).select("vec_id", "u", F.posexplode("u").alias("i", "r"))
@@ -49,3 +58,9 @@ BYTE = "floor((CASE WHEN " + CLAMPED + " <= 0.0031308 THEN " + CLAMPED + " * 12.
 def six(x: Column) -> Column:
     """Rounded to six decimals, without negative zeros."""
     return F.round(x, 6) + F.lit(0.0)
+
+
+def rows_of(df: DataFrame, *keys: str) -> DataFrame:
+    """A row for each pixel of pictures in arrays: the keys, y, x, r, g, b."""
+    d = df.select(*keys, "w", F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "p"))
+    return d.select(*keys, F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), *(F.col(f"p.{c}").cast("int").alias(c) for c in "rgb"))

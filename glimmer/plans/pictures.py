@@ -11,8 +11,9 @@ from ..codec import of
 from ..functions import color
 from ..functions.rows import computed
 from ..operators import dct, shapes, sums
+from ..operators import images as ops
 from ..registry import query
-from .fixtures import BYTE, IMAGES, LINEAR, images, pixels, six
+from .fixtures import BYTE, IMAGES, LINEAR, images, pictures, pixels, rows_of, six
 
 PIXEL16 = of("pixel", 16)
 _LIN = f"lin AS (SELECT vec_id, y, x, {LINEAR.format('r')} AS r, {LINEAR.format('g')} AS g, {LINEAR.format('b')} AS b FROM px)"
@@ -26,7 +27,7 @@ _CODE = "code AS (SELECT vec_id, gy, gx, ((r >> 3) << 11) | ((g >> 2) << 5) | (b
     f"WITH {IMAGES}, {_LIN}, {_MEAN}, {_U8}, {_CODE} SELECT vec_id, '7f' || string_agg(lower(printf('%02x%02x', p % 256, p // 256)), '' ORDER BY gy, gx) AS hash FROM code GROUP BY vec_id",
 )
 def pixel_encode(spark, sf):
-    return shapes.encode_cells(pixels(spark, sf), PIXEL16)
+    return ops.cells(pictures(spark, sf), PIXEL16).select("vec_id", "hash")
 
 
 _BACK = "back AS (SELECT vec_id, gy, gx, ((p >> 11) << 3) | ((p >> 11) >> 2) AS r, (((p >> 5) & 63) << 2) | (((p >> 5) & 63) >> 4) AS g, ((p & 31) << 3) | ((p & 31) >> 2) AS b FROM code)"
@@ -34,7 +35,7 @@ _BACK = "back AS (SELECT vec_id, gy, gx, ((p >> 11) << 3) | ((p >> 11) >> 2) AS
 
 @query("pixel_decode_nearest", f"WITH {IMAGES}, {_LIN}, {_MEAN}, {_U8}, {_CODE}, {_BACK} SELECT vec_id, gy * 2 + i AS y, gx * 2 + j AS x, r::INT AS r, g::INT AS g, b::INT AS b FROM back, (SELECT unnest(range(2)) AS i), (SELECT unnest(range(2)) AS j)")
 def pixel_decode_nearest(spark, sf):
-    return shapes.decode(pixel_encode(spark, sf), PIXEL16, base=8).select("vec_id", "y", "x", "r", "g", "b")
+    return rows_of(ops.decode(pixel_encode(spark, sf), PIXEL16, base=8), "vec_id")
 
 
 @query("pixel_decode_smooth")
@@ -63,10 +64,8 @@ _PAL = "pal AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {r}, {g}, {b})" for
     SELECT vec_id, y, x, min((round((lin.r - pl.r) * (lin.r - pl.r) + (lin.g - pl.g) * (lin.g - pl.g) + (lin.b - pl.b) * (lin.b - pl.b), 12), idx))[2]::INT AS idx FROM lin, pl GROUP BY ALL""",
 )
 def palette_nearest(spark, sf):
-    colors = palettes.linear_array(palettes.get("pico8"))
     d = pixels(spark, sf).select("vec_id", "y", "x", *(color.linear(F.col(c)).alias(c) for c in "rgb"))
-    dist = lambda c: F.round((F.col("r") - c["r"]) * (F.col("r") - c["r"]) + (F.col("g") - c["g"]) * (F.col("g") - c["g"]) + (F.col("b") - c["b"]) * (F.col("b") - c["b"]), 12)
-    return d.select("vec_id", "y", "x", F.array_min(F.transform(colors, lambda c: F.struct(dist(c).alias("d"), c["idx"].alias("i"))))["i"].alias("idx"))
+    return d.select("vec_id", "y", "x", palettes.nearest(palettes.linear_array(palettes.get("pico8")), *(F.col(c) for c in "rgb")).alias("idx"))
 
 
 @query(
@@ -134,18 +133,14 @@ _NIBBLE = "SELECT ac.vec_id, cy, cx, {scale} AS s, (SELECT min((round(abs(sign(v
 
 @query("dct_nibbles", f"WITH {IMAGES}, {_GRAY}, {_MASK}, {_PROJECT}, {_AC} SELECT vec_id, cy, cx, n FROM ({_NIBBLE.format(scale='0.25::DOUBLE')})")
 def dct_nibbles(spark, sf):
-    d = _ac(spark, sf)
-    d = computed(d, n=F.transform("ac", lambda c: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(F.round(F.abs(color.power(c, 0.6) - dct.level(i, F.lit(0.25), 0.6)), 9).alias("d"), i.alias("i"))))["i"]))
+    d = computed(_ac(spark, sf), n=dct.nibbles(F.col("ac"), F.lit(0.25), 0.6))
     return d.select("vec_id", F.explode(F.arrays_zip(F.slice("m", F.lit(2), F.size("m") - 1).alias("m"), "n")).alias("z")).select("vec_id", "z.m.cy", "z.m.cx", "z.n")
 
 
 @query("dct_encode")
 def dct_encode(spark, sf):
     """Frequency hashes of all pictures; tests hold the encoder against published vectors."""
-    d = images(spark, sf)
-    turned = lambda k: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.element_at("u", (i + k) % 64 + 1))
-    d = computed(d, g=turned(21), b=turned(42)).select("vec_id", F.lit(8).alias("w"), F.lit(8).alias("h"), F.col("u").alias("r"), "g", "b")
-    return dct.encode(d).select("vec_id", "hash")
+    return dct.encode(pictures(spark, sf)).select("vec_id", "hash")
 
 
 @query("dct_scale_search")
@@ -157,7 +152,7 @@ def dct_scale_search(spark, sf):
 @query("dct_decode")
 def dct_decode(spark, sf):
     """Pictures of the hashes of :func:`dct_encode` at 8 pixels."""
-    return dct.decode(dct_encode(spark, sf), base=8).select("vec_id", "y", "x", "r", "g", "b")
+    return rows_of(ops.decode(dct_encode(spark, sf), of("dct"), base=8), "vec_id")
 
 
 _TWICE = "CASE WHEN {0} = 0 THEN 1 ELSE 2 END"
@@ -221,10 +216,8 @@ def delta_sse(spark, sf):
 def alpha_sweep(spark, sf):
     from ..functions.quant import alpha_levels
 
-    s = sums.shape_sums(covered(spark, sf), ["vec_id"])
-    d = sums.finalised(s.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(alpha_levels())))).alias("level")), F.col("level.v"))
-    best = d.groupBy("vec_id").agg(F.min(F.struct(F.round("delta", 6).alias("delta"), F.col("level.i").alias("code"))).alias("m"))
-    return best.select("vec_id", (F.col("m.delta") + 0.0).alias("delta"), "m.code")
+    d = sums.swept(sums.shape_sums(covered(spark, sf), ["vec_id"]), alpha_levels(), ["vec_id"], digits=6)
+    return d.select("vec_id", six(F.col("delta")).alias("delta"), "code")
 
 
 @query("row_integral", f"WITH {IMAGES} SELECT vec_id, y, x, sum(r) OVER (PARTITION BY vec_id, y ORDER BY x)::BIGINT AS along FROM px")
@@ -244,8 +237,7 @@ def residual_cdf(spark, sf):
 
 @query("sse_total", f"WITH {IMAGES}, {_CANVAS} SELECT vec_id, round(sum((t_r - c_r) ** 2 + (t_g - c_g) ** 2 + (t_b - c_b) ** 2), 6) AS sse FROM tc GROUP BY vec_id")
 def sse_total(spark, sf):
-    err = sum(((F.col(f"t_{k}") - F.col(f"c_{k}")) * (F.col(f"t_{k}") - F.col(f"c_{k}")) for k in "rgb"), F.lit(0.0))
-    return canvas(spark, sf).groupBy("vec_id").agg(six(F.sum(err)).alias("sse"))
+    return sums.squared_error(canvas(spark, sf), ["vec_id"]).select("vec_id", six(F.col("sse")).alias("sse"))
 
 
 _PAIR = f"{_LIN}, {_MEAN}, {_U8}, {_CODE}, {_BACK}, two AS (SELECT px.vec_id, px.r AS r1, px.g AS g1, px.b AS b1, back.r AS r2, back.g AS g2, back.b AS b2 FROM px JOIN back ON px.vec_id = back.vec_id AND px.y // 2 = gy AND px.x // 2 = gx)"

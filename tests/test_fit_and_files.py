@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glimmer import codec as C
 from glimmer import palettes
+from glimmer.functions import color
 from glimmer.operators import fit, metrics, render, shapes
 from glimmer.plans import fitted
 from glimmer.plans.codecs import variants
@@ -23,10 +24,11 @@ def test_fit(spark, kind):
     two = [pictures.synthetic(spark, k, 16, 12).withColumn("vec_id", F.lit(i)) for i, k in enumerate(("quadrants", "gradient"))]
     px = two[0].unionByName(two[1])
     codec = C.of(kind, 3)
-    out = fit.fit(px, codec, tries=10, climbs=1).collect()
-    again = fit.fit(px.repartition(7), codec, tries=10, climbs=1).collect()
+    few = fit.SearchOptions(n_random=10, hill_climb_steps=1, n_attempts=1)
+    out = fit.fit(px, codec, options=few).collect()
+    again = fit.fit(px.repartition(7), codec, options=few).collect()
     assert {r.vec_id: r.hash for r in out} == {r.vec_id: r.hash for r in again}
-    blank = {r.vec_id: r.sse for r in fit.fit(px, C.of(kind, 1), tries=1, climbs=0).collect()}
+    blank = {r.vec_id: r.sse for r in fit.fit(px, C.of(kind, 1), options=fit.SearchOptions(n_random=1, hill_climb_steps=0, n_attempts=1)).collect()}
     size = {"circle": 16, "square": 16, "rect": 17, "rotrect": 19, "triangle": 22}[kind]
     for r in out:
         assert len(r.hash) == 2 * size and r.sse < blank[r.vec_id]
@@ -60,10 +62,112 @@ def test_registered_fits(monkeypatch, kind):
     assert asked == [(C.of(kind, 12), {})]
 
 
+def rounded_gradient(w, h):
+    y, x = np.mgrid[:h, :w]
+    return np.stack((np.floor(x * 255 / (w - 1) + 0.5), np.floor(y * 255 / (h - 1) + 0.5), np.full((h, w), 64)), axis=-1).astype(int)
+
+
+# Published hashes of gradients and of plain pictures, by shape, size, shapes and colours.
+PUBLISHED = [
+    ("circle", 12, 48, 48, "", "7fc89ceb2fea0fff5ae478faaee8ff43881100560b22e0ae54442f18a58854abf20ff980fe1ffa3d7f39047c1aa368088cff902f09"),
+    ("circle", 24, 48, 36, "", "91c89cff2d1a3ddb5ff4032db30838d43fd1dfb7492260f37c453d109d884c2bf90ffd7344221ac1be3c64fe9591a810fde510f0dbbfa1df539244c054f98778c0670db950eb13fa578735d4027d5c48fed3b7909ba5492140ef3e43dd95fe84fe3caa09d174"),
+    ("triangle", 12, 48, 29, "", "9ec89ce003e83ff20bffff2002e47cfeff21fce8ff031c000e1000782d070d20e00e30c0ad452dd8b71f6080803f60e3071ffd60ed72783d9ab1f0ffff67f4ffa59f3fc5e88f02004c0a100006"),
+    ("square", 12, 48, 48, "", "7fc89ceb37ea097d62c470f3cc28ff5cab114148e522b3aefe45be1d2d8a80ca0f17817f662e52c1cc5fc4037a8fc8fffc4591e10d"),
+    ("rect", 12, 48, 48, "", "7fc89c1cea23d3f7f557f43b26d58d94526479d10ba6b726d2fd30624680def17de807a45415a9553e5d23e7d39e6304d4796f88fa5ffa15d15f07"),
+    ("rotrect", 12, 48, 40, "", "8ac89cfeed7f64fa3efe1ad0cfb88ef746c0a1e6ba0fed7efa300304f09d9afd500b96febd443f58ad9a1da954c66c33a4887ea39ad0e0eb3d9e45fe2734aa100171"),
+    ("circle", 8, 48, 48, "palette", "7f5c7fb1bff64c8a69fd0d2a5b11bfebf245bf58b004"),
+    ("triangle", 12, 48, 48, "rgb888", "7f9898401fc0ff3f7f32100104ff7f807fa07df0c0cfe90040dc006c00000080f8a7fdfffbfb03cd7ef08105f807da871f50800f00b48c01031c4017480b60bc032c0090ae5c9af7546e2001098004000040dcf6ebbffe498106"),
+]
+
+
+def error_of(spark, hash_, codec, img):
+    """Squared error in linear light of a hash drawn by the library's decoder, at the picture's own size."""
+    h, w = img.shape[:2]
+    d = spark.createDataFrame([(hash_,)], "hash string")
+    got = np.zeros((h, w, 3))
+    for r in shapes.decode(d, codec, base=max(w, h), aspect=w / h).collect():
+        got[r.y, r.x] = r.r, r.g, r.b
+    lin = lambda u: np.where(u / 255 <= 0.04045, u / 255 / 12.92, ((u / 255 + 0.055) / 1.055) ** 2.4)
+    return ((lin(got) - lin(img)) ** 2).sum()
+
+
+@pytest.mark.parametrize("kind,n,w,h,colors,published", PUBLISHED)
+def test_fits_are_as_good_as_published_ones(spark, kind, n, w, h, colors, published):
+    codec = C.of(kind, n)
+    if colors:
+        codec = codec.with_color(24) if colors == "rgb888" else codec.with_palette("".join(f"{32 * i:02x}{255 - 32 * i:02x}{17 * i:02x}" for i in range(8)))
+    img = rounded_gradient(w, h)
+    planes = [img[..., k].reshape(-1).tolist() for k in range(3)]
+    d = spark.createDataFrame([(i, w, h, *planes) for i in (1, 2)], "vec_id int, w int, h int, r array<int>, g array<int>, b array<int>")
+    one, two = fit.fitted(d, codec).orderBy("vec_id").collect()
+    # equal pictures have equal hashes
+    assert one.hash == two.hash and one.sse == two.sse and len(one.hash) == len(published)
+    want, got = error_of(spark, published, codec, img), error_of(spark, one.hash, codec, img)
+    assert abs(got - one.sse) < 0.03 * one.sse + 0.05
+    assert got <= 1.1 * want
+
+
+def test_search_options(spark):
+    img = rounded_gradient(24, 18)
+    planes = [img[..., k].reshape(-1).tolist() for k in range(3)]
+    d = spark.createDataFrame([(1, 24, 18, *planes), (2, 24, 17, *planes), (3, 24, 18, planes[0], None, planes[2]), (4, 24, 18, planes[0], [None] * 432, planes[2])], "vec_id int, w int, h int, r array<int>, g array<int>, b array<int>")
+    sse = {}
+    for name, o in {"plain": fit.SearchOptions(), "refined": fit.SearchOptions(refine_passes=2), "uniform": fit.SearchOptions(strategy="topk_uniform", n_topk=6), "poor": fit.SearchOptions(n_random=2, n_attempts=1, hill_climb_steps=0)}.items():
+        rows = {r.vec_id: r for r in fit.fitted(d, C.of("circle", 6), options=o).collect()}
+        assert rows[2].hash is None and rows[3].hash is None and rows[4].sse is None
+        assert abs(error_of(spark, rows[1].hash, C.of("circle", 6), img) - rows[1].sse) < 0.03 * rows[1].sse + 0.05
+        sse[name] = rows[1].sse
+    assert sse["refined"] <= sse["plain"] < sse["poor"] and sse["uniform"] < sse["poor"]
+    assert fit.defaults("triangle") == fit.SearchOptions(n_random=50, hill_climb_max_age=50, n_attempts=3)
+    for bad in ({"strategy": "best"}, {"n_random": 0}, {"refine_passes": -1}):
+        with pytest.raises(ValueError):
+            fit.SearchOptions(**bad)
+
+
+def test_stream():
+    from glimmer.functions.stream import Stream
+
+    # the generator's published first outputs for the state 1, 2, 3, 4
+    s = Stream(0)
+    s.state = [1, 2, 3, 4]
+    assert [s.whole() for _ in range(4)] == [11520, 0, 1509978240, 1215971899390074240]
+    # and of its seeding by SplitMix64 from 0
+    assert Stream(0).state[0] == 0xE220A8397B1DCDAF
+    s = Stream(7)
+    x = np.array([s.normal() for _ in range(4000)])
+    assert abs(x.mean()) < 0.06 and abs(x.std() - 1) < 0.05
+    assert all(0 <= s.unit() < 1 and 0 <= s.below(9) < 9 and abs(s.step(0.1)) >= 1 for _ in range(500))
+
+
+def test_kernels_follow_the_columns(spark):
+    from glimmer.operators.kernel import LINEAR, Forms, fields, srgb_u8
+
+    u = spark.range(256).select(F.col("id"), color.linear(F.col("id")).alias("l")).orderBy("id").collect()
+    assert np.allclose([r.l for r in u], LINEAR, atol=1e-15)
+    lin = np.concatenate((np.random.default_rng(1).random(3000), LINEAR, [0.0, 1.0, -1.0, 2.0, 0.0031308]))
+    got = spark.createDataFrame([(i, float(v)) for i, v in enumerate(lin)], "i int, v double").select("i", color.srgb_u8(F.col("v")).alias("u")).orderBy("i").collect()
+    assert [r.u for r in got] == srgb_u8(lin).tolist()
+    rng = np.random.default_rng(3)
+    for kind in ("circle", "triangle", "square", "rect", "rotrect"):
+        codec = C.of(kind, 1)
+        forms = Forms(codec, 20, 13)
+        codes = np.stack([rng.integers(0, 1 << b, 40) for _, b in fields(codec)], axis=-1)
+        mask = forms.mask(codes)
+        rows = []
+        for i, c in enumerate(codes):
+            v = dict(zip([n for n, _ in fields(codec)], (t[k] for t, k in zip(forms.tables, c, strict=True)), strict=True))
+            w = int(v.get("r", v.get("w", 0)))
+            rows.append((i, int(v["x"]), int(v["y"]), w, int(v.get("h", w)), float(v.get("t", 0.0)), *(int(v.get(k, 0)) for k in ("x1", "y1", "x2", "y2"))))
+        d = spark.createDataFrame(rows, "i int, cx int, cy int, w int, h int, theta double, x1 int, y1 int, x2 int, y2 int")
+        d = d.select("i", F.struct(*d.columns[1:]).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(12))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("x"))
+        hit = {(r.i, r.y, r.x) for r in d.where(shapes.inside(kind, F.col("s"), F.col("x"), F.col("y"))).select("i", "y", "x").collect()}
+        assert hit == {tuple(map(int, p)) for p in np.argwhere(mask)}
+
+
 def test_fit_with_palette(spark):
     px = pictures.synthetic(spark, "checkerboard", 16, 16).withColumn("vec_id", F.lit(1))
     codec = replace(C.of("rect", 2), palette=palettes.get("pico8"))
-    r = fit.fit(px, codec, tries=8, climbs=1).collect()[0]
+    r = fit.fit(px, codec, options=fit.SearchOptions(n_random=8, hill_climb_steps=1)).collect()[0]
     assert len(r.hash) == 2 * C_total(spark, codec)
     with pytest.raises(ValueError):
         fit.fit(px, C.of("dct"))
