@@ -20,7 +20,7 @@ smallest id already and no join on the component is needed, however large it is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ _BAND = _RNG.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) +
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 #: Buckets of more classes are searched by rare shingles after their star.
 SMALL = 16
-#: How many of the most frequent shingles are told apart by their frequency.
-COMMON = 50_000
+#: Bits of a shingle by which its frequency is counted, and tasks that add counts up.
+COUNTED, CUPS = 17, 8
 #: Shingles whose minima are taken together.
 _CHUNK = 1 << 18
 
@@ -168,22 +168,44 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, T.StructType([both.schema["a"], both.schema["b"]]))
 
 
-def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all ``classes``, sorted, with their counts.
+def _frequencies(classes: DataFrame) -> np.ndarray:
+    """How many of all shingles of ``classes`` fall into each of 2^COUNTED buckets by their first bits.
 
-    They only order shingles by rarity; results are the same for any order.
+    A partition gives one row, and CUPS tasks add these up.  The counts only order shingles
+    by rarity; results are the same for any order.
     """
+    top = np.uint64(64 - COUNTED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(total: np.ndarray) -> bytes:
+        at = np.flatnonzero(total)
+        return np.stack((at, total[at])).astype(np.int64).tobytes()
+
+    def unpacked(rows: Iterable[bytes]) -> np.ndarray:
+        total = np.zeros(1 << COUNTED, dtype=np.int64)
+        for row in rows:
+            at, n = np.frombuffer(row, dtype=np.int64).reshape(2, -1)
+            total[at] += n
+        return total
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros(1 << COUNTED, dtype=np.int64), False
         for batch in batches:
             for s in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, dtype=np.int64))], names=["shingle"])
+                np.add.at(total, (np.frombuffer(s, dtype=np.uint64) >> top).astype(np.int64), 1)
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(total)])], names=["counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, some = np.zeros(1 << COUNTED, dtype=np.int64), False
+        for batch in batches:
+            total += unpacked(batch.column(0).to_pylist())
+            some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(total)])], names=["counts"])
 
-    counts = classes.select("shingles").mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
-    rows = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    found = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(found)
-    return found[order], np.array([r[1] for r in rows], dtype=np.int64)[order]
+    each = classes.select("shingles").mapInArrow(count, "counts binary")
+    return unpacked(r["counts"] for r in each.repartition(CUPS).mapInArrow(add, "counts binary").collect())
 
 
 def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
@@ -196,19 +218,15 @@ def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
     documents of about one size that share a frequent passage but too little else begin
     with more of their own than that, so they never meet.
     """
-    shared = classes.sparkSession.sparkContext.broadcast(_common(classes))
+    shared = classes.sparkSession.sparkContext.broadcast(_frequencies(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = shared.value
+        counts = shared.value
         for batch in batches:
             rows, found, places, few = [], [], [], []
             for i, (n, data) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 s = np.frombuffer(data, dtype=np.uint64)
-                count = np.zeros(len(s), dtype=np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    count = np.where(common[at] == s, counts[at], 0)
-                first = np.lexsort((s, count))[: n - -(-percent * n // 100) + 1]
+                first = np.lexsort((s, counts[(s >> np.uint64(64 - COUNTED)).astype(np.int64)]))[: n - -(-percent * n // 100) + 1]
                 rows.append(np.full(len(first), i))
                 found.append(s[first].view(np.int64))
                 places.append(np.arange(len(first), dtype=np.int32))
