@@ -92,10 +92,10 @@ def sized(edge: int, shape: str):
 
 
 def drawn(edge: int, shape: str, base: int = 256):
-    """Those hashes drawn at ``base`` pixels: the mean of each picture's bytes, so that all are made and none is kept."""
+    """Those hashes drawn at ``base`` pixels, as arrays."""
 
     def run(spark, sf):
         d = ops.decode(sized(edge, shape)(spark, sf), of(shape, 16 if shape == "pixel" else 12), base=base)
-        return d.select("vec_id", *(F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v).alias(c) for c in "rgb"))
+        return d.select("vec_id", "w", "h", "r", "g", "b")
 
     return run
