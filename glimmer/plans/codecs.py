@@ -60,12 +60,12 @@ def preset_expand(spark, sf):
 
 @query(
     "byte_compat_join",
-    f"""WITH {_PARTS}, s AS (SELECT unnest({list(_SHAPES)!r}) AS shape), small AS (SELECT * FROM f WHERE n <= 6)
-    SELECT a.p_partkey AS a, b.p_partkey AS b FROM small a JOIN small b ON a.shape = b.shape AND a.n = b.n AND a.cx = b.cx AND a.cy = b.cy AND a.rb = b.rb AND a.ab = b.ab AND a.cb = b.cb AND a.tb = b.tb AND a.k IS NOT DISTINCT FROM b.k AND a.p_partkey < b.p_partkey""",
+    f"""WITH {_PARTS}, s AS (SELECT unnest({list(_SHAPES)!r}) AS shape)
+    SELECT a.p_partkey AS a, b.p_partkey AS b FROM f a JOIN f b ON a.shape = b.shape AND a.n = b.n AND a.cx = b.cx AND a.cy = b.cy AND a.rb = b.rb AND a.ab = b.ab AND a.cb = b.cb AND a.tb = b.tb AND a.k IS NOT DISTINCT FROM b.k AND a.p_partkey < b.p_partkey""",
 )
 def byte_compat_join(spark, sf):
-    small = parts(spark, sf).where("codec.n_shapes <= 6")
-    a, b = small.select(F.col("p_partkey").alias("a"), F.col("codec").alias("ca")), small.select(F.col("p_partkey").alias("b"), F.col("codec").alias("cb"))
+    all_ = parts(spark, sf)
+    a, b = all_.select(F.col("p_partkey").alias("a"), F.col("codec").alias("ca")), all_.select(F.col("p_partkey").alias("b"), F.col("codec").alias("cb"))
     return a.join(b, C.compatible(F.col("ca"), F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b")
 
 
