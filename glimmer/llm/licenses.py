@@ -3,14 +3,14 @@
 Templates are short word sequences; their words are the licence words.  One pass over the
 texts finds each file's licence words, and where they stand in files that hold all words
 of some key phrase; no other file can match.  What it finds is written and is small; the
-document frequencies of licence words are counted from it.  Of each template the words with
-the highest inverse document frequency are its anchors, so that a file's highest-IDF
-licence words are looked up first; the index lists where each anchor stands in which
-templates.  A file's anchors give alignments: a template and the place where it would
-start.  Alignments are intersected by that place, weighed by the share of the template's
-IDF mass whose words stand where they should, and accepted if that share is high enough
-and the template's key phrase stands there word by word.  For a base phrase the key phrase
-is all of it.
+document frequencies of licence words are counted from it.  The index lists where each word
+stands in which templates.  Of each file its highest-IDF licence words are looked up there,
+as many as it takes to meet a word of the key phrase of every template whose key phrase the
+file may hold; so nothing that could be accepted is missed.  The places of these words give
+alignments: a template and the place where it would start.  Alignments are intersected by
+that place, weighed by the share of the template's IDF mass whose words stand where they
+should, and accepted if that share is high enough and the template's key phrase stands
+there word by word.  For a base phrase the key phrase is all of it.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` with A-Z lowered.  The only things that
 leave the executors are the document frequencies of the templates' own words.
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from .workspace import Workspace
 
-#: Anchors of a template that isn't a base phrase; alignments need one of them.
-ANCHORS = 3
 #: Share of a template's IDF mass that must stand in place.
 SHARE = 0.75
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -113,9 +111,10 @@ def _idf(counts: dict[str, int], total: int) -> dict[str, float]:
     return {w: log((total + 2) / (n + 1)) for w, n in counts.items()}
 
 
-def _barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
+def _barrier(df: DataFrame, name: str, value: Column, replace: bool = False) -> DataFrame:
     """``df`` with a column that is computed once a row, however often lambdas refer to it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    kept = [c for c in df.columns if not replace or c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = BASE + STATEMENTS) -> DataFrame:
@@ -130,20 +129,26 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: t
     looked = ws.keep(_looked_up(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), templates), "words")
     counts, total = document_frequencies(looked, templates)
     idf = _idf(counts, total)
-    postings, described = [], []
-    for k, t in enumerate(templates):
-        rare = sorted(set(t.words), key=lambda w: (-idf[w], w))[: 1 if t.base else ANCHORS]
-        postings += [(w, k, i) for i, w in enumerate(t.words) if w in rare]
+    order = lambda w: (-idf[w], w)
+    described, rarest = [], []
+    for t in templates:
         mass = sum(idf[w] for w in t.words)
         shares = [idf[w] / mass if mass else 1 / len(t.words) for w in t.words]
         described.append(F.struct(F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), _strings(t.words).alias("words"), F.array(*map(F.lit, shares)).alias("shares"), _strings(t.key).alias("key"), F.lit(t.key_at).alias("key_at")))
-    anchors = _strings(sorted({w for w, _, _ in postings}))
-    index = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(k).alias("t"), F.lit(i).alias("at")) for w, k, i in postings))
+        rarest.append(min(t.key, key=order))
+    by_idf = _strings(sorted({w for t in templates for w in t.words}, key=order))
+    index = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(k).alias("t"), F.lit(i).alias("at")) for k, t in enumerate(templates) for i, w in enumerate(t.words)))
     table = F.array(*described)
 
-    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(anchors, x["w"]))
-    rows = _barrier(looked.drop("present"), "places", places)
-    starts = F.flatten(F.transform("places", lambda x: F.transform(F.filter(index, lambda p: p["w"] == x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["at"]).alias("o")))))
+    # a file's own index: the templates it may hold, and its rarest licence words until each of them is met
+    rows = _barrier(looked, "may", F.when(F.col("words").isNotNull(), F.filter(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda k: F.size(F.array_except(F.element_at(table, k + 1)["key"], "present")) == 0)))
+    rows = _barrier(rows, "rare", F.filter(by_idf, lambda w: F.array_contains("present", w) & F.col("words").isNotNull()))
+    reach = F.array_max(F.transform("may", lambda k: F.array_position("rare", F.element_at(_strings(rarest), k + 1))))
+    rows = _barrier(rows, "rare", F.slice("rare", F.lit(1), F.coalesce(reach, F.lit(0)).cast("int")), replace=True)
+    rows = _barrier(rows, "postings", F.filter(index, lambda p: F.array_contains("may", p["t"]) & F.array_contains("rare", p["w"])))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains("rare", x["w"]))
+    rows = _barrier(rows.drop("present"), "places", places)
+    starts = F.flatten(F.transform("places", lambda x: F.transform(F.filter("postings", lambda p: p["w"] == x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["at"]).alias("o")))))
     rows = _barrier(rows, "starts", F.filter(F.array_distinct(starts), lambda s: s["o"] >= 0))
 
     def weighed(s: Column) -> Column:

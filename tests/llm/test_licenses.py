@@ -7,7 +7,7 @@ from math import log
 
 import pytest
 
-from glimmer.llm.licenses import ANCHORS, BASE, SHARE, STATEMENTS, scan
+from glimmer.llm.licenses import BASE, SHARE, STATEMENTS, scan
 
 
 def tokens(text):
@@ -23,12 +23,9 @@ def brute(rows):
     for (doc_id, _), d in zip(rows, docs, strict=True):
         base, labels, score = [], set(), 0.0
         for t in templates:
-            rare = sorted(set(t.words), key=lambda w: (-idf[w], w))[: 1 if t.base else ANCHORS]
             mass = sum(idf[w] for w in t.words)
             for o in range(len(d)):
                 here = d[o : o + len(t.words)]
-                if not any(a == b and b in rare for a, b in zip(here, t.words, strict=False)):
-                    continue
                 share = sum((idf[b] / mass if mass else 1 / len(t.words)) for a, b in zip(here, t.words, strict=False) if a == b)
                 if share >= SHARE - 1e-9 and tuple(d[o + t.key_at : o + t.key_at + len(t.key)]) == t.key:
                     labels.add(t.label)
