@@ -6,6 +6,7 @@ compared null-safely and joined on.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -131,6 +132,17 @@ def presets() -> dict[str, tuple[Codec, bool]]:
     return found
 
 
+def preset(name: str) -> Codec:
+    """A preset by name; old names warn."""
+    found = presets()
+    if name not in found:
+        raise KeyError(f"unknown preset {name!r}; known: {sorted(found)}")
+    codec, old = found[name]
+    if old:
+        warnings.warn(f"preset {name} is deprecated", DeprecationWarning, stacklevel=2)
+    return codec
+
+
 def preset_frame(spark: SparkSession) -> DataFrame:
     """(ord, name, deprecated, codec)."""
     rows = [(i, name, old, tuple(asdict(c).values())) for i, (name, (c, old)) in enumerate(presets().items())]
@@ -197,3 +209,7 @@ def supports_svg(codec: Column) -> Column:
 
 def supports_corners(codec: Column) -> Column:
     return codec["shape"].isin("rect", "square", "rotrect")
+
+
+def palette_mode(codec: Column) -> Column:
+    return codec["palette"].isNotNull()

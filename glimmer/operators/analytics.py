@@ -60,12 +60,45 @@ def family(method: Column) -> Column:
     return F.when(method.rlike("^(jpeg|webp)"), F.regexp_extract(method, "^([^-]*)", 1)).otherwise(F.regexp_replace(method, "-?[0-9.]+$", ""))
 
 
+def _fixed(x: Column, digits: int, even: bool) -> Column:
+    """``x`` (not negative) with so many decimals, rounded by its exact binary value; exact halves to even or up."""
+    scale = 10.0**digits
+    below = F.floor(x * scale).cast("double")
+    # both parts have few enough bits for exact products
+    coarse = x.cast("float").cast("double")
+    above_half = (coarse * (2 * scale) - (2 * below + 1)) + (x - coarse) * (2 * scale)
+    up = (above_half > 0) | ((above_half == 0) & (F.lit(True) if not even else below % 2 == 1))
+    return F.format_string(f"%.{digits}f", (below + up.cast("int")) / scale)
+
+
 def duration_text(us: Column) -> Column:
     """Microseconds below a thousand, else milliseconds."""
-    return F.when(us < 1000, F.concat(F.format_string("%.1f", us), F.lit(" us"))).otherwise(F.concat(F.format_string("%.2f", us / 1000), F.lit(" ms")))
+    return F.when(us < 1000, F.concat(_fixed(us, 1, True), F.lit(" us"))).otherwise(F.concat(_fixed(us / 1000, 2, True), F.lit(" ms")))
 
 
 def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
     """(line): rows as lines of a Markdown table, to be written as text."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def milliseconds_text(ms: Column) -> Column:
+    """Milliseconds in three significant digits or so; a dash for none."""
+    text = F.concat(F.when(ms >= 100, _fixed(ms, 0, False)).when(ms >= 10, _fixed(ms, 1, False)).otherwise(_fixed(ms, 2, False)), F.lit(" ms"))
+    return F.when(ms.isNull() | F.isnan(ms) | (ms == 0) | (F.abs(ms) == float("inf")), "—").otherwise(text)
+
+
+def overview(df: DataFrame, keys: list[str], encode: str, decode: str, size: str) -> DataFrame:
+    """(keys, n, encode, decode, sizes, fastest, smallest): mean times, the sizes as text, the least time and size."""
+    d = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(encode).alias("encode"), F.avg(decode).alias("decode"),
+        F.min(encode).alias("fastest"), F.min(size).alias("smallest"), F.max(size).alias("_most"),
+    )
+    one = F.concat(F.col("smallest").cast("string"), F.lit(" B"))
+    several = F.concat_ws("–", F.col("smallest").cast("string"), F.concat(F.col("_most").cast("string"), F.lit(" B")))
+    return d.withColumn("sizes", F.when(F.col("smallest") == F.col("_most"), one).otherwise(several)).drop("_most")
+
+
+def means(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, values, n): means of a rate point's rows."""
+    return df.groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values), F.count(F.lit(1)).alias("n"))

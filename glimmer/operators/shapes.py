@@ -94,8 +94,12 @@ def shape_rows(df: DataFrame, codec: Codec, hash_: str = "hash", base: int = 256
     return d.select(*df.columns, F.lit(codec.shape).alias("kind"), "idx", "s.*")
 
 
-def symbols(df: DataFrame, codec: Codec, hash_: str = "hash") -> DataFrame:
-    """A row for each coded number: the columns of ``df``, field, pos, sym; what entropy models are fitted on."""
+def symbols(df: DataFrame, codec: Codec, hash_: str = "hash", deltas: bool = False) -> DataFrame:
+    """A row for each coded number: the columns of ``df``, field, pos, sym; what entropy models are fitted on.
+
+    With ``deltas`` the second and third corner of a triangle are given by their distance
+    from the first one, shifted to be 0 or more.
+    """
     per, head, x, y, r = _record_bits(codec), 8 if codec.shape == "pixel" else 8 + codec.color_field, codec.cx_bits, codec.cy_bits, codec.r_bits
     layout: list[tuple[str, int]] = {
         "circle": [("x", x), ("y", y), ("r", r)], "square": [("x", x), ("y", y), ("r", r)], "rect": [("x", x), ("y", y), ("w", r), ("h", r)],
@@ -109,7 +113,10 @@ def symbols(df: DataFrame, codec: Codec, hash_: str = "hash") -> DataFrame:
         at += n
     assert at == per
     d = computed(df, _s=bits.from_hex(F.col(hash_))).select(*df.columns, "_s", F.explode(F.sequence(F.lit(0), F.lit(codec.n_shapes - 1))).alias("pos"))
-    items = F.array(*(F.struct(F.lit(name).alias("field"), bits.read(F.col("_s"), F.col("pos") * per + head + k, n).alias("sym")) for name, k, n in fields if n))
+    sym = {name: bits.read(F.col("_s"), F.col("pos") * per + head + k, n) for name, k, n in fields if n}
+    if deltas and codec.shape == "triangle":
+        sym |= {c: (sym[c] - sym[c[0] + "0"] + ((1 << (x if c[0] == "x" else y)) - 1)) for c in ("x1", "y1", "x2", "y2")}
+    items = F.array(*(F.struct(F.lit(name).alias("field"), v.alias("sym")) for name, v in sym.items()))
     return d.select(*df.columns, "pos", F.explode(items).alias("i")).select(*df.columns, "i.field", "pos", "i.sym")
 
 

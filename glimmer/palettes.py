@@ -23,12 +23,34 @@ NAMED = {
     "AD5B91 DF8BAD C2B0D1 8E7DA5 65517A 39314C 1A1932 1E3E5E 1A6291 30A7D7 53D2FF C3F4FF 55B57F 1E7541 0E3E2C 192418",
 }
 
+# Colours of the themed palettes that aren't named ones, in order.
+THEMED = {
+    "mono": "000000 FFFFFF",
+    "gb-pocket": "000000 555555 AAAAAA FFFFFF",
+    "gb-dmg": "081820 346856 88C070 E0F8D0",
+    "gba-warm": "2A1B2A 6F5257 B99882 F3E5C0",
+    "cga": "000000 55FFFF FF55FF FFFFFF",
+    "resurrect-64": "2E222F 3E3546 625565 966C6C AB947A 694F62 7F708A 9BABB2 C7DCD0 FFFFFF 6E2727 B33831 EA4F36 F57D4A AE2334 E83B3B "
+    "FB6B1D F79617 F9C22B 7A3045 9E4539 CD683D E6904E FBB954 4C3E24 676633 A2A947 D5E04B FBFF86 165A4C 239063 1EBC73 "
+    "91DB69 CDDF6C 313638 374E4A 547E64 92A984 B2BA90 0B5E65 0B8A8F 0EAF9B 30E1B9 8FF8E2 323353 484A77 4D65B4 4D9BE6 "
+    "8FD3FF 45293F 6B3E75 905EA9 A884F3 EAADED 753C54 A24B6F CF657F ED8099 831C5D C32454 F04F78 F68181 FCA790 FDCBB0",
+    "pc98": "000000 221433 442A5A 6E3D8C A855C0 E088D8 F6B8D8 D83A7A 3A4EA8 4A90D8 6AD0E0 58B880 C88858 F0C888 F8E8B8 F8F0E0",
+    "oil-6": "FBF5EF F2D3AB C69FA5 8B6D9C 494D7E 272744",
+    "lospec500": "10121C 2C1E31 6B2643 AC2847 EC273F 94493A DE5D3A E98537 F3A833 4D3533 6E4C30 A26D3F CE9248 DAB163 E8D282 F7F3B7 "
+    "1E4044 006554 26854C 5AB552 9DE64E 008B8B 62A477 A6CB96 D3EED3 3E3B65 3859B3 3388DE 36C5F4 6DEAD6 5E5B8C 8C78A5 "
+    "B0A7B8 DECEED 9A4D76 C878AF CC99FF FA6E79 FFA2AC FFD1D5 F6E8E0 FFFFFF",
+}
+#: Themed names of palettes that are named ones too.
+ALSO = {"endesga-32": "endesga_32"}
+#: All palettes by name; a name in both sets means the named one.
+ALL = THEMED | {theme: NAMED[name] for theme, name in ALSO.items()} | NAMED
+
 
 def get(name: str) -> str:
     """A palette's colours as hex, six digits each."""
-    if name not in NAMED:
-        raise KeyError(f"unknown palette {name!r}; known: {sorted(NAMED)}")
-    return NAMED[name].replace(" ", "").lower()
+    if name not in ALL:
+        raise KeyError(f"unknown palette {name!r}; known: {sorted(ALL)}")
+    return ALL[name].replace(" ", "").lower()
 
 
 def from_hex(colors: list[str]) -> str:
@@ -44,8 +66,8 @@ def from_rgb(colors: list[tuple[int, int, int]]) -> str:
 
 
 def frame(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
-    """(name, idx, r, g, b) of the named palettes."""
-    texts = spark.createDataFrame([(n, NAMED[n]) for n in names or NAMED], "name string, colors string")
+    """(name, idx, r, g, b) of the named palettes, or of those asked for."""
+    texts = spark.createDataFrame([(n, ALL[n]) for n in names or NAMED], "name string, colors string")
     byte = lambda at: F.conv(F.substring("color", at, 2), 16, 10).cast("int")
     return texts.select("name", F.posexplode(F.split("colors", " ")).alias("idx", "color")).select("name", "idx", byte(1).alias("r"), byte(3).alias("g"), byte(5).alias("b"))
 
