@@ -44,6 +44,8 @@ _BAND = _RNG.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) +
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 #: Buckets of more classes are searched by rare shingles after their star.
 SMALL = 16
+#: A bucket that holds one in so many rows is hot.
+HOT = 1000
 #: Bits of a shingle by which its frequency is counted, and tasks that add counts up.
 COUNTED, CUPS = 17, 8
 #: Shingles whose minima are taken together.
@@ -245,6 +247,24 @@ def _by_prefix(classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("keya", "keyb").alias("a"), F.greatest("keya", "keyb").alias("b")).distinct()
 
 
+def _hot(sizes: DataFrame) -> list[int]:
+    """Buckets that hold at least one in HOT of all rows of ``sizes`` (bucket, size); at most HOT by that."""
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    return [r["bucket"] for r in sizes.where(F.col("size") * HOT >= total).select("bucket").collect()]
+
+
+def _beside(rows: DataFrame, table: DataFrame, hot: list[int]) -> DataFrame:
+    """``rows`` with what ``table`` holds in one row for their bucket; rows of buckets that it lacks go.
+
+    Rows of ``hot`` buckets stay where they are and meet at most HOT broadcast rows, so that
+    a bucket with a third of all rows isn't gathered in one task.
+    """
+    of_hot = F.col("bucket").isin(hot)
+    if not hot:
+        return rows.join(table, "bucket")
+    return rows.where(~of_hot).join(table.where(~of_hot), "bucket").unionByName(rows.where(of_hot).join(F.broadcast(table.where(of_hot)), "bucket"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``df``: doc_id, copy, n_shingles, component_id, kept, group.
 
@@ -261,12 +281,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     classes = sig.where(member).groupBy("key").agg(F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"), F.min("copy").alias("copy"), F.min("doc_id").alias("doc_id"))
     classes = ws.keep(classes.withColumn("key", node(F.col("doc_id"), F.col("key"))), "classes")
     rows = classes.select("key", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = ws.keep(rows.join(sizes, "bucket"), "shared")
+    sizes = ws.keep(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    hot = _hot(sizes)
+    shared = ws.keep(_beside(rows, sizes, hot), "shared")
     # the class that shares most buckets with others stands in a bucket's middle, as the original among its copies
     middle = shared.join(shared.groupBy("key").agg(F.sum("size").alias("weight")), "key")
-    stars = middle.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("m")).select("bucket", F.col("m.key").alias("rep"))
-    crowded = ws.keep(shared.select("bucket", "key").join(stars, "bucket"), "crowded")
+    stars = ws.keep(middle.groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("m")).select("bucket", F.col("m.key").alias("rep")), "stars")
+    crowded = ws.keep(_beside(shared.select("bucket", "key"), stars, hot), "crowded")
 
     sketch = classes.select("key", "bits", "n")
     possible = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (estimate(F.col("ba"), F.col("bb")) >= _floor(percent / 100))
@@ -294,7 +315,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     of_rep = labels.select(F.col("node").alias("rep"), F.col("component").alias("main"))
     named = named.join(of_rep, "rep", "left").withColumn("rest", F.col("component") != F.coalesce("main", "rep"))
     left_over = named.groupBy("bucket").agg(F.sum(F.col("rest").cast("int")).alias("rests"), F.count(F.lit(1)).alias("size")).where("rests > 0 and size > 2")
-    named = ws.keep(named.join(left_over.select("bucket", "size"), "bucket").join(sketch, "key").select("bucket", "size", "key", "component", "rest", "bits", "n"), "open")
+    left_over = ws.keep(left_over.select("bucket", "size"), "left-over")
+    named = ws.keep(_beside(named, left_over, hot).join(sketch, "key").select("bucket", "size", "key", "component", "rest", "bits", "n"), "open")
     small, large = named.where(F.col("size") <= SMALL), named.where(F.col("size") > SMALL)
     r = small.where("rest").select("bucket", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("bits").alias("ba"), F.col("n").alias("na"))
     m = small.select("bucket", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("bits").alias("bb"), F.col("n").alias("nb"), F.col("rest").alias("restb"))
