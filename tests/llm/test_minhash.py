@@ -7,7 +7,6 @@ import re
 
 import pytest
 
-from glimmer.llm import minhash
 from glimmer.llm.minhash import deduplicate, near_duplicates
 
 
@@ -116,13 +115,3 @@ def test_a_shared_passage_makes_no_pairs(spark):
     text = " ".join(f"p{i}" for i in range(300))
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), *(F.concat(F.lit(f" t{j}x"), F.col("id").cast("string")) for j in range(45))).alias("text"))
     assert near_duplicates(docs, width=1).where("not kept").count() == 0
-
-
-@pytest.mark.parametrize("hot", [1, 1000, 10**6])
-def test_hot_buckets(spark, monkeypatch, hot):
-    """The same components whether no bucket, some or nearly all are hot."""
-    monkeypatch.setattr(minhash, "HOT", hot)
-    rng, vocabulary = random.Random(4), [f"v{i}" for i in range(400)]
-    near, far = family(rng, vocabulary, 60, 3), family(rng, vocabulary, 12, 12)
-    rows = [(i, next(near) if i % 3 else next(far)) for i in range(150)]
-    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)) == brute(rows, 2, 80)
