@@ -1,6 +1,8 @@
-"""Conversations with tool calls, derived row by row from plain ones, and the query over them in SQL.
+"""Rows that registered queries derive from the given tables, with the queries over them in SQL.
 
-The table ``conversations`` holds no calls, so the registered query makes them of its rows:
+:func:`with_repeats` makes the end of every tenth document or so periodic.
+
+:func:`with_tools` makes conversations with tool calls.  The table ``conversations`` holds no calls, so the registered query makes them of its rows:
 every assistant's turn becomes a call that carries the turn's whole text, and every later
 user's turn the result of a call; all rows are used, none is added.
 
@@ -14,6 +16,8 @@ user's turn the result of a call; all rows are used, none is added.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +49,58 @@ def with_tools(df: DataFrame) -> DataFrame:
     return df.select("conv_id", "turn", F.when(is_result, "tool").otherwise(F.col("role")).alias("role"), made.alias("text"))
 
 
-#: The registered query in DuckDB's dialect, from the rules above alone; ids are unique in a conversation.
+#: What a word is, in Java's and DuckDB's expressions alike.
+WORD = "[^\\x20\\x09-\\x0D]+"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def with_repeats(df: DataFrame) -> DataFrame:
+    """(doc_id, text) where texts whose crc32(doc_id) is a multiple of 10 repeat some of their words to the end.
+
+    With g = crc32 / 10 and n words, each word i >= a = g % n gives way to word a + (i - a) % p,
+    p = 1 + (n - a) / (3 + g % 8).  Such a text's words stand one space apart; other texts, and
+    those without words or id, stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        start = (g % n).cast("int")
+        period = (F.floor((n - start) / (3 + g % 8)) + 1).cast("int")
+        place = _let(F.struct(start.alias("a"), period.alias("p")), lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < s["a"], i).otherwise(s["a"] + (i - s["a"]) % s["p"])))
+        return F.when(n > 0, F.array_join(F.transform(place, lambda i: F.get(words, i)), " "))
+
+    made = _let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), repeated)
+    return df.select("doc_id", F.coalesce(F.when(h % 10 == 0, made), F.col("text")).alias("text"))
+
+
+#: crc32 of ``doc_id`` as text, a bit after the other.
+_CRC = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: ascii(substr(doc_id::VARCHAR, j::INT, 1))::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)::BIGINT"
+
+#: Runs by comparing every two equal words of a document: neighbouring pairs of one distance are a run.
+REPEATS_ORACLE = f"""
+WITH h AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 AND h % 10 = 0 THEN (h // 10) % len(w) END AS a FROM h),
+m AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM a),
+t AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(0, n)) AS i FROM m),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i AND y.i - x.i <= x.n // 2),
+b AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM b GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+left_ AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY i) AS left_ FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY t.doc_id)
+SELECT m.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_, '')) AS collapsed_sha256
+FROM m LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN left_ USING (doc_id)
+"""
+
+#: The query over tool calls in DuckDB's dialect, from the rules above alone; ids are unique in a conversation.
 ORACLE = """
 WITH RECURSIVE t AS (
   SELECT conv_id, turn, CASE WHEN role = 'user' AND turn > 0 THEN 'tool' ELSE role END AS role, coalesce(text, '') AS text, to_json(coalesce(text, ''))::VARCHAR AS quoted, length(coalesce(text, '')) AS n,

@@ -111,8 +111,25 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate(docs, model).select("doc_id", "expected_grade", F.element_at("tails", 1).alias("p_1"), last.alias("p_best"), (last >= KEEP).alias("kept"))
 
 
+@_query
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, some of which are made to repeat themselves."""
+    from .derived import with_repeats
+    from .periodic import digests, find_runs
+
+    return digests(find_runs(with_repeats(_table(spark, sf_dir, "documents"))))
+
+
+@_query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of each language is from the others, and by which terms from its language."""
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def _oracles() -> None:
-    from . import derived, mixing, oracles
+    from . import derived, divergence, mixing, oracles
 
     LLM_ORACLES["op1_ann"] = oracles.ANN
     LLM_ORACLES["op6_minhash"] = oracles.MINHASH
@@ -120,6 +137,8 @@ def _oracles() -> None:
     LLM_ORACLES["op8_toolcalls"] = derived.ORACLE
     LLM_ORACLES["op9_mixing"] = mixing.ORACLE
     LLM_ORACLES["op10_embeddup"] = oracles.EMBEDDINGS
+    LLM_ORACLES["op11_periodic"] = derived.REPEATS_ORACLE
+    LLM_ORACLES["op13_divergence"] = divergence.ORACLE
 
 
 _oracles()
