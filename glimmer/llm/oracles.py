@@ -39,3 +39,14 @@ kept AS (SELECT w.doc_id, w.no, w.line FROM w LEFT JOIN g ON g.w = w.w LEFT JOIN
 d AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS left_ FROM kept GROUP BY doc_id),
 o AS (SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(left_, '') END AS t FROM documents LEFT JOIN d USING (doc_id))
 SELECT doc_id, len(string_split(t, chr(10))) AS n_lines, length(t) AS n_chars_left, sha256(t) AS text_sha256 FROM o"""
+
+#: Every string of 50 bytes (100 hexadecimal digits) with the least document that holds it.
+REPEATS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM d WHERE len(x) >= 100)),
+m AS (SELECT s, min(doc_id) AS low FROM s GROUP BY s),
+c AS (SELECT s.doc_id, s.i, s.i - 1 - coalesce(lag(s.i) OVER (PARTITION BY s.doc_id ORDER BY s.i), -1000) >= 50 AS new FROM s JOIN m USING (s) WHERE m.low < s.doc_id),
+g AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM c),
+r AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY ALL),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM r),
+t AS (SELECT k.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept, max(b) AS last FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""

@@ -9,7 +9,9 @@ by bisection over prefix hashes, in NumPy.  What is long enough is verified word
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -155,7 +157,7 @@ def _examined(texts: pa.Array, least: int) -> Iterator[tuple[np.ndarray, bytes]]
     """For each text its runs (start, length, period) and its words without repetitions."""
     group: list[list[bytes]] = []
     ids: list[np.ndarray] = []
-    known: dict[bytes, int] = {}
+    known: defaultdict[bytes, int] = defaultdict(count().__next__)
 
     def flush() -> Iterator[tuple[np.ndarray, bytes]]:
         first = np.concatenate(([0], np.cumsum([len(w) for w in group], dtype=np.int64))).astype(np.int64)
@@ -172,7 +174,7 @@ def _examined(texts: pa.Array, least: int) -> Iterator[tuple[np.ndarray, bytes]]
     for text in texts.cast(pa.binary()):
         words = (text.as_py() or b"").split()  # at ASCII white space
         group.append(words)
-        ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words)))
+        ids.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
         size += len(words)
         if size >= WORDS:
             yield from flush()

@@ -120,6 +120,16 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_runs(with_repeats(_table(spark, sf_dir, "documents"))))
 
 
+@_query
+def op12_suffixdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that a document with a smaller id holds, as numbers and a digest."""
+    from .suffixdup import remove_repeats
+
+    out = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), size=50)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", (F.length("kept") + gone).alias("n_bytes"), gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each source of each language is from the others, and by which terms from its language."""
@@ -138,6 +148,7 @@ def _oracles() -> None:
     LLM_ORACLES["op9_mixing"] = mixing.ORACLE
     LLM_ORACLES["op10_embeddup"] = oracles.EMBEDDINGS
     LLM_ORACLES["op11_periodic"] = derived.REPEATS_ORACLE
+    LLM_ORACLES["op12_suffixdup"] = oracles.REPEATS
     LLM_ORACLES["op13_divergence"] = divergence.ORACLE
 
 

@@ -48,6 +48,15 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def running(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total, down) of bytes: those from a to b hash to ``(total[b] - total[a]) * down[a]``."""
+    up, down = _power_table(len(raw) + 1)
+    total = np.empty(len(raw) + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    return total, down
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -65,10 +74,7 @@ def _words(raw: np.ndarray, separators: np.ndarray, prefix: int = 0) -> tuple[np
     starts, ends = edge[0::2], edge[1::2]
     if prefix:
         ends = np.minimum(ends, starts + prefix)
-    up, down = _power_table(len(raw) + 1)
-    total = np.empty(len(raw) + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
+    total, down = running(raw)
     return mix((total[ends] - total[starts]) * down[starts]), starts
 
 
