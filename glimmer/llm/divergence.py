@@ -1,6 +1,7 @@
 """How far the sources of a language differ in their words, by DuckDB over shards of terms.
 
-1. Each task counts its texts' terms by (lang, source) before anything is shuffled.
+1. Each task counts its texts' terms by (lang, source) before anything is shuffled,
+   and packs what goes to one shard.
 2. Spark deals the counts to shards by the hash of (lang, term), so that a shard holds all of a
    term; DuckDB sums each shard and keeps the terms of enough documents.
 3. Spark sums the kept counts by group and language: the totals and vocabulary sizes that
@@ -10,15 +11,17 @@
 5. Spark adds the partial sums and ranks them.
 
 A hot language, source or term is many shards' work, or one row a task: nothing is gathered
-by language or source before it is a sum.  The number of shards follows the rows counted.
+by language or source before it is a sum.  The number of shards follows the bytes of text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,56 +30,78 @@ from .workspace import Workspace
 
 #: Bytes outside the terms become spaces, A-Z become a-z; terms are what is left between spaces.
 _TERM = bytes(32 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if b <= 0x5A else b for b in range(256))
-#: A task holds this many counted terms before it passes them on, and a shard gets about so many rows.
-HELD, SHARD_ROWS = 1 << 19, 1 << 17
+#: A task holds this many counted terms before it passes them on; there is a shard for so many bytes of text.
+HELD, SHARD_BYTES = 1 << 19, 4 << 20
 #: Parts of a thousand millionth, and what is added to each count.
 SCALE, ADDED = 1_000_000_000, 5
 
-_COUNTED = "lang string, source string, term string, n long, docs long"
+_COUNTED = "shard int, lang string, source string, terms binary, counts binary"
 _KEPT = "lang string, source string, term string, n long, lead boolean"
 _PARTIAL = "lang string, source string, part string, item string, value long"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of a task's texts, some terms more than once if they are many."""
-    words: dict[tuple, Counter] = {}
-    docs: dict[tuple, Counter] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), n in words.items():
-            held = docs[lang, source]
-            terms = list(n)
-            for at in range(0, len(terms), 65536):
-                part = terms[at : at + 65536]
-                columns = [[lang] * len(part), [source] * len(part), pa.array(part, type=pa.binary()).cast(pa.string()), [n[t] for t in part], [held[t] for t in part]]
-                types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["lang", "source", "term", "n", "docs"])
-        words.clear()
-        docs.clear()
-
-    held = 0
+def _counting(shards: int):
+    """A function from a task's texts to counts by shard: a row for each (shard, lang, source), its terms joined by spaces."""
+
+    def packed(lang: str, source: str, n: Counter, docs: Counter) -> Iterator[pa.RecordBatch]:
+        terms = list(n)
+        seed = crc32(lang.encode())
+        shard = np.fromiter((crc32(t, seed) % shards for t in terms), dtype=np.int64, count=len(terms))
+        order = np.argsort(shard, kind="stable")
+        counts = np.array([[n[t], docs[t]] for t in terms], dtype=np.int64).reshape(-1, 2)[order]
+        terms = [terms[i] for i in order.tolist()]
+        shard = shard[order]
+        cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))[: len(shard) + 1] if len(shard) else np.zeros(1, dtype=np.int64)
+        parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        columns = [[lang] * len(parts), [source] * len(parts), [b" ".join(terms[x:y]) for x, y in parts], [counts[x:y].tobytes() for x, y in parts]]
+        types = [pa.string(), pa.string(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))], names=["shard", "lang", "source", "terms", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[tuple, Counter] = {}
+        docs: dict[tuple, Counter] = {}
+        held = 0
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+                found = text.as_py().translate(_TERM).split()
+                key = lang, source
+                n, d = words.setdefault(key, Counter()), docs.setdefault(key, Counter())
+                before = len(n)
+                n.update(found)
+                d.update(set(found))
+                held += len(n) - before
+                if held >= HELD:
+                    for group, of in words.items():
+                        yield from packed(*group, of, docs[group])
+                    words, docs, held = {}, {}, 0
+        for group, of in words.items():
+            yield from packed(*group, of, docs[group])
+
+    return run
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs), a term a row."""
     for batch in batches:
-        texts = batch.column(2).cast(pa.binary())
-        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
-            found = text.as_py().translate(_TERM).split()
-            key = lang, source
-            n, d = words.setdefault(key, Counter()), docs.setdefault(key, Counter())
-            before = len(n)
-            n.update(found)
-            d.update(set(found))
-            held += len(n) - before
-            if held >= HELD:
-                yield from flush()
-                held = 0
-    yield from flush()
-
-
-def _in_duckdb(sql: str, schema: str):
-    """A function over the batches of one shard: ``sql`` reads them as ``shard`` and gives columns of ``schema``."""
+        langs, sources, terms, counts = (batch.column(i).to_pylist() for i in range(1, 5))
+        for at in range(0, len(langs), 1024):
+            some = slice(at, at + 1024)
+            split = [t.split(b" ") for t in terms[some]]
+            n = np.frombuffer(b"".join(counts[some]), dtype=np.int64).reshape(-1, 2)
+            row = pa.array(np.repeat(np.arange(len(split)), [len(t) for t in split]))
+            names = [pa.array(c[some], type=pa.string()).take(row) for c in (langs, sources)]
+            term = pa.array([t for part in split for t in part], type=pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*names, term, pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], names=["lang", "source", "term", "n", "docs"])
+
+
+def _in_duckdb(sql: str, schema: str, opened=iter):
+    """A function over the batches of one shard: ``sql`` reads what ``opened`` makes of them as ``shard`` and gives columns of ``schema``."""
     names = [c.split()[0] for c in schema.split(", ")]
     types = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = opened(batches)
         first = next(batches, None)
         if first is None:
             return
@@ -142,10 +167,10 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     spark = df.sparkSession
     ws = Workspace(spark, "divergence")
     docs = df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
-    counted = ws.keep(docs.mapInArrow(_count, _COUNTED), "counted")
-    shards = max(1, -(-counted.count() // SHARD_ROWS))
-    of_shards = counted.withColumn("shard", _shard(shards)).repartitionById(shards, "shard").drop("shard")
-    kept = ws.keep(of_shards.mapInArrow(_in_duckdb(_kept_sql(least), _KEPT), _KEPT), "kept")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    counted = docs.mapInArrow(_counting(shards), _COUNTED).repartitionById(shards, "shard")
+    kept = ws.keep(counted.mapInArrow(_in_duckdb(_kept_sql(least), _KEPT, _unpacked), _KEPT), "kept")
 
     groups = docs.select("lang", "source").distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))

@@ -44,10 +44,10 @@ def rows_of(seed, n=300):
     return [*out, (None, "fr", "a"), (None, "fr", "b"), ("only here", "xx", "lone"), ("12 34", "en", "digits"), *out[:20]]
 
 
-@pytest.mark.parametrize("held,shard_rows", [(1 << 19, 1 << 17), (3, 10)])
-def test_against_brute_force(spark, monkeypatch, held, shard_rows):
+@pytest.mark.parametrize("held,shard_bytes", [(1 << 19, 4 << 20), (3, 500)])
+def test_against_brute_force(spark, monkeypatch, held, shard_bytes):
     monkeypatch.setattr(divergence, "HELD", held)
-    monkeypatch.setattr(divergence, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(divergence, "SHARD_BYTES", shard_bytes)
     rows = rows_of(held)
     df = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
     got = sorted(tuple(r) for r in audit(df, least=8, ranks=4).collect())
