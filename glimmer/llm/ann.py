@@ -16,7 +16,7 @@ lists whose centroid is at most ``ratio`` times as far as the nearest one.
 Inner products are searched as distances by one more coordinate, sqrt(M^2 - |x|^2).  Equal
 vectors share a class that keeps the ids needed for any answer, so copies cost nothing.
 Vectors are candidates of queries of their own length only: each length has an index of its
-own, or where it has few vectors, one list.
+own, unless its vectors fill less than two of the shortest lists.
 """
 
 from __future__ import annotations
@@ -37,19 +37,21 @@ from .workspace import Workspace
 SAMPLE, NUMBERS, TRIALS = 16_384, 1 << 24, 256
 #: Share of the sample's true neighbours whose lists must be searched.
 RECALL = 0.98
-#: Vectors of a list on average; a list of MOST times as many is split, in PARTS at most, by SPLIT of its vectors; in so many rounds.
-PER_LIST, MOST, PARTS, SPLIT, ROUNDS = 512, 4, 64, 4096, 10
+#: Vectors of a list on average: the square root of their number within these bounds.
+SHORT, LONG = 32, 512
+#: A list of MOST times as many is split, in PARTS at most, by SPLIT of its vectors; in so many rounds.
+MOST, PARTS, SPLIT, ROUNDS = 4, 64, 4096, 10
 #: Sample vectors of each of the first centroids at least.
 PER_CENTROID = 8
-#: Memory for centroids; where more of them were needed, lists are longer instead.
+#: Memory for the centroids of all lengths; where more of them were needed, lists are longer instead.
 CENTROID_BYTES = 1 << 28
 #: Neighbours of a centroid in the graph.
 DEGREE = 16
 COPIES, BOUNDARY = 3, 1.05
 #: Groups of centroids that an assignment looks into.
 PROBES = 8
-#: Lengths with fewer vectors are one list.
-LEAST_ROWS = 2048
+#: Blocks of queries of one list that one task searches.
+TOGETHER = 8
 #: Lists whose numbers of blocks are broadcast; with more of them Spark chooses the join.
 BROADCAST_LISTS = 1_000_000
 
@@ -247,14 +249,16 @@ def _graph(classes: DataFrame, groups: Centroids) -> np.ndarray:
 
 
 def fit(classes: DataFrame, k: int) -> dict[int, Index]:
-    """An index for each length that many of ``classes`` (key, dim, vector) have."""
+    """An index for each length that ``classes`` (key, dim, vector) need two lists or more for."""
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    lengths = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest")).where(F.col("n") >= LEAST_ROWS).collect()
+    lengths = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest")).where(F.col("n") >= 2 * SHORT).collect()
+    numbers = sum(n * (dim + 1) for dim, n, _ in lengths)
     found = {}
     for dim, n, longest in sorted(map(tuple, lengths)):
         mine = classes.where(F.col("dim") == dim)
         x = sample(mine, SAMPLE, NUMBERS)
-        per_list = max(PER_LIST, -(-n // (CENTROID_BYTES // (8 * (dim + 1)))))
+        # each length has the share of the memory that it has of all numbers
+        per_list = max(min(max(SHORT, int(n**0.5)), LONG), -(-8 * numbers // CENTROID_BYTES))
         groups = Centroids(kmeans(stored(x, longest), max(1, min(n // per_list, len(x) // PER_CENTROID))))
         for _ in range(ROUNDS):
             sizes = _sizes(mine, groups, longest)
@@ -368,9 +372,14 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
 
     def searched(queries: DataFrame, name: str) -> DataFrame:
         blocks = _blocks(ws, queries, f"{name}-blocks").select("dim", "list", "slot", F.col("items").alias("asked"))
-        # lists are short, so that they are dealt by list; a number given keeps Spark from merging small partitions of much work
+        # lists are short, but many queries may search one: each TOGETHER of their blocks meet a copy of the list
+        blocks = blocks.withColumn("part", F.floor(F.col("slot") / TOGETHER).cast("int")).drop("slot")
+        parts = blocks.groupBy("dim", "list").agg(F.max("part").alias("last")).where("last > 0")
+        copies = held.join(parts, ["dim", "list"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))).drop("last")
+        # a number given keeps Spark from merging small partitions of much work
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return ws.keep(_nearest(blocks.repartition(n, "dim", "list").join(held.repartition(n, "dim", "list"), ["dim", "list"]), k), name)
+        by = ["dim", "list", "part"]
+        return ws.keep(_nearest(blocks.repartition(n, *by).join(copies.repartition(n, *by), by), k), name)
 
     # the nearest list first: what it holds bounds what the others need to return
     first = searched(wanted.where("nearest").withColumn("bound", lowest), "first")

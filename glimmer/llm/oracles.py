@@ -9,11 +9,6 @@ ok AS (SELECT i, vec_id, e, len(e) AS dim, sqrt(list_inner_product(e, e)) AS nor
 #: From links (a, b) both ways between rows: the rows that each reaches.
 _REACH = "reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"
 
-ANN = f"""WITH {_VECTORS}, v AS (SELECT DISTINCT vec_id, e, dim FROM ok WHERE vec_id IS NOT NULL),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM p)
-SELECT query_id, r::INT AS rank, vec_id, score FROM k WHERE r <= 20"""
-
 EMBEDDINGS = f"""WITH RECURSIVE {_VECTORS}, links AS (SELECT x.i AS a, y.i AS b FROM ok x JOIN ok y ON x.dim = y.dim AND x.i <> y.i WHERE list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.95::DOUBLE),
 {_REACH}, least AS (SELECT a, min(vec_id) AS low FROM reach JOIN r ON r.i = b GROUP BY a), n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(low, vec_id), vec_id) AS component_id, vec_id IS NOT DISTINCT FROM coalesce(least(low, vec_id), vec_id) AS kept FROM r LEFT JOIN least ON least.a = r.i LEFT JOIN n ON n.a = r.i"""

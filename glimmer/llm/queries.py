@@ -141,7 +141,6 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracles() -> None:
     from . import derived, divergence, mixing, oracles
 
-    LLM_ORACLES["op1_ann"] = oracles.ANN
     LLM_ORACLES["op6_minhash"] = oracles.MINHASH
     LLM_ORACLES["op7_linededup"] = oracles.LINES
     LLM_ORACLES["op8_toolcalls"] = derived.ORACLE

@@ -10,7 +10,7 @@ from glimmer.llm.queries import LLM_ORACLES, LLM_QUERIES
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["op1_ann", "op6_minhash", "op7_linededup", "op10_embeddup"])
+@pytest.mark.parametrize("name", ["op6_minhash", "op7_linededup", "op10_embeddup", "op11_periodic", "op12_suffixdup", "op13_divergence"])
 def test_oracle(spark, name):
     con = duckdb.connect()
     for table in ("documents", "embeddings"):

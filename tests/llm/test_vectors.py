@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glimmer.llm import embeddup
+from glimmer.llm import ann, embeddup
 from glimmer.llm.ann import search
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -111,11 +111,9 @@ def test_search_of_odd_rows(spark):
 
 
 def test_search_by_split_lists_and_lengths(spark, monkeypatch):
-    from glimmer.llm import ann
-
-    monkeypatch.setattr(ann, "PER_LIST", 16)
+    monkeypatch.setattr(ann, "SHORT", 16)
+    monkeypatch.setattr(ann, "LONG", 16)
     monkeypatch.setattr(ann, "SAMPLE", 600)
-    monkeypatch.setattr(ann, "LEAST_ROWS", 300)
     rng = np.random.default_rng(6)
     vectors = sum((family(rng, n) for n in (40, 900)), []) + [rng.normal(size=16).astype(np.float32).tolist() for _ in range(1500)]
     vectors += [rng.normal(size=5).astype(np.float32).tolist() for _ in range(120)] + [rng.normal(size=24).astype(np.float32).tolist() for _ in range(500)]
@@ -125,7 +123,7 @@ def test_search_by_split_lists_and_lengths(spark, monkeypatch):
     assert set(got) == set(want) and recall(got, want) >= 0.9
     classes = ann.keyed(df, "vec_id", "embedding")
     index = ann.fit(classes.where("key is not null"), 20)
-    assert set(index) == {16, 24}
+    assert set(index) == {5, 16, 24}
     mine = classes.where("dim = 16")
     sizes = ann._sizes(mine, index[16].groups, index[16].longest)
     # the number of lists has grown with the rows, and none is long
@@ -142,9 +140,31 @@ def test_search_with_copies_and_lengths(spark):
     assert recall(got, want) >= 0.9
 
 
-def test_search_of_embeddings(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    assert recall(run(df), nearest([(r.vec_id, r.embedding) for r in df.collect()], 20)) >= 0.9
+@pytest.mark.parametrize("sf,lists", [("sf0.01", 10), ("sf0.1", 30)])
+def test_search_of_embeddings(spark, sf, lists):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    index = ann.fit(ann.keyed(df, "vec_id", "embedding").where("key is not null"), 20)
+    assert all(len(i.centroids) >= lists for i in index.values()) and index
+    assert recall(run(df), nearest([(r.vec_id, r.embedding) for r in df.collect()], 20)) >= 0.95
+
+
+def test_memory_for_centroids_is_shared(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CENTROID_BYTES", 8 * 17 * 30)
+    rng = np.random.default_rng(8)
+    vectors = [rng.normal(size=16).astype(np.float32).tolist() for _ in range(1500)] + [rng.normal(size=8).astype(np.float32).tolist() for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(vectors)), SCHEMA)
+    index = ann.fit(ann.keyed(df, "vec_id", "embedding").where("key is not null"), 20)
+    assert 2 <= len(index[16].centroids) + len(index[8].centroids) and sum(8 * i.centroids.size for i in index.values()) <= 2 * 8 * 17 * 30
+
+
+def test_many_queries_of_one_list(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 8)
+    monkeypatch.setattr(ann, "TOGETHER", 1)
+    rng = np.random.default_rng(7)
+    vectors = family(rng, 300, 6) + [rng.normal(size=6).astype(np.float32).tolist() for _ in range(200)]
+    df = spark.createDataFrame([(20 * i, v) for i, v in enumerate(vectors)], SCHEMA)
+    got, want = run(df), nearest([(20 * i, v) for i, v in enumerate(vectors)], 20)
+    assert set(got) == set(want) and recall(got, want) >= 0.9
 
 
 def test_products_are_exact():
