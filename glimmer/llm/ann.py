@@ -110,8 +110,10 @@ def _closest(x: np.ndarray, c: np.ndarray, take: int) -> tuple[np.ndarray, np.nd
 class Index:
     """Centroids, their graph, and the pruning ratio."""
 
-    def __init__(self, groups: Centroids, near: np.ndarray, x: np.ndarray, longest: float, k: int):
+    def __init__(self, groups: Centroids, near: np.ndarray, x: np.ndarray, longest: float, k: int, sizes: np.ndarray):
         self.groups, self.longest = groups, longest
+        #: vectors whose nearest list each is, and how many of them a query must meet to find ``k`` beside itself
+        self.sizes, self.needed = sizes, k + 1
         self.centroids = c = groups.c
         # each centroid's nearest ones, both ways, and a chain that keeps the graph in one piece
         chain = np.arange(len(c) - 1)
@@ -146,7 +148,10 @@ class Index:
         return float(np.quantile(needed, RECALL)) * (1 + 1e-9)
 
     def search(self, q: np.ndarray) -> list[int]:
-        """Lists within the ratio of the nearest centroid, found by walking the graph; the nearest first."""
+        """Lists within the ratio of the nearest centroid, found by walking the graph; the nearest first.
+
+        More of them, if those hold fewer vectors than a query asks for.
+        """
         c, seen = self.centroids, np.zeros(len(self.centroids), dtype=bool)
         tops = self.groups.tops
         sizes = np.diff(self.groups.start)
@@ -154,11 +159,11 @@ class Index:
         new = np.arange(self.groups.start[top], self.groups.start[top + 1])
         heap: list[tuple[float, int]] = []
         found: list[tuple[float, int]] = []
-        best, patience = np.inf, 0
+        best, patience, held = np.inf, 0, 0
         while True:
             seen[new] = True
             dist = np.sqrt(((c[new] - q) ** 2).sum(axis=1))
-            best = min(best, float(dist.min(initial=np.inf)))
+            best, held = min(best, float(dist.min(initial=np.inf))), held + int(self.sizes[new].sum())
             for e, j in zip(dist.tolist(), new.tolist(), strict=True):
                 heapq.heappush(heap, (e, j))
                 found.append((e, j))
@@ -167,11 +172,13 @@ class Index:
             d, i = heapq.heappop(heap)
             # go on a little beyond the ratio: the way to a list may lead over farther ones
             patience = patience + 1 if d > best * self.ratio * 1.02 else 0
-            if patience > DEGREE:
+            if patience > DEGREE and held >= self.needed:
                 break
             new = np.unique(self.edges[self.first[i] : self.first[i + 1]])
             new = new[~seen[new]]
-        return [j for e, j in sorted(found) if e <= best * self.ratio]
+        found.sort()
+        before = np.cumsum([0, *(self.sizes[j] for _, j in found)])
+        return [j for (e, j), n in zip(found, before.tolist(), strict=False) if e <= best * self.ratio or n < self.needed]
 
 
 def _sizes(classes: DataFrame, groups: Centroids, longest: float) -> np.ndarray:
@@ -260,12 +267,13 @@ def fit(classes: DataFrame, k: int) -> dict[int, Index]:
         # each length has the share of the memory that it has of all numbers
         per_list = max(min(max(SHORT, int(n**0.5)), LONG), -(-8 * numbers // CENTROID_BYTES))
         groups = Centroids(kmeans(stored(x, longest), max(1, min(n // per_list, len(x) // PER_CENTROID))))
+        sizes = _sizes(mine, groups, longest)
         for _ in range(ROUNDS):
-            sizes = _sizes(mine, groups, longest)
             if sizes.max() <= MOST * per_list:
                 break
             groups = Centroids(_split(mine, groups, longest, sizes, MOST * per_list, per_list))
-        found[dim] = Index(groups, _graph(mine, groups), x, longest, k)
+            sizes = _sizes(mine, groups, longest)
+        found[dim] = Index(groups, _graph(mine, groups), x, longest, k, sizes)
     return found
 
 
