@@ -37,7 +37,7 @@ from .workspace import Workspace
 SAMPLE, NUMBERS, TRIALS = 16_384, 1 << 24, 256
 #: Share of the sample's true neighbours whose lists must be searched.
 RECALL = 0.98
-#: Vectors of a list on average: the square root of their number within these bounds.
+#: Vectors of a list on average: twice the square root of their number within these bounds.
 SHORT, LONG = 32, 512
 #: A list of MOST times as many is split, in PARTS at most, by SPLIT of its vectors; in so many rounds.
 MOST, PARTS, SPLIT, ROUNDS = 4, 64, 4096, 10
@@ -265,7 +265,7 @@ def fit(classes: DataFrame, k: int) -> dict[int, Index]:
         mine = classes.where(F.col("dim") == dim)
         x = sample(mine, SAMPLE, NUMBERS)
         # each length has the share of the memory that it has of all numbers
-        per_list = max(min(max(SHORT, int(n**0.5)), LONG), -(-8 * numbers // CENTROID_BYTES))
+        per_list = max(min(max(SHORT, int(2 * n**0.5)), LONG), -(-8 * numbers // CENTROID_BYTES))
         groups = Centroids(kmeans(stored(x, longest), max(1, min(n // per_list, len(x) // PER_CENTROID))))
         sizes = _sizes(mine, groups, longest)
         for _ in range(ROUNDS):

@@ -140,7 +140,7 @@ def test_search_with_copies_and_lengths(spark):
     assert recall(got, want) >= 0.9
 
 
-@pytest.mark.parametrize("sf,lists", [("sf0.01", 10), ("sf0.1", 30)])
+@pytest.mark.parametrize("sf,lists", [("sf0.01", 8), ("sf0.1", 20)])
 def test_search_of_embeddings(spark, sf, lists):
     df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     index = ann.fit(ann.keyed(df, "vec_id", "embedding").where("key is not null"), 20)
