@@ -31,31 +31,43 @@ from .workspace import Workspace
 #: Bytes outside the terms become spaces, A-Z become a-z; terms are what is left between spaces.
 _TERM = bytes(32 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if b <= 0x5A else b for b in range(256))
 #: A task holds this many counted terms before it passes them on; there is a shard for so many bytes of text.
-HELD, SHARD_BYTES = 1 << 19, 4 << 20
+HELD, SHARD_BYTES = 1 << 19, 8 << 20
 #: Parts of a thousand millionth, and what is added to each count.
 SCALE, ADDED = 1_000_000_000, 5
 
-_COUNTED = "shard int, lang string, source string, terms binary, counts binary"
+_COUNTED = "shard int, groups array<struct<lang:string,source:string,n:long>>, terms binary, counts binary"
 _KEPT = "lang string, source string, term string, n long, lead boolean"
 _PARTIAL = "lang string, source string, part string, item string, value long"
 
 
 def _counting(shards: int):
-    """A function from a task's texts to counts by shard: a row for each (shard, lang, source), its terms joined by spaces."""
-
-    def packed(lang: str, source: str, n: Counter, docs: Counter) -> Iterator[pa.RecordBatch]:
-        terms = list(n)
-        seed = crc32(lang.encode())
-        shard = np.fromiter((crc32(t, seed) % shards for t in terms), dtype=np.int64, count=len(terms))
-        order = np.argsort(shard, kind="stable")
-        counts = np.array([[n[t], docs[t]] for t in terms], dtype=np.int64).reshape(-1, 2)[order]
+    """A function from a task's texts to counts by shard: a row for each shard, its terms joined by spaces, group after group."""
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string()), ("n", pa.int64())]))
+
+    def packed(words: dict[tuple, Counter], docs: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
+        groups = sorted(words)
+        sizes = [len(words[g]) for g in groups]
+        terms = [t for g in groups for t in words[g]]
+        if not terms:
+            return
+        seeds = [crc32(lang.encode()) for lang, _ in groups]
+        shard = np.fromiter((crc32(t, seed) % shards for g, seed in zip(groups, seeds, strict=True) for t in words[g]), dtype=np.int64, count=len(terms))
+        counts = np.empty((len(terms), 2), dtype=np.int64)
+        counts[:, 0] = [n for g in groups for n in words[g].values()]
+        counts[:, 1] = [docs[g][t] for g in groups for t in words[g]]
+        group = np.repeat(np.arange(len(groups)), sizes)
+        order = np.argsort(shard, kind="stable")  # groups stay in order within a shard
+        shard, group, counts = shard[order], group[order], counts[order]
         terms = [terms[i] for i in order.tolist()]
-        shard = shard[order]
-        cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))[: len(shard) + 1] if len(shard) else np.zeros(1, dtype=np.int64)
-        parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        columns = [[lang] * len(parts), [source] * len(parts), [b" ".join(terms[x:y]) for x, y in parts], [counts[x:y].tobytes() for x, y in parts]]
-        types = [pa.string(), pa.string(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), *(pa.array(c, type=t) for c, t in zip(columns, types, strict=True))], names=["shard", "lang", "source", "terms", "counts"])
+        cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
+        rows: list[list] = [[], [], []]
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            here, n = np.unique(group[x:y], return_counts=True)
+            rows[0].append([{"lang": groups[g][0], "source": groups[g][1], "n": k} for g, k in zip(here.tolist(), n.tolist(), strict=True)])
+            rows[1].append(b" ".join(terms[x:y]))
+            rows[2].append(counts[x:y].tobytes())
+        types = [kind, pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(shard[cuts[:-1]].astype(np.int32)), *(pa.array(c, type=t) for c, t in zip(rows, types, strict=True))], names=["shard", "groups", "terms", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[tuple, Counter] = {}
@@ -72,11 +84,9 @@ def _counting(shards: int):
                 d.update(set(found))
                 held += len(n) - before
                 if held >= HELD:
-                    for group, of in words.items():
-                        yield from packed(*group, of, docs[group])
+                    yield from packed(words, docs)
                     words, docs, held = {}, {}, 0
-        for group, of in words.items():
-            yield from packed(*group, of, docs[group])
+        yield from packed(words, docs)
 
     return run
 
@@ -84,15 +94,12 @@ def _counting(shards: int):
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs), a term a row."""
     for batch in batches:
-        langs, sources, terms, counts = (batch.column(i).to_pylist() for i in range(1, 5))
-        for at in range(0, len(langs), 1024):
-            some = slice(at, at + 1024)
-            split = [t.split(b" ") for t in terms[some]]
-            n = np.frombuffer(b"".join(counts[some]), dtype=np.int64).reshape(-1, 2)
-            row = pa.array(np.repeat(np.arange(len(split)), [len(t) for t in split]))
-            names = [pa.array(c[some], type=pa.string()).take(row) for c in (langs, sources)]
-            term = pa.array([t for part in split for t in part], type=pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*names, term, pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], names=["lang", "source", "term", "n", "docs"])
+        for groups, terms, counts in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+            of = groups.values
+            row = pa.array(np.repeat(np.arange(len(of)), np.asarray(of.field("n"))))
+            n = np.frombuffer(counts.as_py(), dtype=np.int64).reshape(-1, 2)
+            term = pa.array(terms.as_py().split(b" "), type=pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([of.field("lang").take(row), of.field("source").take(row), term, pa.array(n[:, 0].copy()), pa.array(n[:, 1].copy())], names=["lang", "source", "term", "n", "docs"])
 
 
 def _in_duckdb(sql: str, schema: str, opened=iter):
