@@ -17,11 +17,16 @@ def entropy(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / total * F.log2(c / total)).otherwise(0.0))
 
 
-def mesh_bytes(cells: Column, used: Column, colors: Column) -> Column:
-    """Bytes of a mesh: which cells are used (binary entropy), a palette of 18 bits a colour, an index a vertex, 16 bits."""
+def mesh_bytes(cells: Column, used: Column, colors: Column, counts: Column | None = None) -> Column:
+    """Bytes of a mesh: which cells are used (binary entropy), a palette of 18 bits a colour, an index a vertex, 16 bits.
+
+    With ``counts``, how often each colour is used, indices take what their entropy allows instead of whole bits.
+    """
     p = used / cells
     occupied = F.when((p > 0) & (p < 1), -(p * F.log2(p) + (1 - p) * F.log2(1 - p)) * cells).otherwise(0.0)
-    return F.ceil((occupied + 18 * colors + used * F.ceil(F.log2(F.greatest(colors, F.lit(2)))) + 16) / 8).cast("int")
+    each = F.ceil(F.log2(F.greatest(colors, F.lit(2)))) if counts is None else entropy(counts)
+    # rounded, so that the order of a sum can't move a size across a whole byte
+    return F.ceil(F.round((occupied + 18 * colors + used * each + 16) / 8, 9)).cast("int")
 
 
 def ssim(pixels: DataFrame, key: str, a: str, b: str, reach: int = 3, peak: float = 255.0) -> DataFrame:
