@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,26 @@ def weighted(pixels: DataFrame, keys: list[str], cue: str, strength: float) -> D
     return d.select(*names, (1 + strength * F.col("_cue") / (F.max("_cue").over(whole) + 1e-9)).alias("weight"))
 
 
+def planes(light: np.ndarray, cue: str, strength: float) -> np.ndarray:
+    """The weights of :func:`weighted` for pictures (pictures, h, w, 3) in linear light, inside a task."""
+    n, h, w = light.shape[:3]
+    if cue == "uniform" or strength == 0:
+        return np.ones((n, h, w))
+    if cue == "edge":
+        lum = light @ np.array([0.2126, 0.7152, 0.0722])
+        across, down = np.zeros_like(lum), np.zeros_like(lum)
+        across[:, :, 1:-1] = lum[:, :, 2:] - lum[:, :, :-2]
+        down[:, 1:-1] = lum[:, 2:] - lum[:, :-2]
+        out = np.hypot(across, down)
+    else:
+        y, x = ((np.arange(k) - (k - 1) / 2) / (k / 2) for k in (h, w))
+        out = np.broadcast_to(np.exp(-1.5 * (y[:, None] ** 2 + x**2)), (n, h, w))
+        if cue == "saliency":
+            apart = np.linalg.norm(light - light.mean(axis=(1, 2), keepdims=True), axis=-1)
+            out = out * apart / (apart.max(axis=(1, 2), keepdims=True) + 1e-9)
+    return 1 + strength * out / (out.max(axis=(1, 2), keepdims=True) + 1e-9)
+
+
 def background(weighted_: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, r, g, b): the weighted mean colour that a fit starts from."""
     return weighted_.groupBy(*keys).agg(*((F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias(c) for c in "rgb"))

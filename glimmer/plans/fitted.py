@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codec import of, presets
 from ..operators import fit, render, shapes
 from ..registry import query
-from .fixtures import pixels
+from .fixtures import pictures, pixels
 from .pictures import dct_encode, pixel_encode
 
 #: Shapes a hash has in these queries: those of the small presets.
@@ -26,6 +28,26 @@ for _kind in ("circle", "triangle", "square", "rect", "rotrect"):
     query(f"fit_{_kind}")(_fitted(_kind))
 
 
+def _searched(kind: str, strategy: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        options = replace(fit.defaults(kind), strategy=strategy, n_topk=4)
+        return fit.fitted(pictures(spark, sf), of(kind, SHAPES), options=options).select("vec_id", "hash", F.round("sse", 6).alias("sse"))
+
+    return run
+
+
+for _kind in ("circle", "triangle"):
+    query(f"fit_{_kind}_walk")(_searched(_kind, "primitive"))
+    query(f"fit_{_kind}_uniform")(_searched(_kind, "topk-uniform"))
+
+
+@query("fit_weighted")
+def fit_weighted(spark, sf):
+    """Circles fitted where edges weigh up to three times as much."""
+    d = fit.fitted(pictures(spark, sf), of("circle", SHAPES), cue="edge", strength=2.0)
+    return d.select("vec_id", "hash", F.round("sse", 6).alias("sse"))
+
+
 @query("shape_rows")
 def shape_rows(spark, sf):
     """Parsed shapes of the fitted circles."""

@@ -112,14 +112,14 @@ def test_search_options(spark):
     planes = [img[..., k].reshape(-1).tolist() for k in range(3)]
     d = spark.createDataFrame([(1, 24, 18, *planes), (2, 24, 17, *planes), (3, 24, 18, planes[0], None, planes[2]), (4, 24, 18, planes[0], [None] * 432, planes[2])], "vec_id int, w int, h int, r array<int>, g array<int>, b array<int>")
     sse = {}
-    for name, o in {"plain": fit.SearchOptions(), "refined": fit.SearchOptions(refine_passes=2), "uniform": fit.SearchOptions(strategy="topk_uniform", n_topk=6), "poor": fit.SearchOptions(n_random=2, n_attempts=1, hill_climb_steps=0)}.items():
+    for name, o in {"plain": fit.SearchOptions(), "refined": fit.SearchOptions(refine_passes=2), "uniform": fit.SearchOptions(strategy="topk_uniform", n_topk=6), "walk": fit.SearchOptions(strategy="primitive"), "steps": fit.SearchOptions(strategy="topk-uniform", hill_climb_max_age=None), "poor": fit.SearchOptions(n_random=2, n_attempts=1, hill_climb_steps=0)}.items():
         rows = {r.vec_id: r for r in fit.fitted(d, C.of("circle", 6), options=o).collect()}
         assert rows[2].hash is None and rows[3].hash is None and rows[4].sse is None
         assert abs(error_of(spark, rows[1].hash, C.of("circle", 6), img) - rows[1].sse) < 0.03 * rows[1].sse + 0.05
         sse[name] = rows[1].sse
-    assert sse["refined"] <= sse["plain"] < sse["poor"] and sse["uniform"] < sse["poor"]
+    assert sse["refined"] <= sse["plain"] < sse["poor"] and max(sse["uniform"], sse["walk"], sse["steps"]) < sse["poor"]
     assert fit.defaults("triangle") == fit.SearchOptions(n_random=50, hill_climb_max_age=50, n_attempts=3)
-    for bad in ({"strategy": "best"}, {"n_random": 0}, {"refine_passes": -1}):
+    for bad in ({"strategy": "best"}, {"n_random": 0}, {"refine_passes": -1}, {"hill_climb_max_age": 0}):
         with pytest.raises(ValueError):
             fit.SearchOptions(**bad)
 
