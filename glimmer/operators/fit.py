@@ -285,7 +285,7 @@ class _Search:
                 for c, edge in ((0, self.w), (1, self.h)):
                     field = 2 * corner[open_] + c
                     at = self.forms.tables[c][codes[open_, field]]
-                    out[open_, field] = self._nearest(c, np.clip(at + np.trunc(step[k, mine[open_], c]), 0, edge - 1))
+                    out[open_, field] = self._nearest(c, np.clip(at + step[k, mine[open_], c], 0, edge - 1))
                 open_ = open_[self._sharp(out[open_])]
                 if not len(open_):
                     break

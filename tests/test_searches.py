@@ -41,7 +41,7 @@ def quadrants(w=24, h=20):
 
 @pytest.mark.parametrize("kind,n,w,h,colors,published", [*PUBLISHED, OVERRIDE])
 def test_searches_are_as_good_as_published_ones(kind, n, w, h, colors, published):
-    """By one strategy within 5 % of the squared error of published hashes, by all within 12 %, with the usual numbers of draws."""
+    """By one strategy within 5 % of the squared error of published hashes, by all within 20 %, with the usual numbers of draws."""
     codec, img = codec_of(kind, n, colors), rounded_gradient(w, h)
     usual = fit.defaults(kind)
     draws = 32 if published == OVERRIDE[-1] else usual.n_random
@@ -50,7 +50,7 @@ def test_searches_are_as_good_as_published_ones(kind, n, w, h, colors, published
         hashes, sse = fit._Search(LINEAR[img][None], codec, replace(usual, strategy=strategy, n_random=draws, n_topk=6)).run(2)
         got.append(error(hashes[0], codec, img) / goal)
         assert abs(got[-1] * goal - sse[0]) < 0.03 * sse[0] + 0.05
-    assert min(got) <= 1.05 and max(got) <= 1.12, got
+    assert min(got) <= 1.05 and max(got) <= 1.2, got
 
 
 @pytest.mark.parametrize("kind", fit.KINDS)
