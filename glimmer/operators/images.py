@@ -7,6 +7,7 @@ CODECS are allowed, are found first and each gets its own branch of the plan.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from functools import reduce
 from math import pi
@@ -19,12 +20,15 @@ from pyspark.sql import types as T
 
 from ..codec import SCHEMA, Codec, bytes_total, long_enough
 from ..functions import quant
-from . import dct, fit, shapes
-from .kernel import LINEAR, Colors, Forms, aspect_code, fields, packed, srgb_u8
+from . import dct, effects, fit, shapes
+from .effects import RenderStyle
+from .kernel import LINEAR, Colors, Forms, _companded, aspect_code, fields, packed, srgb_u8
 
 #: Distinct codecs of a column.
 CODECS = 256
 PLANES = ["w", "h", "r", "g", "b"]
+#: Shapes with corners to round.
+ROUNDED = ("rect", "square", "rotrect")
 
 
 def over_white(c: Column, a: Column) -> Column:
@@ -142,37 +146,55 @@ def target_edge(codec: Column) -> Column:
 class _Drawn:
     """Hashes of one codec drawn at one size; ``bits`` is (pictures, bits)."""
 
-    def __init__(self, codec: Codec, w: int, h: int):
-        self.codec, self.w, self.h, self.colors = codec, w, h, Colors(codec)
+    def __init__(self, codec: Codec, w: int, h: int, style: RenderStyle = RenderStyle()):
+        self.codec, self.w, self.h, self.colors, self.style = codec, w, h, Colors(codec), style
 
     def _read(self, bits: np.ndarray, at: int, n: int) -> np.ndarray:
         return (bits[:, at : at + n].astype(np.int64) << np.arange(n)).sum(axis=1)
 
     def run(self, bits: np.ndarray, quantised: float) -> np.ndarray:
         """Bytes (pictures, h, w, 3); -1 where a colour is beyond the palette."""
-        return self.pixel(bits, quantised) if self.codec.shape == "pixel" else self.painted(bits)
+        return effects.finished(self.pixel(bits, quantised) if self.codec.shape == "pixel" else self.painted(bits), self.style)
 
     def pixel(self, bits: np.ndarray, quantised: float) -> np.ndarray:
         c = self.codec
         gw, gh = _grid(c.n_shapes, c.grid_aspect if c.grid_aspect is not None else quantised)
         code = np.stack([self._read(bits, 8 + i * c.color_field, c.color_field) for i in range(c.n_shapes)], axis=1)
         rgb = self._checked(code)
+        if self.style.smooth:
+            return self._blended(rgb.reshape(len(bits), gh, gw, 3))
         # a pixel belongs to the last cell that begins at or before it
         column = np.searchsorted(np.floor(np.arange(gw) * self.w / gw + 0.5), np.arange(self.w), side="right") - 1
         row = np.searchsorted(np.floor(np.arange(gh) * self.h / gh + 0.5), np.arange(self.h), side="right") - 1
         return rgb.reshape(len(bits), gh, gw, 3)[:, row][:, :, column]
 
+    def _blended(self, cells: np.ndarray) -> np.ndarray:
+        """Cells (pictures, rows, columns, 3) blended between their centres, truncated to bytes."""
+
+        def places(n: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = (np.arange(size) + 0.5) * n / size - 0.5
+            low = np.clip(np.floor(at), 0, n - 1).astype(np.int64)
+            return low, np.minimum(low + 1, n - 1), np.clip(at - low, 0, 1)
+
+        (y0, y1, dy), (x0, x1, dx) = places(cells.shape[1], self.h), places(cells.shape[2], self.w)
+        dy, dx = dy[:, None, None], dx[:, None]
+        top = (1 - dx) * cells[:, y0][:, :, x0] + dx * cells[:, y0][:, :, x1]
+        low = (1 - dx) * cells[:, y1][:, :, x0] + dx * cells[:, y1][:, :, x1]
+        out = np.floor((1 - dy) * top + dy * low + 1e-9).astype(np.int64)
+        out[(cells < 0).any(axis=(1, 2, 3))] = -1
+        return out
+
     def _checked(self, code: np.ndarray) -> np.ndarray:
         rgb = self.colors.u8(code)
         return np.where((code < self.codec.colors)[..., None], rgb, -1) if self.codec.palette is not None else rgb
 
     def painted(self, bits: np.ndarray) -> np.ndarray:
-        c, n = self.codec, len(bits)
-        forms, one = Forms(c, self.w, self.h), np.float32(1)
+        c, n, fine = self.codec, len(bits), self.style.samples
+        forms, one = Forms(c, self.w * fine, self.h * fine), np.float32(1)
         ground = self._checked(self._read(bits, 8, c.color_field))
         bad = (ground < 0).any(axis=-1)
         light = LINEAR.astype(np.float32)
-        canvas = np.broadcast_to(light[np.maximum(ground, 0)][:, None, None], (n, self.h, self.w, 3)).copy()
+        canvas = np.broadcast_to(light[np.maximum(ground, 0)][:, None, None], (n, self.h * fine, self.w * fine, 3)).copy()
         at, levels = 8 + c.color_field, np.array(c.levels, dtype=np.float32)
         for _ in range(c.n_shapes):
             codes = []
@@ -194,7 +216,10 @@ class _Drawn:
                     x = np.arange(box[1].start, box[1].stop)
                     hit = (x >= low[i][box[0], None]) & (x < high[i][box[0], None])
                     canvas[i][box] = np.where(hit[..., None], (one - a[i]) * part + a[i] * color[i], part)
-        out = srgb_u8(canvas.astype(np.float64))
+        canvas = canvas.astype(np.float64)
+        if fine > 1:
+            canvas = canvas.reshape(n, self.h, fine, self.w, fine, 3).mean(axis=(2, 4))
+        out = srgb_u8(canvas)
         out[bad] = -1
         return out
 
@@ -210,8 +235,8 @@ def _size(aspect: float, base: int, strict: bool = False) -> tuple[int, int]:
     return (base, max(int(np.floor(base / aspect + 0.5)), 1)) if wide else (max(int(np.floor(aspect * base + 0.5)), 1), base)
 
 
-def decode(df: DataFrame, codec: Codec | str, hash_: str = "hash", base: int = 256, aspect: float | None = None) -> DataFrame:
-    """``df`` with w, h, r, g, b (flat byte arrays) of its hashes drawn with hard edges, and ``error``.
+def decode(df: DataFrame, codec: Codec | str, hash_: str = "hash", base: int = 256, aspect: float | None = None, style: RenderStyle = RenderStyle()) -> DataFrame:
+    """``df`` with w, h, r, g, b (flat byte arrays) of its hashes drawn in ``style``, and ``error``.
 
     ``error`` says why a picture is null: no codec, a hash that is no hex or too short for
     its codec, or a colour beyond the palette.  Columns by these names give way.
@@ -229,7 +254,7 @@ def decode(df: DataFrame, codec: Codec | str, hash_: str = "hash", base: int = 2
         plain = F.lower(F.col(f"`{hash_}`"))
         good = plain.rlike("^([0-9a-f]{2})+$") & long_enough(plain, one.column())
         if one.shape == "dct":
-            return _frequencies(rows.select(*same, F.when(good, plain).alias("_hash")), names, schema, base)
+            return _frequencies(rows.select(*same, F.when(good, plain).alias("_hash")), names, schema, base, style)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -238,7 +263,7 @@ def decode(df: DataFrame, codec: Codec | str, hash_: str = "hash", base: int = 2
                 for i, t in enumerate(texts):
                     if t is not None:
                         sizes.setdefault(int(t[:2], 16), []).append(i)
-                for part, drawn in _batches(texts, sizes, one, base, aspect, total):
+                for part, drawn in _batches(texts, sizes, one, base, aspect, total, style):
                     yield _emitted(batch, part, drawn, names, schema)
                 bad = [i for i, t in enumerate(texts) if t is None]
                 if bad:
@@ -250,13 +275,13 @@ def decode(df: DataFrame, codec: Codec | str, hash_: str = "hash", base: int = 2
     return by_codec(flat, codec, work)
 
 
-def _batches(texts: list, sizes: dict[int, list[int]], codec: Codec, base: int, aspect: float | None, total: list) -> Iterator[tuple[list[int], np.ndarray]]:
+def _batches(texts: list, sizes: dict[int, list[int]], codec: Codec, base: int, aspect: float | None, total: list, style: RenderStyle) -> Iterator[tuple[list[int], np.ndarray]]:
     """Rows and their bytes (rows, h, w, 3), a few pictures at a time."""
     for code, rows in sizes.items():
         quantised = float(2.0 ** (code / 254 * 6 - 3))
         w, h = _size(quantised if aspect is None else float(aspect), base)
-        drawer = _Drawn(codec, w, h)
-        for at in range(0, len(rows), step := max(1, (1 << 20) // (w * h))):
+        drawer = _Drawn(codec, w, h, style)
+        for at in range(0, len(rows), step := max(1, (1 << 20) // (w * h * style.samples**2))):
             some = rows[at : at + step]
             yield some, drawer.run(_bits([texts[i] for i in some], total[some[0]]), quantised)
 
@@ -277,7 +302,7 @@ def _emitted(batch: pa.RecordBatch, rows: list[int], drawn: np.ndarray | None, n
     return pa.RecordBatch.from_arrays([*kept, *sizes, *planes, pa.array(np.where(bad, "a colour is beyond the palette", None), type=pa.string())], names=schema.names)
 
 
-def _frequencies(rows: DataFrame, names: list[str], schema: T.StructType, base: int) -> DataFrame:
+def _frequencies(rows: DataFrame, names: list[str], schema: T.StructType, base: int, style: RenderStyle) -> DataFrame:
     """Frequency hashes drawn by two matrix products a plane; opacity isn't part of the three planes."""
     found = dct.coefficients(rows, "_hash")
     w, h = quant.output_size(F.col("_head_aspect"), base, strict=True)
@@ -308,22 +333,32 @@ def _frequencies(rows: DataFrame, names: list[str], schema: T.StructType, base:
                 for at in range(0, len(rows_), step := max(1, (1 << 20) // (wide * tall))):
                     some = rows_[at : at + step]
                     lab = [by.T @ g[some] @ bx for g in grids]
-                    yield _emitted(batch, some.tolist(), _from_lab(*lab), names, schema)
+                    yield _emitted(batch, some.tolist(), effects.finished(_from_lab(*lab, style), style), names, schema)
 
     planes = [F.when(F.col("_hash").isNotNull(), F.col(c)).alias(c) for c in ("_l", "_p", "_q")]
     return found.select(*of, w.alias("_w"), h.alias("_h"), *planes).mapInArrow(run, schema)
 
 
-def _from_lab(light: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _from_lab(light: np.ndarray, a: np.ndarray, b: np.ndarray, style: RenderStyle) -> np.ndarray:
     from ..functions.color import CHROMA, LAB_BACK, LMS_BACK
 
     lab = np.stack((light, a / CHROMA, b / CHROMA), axis=-1)
     roots = lab @ np.array(LAB_BACK).T
-    return srgb_u8((roots * roots * roots) @ np.array(LMS_BACK).T)
+    lin = (roots * roots * roots) @ np.array(LMS_BACK).T
+    if style.dither and style.palette is None:
+        t = effects.thresholds(light.shape[2], light.shape[1])[..., None]
+        return np.clip(np.floor(_companded(np.clip(lin, 0, 1)) * 255 + t), 0, 255).astype(np.int64)
+    return srgb_u8(lin)
+
 
+def to_svg(df: DataFrame, codec: Codec | str, hash_: str = "hash", base: int = 256, blur: float = 0.0, corner_radius: float = 0.0, style: RenderStyle = RenderStyle()) -> DataFrame:
+    """``df`` with ``svg`` and ``error``; frequency hashes have no SVG.
 
-def to_svg(df: DataFrame, codec: Codec | str, hash_: str = "hash", base: int = 256, blur: float = 0.0, corner_radius: float = 0.0) -> DataFrame:
-    """``df`` with ``svg`` and ``error``; frequency hashes have no SVG.  A corner radius counts for rectangles only."""
+    The style's blur goes before ``blur``.  A corner radius counts for rectangles only; a warning says where it doesn't.
+    """
+    blur = style.effective_blur(blur)
+    if corner_radius > 0 and isinstance(codec, Codec) and codec.shape not in ROUNDED:
+        warnings.warn(f"a corner radius doesn't count for {codec.shape} hashes", stacklevel=2)
     names = [c for c in df.columns if c not in ("svg", "error")]
 
     def work(rows: DataFrame, one: Codec | None) -> DataFrame:
@@ -332,7 +367,7 @@ def to_svg(df: DataFrame, codec: Codec | str, hash_: str = "hash", base: int = 2
             return rows.select(*(f"`{c}`" for c in names), F.lit(None).cast("string").alias("svg"), F.lit(nothing).alias("error"))
         plain = F.lower(F.col(f"`{hash_}`"))
         good = F.coalesce(plain.rlike("^([0-9a-f]{2})+$") & long_enough(plain, one.column()), F.lit(False))
-        radius = corner_radius if one.shape in ("rect", "square", "rotrect") else 0.0
+        radius = corner_radius if one.shape in ROUNDED else 0.0
         d = shapes.to_svg(rows.withColumn("_hash", F.when(good, plain).otherwise("00" * 8)), one, "_hash", base, blur=blur, corner_radius=radius)
         return d.select(*(f"`{c}`" for c in names), F.when(good, F.col("svg")).alias("svg"), F.when(~good, F.lit("the hash is no hex or too short")).alias("error"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import clean_hex
+from ..functions.rows import computed
 from ..operators import analytics as A
 from ..operators import render, shapes
 from ..registry import query
@@ -222,11 +223,19 @@ _COVER = {
 }
 
 
+#: Shapes at a quarter of their size, so that every place of their canvas is looked at.
+_QUARTER = "q AS (SELECT l_orderkey, l_linenumber, " + ", ".join(f"{c} // 4 AS {c}" for c in ("cx", "cy", "x1", "y1", "x2", "y2")) + ", w // 4 + 1 AS w, h // 4 + 1 AS h FROM t)"
+
+
 def _coverage(kind):
     def run(spark, sf):
-        grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(47), F.lit(5)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(47), F.lit(5)), lambda x: F.struct(x.alias("x"), y.alias("y")))))
-        hits = F.size(F.filter(grid, lambda p: shapes.inside(kind, F.col("s"), p["x"], p["y"])))
-        return drawn(spark, sf).select("l_orderkey", "l_linenumber", hits.alias("hits"))
+        s = F.col("s")
+        for c in ("cx", "cy", "x1", "y1", "x2", "y2", "w", "h"):
+            s = s.withField(c, F.floor(F.col("s")[c] / 4).cast("int") + (1 if c in "wh" else 0))
+        edge = F.sequence(F.lit(0), F.lit(11))
+        grid = F.flatten(F.transform(edge, lambda y: F.transform(edge, lambda x: F.struct(x.alias("x"), y.alias("y")))))
+        hits = F.size(F.filter(grid, lambda p: shapes.inside(kind, F.col("small"), p["x"], p["y"])))
+        return computed(drawn(spark, sf), small=s).select("l_orderkey", "l_linenumber", hits.alias("hits"))
 
     return run
 
@@ -234,7 +243,7 @@ def _coverage(kind):
 for _kind, _sql in _COVER.items():
     query(
         f"cover_{_kind}",
-        f"""WITH {_SHAPES}, u AS (SELECT *, row_number() OVER () AS rid, (x1 - cx) * (y2 - cy) - (y1 - cy) * (x2 - cx) AS a FROM t), g AS (SELECT gx.v AS x, gy.v AS y FROM (SELECT unnest(range(0, 48, 5)) AS v) gx, (SELECT unnest(range(0, 48, 5)) AS v) gy)
+        f"""WITH {_SHAPES}, {_QUARTER}, u AS (SELECT *, row_number() OVER () AS rid, (x1 - cx) * (y2 - cy) - (y1 - cy) * (x2 - cx) AS a FROM q), g AS (SELECT gx.v AS x, gy.v AS y FROM (SELECT unnest(range(12)) AS v) gx, (SELECT unnest(range(12)) AS v) gy)
         SELECT l_orderkey, l_linenumber, count(*) FILTER ({_sql})::INT AS hits FROM u, g GROUP BY rid, l_orderkey, l_linenumber""",
     )(_coverage(_kind))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..codec import of, presets
-from ..operators import fit, render, shapes
+from ..operators import fit, shapes
 from ..registry import query
 from .fixtures import pictures, pixels
 from .pictures import dct_encode, pixel_encode
@@ -61,13 +61,6 @@ def hash_symbols(spark, sf):
     return shapes.symbols(pixel_encode(spark, sf), of("pixel", 16)).select("vec_id", "field", "pos", "sym")
 
 
-@query("gaussian_blur")
-def gaussian_blur(spark, sf):
-    """Pixel hashes decoded at 8 pixels and blurred."""
-    d = shapes.decode(pixel_encode(spark, sf), of("pixel", 16), base=8).drop("hash")
-    return render.blurred(d, 1.0, ["vec_id"]).select("vec_id", "y", "x", "r", "g", "b")
-
-
 @query("hash_sizes")
 def hash_sizes(spark, sf):
     """How many frequency hashes have each length."""

@@ -12,6 +12,8 @@ from ..functions import color
 from ..functions.rows import computed
 from ..operators import dct, shapes, sums
 from ..operators import images as ops
+from ..operators.effects import RenderStyle
+from ..operators.render import kernel
 from ..registry import query
 from .fixtures import BYTE, IMAGES, LINEAR, images, pictures, pixels, rows_of, six
 
@@ -38,10 +40,33 @@ def pixel_decode_nearest(spark, sf):
     return rows_of(ops.decode(pixel_encode(spark, sf), PIXEL16, base=8), "vec_id")
 
 
-@query("pixel_decode_smooth")
+_AT = "at_ AS (SELECT v, least(greatest(floor((v + 0.5::DOUBLE) / 2 - 0.5::DOUBLE), 0), 3)::INT AS low, (v + 0.5::DOUBLE) / 2 - 0.5::DOUBLE AS f FROM (SELECT unnest(range(8))::INT AS v)), share AS (SELECT v, low, least(low + 1, 3) AS high, least(greatest(f - low, 0), 1) AS d FROM at_)"
+_BLENDED = ", ".join(f"floor((1 - sy.d) * ((1 - sx.d) * a.{c} + sx.d * b.{c}) + sy.d * ((1 - sx.d) * c.{c} + sx.d * d.{c}) + 1e-9)::INT AS {c}" for c in "rgb")
+
+
+@query(
+    "pixel_decode_smooth",
+    f"""WITH {IMAGES}, {_LIN}, {_MEAN}, {_U8}, {_CODE}, {_BACK}, {_AT} SELECT a.vec_id, sy.v AS y, sx.v AS x, {_BLENDED} FROM share sy CROSS JOIN share sx JOIN back a ON a.gy = sy.low AND a.gx = sx.low
+    JOIN back b ON b.vec_id = a.vec_id AND b.gy = sy.low AND b.gx = sx.high JOIN back c ON c.vec_id = a.vec_id AND c.gy = sy.high AND c.gx = sx.low JOIN back d ON d.vec_id = a.vec_id AND d.gy = sy.high AND d.gx = sx.high""",
+)
 def pixel_decode_smooth(spark, sf):
-    """Cells blended bilinearly; sums of truncated products aren't stated in SQL, tests compare it with numpy."""
-    return shapes.decode(pixel_encode(spark, sf), PIXEL16, base=8, smooth=True).select("vec_id", "y", "x", "r", "g", "b")
+    """Cells blended bilinearly."""
+    return rows_of(ops.decode(pixel_encode(spark, sf), PIXEL16, base=8, style=RenderStyle(smooth=True)), "vec_id")
+
+
+_GAUSS = kernel(1.0)
+_SOFT = ", ".join(f"least(greatest(floor(round(sum(ky.k * kx.k * p.{c}), 9) + 0.5::DOUBLE), 0), 255)::INT AS {c}" for c in "rgb")
+
+
+@query(
+    "gaussian_blur",
+    f"""WITH {IMAGES}, {_LIN}, {_MEAN}, {_U8}, {_CODE}, {_BACK}, drawn AS (SELECT vec_id, gy * 2 + i AS y, gx * 2 + j AS x, r, g, b FROM back, (SELECT unnest(range(2)) AS i), (SELECT unnest(range(2)) AS j)),
+    k AS (SELECT unnest({_GAUSS}::DOUBLE[]) AS k, unnest(range({len(_GAUSS)})) - {len(_GAUSS) // 2} AS o), at_ AS (SELECT v, least(greatest(v + o, 0), 7) AS p, sum(k) AS k FROM k, (SELECT unnest(range(8)) AS v) GROUP BY ALL)
+    SELECT p.vec_id, ky.v::INT AS y, kx.v::INT AS x, {_SOFT} FROM drawn p JOIN at_ ky ON ky.p = p.y JOIN at_ kx ON kx.p = p.x GROUP BY ALL""",
+)
+def gaussian_blur(spark, sf):
+    """Pixel hashes decoded at 8 pixels and blurred inside the picture's row."""
+    return rows_of(ops.decode(pixel_encode(spark, sf), PIXEL16, base=8, style=RenderStyle(blur=1.0)), "vec_id")
 
 
 @query(
@@ -158,6 +183,13 @@ def dct_decode(spark, sf):
 _TWICE = "CASE WHEN {0} = 0 THEN 1 ELSE 2 END"
 
 
+@query("dct_palette")
+def dct_palette(spark, sf):
+    """Pictures of the hashes of :func:`dct_encode` at 32 pixels in a palette of 16 colours, dithered."""
+    style = RenderStyle(palette=palettes.get("pico8"), dither=True)
+    return rows_of(ops.decode(dct_encode(spark, sf), of("dct"), base=32, style=style), "vec_id")
+
+
 @query(
     "dct_idct",
     f"""WITH {IMAGES}, {_GRAY}, {_MASK}, {_PROJECT}, p AS (SELECT unnest(range(8)) AS y), q AS (SELECT unnest(range(8)) AS x)

@@ -54,8 +54,8 @@ def weighted_background(spark, sf):
     return d.select("vec_id", "cue", *(six(F.col(c)).alias(c) for c in "rgb"))
 
 
-@query("luminance_steps", "WITH " + IMAGES + """ SELECT a.vec_id, a.y, a.x, (coalesce(e.r - w.r, 0))::DOUBLE AS gx, (coalesce(s.r - n.r, 0))::DOUBLE AS gy FROM px a LEFT JOIN px e ON e.vec_id = a.vec_id AND e.y = a.y AND e.x = a.x + 1 LEFT JOIN px w ON w.vec_id = a.vec_id AND w.y = a.y AND w.x = a.x - 1
-  LEFT JOIN px s ON s.vec_id = a.vec_id AND s.x = a.x AND s.y = a.y + 1 LEFT JOIN px n ON n.vec_id = a.vec_id AND n.x = a.x AND n.y = a.y - 1""")
+@query("luminance_steps", "WITH " + IMAGES + """ SELECT vec_id, y, x, (coalesce(lead(r) OVER across - lag(r) OVER across, 0))::DOUBLE AS gx, (coalesce(lead(r) OVER down - lag(r) OVER down, 0))::DOUBLE AS gy FROM px
+  WINDOW across AS (PARTITION BY vec_id, y ORDER BY x), down AS (PARTITION BY vec_id, x ORDER BY y)""")
 def luminance_steps(spark, sf):
     return cues.differences(pixels(spark, sf), ["vec_id"], F.col("r").cast("double")).select("vec_id", "y", "x", "gx", "gy")
 
@@ -90,7 +90,7 @@ def _triangle_symbols(deltas: bool):
 query("triangle_symbols", f"WITH {_BITS} SELECT s_suppkey, field, pos, sym FROM r")(_triangle_symbols(False))
 query(
     "triangle_deltas",
-    f"WITH {_BITS} SELECT r.s_suppkey, r.field, r.pos, (CASE WHEN r.field IN ('x1', 'x2', 'y1', 'y2') THEN r.sym - o.sym + 31 ELSE r.sym END)::INT AS sym FROM r LEFT JOIN r o ON o.s_suppkey = r.s_suppkey AND o.pos = r.pos AND o.field = r.field[1] || '0'",
+    f"WITH {_BITS}, o AS (SELECT *, max(sym) FILTER (field = 'x0') OVER s AS x0, max(sym) FILTER (field = 'y0') OVER s AS y0 FROM r WINDOW s AS (PARTITION BY s_suppkey, pos)) SELECT s_suppkey, field, pos, (CASE WHEN field IN ('x1', 'x2') THEN sym - x0 + 31 WHEN field IN ('y1', 'y2') THEN sym - y0 + 31 ELSE sym END)::INT AS sym FROM o",
 )(_triangle_symbols(True))
 
 

@@ -5,7 +5,8 @@ A codec is its JSON text, as ``codec_to_json`` writes it.
 * ``ph_encode(w, h, r, g, b, codec)``: the hash (hex) of flat byte arrays; null where they don't fit.
 * ``ph_decode(hash, codec, base)``: a struct of w, h and the flat arrays r, g, b.
 * ``ph_shapes(hash, codec, base)`` and ``ph_symbols(hash, codec)``: table functions, a row for
-  each shape (idx, field, value) and for each coded number (field, pos, sym).
+  each shape (idx, field, value) and for each coded number (field, pos, sym); none where the codec is
+  none, or the hash is no hex or too short.
 
 Frequency hashes, and SVG, are columns of ``operators.dct`` and ``operators.images`` only:
 SQL functions give null for them.  The table functions are for looking into single
@@ -128,12 +129,21 @@ def _read(text: str, codec: Codec) -> list[list[tuple[str, int, int]]]:
     return out
 
 
+def _good(text: str | None, codec: str | None) -> Codec | None:
+    """The codec of a row whose hash is of shapes or cells, hexadecimal and long enough; else None."""
+    try:
+        one = codec_from_json(codec)
+        return one if one.shape != "dct" and len(bytes.fromhex(text)) >= _total(one) else None
+    except (ValueError, TypeError, AttributeError):
+        return None
+
+
 @udtf(returnType="idx int, field string, value double")
 class _Shapes:
     def eval(self, text: str, codec: str, base: int):
         """The drawn fields of each shape on a canvas whose long edge is ``base``."""
-        one = codec_from_json(codec)
-        if text is None or one.shape in ("dct", "pixel"):
+        one = _good(text, codec)
+        if one is None or one.shape == "pixel" or not base or base < 1:
             return
         w, h = images._size(float(2.0 ** (int(text[:2], 16) / 254 * 6 - 3)), base)
         forms = Forms(one, w, h)
@@ -147,8 +157,8 @@ class _Shapes:
 class _Symbols:
     def eval(self, text: str, codec: str):
         """Every coded number of a hash."""
-        one = codec_from_json(codec)
-        if text is None or one.shape == "dct":
+        one = _good(text, codec)
+        if one is None:
             return
         for pos, numbers in enumerate(_read(text, one)):
             for name, bits, value in numbers:
