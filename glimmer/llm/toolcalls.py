@@ -12,9 +12,11 @@ others move right behind the last one they need.  Messages on a cycle, or that n
 on a cycle, keep their turn.  Each message becomes one canonical JSON line: keys sorted,
 no spaces, UTF-8 unescaped.
 
-One row is one message, so a conversation of any length is never held in one task.  A chain
-of messages is ordered by pointer jumping, in a number of rounds that grows with the
-logarithm of its length; a message that needs several others waits for all of them.
+Conversations of at most ``WHOLE`` links are ordered in one pass, each by the task that its
+links are sent to; messages' texts aren't moved for it.  A longer one is never held in one
+task: a chain of its messages is ordered by pointer jumping, in a number of rounds that grows
+with the logarithm of its length; a message that needs several others waits for all of them,
+so that there rounds grow with the longest chain of such messages.  Both ways give one order.
 
 JSON that nests too deeply for Python's parser or writer isn't read: a whole text is then
 plain content, and arguments given as text stay text, with the problem "$: not JSON".
@@ -25,6 +27,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -168,6 +171,60 @@ def parsed(df: DataFrame, schemas: Schemas) -> DataFrame:
 
 #: Conversations that are broadcast; with more of them Spark chooses the join.
 BROADCAST_CONVERSATIONS = 1_000_000
+#: Links of a conversation that one task orders.
+WHOLE = 100_000
+
+
+def places(conv: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[np.ndarray]:
+    """conv_id, turn, at_turn, depth of the messages that must move, of whole conversations' links."""
+    conv, turn = np.concatenate((conv, conv)), np.concatenate((before, after))
+    order = np.lexsort((turn, conv))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (np.diff(conv[order]) != 0) | (np.diff(turn[order]) != 0)
+    of = np.empty(len(order), dtype=np.int64)
+    of[order] = np.cumsum(first) - 1
+    conv, turn = conv[order][first], turn[order][first]
+    left, right = of[: len(before)], of[len(before) :]
+    starts = np.searchsorted(np.sort(left), np.arange(len(turn) + 1)).tolist()
+    behind = right[np.argsort(left, kind="stable")].tolist()
+    waiting = np.bincount(right, minlength=len(turn)).tolist()
+    turns = turn.tolist()
+    place = [(t, 0) for t in turns]
+    last: list[tuple[int, int] | None] = [None] * len(turns)
+    settled = [v for v, n in enumerate(waiting) if not n]
+    for v in settled:  # grows while it is read
+        for w in behind[starts[v] : starts[v + 1]]:
+            last[w] = place[v] if last[w] is None else max(last[w], place[v])
+            waiting[w] -= 1
+            if not waiting[w]:
+                if last[w][0] >= turns[w]:
+                    place[w] = (last[w][0], last[w][1] + 1)
+                settled.append(w)
+    at, depth = np.array(place, dtype=np.int64).reshape(-1, 2).T
+    moved = np.flatnonzero((at != turn) | (depth != 0))  # what isn't settled keeps its turn
+    return [conv[moved], turn[moved], at[moved], depth[moved].astype(np.int32)]
+
+
+def _in_one_pass(edges: DataFrame) -> DataFrame:
+    """(conv_id, turn, at_turn, depth) of messages that must move, for conversations of at most ``WHOLE`` ``edges``."""
+    names = ["conv_id", "turn", "at_turn", "depth"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            columns = [np.asarray(c) for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, columns, strict=True)] if held else columns
+            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last conversation may go on
+            if whole:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in places(*(c[:whole] for c in held))], names=names)
+                held = [c[whole:] for c in held]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in places(*held)], names=names)
+
+    sent = edges.select("conv_id", "before", "after").repartition("conv_id").sortWithinPartitions("conv_id")
+    return sent.mapInArrow(run, "conv_id long, turn long, at_turn long, depth int")
 
 
 def _moved(ws: Workspace, edges: DataFrame) -> DataFrame | None:
@@ -175,11 +232,6 @@ def _moved(ws: Workspace, edges: DataFrame) -> DataFrame | None:
 
     Messages are settled once all before them are; a message stands behind the latest of
     them.  Only conversations with an edge that points backwards are looked at.
-
-    What a path of messages, each of which needs only the one before it, does to the place
-    (t, d) of what it starts from is known by three numbers, its length and the place
-    (high, deep) it ends in by itself: (t, d + length) if t >= high, else (high, deep).  Each
-    round halves such paths by joining a path with the one that its start ends.
     """
     wrong = ws.keep(edges.where("before >= after").select("conv_id").distinct(), "wrong")
     few = wrong.limit(BROADCAST_CONVERSATIONS + 1).count()
@@ -187,8 +239,21 @@ def _moved(ws: Workspace, edges: DataFrame) -> DataFrame | None:
         return None
     wrong = F.broadcast(wrong) if few <= BROADCAST_CONVERSATIONS else wrong
     edges = ws.keep(edges.join(wrong, "conv_id", "left_semi").where("before <> after").distinct(), "edges")
-    if not edges.limit(1).count():
-        return None
+    long = ws.keep(edges.groupBy("conv_id").count().where(F.col("count") > WHOLE).select("conv_id"), "long")
+    if not long.limit(1).count():
+        return ws.keep(_in_one_pass(edges), "moved")
+    rest = _by_rounds(ws, ws.keep(edges.join(long, "conv_id", "left_semi"), "long-edges"))
+    return ws.keep(_in_one_pass(edges.join(long, "conv_id", "left_anti")), "moved").unionByName(rest)
+
+
+def _by_rounds(ws: Workspace, edges: DataFrame) -> DataFrame:
+    """What :func:`_in_one_pass` gives, for conversations with any number of ``edges``, each once.
+
+    What a path of messages, each of which needs only the one before it, does to the place
+    (t, d) of what it starts from is known by three numbers, its length and the place
+    (high, deep) it ends in by itself: (t, d + length) if t >= high, else (high, deep).  Each
+    round halves such paths by joining a path with the one that its start ends.
+    """
     needs = edges.groupBy("conv_id", F.col("after").alias("turn")).agg(F.count(F.lit(1)).alias("needs"), F.min("before").alias("start"))
     needs = ws.keep(needs, "needs")
     roots = edges.select("conv_id", F.col("before").alias("turn")).distinct().join(needs, ["conv_id", "turn"], "left_anti")

@@ -163,6 +163,35 @@ def test_long_chain(spark):
     assert {(r.conv_id, r.turn): (r.at_turn, r.depth, r.n_linked, bool(r.linked)) for r in out} == brute(rows)
 
 
+def forks(n):
+    """``n`` calls, each of which refers to the results of the next two."""
+    rows = []
+    for k in range(n):
+        t = 2 * k
+        rows.append((1, t, "assistant", call((f"c{t}", "search", {"query": {"$ref": f"c{t + 2}"}, "limit": {"$ref": f"c{t + 4}"}}))))
+        rows.append((1, t + 1, "tool", result(f"c{t}")))
+    return rows
+
+
+def test_chain_of_forks(spark):
+    rows = forks(1000)
+    out = run(spark, rows)
+    assert {(r.conv_id, r.turn): (r.at_turn, r.depth, r.n_linked, bool(r.linked)) for r in out} == brute(rows)
+
+
+def test_long_conversations_by_rounds(spark, monkeypatch):
+    # four links are many here: one conversation goes through rounds, others don't; one is a cycle
+    from glimmer.llm import toolcalls
+
+    monkeypatch.setattr(toolcalls, "WHOLE", 4)
+    rows = forks(4)
+    rows += [(2, 0, "assistant", call(("a", "search", {"query": {"$ref": "b"}}))), (2, 1, "tool", result("a"))]
+    rows += [(2, 2, "assistant", call(("b", "search", {"query": "q"}))), (2, 3, "tool", result("b"))]
+    rows += [(3, 0, "tool", result("a")), (3, 1, "assistant", call(("a", "search", {"query": {"$ref": "b"}}))), (3, 2, "assistant", call(("b", "search", {"query": {"$ref": "a"}}))), (3, 3, "tool", result("b"))]
+    out = run(spark, rows)
+    assert {(r.conv_id, r.turn): (r.at_turn, r.depth, r.n_linked, bool(r.linked)) for r in out} == brute(rows)
+
+
 def test_query_sql(spark):
     import duckdb
 
