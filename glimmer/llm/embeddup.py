@@ -4,8 +4,12 @@ Equal vectors form one class first.  Unit vectors have a home cell, that of the
 the largest inner product; pivots come from a bounded sample and decide nothing but the
 work.  A pair of cosine at least t is at most sqrt(2 - 2t) apart, so across a bisecting
 plane it can lie only if both are that close to it: such vectors are copied to the cell on
-the other side, once for each pair of cells.  Within a cell all blocks are multiplied with
-each other as int8 codes.  A code's inner product differs from the true one by no more than
+the other side, once for each pair of cells.  Vectors without clusters lie close to most
+such planes; so pivots are halved in number until vectors that didn't make them have
+``COPIES`` copies at most on average, in the end to a single cell, all of whose blocks meet.
+Blocks grow with their cell, to ``IN_BLOCK`` numbers: a vector is sent once for each block
+that its own block meets.  Within a cell all blocks are multiplied with each other as int8
+codes.  A code's inner product differs from the true one by no more than
 e_u + (1 + e_u) e_v, with e the length of a vector's rounding error; only pairs that may
 reach t by that bound are computed again in double precision.
 
@@ -28,6 +32,10 @@ from .workspace import Workspace
 
 #: Vectors from which pivots are made, numbers in them at most, and vectors of the sample for each pivot.
 SAMPLE, NUMBERS, PER_PIVOT = 65_536, 1 << 24, 4
+#: Copies of a vector in other cells, on average over the sample's other half.
+COPIES = 3.0
+#: Numbers in a block of vectors at most, and blocks of a cell wanted before blocks grow beyond ``BLOCK`` vectors.
+IN_BLOCK, BLOCKS = 1 << 20, 16
 #: Components whose products of codes are summed in single precision: 127 * 127 * EXACT < 2^24.
 EXACT = 1024
 _SLACK = 1e-9
@@ -41,13 +49,44 @@ def _quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, np.linalg.norm(u - q * scale[:, None], axis=1)
 
 
+def _margins(u: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home cell of each of ``u``, and rows with the later cells that they are copied to."""
+    square = (c * c).sum(axis=1)
+    home, rows, to = np.zeros(len(u), dtype=np.int64), [], []
+    for at in range(0, len(u), step := max(1, (1 << 22) // len(c))):
+        near = u[at : at + step] @ c.T
+        mine = near.argmax(axis=1)
+        apart = np.sqrt(np.maximum(square[mine][:, None] + square[None] - 2 * c[mine] @ c.T, 1e-12))
+        margin = near[np.arange(len(near)), mine][:, None] - near
+        r, cell = np.nonzero((margin <= reach * apart) & (np.arange(len(c)) > mine[:, None]))
+        home[at : at + step] = mine
+        rows.append(at + r)
+        to.append(cell)
+    return home, np.concatenate(rows), np.concatenate(to)
+
+
+def _reach(threshold: float) -> float:
+    return (2 - 2 * threshold) ** 0.5 + 1e-6
+
+
+def pivots_of(unit: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Pivots for ``n`` vectors, made from one half of a sample of unit vectors and held against the other; none for one cell."""
+    fit, other = unit[::2], unit[1::2]
+    k = min(len(unit) // PER_PIVOT, n // (2 * BLOCK))
+    while k > 1:
+        pivots = kmeans(fit, k)
+        if len(pivots) > 1 and len(_margins(other, pivots, _reach(threshold))[1]) <= COPIES * len(other):
+            return pivots
+        k //= 2
+    return np.zeros((0, 0))
+
+
 def _cells(classes: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
-    reach = (2 - 2 * threshold) ** 0.5 + 1e-6
+    reach = _reach(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        square = (c * c).sum(axis=1) if len(c) else None
         for batch in batches:
             dims = np.asarray(batch.column(1))
             for dim in np.unique(dims):
@@ -58,16 +97,7 @@ def _cells(classes: DataFrame, pivots: np.ndarray, threshold: float) -> DataFram
                 n = len(u)
                 row, cell, home = np.arange(n), np.full(n, -int(dim)), np.ones(n, dtype=bool)
                 if len(c) and c.shape[1] == dim:
-                    copies = []
-                    for at in range(0, n, step := max(1, (1 << 22) // len(c))):
-                        near = u[at : at + step] @ c.T
-                        mine = near.argmax(axis=1)
-                        apart = np.sqrt(np.maximum(square[mine][:, None] + square[None] - 2 * c[mine] @ c.T, 1e-12))
-                        margin = near[np.arange(len(near)), mine][:, None] - near
-                        r, to = np.nonzero((margin <= reach * apart) & (np.arange(len(c)) > mine[:, None]))
-                        cell[at : at + step] = mine
-                        copies.append((at + r, to))
-                    r, to = (np.concatenate(x) for x in zip(*copies, strict=True))
+                    cell, r, to = _margins(u, c, reach)
                     row, cell, home = np.concatenate((row, r)), np.concatenate((cell, to)), np.concatenate((home, np.zeros(len(r), dtype=bool)))
                 for at in range(0, len(row), 4096):
                     take = row[at : at + 4096]
@@ -185,13 +215,14 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedd
     classes = ws.keep(classes.select(node(F.col("least"), F.col("key")).alias("key"), "size", "dim", "vector"), "classes")
     n = classes.count()
     some = sample(classes, SAMPLE, NUMBERS)
-    k = min(len(some) // PER_PIVOT, n // (2 * BLOCK))
     unit = some / np.linalg.norm(some, axis=1)[:, None] if len(some) else some
-    pivots = kmeans(unit, k) if k > 1 else np.zeros((0, 0))
+    pivots = pivots_of(unit, n, threshold)
     cells = ws.keep(_cells(classes, pivots, threshold), "cells")
 
     sizes = cells.groupBy("cell", "home").count()
-    slots = ws.keep(sizes.select("cell", "home", F.ceil(F.col("count") / BLOCK).cast("int").alias("slots")), "slots")  # at most two rows a pivot
+    fits = F.greatest(F.lit(1), F.floor(IN_BLOCK / F.when(F.col("cell") < 0, -F.col("cell")).otherwise(max(pivots.shape[1], 1))))
+    block = F.least(fits, F.greatest(F.lit(BLOCK), F.floor(F.col("count") / BLOCKS)))
+    slots = ws.keep(sizes.select("cell", "home", F.ceil(F.col("count") / block).cast("int").alias("slots")), "slots")  # at most two rows a pivot, or one a length
     item = F.struct("key", "size", "code", "scale", "error", "vector")
     slot = F.pmod(F.xxhash64("key"), F.col("slots")).cast("int")
     blocks = ws.keep(cells.join(F.broadcast(slots), ["cell", "home"]).withColumn("slot", slot).groupBy("cell", "home", "slot").agg(F.collect_list(item).alias("items")), "blocks")

@@ -175,9 +175,27 @@ def test_products_are_exact():
         assert (embeddup.products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
 
 
-def test_links_by_many_pivots(spark, monkeypatch):
-    monkeypatch.setattr(embeddup, "BLOCK", 16)
+@pytest.mark.parametrize("block,most", [(2, 1e9), (16, 1e9), (16, 3.0)])
+def test_links_by_many_pivots(spark, monkeypatch, block, most):
+    monkeypatch.setattr(embeddup, "BLOCK", block)
+    monkeypatch.setattr(embeddup, "COPIES", most)
     rng = np.random.default_rng(4)
     vectors = sum((family(rng, n) for n in (100, 30, 60, 5, 5)), []) + [rng.normal(size=16).astype(np.float32).tolist() for _ in range(800)]
     rows = list(enumerate(vectors))
     assert linked(spark.createDataFrame(rows, SCHEMA)) == brute_links(rows)
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_copies_are_bounded():
+    rng = np.random.default_rng(12)
+    reach = embeddup._reach(0.95)
+    for spread, cells in ((0.02, 50), (9.0, 0)):  # clusters keep their cells; without clusters few stay
+        centers = unit(rng.normal(size=(200, 32)))
+        x = unit(centers[rng.integers(0, 200, 24_000)] + spread * rng.normal(size=(24_000, 32)))
+        pivots = embeddup.pivots_of(x[:8000], 1_000_000, 0.95)
+        assert len(pivots) >= cells
+        if len(pivots):
+            assert len(embeddup._margins(x[8000:], pivots, reach)[1]) <= 1.1 * embeddup.COPIES * 16_000
