@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .. import codec as C
 from .. import palettes as P
 from ..registry import query
-from .fixtures import table
+from .fixtures import named_colors, of_parts, of_parts_sql, table
 
+_PRESETS = list(C.presets())
+_NAMED = list(P.NAMED)
+_AUTOMATIC = [2, 4, 8, 16, 32, 64, 256]
 _SHAPES = ("circle", "triangle", "square", "rect", "rotrect", "pixel", "dct")
 
 
@@ -47,15 +50,17 @@ def codec_total(spark, sf):
 
 @query(
     "preset_expand",
-    """WITH s AS (SELECT unnest(['small', 'medium', 'large']) AS size, unnest([12, 24, 64]) AS n, unnest([16, 24, 64]) AS cells), m AS (SELECT unnest(['triangle', 'circle', 'pixel', 'rect', 'square']) AS shape),
+    f"""WITH s AS (SELECT unnest(['small', 'medium', 'large']) AS size, unnest([12, 24, 64]) AS n, unnest([16, 24, 64]) AS cells), m AS (SELECT unnest(['triangle', 'circle', 'pixel', 'rect', 'square']) AS shape),
     a AS (SELECT size || '_' || shape AS name, false AS deprecated, shape, CASE shape WHEN 'pixel' THEN cells ELSE n END AS n FROM s, m),
     o AS (SELECT CASE size WHEN 'small' THEN 'placeholder' ELSE 'detail' END || '_' || shape AS name, true AS deprecated, shape, n FROM (SELECT *, split_part(name, '_', 1) AS size FROM a) WHERE size IN ('small', 'large') AND shape IN ('triangle', 'circle', 'pixel')),
     t AS (SELECT * FROM a UNION ALL SELECT * FROM o UNION ALL VALUES ('dct', false, 'dct', 12), ('tiny_dct', true, 'dct', 12))
-    SELECT name, deprecated, shape, n::INT AS n, CASE shape WHEN 'dct' THEN 27 WHEN 'pixel' THEN ceil((8 + 16 * n) / 8.0) WHEN 'triangle' THEN ceil((24 + n * 49) / 8.0) WHEN 'rect' THEN ceil((24 + n * 37) / 8.0) ELSE ceil((24 + n * 33) / 8.0) END::INT AS bytes FROM t""",
+    SELECT p_partkey, name, deprecated, shape, n::INT AS n, CASE shape WHEN 'dct' THEN 27 WHEN 'pixel' THEN ceil((8 + 16 * n) / 8.0) WHEN 'triangle' THEN ceil((24 + n * 49) / 8.0) WHEN 'rect' THEN ceil((24 + n * 37) / 8.0) ELSE ceil((24 + n * 33) / 8.0) END::INT AS bytes FROM t JOIN part ON name = {_PRESETS!r}[(p_partkey % {len(_PRESETS)} + 1)::INT]""",
 )
 def preset_expand(spark, sf):
+    """The preset that each part's key gives."""
     c = F.col("codec")
-    return C.preset_frame(spark).select("name", "deprecated", c["shape"].alias("shape"), c["n_shapes"].alias("n"), C.bytes_total(c).cast("int").alias("bytes"))
+    parts_ = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % len(_PRESETS)).cast("int").alias("ord"))
+    return parts_.join(F.broadcast(C.preset_frame(spark)), "ord").select("p_partkey", "name", "deprecated", c["shape"].alias("shape"), c["n_shapes"].alias("n"), C.bytes_total(c).cast("int").alias("bytes"))
 
 
 @query(
@@ -69,10 +74,10 @@ def byte_compat_join(spark, sf):
     return a.join(b, C.compatible(F.col("ca"), F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b")
 
 
-@query("palette_table")
+@query("palette_table", f"WITH {named_colors(P.NAMED)}, {of_parts_sql(_NAMED)}")
 def palette_table(spark, sf):
-    """Every colour of every named palette; the names and values are fixed, so there is nothing for SQL to derive."""
-    return P.frame(spark)
+    """A colour of a named palette for each part."""
+    return of_parts(spark, sf, P.frame(spark), _NAMED)
 
 
 _LEVEL = "round(i * 255.0 / {0})::INT"
@@ -80,22 +85,23 @@ _LEVEL = "round(i * 255.0 / {0})::INT"
 
 @query(
     "auto_palettes",
-    """WITH g AS (SELECT k, i, round(i * 255.0::DOUBLE / (k - 1))::INT AS v FROM (SELECT unnest([2, 4, 8]) AS k), LATERAL (SELECT unnest(range(k)) AS i)),
+    f"""WITH g AS (SELECT k, i, round(i * 255.0::DOUBLE / (k - 1))::INT AS v FROM (SELECT unnest([2, 4, 8]) AS k), LATERAL (SELECT unnest(range(k)) AS i)),
     sixteen AS (SELECT 16 AS k, i, round(i * 255.0::DOUBLE / 7)::INT AS v FROM (SELECT unnest(range(8)) AS i)),
     hue AS (SELECT 16 AS k, 8 + i AS i, unnest(['r', 'g', 'b']) AS c, unnest([0, 8, 4]) AS n, i * 45.0::DOUBLE AS h FROM (SELECT unnest(range(8)) AS i)),
     hv AS (SELECT k, i, c, round((0.5::DOUBLE - 0.36::DOUBLE * greatest(-1.0::DOUBLE, least(t - 3, 9 - t, 1.0::DOUBLE))) * 255)::INT AS v FROM (SELECT *, (h / 30 + n) % 12 AS t FROM hue)),
     b AS (SELECT k, rb, gb, bb, unnest(range(1 << rb)) AS r FROM (SELECT unnest([32, 64, 256]) AS k, unnest([2, 2, 3]) AS rb, unnest([2, 2, 3]) AS gb, unnest([1, 2, 2]) AS bb)),
     cube AS (SELECT k, ((r * (1 << gb) + g) * (1 << bb) + b)::INT AS i, round(r * 255.0::DOUBLE / ((1 << rb) - 1))::INT AS r, round(g * 255.0::DOUBLE / ((1 << gb) - 1))::INT AS g, round(b * 255.0::DOUBLE / ((1 << bb) - 1))::INT AS b
-      FROM b, LATERAL (SELECT unnest(range(1 << gb)) AS g), LATERAL (SELECT unnest(range(1 << bb)) AS b))
-    SELECT k, i::INT AS idx, v AS r, v AS g, v AS b FROM g UNION ALL SELECT k, i::INT, v, v, v FROM sixteen
-    UNION ALL SELECT k, i::INT, max(v) FILTER (c = 'r'), max(v) FILTER (c = 'g'), max(v) FILTER (c = 'b') FROM hv GROUP BY k, i UNION ALL SELECT k, i, r, g, b FROM cube""",
+      FROM b, LATERAL (SELECT unnest(range(1 << gb)) AS g), LATERAL (SELECT unnest(range(1 << bb)) AS b)),
+    t AS (SELECT k, i::INT AS idx, v AS r, v AS g, v AS b FROM g UNION ALL SELECT k, i::INT, v, v, v FROM sixteen
+    UNION ALL SELECT k, i::INT, max(v) FILTER (c = 'r'), max(v) FILTER (c = 'g'), max(v) FILTER (c = 'b') FROM hv GROUP BY k, i UNION ALL SELECT k, i, r, g, b FROM cube), {of_parts_sql(_AUTOMATIC, "k")}""",
 )
 def auto_palettes(spark, sf):
-    frames = [P.automatic(spark, k) for k in (2, 4, 8, 16, 32, 64, 256)]
+    """A colour of an automatic palette for each part."""
+    frames = [P.automatic(spark, k) for k in _AUTOMATIC]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out
+    return of_parts(spark, sf, out, _AUTOMATIC, "k")
 
 
 @query("coord_bits", "SELECT p_partkey, least(greatest(round(log2(greatest(p_partkey % 600, 8) / 8.0::DOUBLE)), 2), 8)::INT AS cx, least(greatest(least(greatest(round(log2(greatest(p_partkey % 600, 8) / 8.0::DOUBLE)), 2), 8) - 1, 1), 6)::INT AS r FROM part")

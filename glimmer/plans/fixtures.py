@@ -64,3 +64,28 @@ def rows_of(df: DataFrame, *keys: str) -> DataFrame:
     """A row for each pixel of pictures in arrays: the keys, y, x, r, g, b."""
     d = df.select(*keys, "w", F.posexplode(F.arrays_zip("r", "g", "b")).alias("i", "p"))
     return d.select(*keys, F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), (F.col("i") % F.col("w")).cast("int").alias("x"), *(F.col(f"p.{c}").cast("int").alias(c) for c in "rgb"))
+
+
+def of_parts(spark: SparkSession, sf_dir: str, known: DataFrame, names: list, by: str = "name") -> DataFrame:
+    """(p_partkey, ``by``, idx, r, g, b): one colour for each part, of the palette and place that its key gives.
+
+    ``known`` (``by``, idx, r, g, b) holds the colours of ``names``, at most a few hundred rows.
+    """
+    key, n = F.col("p_partkey"), len(names)
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, names)), (key % n + 1).cast("int")).alias(by), F.floor(key / n).alias("place"))
+    listed = known.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("idx", "r", "g", "b"))).alias("colors"))
+    one = F.element_at("colors", (F.col("place") % F.size("colors") + 1).cast("int")).alias("one")
+    return parts.join(F.broadcast(listed), by).select("p_partkey", by, one).select("p_partkey", by, "one.*")
+
+
+def named_colors(palettes: dict[str, str]) -> str:
+    """SQL of table t (name, idx, r, g, b) from palettes of hex colours a space apart."""
+    values = ", ".join(f"('{n}', '{c}')" for n, c in palettes.items())
+    return f"""p(name, colors) AS (VALUES {values}), c AS (SELECT name, string_split(colors, ' ') AS l FROM p), i AS (SELECT name, l, unnest(range(len(l)))::INT AS idx FROM c),
+    t AS (SELECT name, idx, ('0x' || l[idx + 1][1:2])::INT AS r, ('0x' || l[idx + 1][3:4])::INT AS g, ('0x' || l[idx + 1][5:6])::INT AS b FROM i)"""
+
+
+def of_parts_sql(names: list, by: str = "name") -> str:
+    """What :func:`of_parts` gives, from a table t (``by``, idx, r, g, b)."""
+    return f"""m AS (SELECT {by}, count(*) AS size FROM t GROUP BY {by}), q AS (SELECT p_partkey, {names!r}[(p_partkey % {len(names)} + 1)::INT] AS {by}, p_partkey // {len(names)} AS place FROM part)
+    SELECT p_partkey, q.{by}, idx, r, g, b FROM q JOIN m USING ({by}) JOIN t ON t.{by} = q.{by} AND idx = place % size"""

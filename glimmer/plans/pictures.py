@@ -15,7 +15,7 @@ from ..operators import images as ops
 from ..operators.effects import RenderStyle
 from ..operators.render import kernel
 from ..registry import query
-from .fixtures import BYTE, IMAGES, LINEAR, images, pictures, pixels, rows_of, six
+from .fixtures import BYTE, IMAGES, LINEAR, images, named_colors, pictures, pixels, rows_of, six, table
 
 PIXEL16 = of("pixel", 16)
 _LIN = f"lin AS (SELECT vec_id, y, x, {LINEAR.format('r')} AS r, {LINEAR.format('g')} AS g, {LINEAR.format('b')} AS b FROM px)"
@@ -93,12 +93,18 @@ def palette_nearest(spark, sf):
     return d.select("vec_id", "y", "x", palettes.nearest(palettes.linear_array(palettes.get("pico8")), *(F.col(c) for c in "rgb")).alias("idx"))
 
 
+_NAMES = list(palettes.NAMED)
+
+
 @query(
     "palette_spread",
-    f"WITH {_PAL}, n AS (SELECT a.idx, min((a.pr - b.pr) ** 2 + (a.pg - b.pg) ** 2 + (a.pb - b.pb) ** 2) AS d FROM pal a JOIN pal b ON a.idx <> b.idx GROUP BY a.idx) SELECT 'pico8' AS name, round(avg(sqrt(d)), 6) AS spread FROM n",
+    f"""WITH {named_colors(palettes.NAMED)}, n AS (SELECT a.name, a.idx, min((a.r - b.r) ** 2 + (a.g - b.g) ** 2 + (a.b - b.b) ** 2) AS d FROM t a JOIN t b ON a.name = b.name AND a.idx <> b.idx GROUP BY ALL),
+    s AS (SELECT name, round(avg(sqrt(d)), 6) AS spread FROM n GROUP BY name) SELECT p_partkey, name, spread FROM part JOIN s ON name = {_NAMES!r}[(p_partkey % {len(_NAMES)} + 1)::INT]""",
 )
 def palette_spread(spark, sf):
-    return palettes.spreads(spark, ["pico8"]).select("name", six(F.col("spread")).alias("spread"))
+    """The spread of the palette that each part's key gives."""
+    parts = table(spark, sf, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int")).alias("name"))
+    return parts.join(F.broadcast(palettes.spreads(spark)), "name").select("p_partkey", "name", six(F.col("spread")).alias("spread"))
 
 
 @query(
@@ -125,10 +131,12 @@ _PROJECT = f"coef AS (SELECT vec_id, cy::INT AS cy, cx::INT AS cx, sum(v * cos({
 _AC = "ac AS (SELECT vec_id, cy, cx, round(v, 9) AS v FROM coef WHERE cy + cx > 0)"
 
 
-@query("dct_mask", "WITH d AS (SELECT unnest(range(1, 8)) AS nx), e AS (SELECT nx, unnest(range(1, 8)) AS ny FROM d) SELECT nx::INT AS nx, ny::INT AS ny, (SELECT count(*) FROM range(7) a(cy), range(7) b(cx) WHERE cy < ny AND cx < nx AND cx * ny < nx * (ny - cy))::INT AS n FROM e")
+@query("dct_mask", "WITH d AS (SELECT unnest(range(1, 8)) AS nx), e AS (SELECT nx, unnest(range(1, 8)) AS ny FROM d), c AS (SELECT nx, ny, (SELECT count(*) FROM range(7) a(cy), range(7) b(cx) WHERE cy < ny AND cx < nx AND cx * ny < nx * (ny - cy))::INT AS n FROM e) SELECT p_partkey, nx::INT AS nx, ny::INT AS ny, n FROM part JOIN c ON nx = p_partkey % 7 + 1 AND ny = p_partkey // 7 % 7 + 1")
 def dct_mask(spark, sf):
-    d = spark.range(1, 8).select(F.col("id").cast("int").alias("nx")).select("nx", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("ny"))
-    return d.select("nx", "ny", F.size(dct.mask(F.col("nx"), F.col("ny"))).alias("n"))
+    """How many frequencies are kept for the numbers of columns and rows that each part's key gives."""
+    key = F.col("p_partkey")
+    d = table(spark, sf, "part").select("p_partkey", (key % 7 + 1).cast("int").alias("nx"), (F.floor(key / 7) % 7 + 1).cast("int").alias("ny"))
+    return d.select("p_partkey", "nx", "ny", F.size(dct.mask(F.col("nx"), F.col("ny"))).alias("n"))
 
 
 def coefficients(spark, sf):

@@ -12,7 +12,7 @@ from ..operators import analytics as A
 from ..operators import cues, metrics, shapes, sweep
 from ..registry import query
 from .analytics import _RD, _RUNS, rd, runs
-from .fixtures import IMAGES, LINEAR, pictures, pixels, six, table
+from .fixtures import IMAGES, LINEAR, named_colors, of_parts, of_parts_sql, pictures, pixels, six, table
 
 _A, _B = "l_orderkey * 7919 - l_partkey * 100003", "l_suppkey % 13 - 6"
 
@@ -124,10 +124,13 @@ def milliseconds(spark, sf):
     return runs(spark, sf).select("event_id", A.milliseconds_text(F.col("us") * 1.37).alias("text"))
 
 
-@query("themed_palettes", "WITH p(name, colors) AS (VALUES " + ", ".join(f"('{n}', '{palettes.ALL[n]}')" for n in (*palettes.THEMED, *palettes.ALSO)) + """), c AS (SELECT name, string_split(colors, ' ') AS l FROM p), i AS (SELECT name, l, unnest(range(len(l)))::INT AS idx FROM c)
-  SELECT name, idx, ('0x' || l[idx + 1][1:2])::INT AS r, ('0x' || l[idx + 1][3:4])::INT AS g, ('0x' || l[idx + 1][5:6])::INT AS b FROM i""")
+_THEMES = [*palettes.THEMED, *palettes.ALSO]
+
+
+@query("themed_palettes", f"WITH {named_colors({n: palettes.ALL[n] for n in _THEMES})}, {of_parts_sql(_THEMES)}")
 def themed_palettes(spark, sf):
-    return palettes.frame(spark, [*palettes.THEMED, *palettes.ALSO])
+    """A colour of a themed palette for each part."""
+    return of_parts(spark, sf, palettes.frame(spark, _THEMES), _THEMES)
 
 
 @query("rd_sweep")
