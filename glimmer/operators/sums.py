@@ -75,6 +75,23 @@ def area_integral(pixels: DataFrame, value: Column, key: str = "vec_id") -> Data
     return row_integral(pixels, value, key).withColumn("area", F.sum("along").over(w))
 
 
+def box_sums(pixels: DataFrame, boxes: DataFrame, value: Column, width: int | str, height: int | str, key: str = "vec_id", box: str = "box") -> DataFrame:
+    """(key, box, total): sums of ``value`` inside boxes (key, box, x0, y0, x1, y1), from four corners each.
+
+    Corners are inclusive and are cut at the picture's edges, whose ``width`` and ``height`` are
+    numbers or columns of ``boxes``; a box without pixels has 0.  Whatever its size a box meets
+    four rows of the integral, where it would meet all its pixels.
+    """
+    wide, tall = (F.col(v) if isinstance(v, str) else F.lit(v) for v in (width, height))
+    left, right = F.greatest(F.col("x0"), F.lit(0)), F.least(F.col("x1") + 1, wide)
+    top, bottom = F.greatest(F.col("y0"), F.lit(0)), F.least(F.col("y1") + 1, tall)
+    filled = ((left < right) & (top < bottom)).cast("int")
+    corners = [F.struct((x - 1).cast("int").alias("x"), (y - 1).cast("int").alias("y"), (filled * sign).alias("sign")) for x, y, sign in ((right, bottom, 1), (left, bottom, -1), (right, top, -1), (left, top, 1))]
+    area = area_integral(pixels, value, key).select(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "area")
+    met = boxes.select(key, box, F.inline(F.array(*corners))).join(area, [key, "y", "x"], "left")
+    return met.groupBy(key, box).agg(F.sum(F.col("sign") * F.coalesce("area", F.lit(0))).alias("total"))
+
+
 def residual_cdf(pixels: DataFrame, width: int, key: str = "vec_id") -> DataFrame:
     """Running squared error in reading order; what new shapes' places are drawn from."""
     err = sum(((F.col(f"t_{k}") - F.col(f"c_{k}")) * (F.col(f"t_{k}") - F.col(f"c_{k}")) for k in CHANNELS), F.lit(0.0))

@@ -270,6 +270,21 @@ def integral_2d(spark, sf):
     return sums.area_integral(pixels(spark, sf), F.col("r")).select("vec_id", "y", "x", "area")
 
 
+@query(
+    "box_sums",
+    f"""WITH {IMAGES}, ids AS (SELECT DISTINCT vec_id FROM px), four AS (SELECT vec_id, unnest(range(4))::INT AS box FROM ids), begun AS (SELECT *, (vec_id + box) % 10 - 1 AS x0, (3 * vec_id + box) % 10 - 1 AS y0 FROM four),
+    ended AS (SELECT *, x0 + (vec_id + 2 * box) % 7 - 1 AS x1, y0 + (vec_id + box) % 8 - 1 AS y1 FROM begun)
+    SELECT ended.vec_id, box, coalesce(sum(r), 0)::BIGINT AS total FROM ended LEFT JOIN px ON px.vec_id = ended.vec_id AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL""",
+)
+def box_sums(spark, sf):
+    """Four boxes in each picture; some reach over its edges, some are empty."""
+    d, v, box = pixels(spark, sf), F.col("vec_id"), F.col("box")
+    boxes = d.select("vec_id").distinct().select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("box"))
+    boxes = boxes.withColumns({"x0": (v + box) % 10 - 1, "y0": (3 * v + box) % 10 - 1})
+    boxes = boxes.withColumns({"x1": F.col("x0") + (v + 2 * box) % 7 - 1, "y1": F.col("y0") + (v + box) % 8 - 1})
+    return sums.box_sums(d, boxes, F.col("r"), 8, 8)
+
+
 @query("residual_cdf", f"WITH {IMAGES}, {_CANVAS} SELECT vec_id, y, x, round(sum((t_r - c_r) ** 2 + (t_g - c_g) ** 2 + (t_b - c_b) ** 2) OVER (PARTITION BY vec_id ORDER BY y * 8 + x), 6) AS cdf FROM tc")
 def residual_cdf(spark, sf):
     return sums.residual_cdf(canvas(spark, sf), 8).select("vec_id", "y", "x", six(F.col("cdf")).alias("cdf"))

@@ -27,14 +27,18 @@ from . import pictures
 FORMATS = ("auto", "png", "svg")
 
 
-def hashes(spark: SparkSession, path: str, codec: Codec, glob: str = "*.{png,jpg,jpeg}", seed: int = 0, options: fit.SearchOptions | None = None, keep_alpha: bool = False) -> DataFrame:
+def hashes(spark: SparkSession, path: str, codec: Codec, glob: str = "*.{png,jpg,jpeg}", seed: int = 0, options: fit.SearchOptions | None = None, keep_alpha: bool = False, first: int | None = None) -> DataFrame:
     """(origin, w, h, hash, error) of the pictures below ``path``, brought to a long edge of 100 (frequency hashes) or 48.
 
     Opacity is left out, so that a picture counts by its colours alone; frequency hashes
-    have it with ``keep_alpha``, others then see the picture on white.
+    have it with ``keep_alpha``, others then see the picture on white.  ``first`` takes that many
+    pictures, by path.
     """
     edge = 100 if codec.shape == "dct" else 48
-    rows = pictures.planes(pictures.read(spark, path, glob), edge, keep_alpha)
+    found = pictures.read(spark, path, glob)
+    if first is not None:
+        found = found.orderBy("image.origin").limit(first)
+    rows = pictures.planes(found, edge, keep_alpha)
     return images.encode(rows, codec, seed, options, "a" if keep_alpha else None).select("origin", "w", "h", "hash", "error")
 
 

@@ -30,6 +30,8 @@ def test_files_to_hashes_to_files(spark, tmp_path, name):
     assert [r.origin[-6:] for r in found] == ["p0.png", "p1.png", "p2.png"] and all(r.hash and r.error is None for r in found)
     assert max(found[2].w, found[2].h) == edge and (found[0].w, found[0].h) == ((60, 30) if edge == 100 else (48, 24))
 
+    assert files.hashes(spark, f"{tmp_path}/in", codec, first=2).orderBy("origin").collect() == found[:2]
+
     files.register(spark)
     rows = [("a.SVG", found[0].hash), ("deep/b.png", found[1].hash), ("c", found[2].hash), ("bad.png", "zz"), ("bad.svg", None), ("../out.png", found[0].hash), (None, found[0].hash)]
     df = spark.createDataFrame(rows, "name string, hash string")
