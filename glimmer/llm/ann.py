@@ -11,7 +11,9 @@ lies on a boundary (another centroid is less than BOUNDARY times as far), to the
 up to COPIES - 1 further ones.
 
 Search: a query walks the graph of centroids held in memory, best first, and searches the
-lists whose centroid is at most ``ratio`` times as far as the nearest one.
+lists whose centroid is at most ``ratio`` times as far as the nearest one.  Neighbouring lists
+share a cell, half the square root of their number; a query is sent once to each cell, with the numbers of the lists
+it searches there, so that its copies don't grow with the lists.
 
 Inner products are searched as distances by one more coordinate, sqrt(M^2 - |x|^2).  Equal
 vectors share a class that keeps the ids needed for any answer, so copies cost nothing.
@@ -52,8 +54,10 @@ COPIES, BOUNDARY = 3, 1.05
 PROBES = 8
 #: Blocks of queries of one list that one task searches.
 TOGETHER = 8
-#: Lists whose numbers of blocks are broadcast; with more of them Spark chooses the join.
-BROADCAST_LISTS = 1_000_000
+#: Cells whose numbers of blocks are broadcast; with more of them Spark chooses the join.
+BROADCAST_CELLS = 1_000_000
+#: Numbers of vectors that a task hands on at once.
+PIECE = 1 << 20
 
 
 def stored(x: np.ndarray, longest: float) -> np.ndarray:
@@ -115,6 +119,8 @@ class Index:
         #: vectors whose nearest list each is, and how many of them a query must meet to find ``k`` beside itself
         self.sizes, self.needed = sizes, k + 1
         self.centroids = c = groups.c
+        #: lists of a cell; lists that follow one another are near, as the groups of centroids do
+        self.width = max(1, int(len(c) ** 0.5 / 2))
         # each centroid's nearest ones, both ways, and a chain that keeps the graph in one piece
         chain = np.arange(len(c) - 1)
         a = np.concatenate((np.repeat(np.arange(len(c)), near.shape[1]), chain))
@@ -277,10 +283,21 @@ def fit(classes: DataFrame, k: int) -> dict[int, Index]:
     return found
 
 
+def _by_cell(row: np.ndarray, list_: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row once for each cell of its lists: rows, cells, all lists in that order, and where those of each begin and end."""
+    order = np.lexsort((list_, row))
+    row, list_ = row[order], list_[order]
+    cell = list_ // width
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
+    first = np.flatnonzero(new)
+    return row[first], cell[first], list_, np.append(first, len(row))
+
+
 def _placed(classes: DataFrame, shared, searching: bool) -> DataFrame:
-    """(dim, list, key, vector, least, nearest): classes in their lists, or queries in the lists they search.
+    """(dim, cell, lists, key, vector, least, nearest): classes in the cells of their lists, or queries in those of the lists they search.
 
-    ``nearest`` marks the list that a query searches first.
+    ``nearest`` marks the cell that a query searches first, which has its nearest list.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,34 +307,46 @@ def _placed(classes: DataFrame, shared, searching: bool) -> DataFrame:
             for dim in np.unique(dims).tolist():
                 of_dim = batch.filter(pa.array(dims == dim))
                 x, ix = matrix(of_dim.column(2), dim), indexes.get(dim)
-                for at in range(0, len(x), 2048):
-                    part = x[at : at + 2048]
+                piece = max(1, PIECE // dim)
+                for at in range(0, len(x), 256):
+                    part = x[at : at + 256]
+                    home = np.zeros(len(part), dtype=np.int64)
                     if ix is None:
-                        row, list_, nearest = np.arange(len(part)), np.zeros(len(part), dtype=np.int64), np.full(len(part), searching)
+                        row, list_, width = np.arange(len(part)), np.zeros(len(part), dtype=np.int64), 1
                     elif searching:
                         found = [ix.search(q) for q in ix.asked(part)]
-                        row = np.repeat(np.arange(len(part)), [len(f) for f in found])
+                        row, width = np.repeat(np.arange(len(part)), [len(f) for f in found]), ix.width
                         list_ = np.concatenate([np.array(f, dtype=np.int64) for f in found])
-                        nearest = np.concatenate([np.arange(len(f)) == 0 for f in found])
+                        home = np.array([f[0] // width for f in found])
                     else:
                         row, list_ = ix.groups.lists_of(stored(part, ix.longest))
-                        nearest = np.zeros(len(row), dtype=bool)
-                    take = pa.array(at + row)
-                    dim_, key, vector, least = (c.take(take) for c in of_dim.columns)
-                    yield pa.RecordBatch.from_arrays([dim_, pa.array(list_.astype(np.int32)), key, vector, least, pa.array(nearest)], names=["dim", "list", "key", "vector", "least", "nearest"])
+                        width = ix.width
+                    row, cell, list_, bounds = _by_cell(row, list_, width)
+                    for a in range(0, len(row), piece):
+                        rows, cells, cuts = row[a : a + piece], cell[a : a + piece], bounds[a : a + piece + 1]
+                        lists = pa.ListArray.from_arrays(pa.array((cuts - cuts[0]).astype(np.int32)), pa.array(list_[cuts[0] : cuts[-1]].astype(np.int32)))
+                        dim_, key, vector, least = (c.take(pa.array(at + rows)) for c in of_dim.columns)
+                        yield pa.RecordBatch.from_arrays([dim_, pa.array(cells.astype(np.int32)), lists, key, vector, least, pa.array(searching & (home[rows] == cells))], names=["dim", "cell", "lists", "key", "vector", "least", "nearest"])
 
-    return classes.select("dim", "key", "vector", "least").mapInArrow(run, "dim int, list int, key binary, vector array<double>, least long, nearest boolean")
+    return classes.select("dim", "key", "vector", "least").mapInArrow(run, "dim int, cell int, lists array<int>, key binary, vector array<double>, least long, nearest boolean")
 
 
 def _blocks(ws: Workspace, placed: DataFrame, name: str) -> DataFrame:
-    """(dim, list, slot, items): lists cut into blocks of about BLOCK rows; items have key, vector, least and bound."""
-    long = placed.groupBy("dim", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slots")).where("slots > 1")
-    # few lists are longer than a block; their number is looked at before they are broadcast
-    if long.limit(BROADCAST_LISTS + 1).count() <= BROADCAST_LISTS:
+    """(dim, cell, slot, items): cells cut into blocks of about BLOCK rows; items have key, vector, least, bound and lists."""
+    long = placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("slots")).where("slots > 1")
+    # few cells are longer than a block; their number is looked at before they are broadcast
+    if long.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         long = F.broadcast(long)
     slot = F.pmod(F.xxhash64("key"), F.coalesce("slots", F.lit(1))).cast("int")
-    cut = placed.join(long, ["dim", "list"], "left").withColumn("slot", slot)
-    return ws.keep(cut.groupBy("dim", "list", "slot").agg(F.collect_list(F.struct("key", "vector", "least", "bound")).alias("items")), name)
+    cut = placed.join(long, ["dim", "cell"], "left").withColumn("slot", slot)
+    return ws.keep(cut.groupBy("dim", "cell", "slot").agg(F.collect_list(F.struct("key", "vector", "least", "bound", "lists")).alias("items")), name)
+
+
+def _members(lists: pa.ListArray, low: int, n: int) -> np.ndarray:
+    """Which of ``n`` lists from ``low`` on each row has."""
+    out = np.zeros((len(lists), n), dtype=np.float32)
+    out[np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten()) - low] = 1
+    return out
 
 
 def _sums(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -339,10 +368,14 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
                 dim = len(asked.field("vector").flatten()) // len(asked)
                 q, x = matrix(asked.field("vector"), dim), matrix(held.field("vector"), dim)
                 least = np.asarray(held.field("least"))
-                rough = q @ x.T
+                numbers = np.concatenate([np.asarray(side.field("lists").flatten()) for side in (asked, held)])
+                low, n = int(numbers.min()), int(np.ptp(numbers)) + 1
+                # only what is in a list that the query searches
+                rough = np.where(_members(asked.field("lists"), low, n) @ _members(held.field("lists"), low, n).T > 0, q @ x.T, -np.inf)
                 take = min(k + 1, len(x))
                 floor = np.maximum(np.partition(rough, len(x) - take, axis=1)[:, len(x) - take], np.asarray(asked.field("bound")))
-                i, j = np.nonzero(rough >= (floor - 1e-9 * (1 + np.abs(rough).max()))[:, None])
+                most = np.abs(rough[np.isfinite(rough)]).max(initial=0)
+                i, j = np.nonzero((rough >= (floor - 1e-9 * (1 + most))[:, None]) & (rough > -np.inf))
                 score = np.concatenate([_sums(q[i[at : at + 65536]], x[j[at : at + 65536]]) for at in range(0, max(len(i), 1), 65536)])
                 order = np.lexsort((least[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
@@ -368,28 +401,28 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id
     asked = keyed(queries, vec_id, vector).where(usable).select("vec_id", "key", "vector").dropDuplicates(["vec_id", "key"])
     few = rows.select("key", "vec_id", F.row_number().over(Window.partitionBy("key").orderBy("vec_id")).alias("r")).where(F.col("r") <= k + 1)
     ids = few.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
-    one = rows.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
+    # a number given keeps Spark from merging small partitions of much work
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = rows.repartition(n, "key").groupBy("key").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
     classes = ws.keep(one, "classes")
     shared = df.sparkSession.sparkContext.broadcast(fit(classes, k))
 
     asked = ws.keep(asked.withColumn("dim", F.size("vector")), "asked")
-    query_classes = asked.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
+    query_classes = asked.repartition(n, "key").groupBy("key").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.min("vec_id").alias("least"))
     lowest = F.lit(float("-inf"))
-    held = _blocks(ws, _placed(classes, shared, False).withColumn("bound", lowest), "lists").select("dim", "list", F.col("slot").alias("of"), F.col("items").alias("held"))
+    held = _blocks(ws, _placed(classes, shared, False).withColumn("bound", lowest), "lists").select("dim", "cell", F.col("slot").alias("of"), F.col("items").alias("held"))
     wanted = ws.keep(_placed(query_classes, shared, True), "wanted")
 
     def searched(queries: DataFrame, name: str) -> DataFrame:
-        blocks = _blocks(ws, queries, f"{name}-blocks").select("dim", "list", "slot", F.col("items").alias("asked"))
-        # lists are short, but many queries may search one: each TOGETHER of their blocks meet a copy of the list
+        blocks = _blocks(ws, queries, f"{name}-blocks").select("dim", "cell", "slot", F.col("items").alias("asked"))
+        # many queries may search a cell: each TOGETHER of their blocks meet a copy of it
         blocks = blocks.withColumn("part", F.floor(F.col("slot") / TOGETHER).cast("int")).drop("slot")
-        parts = blocks.groupBy("dim", "list").agg(F.max("part").alias("last")).where("last > 0")
-        copies = held.join(parts, ["dim", "list"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))).drop("last")
-        # a number given keeps Spark from merging small partitions of much work
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        by = ["dim", "list", "part"]
+        parts = blocks.groupBy("dim", "cell").agg(F.max("part").alias("last")).where("last > 0")
+        copies = held.join(parts, ["dim", "cell"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))).drop("last")
+        by = ["dim", "cell", "part"]
         return ws.keep(_nearest(blocks.repartition(n, *by).join(copies.repartition(n, *by), by), k), name)
 
-    # the nearest list first: what it holds bounds what the others need to return
+    # the nearest cell first: what it holds bounds what the others need to return
     first = searched(wanted.where("nearest").withColumn("bound", lowest), "first")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score")))
     bounds = first.select("query", "score", rank.alias("r")).where(F.col("r") == k + 1).select(F.col("query").alias("key"), F.col("score").alias("bound"))

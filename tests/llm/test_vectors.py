@@ -167,6 +167,25 @@ def test_many_queries_of_one_list(spark, monkeypatch):
     assert set(got) == set(want) and recall(got, want) >= 0.9
 
 
+def test_queries_are_sent_once_to_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHORT", 8)
+    monkeypatch.setattr(ann, "LONG", 8)
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(1500)], SCHEMA)
+    classes = ann.keyed(df, "vec_id", "embedding").withColumn("least", F.col("vec_id"))
+    found = ann.fit(classes, 20)
+    index = found[16]
+    assert index.width > 1
+    placed = ann._placed(classes.where("vec_id % 20 = 0"), spark.sparkContext.broadcast(found), True).collect()
+    # a row for each cell and not for each list, and all lists are there
+    assert len({(r.key, r.cell) for r in placed}) == len(placed) < sum(len(r.lists) for r in placed) / 2
+    for key in {r.key for r in placed}:
+        mine = [r for r in placed if r.key == key]
+        lists = index.search(index.asked(np.array([mine[0].vector]))[0])
+        assert sorted(t for r in mine for t in r.lists) == sorted(lists)
+        assert [r.cell for r in mine if r.nearest] == [lists[0] // index.width]
+
+
 def test_products_are_exact():
     rng = np.random.default_rng(9)
     for dim in (64, 1500, 4096):
