@@ -7,7 +7,8 @@ triangles whose circle it lies in; only these are drawn again.  Then each vertex
 palette colour of least squared error while the others stay, in closed form, as the drawn
 picture is linear in a vertex's colour.
 
-A picture is a row, searched inside the task that holds it, without a shuffle.
+A picture is a row, searched inside the task that holds it, without a shuffle.  Pictures of one
+size grow in step, a vertex each at a time.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from . import fit, metrics
 RATE_POINTS = [(16, 14, 8), (24, 28, 8), (32, 48, 12), (40, 80, 12), (48, 130, 16)]
 
 VERTEX = T.StructType([T.StructField(n, T.IntegerType()) for n in ("gx", "gy", "color")])
+#: Numbers of a kind that pictures searched together hold at most.
+STEP = 1 << 19
 MESH = T.StructType([T.StructField("grid", T.IntegerType()), T.StructField("vertices", T.ArrayType(VERTEX)), T.StructField("palette", T.ArrayType(T.IntegerType()))])
 
 
@@ -35,25 +38,26 @@ def median_cut(pixels: np.ndarray, colors: int) -> np.ndarray:
 
     Pixels equal in the channel stay together; a box of one colour isn't cut.
     """
-    unique, count = np.unique(pixels.reshape(-1, 3), axis=0, return_counts=True)
-    boxes = [(unique.astype(np.int64), count)]
+    number, count = np.unique(pixels.reshape(-1, 3).astype(np.int64) @ (65536, 256, 1), return_counts=True)
+    unique = number[:, None] >> np.array((16, 8, 0)) & 255
 
-    def worth(box: tuple[np.ndarray, np.ndarray]) -> int:
-        return int(np.ptp(box[0], axis=0).max()) * int(box[1].sum())
+    def box(color: np.ndarray, count: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        return int(np.ptp(color, axis=0).max()) * int(count.sum()), color, count
 
+    boxes = [box(unique, count)]
     while len(boxes) < colors:
-        at = max(range(len(boxes)), key=lambda i: worth(boxes[i]))
-        if worth(boxes[at]) == 0:
+        at = max(range(len(boxes)), key=lambda i: boxes[i][0])
+        if boxes[at][0] == 0:
             break
-        color, count = boxes.pop(at)
+        _, color, count = boxes.pop(at)
         channel = int(np.ptp(color, axis=0).argmax())
         order = np.argsort(color[:, channel], kind="stable")
         color, count = color[order], count[order]
-        value, first = np.unique(color[:, channel], return_index=True)
-        below = np.concatenate(([0], np.cumsum(count)))[first[1:]]
-        cut = first[1:][np.abs(2 * below - count.sum()).argmin()]
-        boxes[at:at] = [(color[:cut], count[:cut]), (color[cut:], count[cut:])]
-    return np.array([np.floor((c * n[:, None]).sum(axis=0) / n.sum() + 0.5) for c, n in boxes], dtype=np.int64)
+        first = np.flatnonzero(np.diff(color[:, channel])) + 1
+        below = np.cumsum(count)[first - 1]
+        cut = first[np.abs(2 * below - count.sum()).argmin()]
+        boxes[at:at] = [box(color[:cut], count[:cut]), box(color[cut:], count[cut:])]
+    return np.array([np.floor((c * n[:, None]).sum(axis=0) / n.sum() + 0.5) for _, c, n in boxes], dtype=np.int64)
 
 
 def nearest(pixels: np.ndarray, palette: np.ndarray) -> np.ndarray:
@@ -131,43 +135,134 @@ class _Mesh:
         return (self.shares[..., None] * colors[self.corners]).sum(axis=2)
 
 
-def _fit(target: np.ndarray, grid: int, budget: int, colors: int, passes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """(vertices, colour of each, palette, mean squared error of bytes) of one picture of bytes (h, w, 3)."""
-    h, w = target.shape[:2]
-    palette = median_cut(target, colors)
-    index = nearest(target, palette)
-    mesh = _Mesh(w, h, grid)
-    gy, gx = (a.reshape(-1) for a in np.mgrid[:grid, :grid])
-    px, py = mesh.pixel(gx, gy)
-    free = np.ones(grid * grid, dtype=bool)
-    free[[gy * grid + gx for gx, gy in mesh.vertices]] = False
+class _Meshes:
+    """The meshes of ``n`` pictures of one size while they grow in step; each is what ``_Mesh`` makes of the same vertices."""
 
-    def own(vertices: list) -> np.ndarray:
-        x, y = mesh.pixel(*np.array(vertices).T)
-        return index[y, x]
+    def __init__(self, n: int, w: int, h: int, grid: int, most: int):
+        self.n, self.w, self.h, self.grid, self.most = n, w, h, grid, most
+        self.scale = np.array([w - 1, h - 1])
+        self.points = np.zeros((n, most, 2), dtype=np.int64)
+        self.points[:, :4] = np.array([(0, 0), (grid - 1, 0), (0, grid - 1), (grid - 1, grid - 1)]) * self.scale
+        self.number = 4
+        #: triangles of each picture, the places of their corners, and how many there are
+        self.triangles = np.zeros((n, 2 * most, 3), dtype=np.int64)
+        self.triangles[:, :2] = [[0, 1, 2], [1, 3, 2]]
+        self.places = np.zeros((6, n, 2 * most), dtype=np.int64)
+        self.size = np.full(n, 2)
+        self.corners, self.shares = np.zeros((n * h * w, 3), dtype=np.int64), np.zeros((n * h * w, 3))
+        one, which = np.repeat(np.arange(n), 2), np.tile(np.arange(2), n)
+        self._put(one, which, self.triangles[one, which])
+        self._draw(one, self.triangles[one, which])
+
+    def _put(self, one: np.ndarray, at: np.ndarray, triangles: np.ndarray) -> None:
+        self.triangles[one, at] = triangles
+        self.places[:, one, at] = self.points[one[:, None], triangles].reshape(-1, 6).T
+
+    def _draw(self, one: np.ndarray, triangles: np.ndarray) -> np.ndarray:
+        """Sets which corners the pixels of the triangles blend, and their shares; the numbers of these pixels."""
+        p, g = self.points[one[:, None], triangles], self.grid - 1
+        low, wide = -(-p.min(axis=1) // g), p.max(axis=1) // g + 1
+        wide = wide - low
+        many = wide[:, 0] * wide[:, 1]
+        of = np.repeat(np.arange(len(p)), many)
+        y, x = np.divmod(np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many), wide[of, 0])
+        x, y = x + low[of, 0], y + low[of, 1]
+        dx, dy = [p[of, j, 0] - x * g for j in range(3)], [p[of, j, 1] - y * g for j in range(3)]
+        weight = np.stack([dx[j] * dy[k] - dy[j] * dx[k] for j, k in ((1, 2), (2, 0), (0, 1))], axis=-1)
+        area = (p[:, 1, 0] - p[:, 0, 0]) * (p[:, 2, 1] - p[:, 0, 1]) - (p[:, 1, 1] - p[:, 0, 1]) * (p[:, 2, 0] - p[:, 0, 0])
+        inside = (weight >= 0).all(axis=-1)
+        of = of[inside]
+        pixel = (one[of] * self.h + y[inside]) * self.w + x[inside]
+        # of triangles that share a pixel the last one counts
+        self.corners[pixel] = triangles[of]
+        self.shares[pixel] = weight[inside] / area[of, None]
+        return pixel
 
-    while len(mesh.vertices) < budget and free.any():
-        error = ((mesh.blended(palette[own(mesh.vertices)].astype(float)) - target) ** 2).sum(axis=-1)
+    def add(self, p: np.ndarray) -> np.ndarray:
+        """Puts a new point (n, 2) into each picture; the numbers of the pixels that changed."""
+        p = p * self.scale
+        ax, ay, bx, by, cx, cy = self.places[:, :, : self.size.max()] - p.T[[0, 1] * 3][..., None]
+        turned = (ax * ax + ay * ay) * (bx * cy - by * cx) + (bx * bx + by * by) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by - ay * bx)
+        one, at = np.nonzero((turned > 0) & (np.arange(turned.shape[1]) < self.size[:, None]))
+        gone = self.triangles[one, at]
+        edges, of = gone[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2), np.repeat(one, 3)
+        # edges of one triangle only surround the hole
+        _, first, times = np.unique((of * self.most + edges.min(axis=1)) * self.most + edges.max(axis=1), return_index=True, return_counts=True)
+        first = first[times == 1]
+        edges, of = edges[first], of[first]
+        self.points[:, self.number] = p
+        a, b = self.points[of, edges[:, 0]] - p[of], self.points[of, edges[:, 1]] - p[of]
+        real = a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0] > 0  # the point may lie on the rectangle's edge
+        new, of = np.column_stack((edges[real], np.full(real.sum(), self.number))), of[real]
+        self.number += 1
+        # the first take the places of those that are gone, of which there are fewer
+        left, made = np.bincount(one, minlength=self.n), np.bincount(of, minlength=self.n)
+        rank = np.arange(len(of)) - (np.cumsum(made) - made)[of]
+        taken = at[np.minimum((np.cumsum(left) - left)[of] + rank, len(at) - 1)]
+        self._put(of, np.where(rank < left[of], taken, self.size[of] + rank - left[of]), new)
+        self.size += made - left
+        return self._draw(of, new)
+
+    def blended(self, colors: np.ndarray, pixel: np.ndarray) -> np.ndarray:
+        """Pixels (..., 3) by the colours (n, vertices, 3)."""
+        part, color = self.shares[pixel], colors[(pixel // (self.h * self.w))[:, None], self.corners[pixel]]
+        return part[:, :1] * color[:, 0] + part[:, 1:2] * color[:, 1] + part[:, 2:] * color[:, 2]
+
+
+def _fits(target: np.ndarray, palette: np.ndarray, grid: int, budget: int, passes: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(vertices, colour of each, mean squared error of bytes) of pictures of bytes (n, h, w, 3) with palettes (n, colours, 3)."""
+    n, h, w = target.shape[:3]
+    one, size, most = np.arange(n), h * w, min(budget, grid * grid)
+    index = np.stack([nearest(t, p) for t, p in zip(target, palette, strict=True)]).reshape(n, size)
+    meshes, flat = _Meshes(n, w, h, grid, most), target.reshape(-1, 3)
+    gy, gx = (a.reshape(-1) for a in np.mgrid[:grid, :grid])
+    px, py = _Mesh.pixel(meshes, gx, gy)
+    shown = py * w + px  # the pixel of each point, and the points of each pixel
+    points, many = np.argsort(shown, kind="stable"), np.bincount(shown, minlength=size)
+    begin = np.cumsum(many) - many
+    vertices = np.zeros((n, most), dtype=np.int64)
+    vertices[:, :4] = 0, grid - 1, grid * (grid - 1), grid * grid - 1
+    chosen = np.zeros((n, most), dtype=np.int64)
+    chosen[:, :4] = index[:, shown[vertices[0, :4]]]
+    colors = palette[one[:, None], chosen].astype(float)
+    score, free = np.empty((n, grid * grid)), np.ones((n, grid * grid), dtype=bool)
+    free[:, vertices[0, :4]] = False
+    changed = np.arange(n * size)
+    for v in range(4, most):
+        error = ((meshes.blended(colors, changed) - flat[changed]) ** 2).sum(axis=-1)
+        of, place = np.divmod(changed, size)
+        each = many[place]
+        rank = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        of, at = np.repeat(of, each), points[np.repeat(begin[place], each) + rank]
+        score[of, at] = np.where(free[of, at], np.repeat(error, each), -1)
         # of equal errors the first row, then the first column
-        worst = int(np.where(free, error[py, px], -1).argmax())
-        free[worst] = False
-        mesh.add(int(gx[worst]), int(gy[worst]))
-    chosen = own(mesh.vertices)
-    left = mesh.blended(palette[chosen].astype(float)) - target
-    flat, share, rest = mesh.corners.reshape(-1), mesh.shares.reshape(-1), left.reshape(-1, 3)
-    order = np.argsort(flat, kind="stable")
-    cuts = np.searchsorted(flat[order], np.arange(len(mesh.vertices) + 1))
+        worst = score.argmax(axis=1)
+        free[one, worst], score[one, worst], vertices[:, v] = False, -1, worst
+        chosen[:, v] = index[one, shown[worst]]
+        colors[:, v] = palette[one, chosen[:, v]]
+        changed = meshes.add(np.column_stack((gx[worst], gy[worst])))
+    rest = meshes.blended(colors, np.arange(n * size)) - flat
+    key = (np.arange(n * size)[:, None] // size * most + meshes.corners).reshape(-1)
+    order = np.argsort(key, kind="stable")
+    cuts = np.searchsorted(key[order], np.arange(n * most + 1))
+    share = meshes.shares.reshape(-1)[order]
+    square = share * share
+    weight = np.array([square[a:b].sum() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]).reshape(n, most)
     for _ in range(passes):
-        for v in range(len(mesh.vertices)):
-            at = order[cuts[v] : cuts[v + 1]]
-            pixel, part = at // 3, share[at]
-            step = (palette - palette[chosen[v]]).astype(float)
-            change = 2 * step @ (part[:, None] * rest[pixel]).sum(axis=0) + (step * step).sum(axis=1) * (part * part).sum()
-            best = int(change.argmin())
-            if change[best] < 0:
-                rest[pixel] += part[:, None] * step[best]
-                chosen[v] = best
-    return np.array(mesh.vertices), chosen, palette, float((rest**2).mean())
+        for v in range(most):
+            low, long = cuts[one * most + v], cuts[one * most + v + 1] - cuts[one * most + v]
+            of = np.repeat(one, long)
+            at = np.repeat(low - (np.cumsum(long) - long), long) + np.arange(len(of))
+            pixel, part = order[at] // 3, share[at]
+            step = (palette - palette[one, chosen[:, v]][:, None]).astype(float)
+            pull = np.stack([np.bincount(of, part * rest[pixel, k], n) for k in range(3)], axis=-1)
+            change = (2 * step @ pull[..., None])[..., 0] + (step * step).sum(axis=-1) * weight[:, v, None]
+            best = change.argmin(axis=1)
+            better = change[one, best] < 0
+            some = better[of]
+            rest[pixel[some]] += part[some, None] * step[one, best][of[some]]
+            chosen[better, v] = best[better]
+    return np.stack((vertices % grid, vertices // grid), axis=-1), chosen, [float((r**2).mean()) for r in rest.reshape(n, size, 3)]
 
 
 def fitted(df: DataFrame, grid: int, vertices: int, colors: int, passes: int = 1) -> DataFrame:
@@ -192,10 +287,15 @@ def fitted(df: DataFrame, grid: int, vertices: int, colors: int, passes: int = 1
             for (w, h), rows in fit.by_size(planes, ws, hs).items():
                 if w < 2 or h < 2 or max(w, h) * grid > 1 << 14:
                     continue
-                for i in rows:
-                    target = np.stack([planes[k][i] for k in range(3)], axis=-1).reshape(h, w, 3).astype(np.int64)
-                    points, chosen, palette, errors[i] = _fit(target, grid, vertices, colors, passes)
-                    meshes[i] = {"grid": grid, "vertices": [{"gx": x, "gy": y, "color": c} for (x, y), c in zip(points.tolist(), chosen.tolist(), strict=True)], "palette": (palette @ (65536, 256, 1)).tolist()}
+                for at in range(0, len(rows), step := max(1, STEP // max(w * h, grid * grid))):
+                    target = {i: np.stack([planes[k][i] for k in range(3)], axis=-1).reshape(h, w, 3).astype(np.int64) for i in rows[at : at + step]}
+                    palettes = {i: median_cut(t, colors) for i, t in target.items()}
+                    # pictures with as many colours go together
+                    for k in sorted(set(map(len, palettes.values()))):
+                        some = [i for i in target if len(palettes[i]) == k]
+                        points, chosen, mse = _fits(np.stack([target[i] for i in some]), np.stack([palettes[i] for i in some]), grid, vertices, passes)
+                        for i, p, c, errors[i] in zip(some, points.tolist(), chosen.tolist(), mse, strict=True):
+                            meshes[i] = {"grid": grid, "vertices": [{"gx": x, "gy": y, "color": number} for (x, y), number in zip(p, c, strict=True)], "palette": (palettes[i] @ (65536, 256, 1)).tolist()}
             yield pa.RecordBatch.from_arrays([*batch.columns[:size], pa.array(meshes, type=kind), pa.array(errors, type=pa.float64())], names=schema.names)
 
     of = [F.col(f"`{f.name}`").alias(f"_in_{i}") for i, f in enumerate(kept)]

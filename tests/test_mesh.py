@@ -58,6 +58,28 @@ def test_median_cut():
     assert errors[0] > errors[1] > errors[2]
 
 
+@pytest.mark.parametrize("w,h,grid,budget", [(24, 24, 16, 14), (13, 20, 5, 40), (7, 9, 20, 50), (2, 2, 3, 9)])
+def test_meshes_in_step_are_those_of_single_pictures(w, h, grid, budget):
+    rng = np.random.default_rng(4)
+    target = np.concatenate((rng.integers(0, 256, (6, h, w, 3)), np.full((1, h, w, 3), 9), rng.integers(0, 2, (4, h, w, 3)) * 200))
+    palette = np.stack([np.concatenate((mesh.median_cut(t, 5), np.zeros((5, 3), dtype=np.int64)))[:5] for t in target])
+    points, chosen, mse = mesh._fits(target, palette, grid, budget, 1)
+    for t, colors, p, c, error in zip(target, palette, points, chosen, mse, strict=True):
+        one, used = mesh._Mesh(w, h, grid), set(map(tuple, p[:4].tolist()))
+        assert used == {(0, 0), (grid - 1, 0), (0, grid - 1), (grid - 1, grid - 1)} and len(p) == min(budget, grid * grid)
+        index = mesh.nearest(t, colors)
+        gy, gx = (a.reshape(-1) for a in np.mgrid[:grid, :grid])
+        px, py = one.pixel(gx, gy)
+        for x, y in p[4:].tolist():
+            own = colors[index[one.pixel(*np.array(one.vertices).T)[::-1]]]
+            score = ((one.blended(own.astype(float)) - t) ** 2).sum(axis=-1)[py, px]
+            worst = int(np.where([v in used for v in zip(gx.tolist(), gy.tolist(), strict=True)], -1, score).argmax())
+            assert (x, y) == (gx[worst], gy[worst])
+            used.add((x, y))
+            one.add(x, y)
+        assert np.isclose(error, ((one.blended(colors[c].astype(float)) - t) ** 2).mean(), rtol=1e-9, atol=1e-9)
+
+
 def test_meshes_of_pictures(spark):
     rng = np.random.default_rng(2)
     plain, ramp, noise = np.full((12, 20, 3), 77), gradient(24, 18), rng.integers(0, 256, (9, 9, 3))
