@@ -12,10 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Pictures that a task works on at most, or nearly so.
+ROWS = 4096
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files are too few for them; work a row is far more than moving it."""
+    """``df`` dealt evenly over all cores, some ROWS to a task; work a row is far more than moving it.
+
+    Partitions of a read say little about rows: a file of one group of rows is cut into several, of which one holds all.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores * max(1, -(-df.count() // (cores * ROWS))))
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +36,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pictures(spark: SparkSession, sf_dir: str, edge: int = 8) -> DataFrame:
     """(vec_id, w, h, r, g, b): :func:`images` with three channels, each pixel repeated to an edge of ``edge``."""
     d = images(spark, sf_dir)
-    place = lambda k: F.transform(F.sequence(F.lit(0), F.lit(edge * edge - 1)), lambda i: F.element_at("u", ((F.floor(F.floor(i / edge) * 8 / edge) * 8 + F.floor(i % edge * 8 / edge) + k) % 64 + 1).cast("int")))
+    at = [i // edge * 8 // edge * 8 + i % edge * 8 // edge for i in range(edge * edge)]
+    place = lambda k: F.transform(F.array(*(F.lit((i + k) % 64 + 1) for i in at)), lambda i: F.element_at("u", i))
     return computed(d, r=place(0), g=place(21), b=place(42)).select("vec_id", F.lit(edge).alias("w"), F.lit(edge).alias("h"), "r", "g", "b")
 
 

@@ -48,3 +48,15 @@ def test_best_scale(spark):
         tried = {0} | {int(np.floor(31 * (0.55 + 0.45 * k / 18) * top + 0.5)) for k in range(19)} | {int(np.floor(31 * top + 0.5)) + k for k in (-1, 0, 1, 2)}
         best = min(error(ac, q, 31, 0.6) for q in tried if q >= 0)
         assert abs(error(ac, round(found[i] * 31), 31, 0.6) - best) < 1e-9
+
+
+def test_rows_are_dealt_evenly(spark):
+    """A read whose rows all lie in one of many partitions."""
+    from glimmer.plans.fixtures import ROWS, spread
+
+    few = spark.range(0, 80_000, 1, 8).where("id < 10000")
+    many = spark.range(0, 1_000_000, 1, 8).where("id < 100000")
+    for df, n in ((few, 10_000), (many, 100_000)):
+        sizes = spread(df).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        cores = spark.sparkContext.defaultParallelism
+        assert sum(sizes) == n and len(sizes) >= cores and max(sizes) <= min(ROWS, n // cores) * 1.1
