@@ -82,9 +82,9 @@ def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def milliseconds_text(ms: Column) -> Column:
-    """Milliseconds in three significant digits or so; a dash for none."""
-    text = F.concat(F.when(ms >= 100, _fixed(ms, 0, False)).when(ms >= 10, _fixed(ms, 1, False)).otherwise(_fixed(ms, 2, False)), F.lit(" ms"))
+def milliseconds_text(ms: Column, even: bool = False) -> Column:
+    """Milliseconds in three significant digits or so, exact halves up or to even; a dash for none."""
+    text = F.concat(F.when(ms >= 100, _fixed(ms, 0, even)).when(ms >= 10, _fixed(ms, 1, even)).otherwise(_fixed(ms, 2, even)), F.lit(" ms"))
     return F.when(ms.isNull() | F.isnan(ms) | (ms == 0) | (F.abs(ms) == float("inf")), "—").otherwise(text)
 
 

@@ -121,7 +121,7 @@ def gallery_overview(spark, sf):
 
 @query("milliseconds", f"WITH {_RUNS} SELECT event_id, CASE WHEN us IS NULL OR us = 0 THEN '—' WHEN us * 1.37::DOUBLE >= 100 THEN printf('%.0f ms', us * 1.37::DOUBLE) WHEN us * 1.37::DOUBLE >= 10 THEN printf('%.1f ms', us * 1.37::DOUBLE) ELSE printf('%.2f ms', us * 1.37::DOUBLE) END AS text FROM runs")
 def milliseconds(spark, sf):
-    return runs(spark, sf).select("event_id", A.milliseconds_text(F.col("us") * 1.37).alias("text"))
+    return runs(spark, sf).select("event_id", A.milliseconds_text(F.col("us") * 1.37, even=True).alias("text"))
 
 
 _THEMES = [*palettes.THEMED, *palettes.ALSO]

@@ -41,6 +41,23 @@ def test_texts_of_times(spark):
     assert {r[0] for r in odd.collect()} == {"—"}
 
 
+def test_milliseconds_are_those_of_their_sql(spark, tmp_path):
+    """25 and 250 times 1.37 end in exact halves."""
+    import duckdb
+
+    from glimmer.plans import load_all
+    from glimmer.registry import ORACLES, QUERIES
+
+    load_all()
+    rows = [(i, "a", i, v) for i, v in enumerate([25.0, 250.0, 25.5, 0.0, None, 75.0, 1234.5, 3.125])]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(db.execute(ORACLES["milliseconds"]).fetchall())
+    assert sorted(map(tuple, QUERIES["milliseconds"](spark, str(tmp_path)).collect())) == want
+    assert (0, "34.2 ms") in want and (1, "342 ms") in want
+
+
 def test_presets_and_palettes():
     assert codec.preset("small_circle") == codec.of("circle", 12)
     with pytest.warns(DeprecationWarning):
