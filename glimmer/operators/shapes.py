@@ -157,6 +157,54 @@ def inside(kind: str, s: Column, x: Column, y: Column) -> Column:
     return (x >= x0) & (x <= x0 + F.greatest(s["w"] - 1, F.lit(0))) & (y >= y0) & (y <= y0 + F.greatest(s["h"] - 1, F.lit(0)))
 
 
+def covered(df: DataFrame, kind: str, shape: str, w: int, h: int, out: str = "covered") -> DataFrame:
+    """``df`` with the number of pixels of a canvas of ``w`` x ``h`` that the shape with hard edges in a column covers.
+
+    What ``inside`` says of each pixel, from the span of each row: work grows with the rows and not with the pixels.
+    """
+    s = F.col(f"`{shape}`")
+    between = lambda low, high, n: F.greatest(F.least(high, F.lit(n - 1)) - F.greatest(low, F.lit(0)) + 1, F.lit(0))
+    if kind in ("square", "rect"):
+        x0, y0 = s["cx"] - F.floor(s["w"] / 2), s["cy"] - F.floor(s["h"] / 2)
+        many = between(x0, x0 + F.greatest(s["w"] - 1, F.lit(0)), w) * between(y0, y0 + F.greatest(s["h"] - 1, F.lit(0)), h)
+        return df.select("*", many.cast("int").alias(out))
+    rows = F.sequence(F.lit(0), F.lit(h - 1))
+    if kind == "circle":
+        d = computed(df, _at=F.struct(s["cx"].alias("x"), s["cy"].alias("y"), s["w"].cast("long").alias("r")))
+        x, y, r = (F.col("_at")[c] for c in "xyr")
+
+        def along(v: Column) -> Column:
+            left = r * r - (v - y) * (v - y)
+            half = F.floor(F.sqrt(left))  # whole roots are exact
+            return F.when(left >= 0, between(x - half, x + half, w)).otherwise(F.lit(0))
+
+        many = F.when(r > 0, F.aggregate(rows, F.lit(0).cast("long"), lambda n, v: n + along(v))).otherwise(F.lit(0))
+        return d.select("*", many.cast("int").alias(out)).drop("_at")
+    points = [(s["cx"], s["cy"]), (s["x1"], s["y1"]), (s["x2"], s["y2"])] if kind == "triangle" else corners(s)
+    names = [f"{c}{i}" for i in range(len(points)) for c in "xy"]
+    d = computed(df, _p=F.struct(*(v.cast("long").alias(n) for n, v in zip(names, (v for p in points for v in p), strict=True))))
+    points = [(F.col("_p")[f"x{i}"], F.col("_p")[f"y{i}"]) for i in range(len(points))]
+    d = computed(d, _turn=F.signum(_edge(*points[0], *points[1], *points[2])))
+    sides = {}
+    for i, (px, py) in enumerate(points):
+        qx, qy = points[(i + 1) % len(points)]
+        # inside: m * x <= a * y + b; quotients of whole numbers this small have the right floor
+        sides |= {f"m{i}": (qy - py), f"a{i}": (qx - px), f"b{i}": (qy - py) * px - (qx - px) * py}
+    d = computed(d, _sides=F.struct(*((F.col("_turn") * v).alias(n) for n, v in sides.items())))
+
+    def across(y: Column) -> Column:
+        low, high = [F.lit(0).cast("long")], [F.lit(w - 1).cast("long")]
+        for i in range(len(points)):
+            m, a, b = (F.col("_sides")[f"{c}{i}"] for c in "mab")
+            k = a * y + b
+            high.append(F.when(m > 0, F.floor(k / m)).when((m == 0) & (k < 0), F.lit(-1)))
+            low.append(F.when(m < 0, F.ceil(k / m)))
+        return F.greatest(F.least(*high) - F.greatest(*low) + 1, F.lit(0))  # sides that don't bound a row are null, and don't count
+
+    many = F.when(F.col("_turn") != 0, F.aggregate(rows, F.lit(0).cast("long"), lambda n, y: n + across(y))).otherwise(F.lit(0))
+    return d.select("*", many.cast("int").alias(out)).drop("_p", "_turn", "_sides")
+
+
 def coverage(kind: str, s: Column, x: Column, y: Column, radius: float) -> Column:
     """Share of a pixel that a rectangle with rounded corners covers, from its distance to the edge."""
     hw, hh = s["w"] * 0.5, s["h"] * 0.5

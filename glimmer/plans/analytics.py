@@ -232,10 +232,7 @@ def _coverage(kind):
         s = F.col("s")
         for c in ("cx", "cy", "x1", "y1", "x2", "y2", "w", "h"):
             s = s.withField(c, F.floor(F.col("s")[c] / 4).cast("int") + (1 if c in "wh" else 0))
-        edge = F.sequence(F.lit(0), F.lit(11))
-        grid = F.flatten(F.transform(edge, lambda y: F.transform(edge, lambda x: F.struct(x.alias("x"), y.alias("y")))))
-        hits = F.size(F.filter(grid, lambda p: shapes.inside(kind, F.col("small"), p["x"], p["y"])))
-        return computed(drawn(spark, sf), small=s).select("l_orderkey", "l_linenumber", hits.alias("hits"))
+        return shapes.covered(computed(drawn(spark, sf), small=s), kind, "small", 12, 12, "hits").select("l_orderkey", "l_linenumber", "hits")
 
     return run
 

@@ -100,3 +100,19 @@ def test_rows_and_symbols(spark):
     # an index beyond a palette has no colour
     odd = Codec("circle", 1, palette="000000111111222222")
     assert shapes.shape_rows(spark.createDataFrame([("ff" * 8,)], "hash string"), odd).collect()[0].color is None
+
+
+@pytest.mark.parametrize("kind", ["circle", "square", "rect", "rotrect", "triangle"])
+def test_covered_pixels_are_those_inside(spark, kind):
+    rng = np.random.default_rng(6)
+    rows = [(i, tuple(map(int, v[:8])), float(v[8])) for i, v in enumerate(np.column_stack((rng.integers(-6, 20, (300, 6)), rng.integers(0, 14, (300, 2)), rng.uniform(0, 3, 300))))]
+    d = spark.createDataFrame([(i, *v, t) for i, v, t in rows], "id int, cx int, cy int, x1 int, y1 int, x2 int, y2 int, w int, h int, theta double")
+    d = d.select("id", F.struct("cx", "cy", "x1", "y1", "x2", "y2", "w", "h", "theta").alias("s"))
+    got = shapes.covered(d, kind, "s", 12, 9)
+    # no row is compared pixel by pixel
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and got.columns == ["id", "s", "covered"]
+    each = d.select("id", "s", F.explode(F.sequence(F.lit(0), F.lit(107))).alias("i"))
+    hit = shapes.inside(kind, F.col("s"), F.col("i") % 12, F.floor(F.col("i") / 12).cast("int"))
+    want = {r.id: r.n for r in each.groupBy("id").agg(F.sum(hit.cast("int")).alias("n")).collect()}
+    assert {r.id: r.covered for r in got.collect()} == want and len(set(want.values())) > 5
