@@ -169,3 +169,15 @@ def test_planes_are_the_columns_weights(spark, cue):
         img[r.y, r.x] = r.r, r.g, r.b
     got = cues.planes(LINEAR[img][None], cue, 3.0)[0]
     assert all(abs(got[k] - v) < 1e-9 for k, v in want.items()) and len(want) == 63
+
+
+@pytest.mark.parametrize("kind", ["circle", "rect", "rotrect", "triangle"])
+def test_kept_spans_are_those_computed(kind):
+    from glimmer.operators import kernel
+
+    codec = C.of(kind, 4)
+    forms, rng = kernel.Forms(codec, 8, 8), np.random.default_rng(3)
+    codes = np.stack([rng.integers(0, 1 << b, (500, 3)) for _, b in kernel.fields(codec)], axis=-1)
+    for got, want in zip(forms.spans(codes), forms.computed_spans(codes), strict=True):
+        assert got.dtype == want.dtype and (got == want).all()
+    assert kernel._kept(C.of("triangle", 4), 8, 8) is not None and kernel._kept(C.of("triangle", 4), 16, 16) is None
