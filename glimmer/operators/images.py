@@ -26,6 +26,8 @@ from .kernel import LINEAR, Colors, Forms, _companded, aspect_code, fields, pack
 
 #: Distinct codecs of a column.
 CODECS = 256
+#: Pixels that are encoded or drawn at once; what a task holds is some dozens of numbers for each, whatever its rows.
+STEP = 1 << 18
 PLANES = ["w", "h", "r", "g", "b"]
 #: Shapes with corners to round.
 ROUNDED = ("rect", "square", "rotrect")
@@ -74,7 +76,7 @@ def cells(df: DataFrame, codec: Codec, r: str = "r", g: str = "g", b: str = "b")
             planes, ws, hs = fit.sized(batch, size)
             out: list[str | None] = [None] * len(batch)
             for (w, h), rows in fit.by_size(planes, ws, hs).items():
-                for at in range(0, len(rows), step := max(1, (1 << 20) // (w * h))):
+                for at in range(0, len(rows), step := max(1, STEP // (w * h))):
                     some = rows[at : at + step]
                     target = np.stack([np.stack([planes[k][i] for k in range(3)], axis=-1) for i in some]).reshape(len(some), h, w, 3)
                     for i, text in zip(some, _cells(LINEAR[target], codec), strict=True):
@@ -281,7 +283,7 @@ def _batches(texts: list, sizes: dict[int, list[int]], codec: Codec, base: int,
         quantised = float(2.0 ** (code / 254 * 6 - 3))
         w, h = _size(quantised if aspect is None else float(aspect), base)
         drawer = _Drawn(codec, w, h, style)
-        for at in range(0, len(rows), step := max(1, (1 << 20) // (w * h * style.samples**2))):
+        for at in range(0, len(rows), step := max(1, STEP // (w * h * style.samples**2))):
             some = rows[at : at + step]
             yield some, drawer.run(_bits([texts[i] for i in some], total[some[0]]), quantised)
 
@@ -330,7 +332,7 @@ def _frequencies(rows: DataFrame, names: list[str], schema: T.StructType, base:
             for wide, tall in sorted(set(zip(ws[there].tolist(), hs[there].tolist(), strict=True))):
                 rows_ = np.flatnonzero(there & (ws == wide) & (hs == tall))
                 by, bx = basis(tall, 8), basis(wide, 8)
-                for at in range(0, len(rows_), step := max(1, (1 << 20) // (wide * tall))):
+                for at in range(0, len(rows_), step := max(1, STEP // (wide * tall))):
                     some = rows_[at : at + step]
                     lab = [by.T @ g[some] @ bx for g in grids]
                     yield _emitted(batch, some.tolist(), effects.finished(_from_lab(*lab, style), style), names, schema)

@@ -181,3 +181,12 @@ def test_kept_spans_are_those_computed(kind):
     for got, want in zip(forms.spans(codes), forms.computed_spans(codes), strict=True):
         assert got.dtype == want.dtype and (got == want).all()
     assert kernel._kept(C.of("triangle", 4), 8, 8) is not None and kernel._kept(C.of("triangle", 4), 16, 16) is None
+
+
+def test_few_pixels_are_drawn_at_once():
+    from glimmer.operators.effects import RenderStyle
+    from glimmer.operators.images import _batches
+
+    hashes = ["7f" + f"{i:064x}" for i in range(6000)]
+    parts = list(_batches(hashes, {127: list(range(6000))}, C.of("pixel", 16), 8, None, [33] * 6000, RenderStyle()))
+    assert sum(len(rows) for rows, _ in parts) == 6000 and max(len(rows) * 64 for rows, _ in parts) <= 1 << 18
