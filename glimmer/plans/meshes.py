@@ -22,6 +22,6 @@ def mesh_curve(spark, sf):
 
 @query("mesh_means")
 def mesh_means(spark, sf):
-    """Mean size and quality at the two smallest rate points."""
-    d = A.means(mesh.curve(pictures(spark, sf, EDGE), mesh.RATE_POINTS[:2]), ["grid", "vertices", "colors"], ["bytes", "psnr"])
+    """Mean size and quality of all pictures at every rate point."""
+    d = A.means(mesh.curve(pictures(spark, sf, EDGE)), ["grid", "vertices", "colors"], ["bytes", "psnr"])
     return d.select("grid", "vertices", "colors", *(six(F.col(c)).alias(c) for c in ("bytes", "psnr")), "n")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from glimmer.operators import mesh
+from glimmer.plans import meshes
 from glimmer.sources import pictures
 
 SCHEMA = "id int, w int, h int, r array<int>, g array<int>, b array<int>"
@@ -143,3 +144,15 @@ def test_curve(spark):
     for bad in ((1, 9, 4), (8, 3, 4), (8, 9, 0)):
         with pytest.raises(ValueError):
             mesh.fitted(df, *bad)
+
+
+def test_means_are_of_every_rate_point(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    d = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(6)] + [(6, None)], "vec_id long, embedding array<float>")
+    d.write.parquet(f"{tmp_path}/embeddings.parquet")
+    each = meshes.mesh_curve(spark, str(tmp_path)).collect()
+    means = meshes.mesh_means(spark, str(tmp_path)).orderBy("vertices").collect()
+    assert [(r.grid, r.vertices, r.colors, r.n) for r in means] == [(*p, 6) for p in mesh.RATE_POINTS]
+    for r in means:
+        own = [e for e in each if e.grid == r.grid]
+        assert math.isclose(r.bytes, sum(e.bytes for e in own) / 6, abs_tol=1e-6) and math.isclose(r.psnr, sum(e.psnr for e in own) / 6, abs_tol=2e-6)
