@@ -29,8 +29,9 @@ RATE_POINTS = [(16, 14, 8), (24, 28, 8), (32, 48, 12), (40, 80, 12), (48, 130, 1
 
 VERTEX = T.StructType([T.StructField(n, T.IntegerType()) for n in ("gx", "gy", "color")])
 #: Numbers of a kind that pictures searched together hold at most.
-STEP = 1 << 19
+STEP = 1 << 18
 MESH = T.StructType([T.StructField("grid", T.IntegerType()), T.StructField("vertices", T.ArrayType(VERTEX)), T.StructField("palette", T.ArrayType(T.IntegerType()))])
+FITTED = T.StructType([T.StructField("mesh", MESH), T.StructField("mse", T.DoubleType())])
 
 
 def median_cut(pixels: np.ndarray, colors: int) -> np.ndarray:
@@ -38,26 +39,59 @@ def median_cut(pixels: np.ndarray, colors: int) -> np.ndarray:
 
     Pixels equal in the channel stay together; a box of one colour isn't cut.
     """
-    number, count = np.unique(pixels.reshape(-1, 3).astype(np.int64) @ (65536, 256, 1), return_counts=True)
-    unique = number[:, None] >> np.array((16, 8, 0)) & 255
-
-    def box(color: np.ndarray, count: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        return int(np.ptp(color, axis=0).max()) * int(count.sum()), color, count
-
-    boxes = [box(unique, count)]
-    while len(boxes) < colors:
-        at = max(range(len(boxes)), key=lambda i: boxes[i][0])
-        if boxes[at][0] == 0:
+    return _median_cuts(pixels.reshape(1, -1, 3), [colors])[0][0]
+
+
+def _median_cuts(pixels: np.ndarray, sizes: list[int]) -> list[list[np.ndarray]]:
+    """:func:`median_cut` of pictures of bytes (n, pixels, 3) to each of ``sizes``: smaller palettes are steps on the way to larger ones."""
+    n, most, one = len(pixels), max(sizes), np.arange(len(pixels))
+    planes = np.ascontiguousarray(np.moveaxis(pixels, -1, 0).astype(np.uint8))
+    box = np.zeros(planes.shape[1:], dtype=np.int32)
+    low, high = np.zeros((2, n, most, 3), dtype=np.int64)
+    count, place = np.zeros((2, n, most), dtype=np.int64)
+    low[:, 0], high[:, 0], count[:, 0] = planes.min(axis=2).T, planes.max(axis=2).T, planes.shape[2]
+    number, live, out = np.ones(n, dtype=np.int64), one, {}
+    for made in range(1, most + 1):
+        if made in sizes:
+            out[made] = _box_means(planes, box, place, number, count)
+        score = (high[live] - low[live]).max(axis=-1) * count[live]
+        # of equal boxes the first in place
+        at = (score * most - place[live]).argmax(axis=1)
+        cut = score[np.arange(len(live)), at] > 0
+        live, at = live[cut], at[cut]
+        if made == most or not len(live):
             break
-        _, color, count = boxes.pop(at)
-        channel = int(np.ptp(color, axis=0).argmax())
-        order = np.argsort(color[:, channel], kind="stable")
-        color, count = color[order], count[order]
-        first = np.flatnonzero(np.diff(color[:, channel])) + 1
-        below = np.cumsum(count)[first - 1]
-        cut = first[np.abs(2 * below - count.sum()).argmin()]
-        boxes[at:at] = [box(color[:cut], count[:cut]), box(color[cut:], count[cut:])]
-    return np.array([np.floor((c * n[:, None]).sum(axis=0) / n.sum() + 0.5) for _, c, n in boxes], dtype=np.int64)
+        channel = (high[live, at] - low[live, at]).argmax(axis=-1)
+        value, within = planes[channel, live], box[live] == at[:, None]
+        row, column = np.nonzero(within)
+        many = np.bincount(row * 256 + value[row, column], minlength=256 * len(live)).reshape(-1, 256)
+        below = np.cumsum(many, axis=1) - many
+        off = np.where((many > 0) & (below > 0), np.abs(2 * below - count[live, at, None]), np.iinfo(np.int64).max)
+        above = within & (value >= off.argmin(axis=1)[:, None])
+        within &= ~above
+        box[live] = np.where(above, made, box[live])
+        for k in range(3):
+            own = planes[k, live]
+            for to, part in ((at, within), (made, above)):
+                low[live, to, k] = np.where(part, own, 255).min(axis=1)
+                high[live, to, k] = np.where(part, own, 0).max(axis=1)
+        count[live, at], count[live, made] = within.sum(axis=1), above.sum(axis=1)
+        own = place[live]
+        own += own > own[np.arange(len(live)), at][:, None]
+        own[:, made] = own[np.arange(len(live)), at] + 1
+        place[live] = own
+        number[live] += 1
+    last = _box_means(planes, box, place, number, count)
+    return [out.get(k, last) for k in sizes]
+
+
+def _box_means(planes: np.ndarray, box: np.ndarray, place: np.ndarray, number: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
+    """The mean colour of each picture's boxes, in the order of their places."""
+    n, most = place.shape
+    key = (np.arange(n)[:, None] * most + box).reshape(-1)
+    sums = np.stack([np.bincount(key, p.reshape(-1), n * most) for p in planes], axis=-1).reshape(n, most, 3)
+    means = np.floor(sums / np.maximum(count, 1)[..., None] + 0.5).astype(np.int64)
+    return [m[:k][np.argsort(p[:k])] for m, p, k in zip(means, place, number, strict=True)]
 
 
 def nearest(pixels: np.ndarray, palette: np.ndarray) -> np.ndarray:
@@ -135,65 +169,67 @@ class _Mesh:
         return (self.shares[..., None] * colors[self.corners]).sum(axis=2)
 
 
+class _Lattice:
+    """The columns and rows of pixels that are drawn on, rising, and how many of them lie before a coordinate."""
+
+    def __init__(self, columns: np.ndarray, rows: np.ndarray, w: int, h: int):
+        self.columns, self.rows = columns.astype(float), rows.astype(float)
+        self.before = [np.searchsorted(lines, np.arange(edge + 1)) for lines, edge in ((columns, w), (rows, h))]
+        self.size = len(columns) * len(rows)
+
+
 class _Meshes:
     """The meshes of ``n`` pictures of one size while they grow in step; each is what ``_Mesh`` makes of the same vertices."""
 
     def __init__(self, n: int, w: int, h: int, grid: int, most: int):
         self.n, self.w, self.h, self.grid, self.most = n, w, h, grid, most
         self.scale = np.array([w - 1, h - 1])
-        self.points = np.zeros((n, most, 2), dtype=np.int64)
-        self.points[:, :4] = np.array([(0, 0), (grid - 1, 0), (0, grid - 1), (grid - 1, grid - 1)]) * self.scale
+        # whole numbers up to 28 times the fourth power of an edge, in doubles where these are exact
+        self.points = np.zeros((2, n, most), dtype=float if 28 * (max(w, h) * grid) ** 4 < 1 << 53 else np.int64)
+        self.points[:, :, :4] = (np.array([(0, 0), (grid - 1, 0), (0, grid - 1), (grid - 1, grid - 1)]) * self.scale).T[:, None]
         self.number = 4
-        #: triangles of each picture, the places of their corners, and how many there are
-        self.triangles = np.zeros((n, 2 * most, 3), dtype=np.int64)
-        self.triangles[:, :2] = [[0, 1, 2], [1, 3, 2]]
-        self.places = np.zeros((6, n, 2 * most), dtype=np.int64)
+        #: corners of the triangles of each picture, how many there are, and when they were made
+        self.triangles = np.zeros((3, n, 2 * most), dtype=np.int64)
+        self.made = np.zeros((n, 2 * most), dtype=np.int64)
         self.size = np.full(n, 2)
-        self.corners, self.shares = np.zeros((n * h * w, 3), dtype=np.int64), np.zeros((n * h * w, 3))
-        one, which = np.repeat(np.arange(n), 2), np.tile(np.arange(2), n)
-        self._put(one, which, self.triangles[one, which])
-        self._draw(one, self.triangles[one, which])
-
-    def _put(self, one: np.ndarray, at: np.ndarray, triangles: np.ndarray) -> None:
-        self.triangles[one, at] = triangles
-        self.places[:, one, at] = self.points[one[:, None], triangles].reshape(-1, 6).T
-
-    def _draw(self, one: np.ndarray, triangles: np.ndarray) -> np.ndarray:
-        """Sets which corners the pixels of the triangles blend, and their shares; the numbers of these pixels."""
-        p, g = self.points[one[:, None], triangles], self.grid - 1
-        low, wide = -(-p.min(axis=1) // g), p.max(axis=1) // g + 1
-        wide = wide - low
-        many = wide[:, 0] * wide[:, 1]
-        of = np.repeat(np.arange(len(p)), many)
-        y, x = np.divmod(np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many), wide[of, 0])
-        x, y = x + low[of, 0], y + low[of, 1]
-        dx, dy = [p[of, j, 0] - x * g for j in range(3)], [p[of, j, 1] - y * g for j in range(3)]
-        weight = np.stack([dx[j] * dy[k] - dy[j] * dx[k] for j, k in ((1, 2), (2, 0), (0, 1))], axis=-1)
-        area = (p[:, 1, 0] - p[:, 0, 0]) * (p[:, 2, 1] - p[:, 0, 1]) - (p[:, 1, 1] - p[:, 0, 1]) * (p[:, 2, 0] - p[:, 0, 0])
-        inside = (weight >= 0).all(axis=-1)
-        of = of[inside]
-        pixel = (one[of] * self.h + y[inside]) * self.w + x[inside]
-        # of triangles that share a pixel the last one counts
-        self.corners[pixel] = triangles[of]
-        self.shares[pixel] = weight[inside] / area[of, None]
-        return pixel
-
-    def add(self, p: np.ndarray) -> np.ndarray:
-        """Puts a new point (n, 2) into each picture; the numbers of the pixels that changed."""
-        p = p * self.scale
-        ax, ay, bx, by, cx, cy = self.places[:, :, : self.size.max()] - p.T[[0, 1] * 3][..., None]
-        turned = (ax * ax + ay * ay) * (bx * cy - by * cx) + (bx * bx + by * by) * (cx * ay - cy * ax) + (cx * cx + cy * cy) * (ax * by - ay * bx)
-        one, at = np.nonzero((turned > 0) & (np.arange(turned.shape[1]) < self.size[:, None]))
-        gone = self.triangles[one, at]
-        edges, of = gone[:, [0, 1, 1, 2, 2, 0]].reshape(-1, 2), np.repeat(one, 3)
+        #: of each triangle the factors of a point's square, x, y and 1, whose sum is positive within its circle
+        self.circle = np.zeros((4, n, 2 * most), dtype=self.points.dtype)
+        self._put(np.repeat(np.arange(n), 2), np.tile(np.arange(2), n), np.tile(np.array([[0, 1, 2], [1, 3, 2]]).T, n))
+
+    def _put(self, one: np.ndarray, at: np.ndarray, corners: np.ndarray) -> None:
+        self.triangles[:, one, at] = corners
+        self.made[one, at] = self.number
+        (ax, ay), (bx, by), (cx, cy) = (self.points[:, one, c] for c in corners)
+        a, b, c = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+        area = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        u = a * (by - cy) + b * (cy - ay) + c * (ay - by)
+        v = a * (cx - bx) + b * (ax - cx) + c * (bx - ax)
+        self.circle[:, one, at] = -area, u, v, area * a - u * ax - v * ay
+
+    def add(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts a new point (n, 2) into each picture; the pictures and corners (3, new) of the triangles that are new."""
+        x, y = (p * self.scale).T.astype(self.points.dtype)
+        square, by_x, by_y, rest = self.circle[:, :, : self.size.max()]
+        turned = square * (x * x + y * y)[:, None]
+        turned += by_x * x[:, None]
+        turned += by_y * y[:, None]
+        turned += rest
+        # free places have no circle
+        one, at = np.divmod(np.flatnonzero(turned > 0), turned.shape[1])
+        gone = self.triangles[:, one, at]
+        start, end = gone.reshape(-1), gone[[1, 2, 0]].reshape(-1)
+        bits = int(self.most).bit_length()
+        key = np.sort((((np.tile(one, 3) << bits | np.minimum(start, end)) << bits | np.maximum(start, end)) << 1) | (start > end))
         # edges of one triangle only surround the hole
-        _, first, times = np.unique((of * self.most + edges.min(axis=1)) * self.most + edges.max(axis=1), return_index=True, return_counts=True)
-        first = first[times == 1]
-        edges, of = edges[first], of[first]
-        self.points[:, self.number] = p
-        a, b = self.points[of, edges[:, 0]] - p[of], self.points[of, edges[:, 1]] - p[of]
-        real = a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0] > 0  # the point may lie on the rectangle's edge
-        new, of = np.column_stack((edges[real], np.full(real.sum(), self.number))), of[real]
+        same = key[1:] >> 1 == key[:-1] >> 1
+        key = key[~(np.append(same, False) | np.append(False, same))]
+        back, low, high, of = key & 1 == 1, key >> bits + 1 & (1 << bits) - 1, key >> 1 & (1 << bits) - 1, key >> 2 * bits + 1
+        start, end = np.where(back, high, low), np.where(back, low, high)
+        self.points[0, :, self.number], self.points[1, :, self.number] = x, y
+        (ax, ay), (bx, by) = self.points[:, of, start], self.points[:, of, end]
+        px, py = x[of], y[of]
+        real = (ax - px) * (by - py) - (ay - py) * (bx - px) > 0  # the point may lie on the rectangle's edge
+        new, of = np.stack((start, end, np.full(len(of), self.number)))[:, real], of[real]
         self.number += 1
         # the first take the places of those that are gone, of which there are fewer
         left, made = np.bincount(one, minlength=self.n), np.bincount(of, minlength=self.n)
@@ -201,68 +237,167 @@ class _Meshes:
         taken = at[np.minimum((np.cumsum(left) - left)[of] + rank, len(at) - 1)]
         self._put(of, np.where(rank < left[of], taken, self.size[of] + rank - left[of]), new)
         self.size += made - left
-        return self._draw(of, new)
-
-    def blended(self, colors: np.ndarray, pixel: np.ndarray) -> np.ndarray:
-        """Pixels (..., 3) by the colours (n, vertices, 3)."""
-        part, color = self.shares[pixel], colors[(pixel // (self.h * self.w))[:, None], self.corners[pixel]]
-        return part[:, :1] * color[:, 0] + part[:, 1:2] * color[:, 1] + part[:, 2:] * color[:, 2]
+        return of, new
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pictures and corners of all triangles, as :meth:`add` made them one after the other."""
+        one, at = np.nonzero(np.arange(2 * self.most) < self.size[:, None])
+        a, b, _ = corners = self.triangles[:, one, at]
+        order = np.lexsort((np.maximum(a, b), np.minimum(a, b), self.made[one, at], one))
+        return one[order], corners[:, order]
+
+    def cover(self, one: np.ndarray, corners: np.ndarray, lattice: _Lattice) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Pixels of a lattice that triangles cover: the place of each in its picture's, its triangle, and the shares of the three corners."""
+        g = float(self.grid - 1)
+        (ax, ay), (bx, by), (cx, cy) = (self.points[:, one, c].astype(float) for c in corners)
+        top, bottom = np.minimum(np.minimum(ay, by), cy), np.maximum(np.maximum(ay, by), cy)
+        across, down = lattice.before
+        first = down[np.ceil(top / g).astype(np.int64)]
+        many = down[np.floor(bottom / g).astype(np.int64) + 1] - first
+        # a corner's weight is whole and linear in x and y: slope * column + (flat + fall * row)
+        slope = [(by - cy) * g, (cy - ay) * g, (ay - by) * g]
+        flat = [bx * cy - by * cx, cx * ay - cy * ax, ax * by - ay * bx]
+        fall = [(cx - bx) * g, (ax - cx) * g, (bx - ax) * g]
+        of = np.repeat(np.arange(len(one)), many)
+        line = np.arange(len(of)) + np.repeat(first - (np.cumsum(many) - many), many)
+        y = lattice.rows[line]
+        low, high, base = np.full(len(of), -np.inf), np.full(len(of), np.inf), []
+        for s, t, f in zip(slope, flat, fall, strict=True):
+            weight = f[of]
+            weight *= y
+            weight += t[of]
+            base.append(weight)
+            # where the weight is zero: from there on or up to there; a level edge has the whole row
+            zero = weight / np.where(s == 0, -1, -s)[of]
+            np.maximum(low, zero + np.where(s > 0, 0, -np.inf)[of], out=low)
+            np.minimum(high, zero + np.where(s < 0, 0, np.inf)[of], out=high)
+        begin = across[np.ceil(low).astype(np.int64)]
+        wide = across[np.floor(high).astype(np.int64) + 1] - begin
+        column = np.arange(wide.sum()) + np.repeat(begin - (np.cumsum(wide) - wide), wide)
+        place = column + np.repeat(one[of] * lattice.size + line * len(lattice.columns), wide)
+        of = np.repeat(of, wide)
+        x = lattice.columns[column]
+        area = (flat[0] + flat[1] + flat[2])[of]
+        shares = []
+        for s, weight in zip(slope[:2], base, strict=False):
+            part = s[of]
+            part *= x
+            part += np.repeat(weight, wide)
+            shares.append(part)
+        shares.append(area - shares[0] - shares[1])
+        for part in shares:
+            part /= area
+        return place, of, shares
 
 
 def _fits(target: np.ndarray, palette: np.ndarray, grid: int, budget: int, passes: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(vertices, colour of each, mean squared error of bytes) of pictures of bytes (n, h, w, 3) with palettes (n, colours, 3)."""
     n, h, w = target.shape[:3]
-    one, size, most = np.arange(n), h * w, min(budget, grid * grid)
-    index = np.stack([nearest(t, p) for t, p in zip(target, palette, strict=True)]).reshape(n, size)
-    meshes, flat = _Meshes(n, w, h, grid, most), target.reshape(-1, 3)
+    one, most = np.arange(n), min(budget, grid * grid)
+    meshes = _Meshes(n, w, h, grid, most)
     gy, gx = (a.reshape(-1) for a in np.mgrid[:grid, :grid])
-    px, py = _Mesh.pixel(meshes, gx, gy)
-    shown = py * w + px  # the pixel of each point, and the points of each pixel
-    points, many = np.argsort(shown, kind="stable"), np.bincount(shown, minlength=size)
+    columns, column = np.unique(_Mesh.pixel(meshes, np.arange(grid), 0)[0], return_inverse=True)
+    rows, row = np.unique(_Mesh.pixel(meshes, 0, np.arange(grid))[1], return_inverse=True)
+    # while it grows a picture is drawn only where points are
+    lattice = _Lattice(columns, rows, w, h)
+    shown, size = row[gy] * len(columns) + column[gx], lattice.size
+    corner = np.array([0, grid - 1, grid * (grid - 1), grid * grid - 1])
+    # the pixel of each point, and the points of each pixel but for the four corners
+    points = np.argsort(shown, kind="stable")
+    points = points[~np.isin(points, corner)]
+    many = np.bincount(shown[points], minlength=size)
     begin = np.cumsum(many) - many
-    vertices = np.zeros((n, most), dtype=np.int64)
-    vertices[:, :4] = 0, grid - 1, grid * (grid - 1), grid * grid - 1
-    chosen = np.zeros((n, most), dtype=np.int64)
-    chosen[:, :4] = index[:, shown[vertices[0, :4]]]
-    colors = palette[one[:, None], chosen].astype(float)
-    score, free = np.empty((n, grid * grid)), np.ones((n, grid * grid), dtype=bool)
-    free[:, vertices[0, :4]] = False
-    changed = np.arange(n * size)
+    planes = np.ascontiguousarray(np.moveaxis(target, -1, 0), dtype=float)
+    seen = np.ascontiguousarray(planes[:, :, rows][..., columns]).reshape(3, -1)
+    tones = np.ascontiguousarray(np.moveaxis(palette, -1, 0), dtype=float)
+    vertices, chosen = np.zeros((2, n, most), dtype=np.int64)
+    colors = np.zeros((3, n, most))
+
+    def color(v: int, place: np.ndarray) -> None:
+        chosen[:, v] = sum((tone - own[one * size + place][:, None]) ** 2 for tone, own in zip(tones, seen, strict=True)).argmin(axis=1)
+        colors[:, :, v] = tones[:, one, chosen[:, v]]
+
+    vertices[:, :4] = corner
+    for v in range(4):
+        color(v, np.full(n, shown[corner[v]]))
+    score, used, touched = np.zeros(n * size), np.zeros((n, size), dtype=np.int64), np.zeros((n, size), dtype=bool)
+    touched[:, shown[corner]] = True
+    free = np.tile(many > 0, n)
+    of, new = meshes.all()
     for v in range(4, most):
-        error = ((meshes.blended(colors, changed) - flat[changed]) ** 2).sum(axis=-1)
-        of, place = np.divmod(changed, size)
-        each = many[place]
-        rank = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        of, at = np.repeat(of, each), points[np.repeat(begin[place], each) + rank]
-        score[of, at] = np.where(free[of, at], np.repeat(error, each), -1)
-        # of equal errors the first row, then the first column
-        worst = score.argmax(axis=1)
-        free[one, worst], score[one, worst], vertices[:, v] = False, -1, worst
-        chosen[:, v] = index[one, shown[worst]]
-        colors[:, v] = palette[one, chosen[:, v]]
-        changed = meshes.add(np.column_stack((gx[worst], gy[worst])))
-    rest = meshes.blended(colors, np.arange(n * size)) - flat
-    key = (np.arange(n * size)[:, None] // size * most + meshes.corners).reshape(-1)
-    order = np.argsort(key, kind="stable")
-    cuts = np.searchsorted(key[order], np.arange(n * most + 1))
-    share = meshes.shares.reshape(-1)[order]
-    square = share * share
-    weight = np.array([square[a:b].sum() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]).reshape(n, most)
+        place, which, shares = meshes.cover(of, new, lattice)
+        error = 0.0
+        for tone, own in zip(colors, seen, strict=True):
+            shown_now = shares[0] * tone[of, new[0]][which]
+            shown_now += shares[1] * tone[of, new[1]][which]
+            shown_now += shares[2] * tone[of, new[2]][which]
+            shown_now -= own[place]
+            shown_now *= shown_now
+            error += shown_now
+        # of triangles that share a pixel the last one counts
+        score[place] = np.where(free[place], error, -1)
+        each = score.reshape(n, size)
+        worst = each.argmax(axis=1)
+        # of equal errors the first row of points, then the first column: the first pixel, unless a point of it is used
+        again = np.flatnonzero(touched[one, worst])
+        if len(again):
+            row, tied = np.nonzero(each[again] == each[again, worst[again]][:, None])
+            first = points[begin[tied] + used[again[row], tied]] * size + tied
+            worst[again] = np.minimum.reduceat(first, np.searchsorted(row, np.arange(len(again)))) % size
+        at = points[begin[worst] + used[one, worst]]
+        touched[one, worst] = True
+        used[one, worst] += 1
+        spent = one[used[one, worst] == many[worst]]
+        free[spent * size + worst[spent]], each[spent, worst[spent]] = False, -1
+        vertices[:, v] = at
+        color(v, worst)
+        of, new = meshes.add(np.column_stack((gx[at], gy[at])))
+    chosen, errors = _descent(meshes, planes.reshape(3, -1), tones, colors, chosen, passes)
+    return np.stack((vertices % grid, vertices // grid), axis=-1), chosen, errors
+
+
+def _descent(meshes: _Meshes, target: np.ndarray, tones: np.ndarray, colors: np.ndarray, chosen: np.ndarray, passes: int) -> tuple[np.ndarray, list[float]]:
+    """Colours that passes over all vertices leave, and mean squared errors, of pictures in planes (3, pixels) with palettes in planes."""
+    n, w, h, most = meshes.n, meshes.w, meshes.h, meshes.most
+    one, size = np.arange(n), w * h
+    of, triangles = meshes.all()
+    place, which, shares = meshes.cover(of, triangles, _Lattice(np.arange(w), np.arange(h), w, h))
+    # of triangles that share a pixel the last one counts
+    last = np.zeros(n * size, dtype=np.int64)
+    last[place] = np.arange(len(place))
+    which, shares = which[last], [s[last] for s in shares]
+    mine = of[which]
+    corners = [t[which] for t in triangles]
+    rest = []
+    for tone, own in zip(colors, target, strict=True):
+        drawn = shares[0] * tone[mine, corners[0]]
+        drawn += shares[1] * tone[mine, corners[1]]
+        drawn += shares[2] * tone[mine, corners[2]]
+        rest.append(drawn - own)
+    # the pixels of each vertex, by vertex and picture
+    share, key = np.concatenate(shares), np.concatenate([c * n + mine for c in corners])
+    bits = len(key).bit_length()
+    held = np.flatnonzero(share)
+    order = np.sort(key[held] << bits | held)
+    key, order = order >> bits, order & (1 << bits) - 1
+    share, pixel, mine = share[order], order % (n * size), key % n
+    cuts = np.searchsorted(key, np.arange(most + 1) * n)
+    weight = np.bincount(key, share * share, most * n).reshape(most, n)
     for _ in range(passes):
         for v in range(most):
-            low, long = cuts[one * most + v], cuts[one * most + v + 1] - cuts[one * most + v]
-            of = np.repeat(one, long)
-            at = np.repeat(low - (np.cumsum(long) - long), long) + np.arange(len(of))
-            pixel, part = order[at] // 3, share[at]
-            step = (palette - palette[one, chosen[:, v]][:, None]).astype(float)
-            pull = np.stack([np.bincount(of, part * rest[pixel, k], n) for k in range(3)], axis=-1)
-            change = (2 * step @ pull[..., None])[..., 0] + (step * step).sum(axis=-1) * weight[:, v, None]
+            some = slice(cuts[v], cuts[v + 1])
+            pixels, part, own = pixel[some], share[some], mine[some]
+            change, steps = 0.0, []
+            for tone, r in zip(tones, rest, strict=True):
+                step = tone - tone[one, chosen[:, v]][:, None]
+                change = change + step * (2 * np.bincount(own, part * r[pixels], n)[:, None] + step * weight[v, :, None])
+                steps.append(step)
             best = change.argmin(axis=1)
             better = change[one, best] < 0
-            some = better[of]
-            rest[pixel[some]] += part[some, None] * step[one, best][of[some]]
+            for step, r in zip(steps, rest, strict=True):
+                r[pixels] += part * np.where(better, step[one, best], 0)[own]
             chosen[better, v] = best[better]
-    return np.stack((vertices % grid, vertices // grid), axis=-1), chosen, [float((r**2).mean()) for r in rest.reshape(n, size, 3)]
+    return chosen, (sum(r * r for r in rest).reshape(n, size).mean(axis=1) / 3).tolist()
 
 
 def fitted(df: DataFrame, grid: int, vertices: int, colors: int, passes: int = 1) -> DataFrame:
@@ -272,36 +407,68 @@ def fitted(df: DataFrame, grid: int, vertices: int, colors: int, passes: int = 1
     0xRRGGBB; ``mse`` is of bytes before they are rounded.  All three are null where arrays don't fit the
     size, hold nulls, or an edge has fewer than two pixels.  Columns of ``df`` by these names give way.
     """
-    if grid < 2 or vertices < 4 or colors < 1 or grid * 1024 > 1 << 20:
-        raise ValueError("a mesh needs a grid of 2 to 1024, four vertices and a colour")
-    kept = [f for f in df.schema if f.name not in ("mesh", "mse", "bytes")]
-    schema = T.StructType([*kept, T.StructField("mesh", MESH), T.StructField("mse", T.DoubleType())])
-    size = len(kept)
+    kept = [c for c in df.columns if c not in ("mesh", "mse", "bytes")]
+    out = _searched(df, kept, [(grid, vertices, colors)], passes)
+    one = F.col("_meshes")[0]
+    return out.select(*(f"`{c}`" for c in kept), one["mesh"].alias("mesh"), one["mse"].alias("mse")).withColumn("bytes", size_of(F.col("mesh"), colors))
+
+
+def _searched(df: DataFrame, kept: list[str], points: list[tuple[int, int, int]], passes: int) -> DataFrame:
+    """Columns of ``df`` with ``_meshes``: an array (mesh, mse) of each picture's meshes at all rate points, both null where there is none."""
+    for grid, vertices, colors in points:
+        if grid < 2 or vertices < 4 or colors < 1 or grid * 1024 > 1 << 20:
+            raise ValueError("a mesh needs a grid of 2 to 1024, four vertices and a colour")
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("_meshes", T.ArrayType(FITTED))])
+    size, sizes = len(kept), sorted({c for _, _, c in points})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("grid", pa.int32()), ("vertices", pa.list_(pa.struct([(n, pa.int32()) for n in ("gx", "gy", "color")]))), ("palette", pa.list_(pa.int32()))])
         for batch in batches:
             planes, ws, hs = fit.sized(batch, size)
-            meshes: list[dict | None] = [None] * len(batch)
-            errors: list[float | None] = [None] * len(batch)
+            # of each picture and rate point: vertices with their colours, palette, error
+            found: list[tuple[np.ndarray, np.ndarray, float] | None] = [None] * (len(batch) * len(points))
             for (w, h), rows in fit.by_size(planes, ws, hs).items():
-                if w < 2 or h < 2 or max(w, h) * grid > 1 << 14:
+                if w < 2 or h < 2:
                     continue
-                for at in range(0, len(rows), step := max(1, STEP // max(w * h, grid * grid))):
-                    target = {i: np.stack([planes[k][i] for k in range(3)], axis=-1).reshape(h, w, 3).astype(np.int64) for i in rows[at : at + step]}
-                    palettes = {i: median_cut(t, colors) for i, t in target.items()}
-                    # pictures with as many colours go together
-                    for k in sorted(set(map(len, palettes.values()))):
-                        some = [i for i in target if len(palettes[i]) == k]
-                        points, chosen, mse = _fits(np.stack([target[i] for i in some]), np.stack([palettes[i] for i in some]), grid, vertices, passes)
-                        for i, p, c, errors[i] in zip(some, points.tolist(), chosen.tolist(), mse, strict=True):
-                            meshes[i] = {"grid": grid, "vertices": [{"gx": x, "gy": y, "color": number} for (x, y), number in zip(p, c, strict=True)], "palette": (palettes[i] @ (65536, 256, 1)).tolist()}
-            yield pa.RecordBatch.from_arrays([*batch.columns[:size], pa.array(meshes, type=kind), pa.array(errors, type=pa.float64())], names=schema.names)
-
-    of = [F.col(f"`{f.name}`").alias(f"_in_{i}") for i, f in enumerate(kept)]
+                most = max(w * h, *(2 * min(v, g * g) for g, v, _ in points))
+                for at in range(0, len(rows), step := max(1, STEP // most)):
+                    some = np.array(rows[at : at + step])
+                    target = np.stack([np.stack([planes[k][i] for i in some]) for k in range(3)], axis=-1).astype(np.int64)
+                    palettes = dict(zip(sizes, _median_cuts(target, sizes), strict=True))
+                    for number, (grid, vertices, colors) in enumerate(points):
+                        if max(w, h) * grid > 1 << 14:
+                            continue
+                        # pictures with as many colours go together
+                        many = np.array([len(p) for p in palettes[colors]])
+                        for k in np.unique(many):
+                            which = np.flatnonzero(many == k)
+                            own = np.stack([palettes[colors][i] for i in which])
+                            places, chosen, mse = _fits(target[which].reshape(-1, h, w, 3), own, grid, vertices, passes)
+                            mesh = np.concatenate((places, chosen[..., None]), axis=-1)
+                            for i, *one in zip(some[which] * len(points) + number, mesh, own @ (65536, 256, 1), mse, strict=True):
+                                found[i] = one
+            yield pa.RecordBatch.from_arrays([*batch.columns[:size], _lists(found, [g for g, _, _ in points])], names=schema.names)
+
+    of = [F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(kept)]
     given = [F.col(c).cast("int").alias(f"_{c}") for c in "wh"] + [F.col(c).cast("array<int>").alias(f"_{c}") for c in "rgb"]
-    out = df.select(*of, *given).mapInArrow(run, schema)
-    return out.withColumn("bytes", size_of(F.col("mesh"), colors))
+    return df.select(*of, *given).mapInArrow(run, schema)
+
+
+def _lists(found: list[tuple[np.ndarray, np.ndarray, float] | None], grids: list[int]) -> pa.Array:
+    """Arrow lists of meshes and errors, each of a row's meshes on all grids."""
+    none = np.array([f is None for f in found], dtype=bool)
+    there = [f for f in found if f is not None]
+
+    def lists(at: int, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([0 if f is None else len(f[at]) for f in found]))), type=pa.int32()), values)
+
+    vertex = np.concatenate([f[0] for f in there]) if there else np.zeros((0, 3))
+    vertices = pa.StructArray.from_arrays([pa.array(vertex[:, k].astype(np.int32)) for k in range(3)], names=["gx", "gy", "color"])
+    palettes = pa.array((np.concatenate([f[1] for f in there]) if there else np.zeros(0)).astype(np.int32))
+    grid = pa.array(np.tile(np.array(grids, dtype=np.int32), len(found) // len(grids)))
+    mesh = pa.StructArray.from_arrays([grid, lists(0, vertices), lists(1, palettes)], names=["grid", "vertices", "palette"], mask=pa.array(none))
+    mse = pa.array([None if f is None else f[2] for f in found], type=pa.float64())
+    ends = pa.array(np.arange(0, len(found) + 1, len(grids)), type=pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([mesh, mse], names=["mesh", "mse"]))
 
 
 def size_of(mesh: Column, colors: int) -> Column:
@@ -342,10 +509,17 @@ def _drawn(one: dict, w: int, h: int) -> np.ndarray:
 
 
 def curve(df: DataFrame, points: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """``df`` once for each rate point: its columns, grid, vertices, colors, bytes and psnr."""
-    out = None
-    for grid, vertices, colors in points or RATE_POINTS:
-        one = fitted(df, grid, vertices, colors)
-        one = one.select(*(f"`{c}`" for c in df.columns if c not in ("bytes", "psnr")), F.lit(grid).alias("grid"), F.lit(vertices).alias("vertices"), F.lit(colors).alias("colors"), "bytes", metrics.psnr(F.col("mse")).alias("psnr"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``df`` once for each rate point: its columns, grid, vertices, colors, bytes and psnr.
+
+    A picture is read once and searched at all points in one step, with palettes that share their cuts.
+    """
+    points, added = points or RATE_POINTS, ("grid", "vertices", "colors", "bytes", "psnr")
+    kept = [c for c in df.columns if c not in added]
+
+    def values(number: int, point: tuple[int, int, int]) -> Column:
+        one = F.col("_meshes")[number]
+        both = size_of(one["mesh"], point[2]), metrics.psnr(one["mse"])
+        return F.struct(*(v.alias(n) for n, v in zip(added, (*map(F.lit, point), *both), strict=True)))
+
+    out = _searched(df, kept, points, 1)
+    return out.select(*(f"`{c}`" for c in kept), F.inline(F.array(*(values(i, p) for i, p in enumerate(points)))))

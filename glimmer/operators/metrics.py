@@ -13,8 +13,10 @@ def psnr(mse: Column) -> Column:
 
 def entropy(counts: Column) -> Column:
     """Shannon entropy in bits of an array of counts."""
-    total = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c)
-    return F.aggregate(counts, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / total * F.log2(c / total)).otherwise(0.0))
+    # what a lambda refers to is evaluated for every element: counts and their sum are bound once each
+    bound = lambda value, f: F.transform(F.array(value), f)[0]
+    of = lambda n, total: F.aggregate(n, F.lit(0.0), lambda a, c: a - F.when(c > 0, c / total * F.log2(c / total)).otherwise(0.0))
+    return bound(counts, lambda n: bound(F.aggregate(n, F.lit(0.0), lambda a, c: a + c), lambda total: of(n, total)))
 
 
 def mesh_bytes(cells: Column, used: Column, colors: Column, counts: Column | None = None) -> Column:

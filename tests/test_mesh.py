@@ -7,8 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from glimmer.operators import mesh
+from glimmer.operators import mesh, metrics
 from glimmer.plans import meshes
 from glimmer.sources import pictures
 
@@ -146,6 +147,55 @@ def test_curve(spark):
             mesh.fitted(df, *bad)
 
 
+def test_curve_reads_and_searches_pictures_once(spark):
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([*rows(*rng.integers(0, 256, (5, 9, 11, 3)), np.full((9, 11, 3), 5)), (9, 3, 3, [1] * 9, None, [1] * 9)], SCHEMA)
+    out = mesh.curve(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {(r.id, r.grid): (r.bytes, r.psnr) for r in out.collect()}
+    assert len(got) == 7 * len(mesh.RATE_POINTS)
+    for grid, vertices, colors in mesh.RATE_POINTS:
+        for r in mesh.fitted(df, grid, vertices, colors).withColumn("psnr", metrics.psnr(F.col("mse"))).collect():
+            assert got[r.id, grid] == (r.bytes, r.psnr)
+    assert got[9, 16][0] is None and got[5, 16][1] == math.inf
+
+
+def test_smaller_palettes_are_steps_to_larger_ones():
+    rng = np.random.default_rng(8)
+    images = np.concatenate((rng.integers(0, 256, (4, 60, 3)), rng.integers(0, 2, (4, 60, 3)) * 255, np.full((1, 60, 3), 3)))
+    for size, palettes in zip((2, 5, 16), mesh._median_cuts(images, [2, 5, 16]), strict=True):
+        assert [p.tolist() for p in palettes] == [mesh.median_cut(i, size).tolist() for i in images]
+    assert [len(p) for p in palettes] == [16] * 4 + [8] * 4 + [1]
+
+
+def test_growing_meshes_draw_only_where_points_are(monkeypatch):
+    drawn, cover = [], mesh._Meshes.cover
+    monkeypatch.setattr(mesh._Meshes, "cover", lambda self, *a: drawn.append(cover(self, *a)) or drawn[-1])
+    target = np.random.default_rng(9).integers(0, 256, (2, 60, 60, 3))
+    mesh._fits(target, np.stack([mesh.median_cut(t, 4) for t in target]), 6, 12, 1)
+    # 36 pixels of each picture hold points; all are drawn once at the end
+    assert len(drawn) == 9 and all(place.max() < 72 and len(place) < 150 for place, *_ in drawn[:-1])
+    assert len(np.unique(drawn[-1][0])) == 2 * 60 * 60
+
+
+@pytest.mark.parametrize("w,h,grid", [(24, 30, 40), (260, 90, 50)])
+def test_circles_of_meshes_are_exact(w, h, grid):
+    """In doubles or, where numbers are too large for them, in integers: triangles are those of single points put in."""
+    rng = np.random.default_rng(10)
+    meshes = mesh._Meshes(3, w, h, grid, 40)
+    assert (meshes.circle.dtype == float) == (w < 100)
+    singles = [mesh.Triangulation(meshes.points[:, i, :4].T.astype(np.int64)) for i in range(3)]
+    corners = {0, grid - 1, grid * (grid - 1), grid * grid - 1}
+    for places in np.stack([rng.permutation([p for p in range(grid * grid) if p not in corners])[:36] for _ in range(3)], axis=1):
+        p = np.column_stack((places % grid, places // grid))
+        meshes.add(p)
+        for t, one in zip(singles, p, strict=True):
+            t.add(one * meshes.scale)
+    of, triangles = meshes.all()
+    for i, t in enumerate(singles):
+        assert set(map(tuple, triangles[:, of == i].T.tolist())) == set(map(tuple, t.triangles.tolist()))
+
+
 def test_means_are_of_every_rate_point(spark, tmp_path):
     rng = np.random.default_rng(5)
     d = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(6)] + [(6, None)], "vec_id long, embedding array<float>")
