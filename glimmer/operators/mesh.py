@@ -187,8 +187,8 @@ class _Meshes:
         # whole numbers up to 28 times the fourth power of an edge, in doubles where these are exact
         self.points = np.zeros((2, n, most), dtype=float if 28 * (max(w, h) * grid) ** 4 < 1 << 53 else np.int64)
         self.points[:, :, :4] = (np.array([(0, 0), (grid - 1, 0), (0, grid - 1), (grid - 1, grid - 1)]) * self.scale).T[:, None]
-        self.number = 4
-        #: corners of the triangles of each picture, how many there are, and when they were made
+        self.number, self.total = 4, 0
+        #: corners of the triangles of each picture, how many there are, and the order in which they were made
         self.triangles = np.zeros((3, n, 2 * most), dtype=np.int64)
         self.made = np.zeros((n, 2 * most), dtype=np.int64)
         self.size = np.full(n, 2)
@@ -197,14 +197,23 @@ class _Meshes:
         self._put(np.repeat(np.arange(n), 2), np.tile(np.arange(2), n), np.tile(np.array([[0, 1, 2], [1, 3, 2]]).T, n))
 
     def _put(self, one: np.ndarray, at: np.ndarray, corners: np.ndarray) -> None:
-        self.triangles[:, one, at] = corners
-        self.made[one, at] = self.number
-        (ax, ay), (bx, by), (cx, cy) = (self.points[:, one, c] for c in corners)
+        place = one * (2 * self.most) + at
+        for row, values in zip(self.triangles.reshape(3, -1), corners, strict=True):
+            row[place] = values
+        self.made.reshape(-1)[place] = self.total + np.arange(len(one))
+        self.total += len(one)
+        (ax, bx, cx), (ay, by, cy) = self.places(one, corners)
         a, b, c = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
         area = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
         u = a * (by - cy) + b * (cy - ay) + c * (ay - by)
         v = a * (cx - bx) + b * (ax - cx) + c * (bx - ax)
-        self.circle[:, one, at] = -area, u, v, area * a - u * ax - v * ay
+        for row, values in zip(self.circle.reshape(4, -1), (-area, u, v, area * a - u * ax - v * ay), strict=True):
+            row[place] = values
+
+    def places(self, one: np.ndarray, corners: np.ndarray) -> list[np.ndarray]:
+        """Columns and rows of vertices (..., many) of pictures."""
+        number = one * self.most + corners
+        return [p.take(number) for p in self.points.reshape(2, -1)]
 
     def add(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Puts a new point (n, 2) into each picture; the pictures and corners (3, new) of the triangles that are new."""
@@ -216,7 +225,7 @@ class _Meshes:
         turned += rest
         # free places have no circle
         one, at = np.divmod(np.flatnonzero(turned > 0), turned.shape[1])
-        gone = self.triangles[:, one, at]
+        gone = self.triangles.reshape(3, -1).take(one * (2 * self.most) + at, axis=1)
         start, end = gone.reshape(-1), gone[[1, 2, 0]].reshape(-1)
         bits = int(self.most).bit_length()
         key = np.sort((((np.tile(one, 3) << bits | np.minimum(start, end)) << bits | np.maximum(start, end)) << 1) | (start > end))
@@ -226,7 +235,7 @@ class _Meshes:
         back, low, high, of = key & 1 == 1, key >> bits + 1 & (1 << bits) - 1, key >> 1 & (1 << bits) - 1, key >> 2 * bits + 1
         start, end = np.where(back, high, low), np.where(back, low, high)
         self.points[0, :, self.number], self.points[1, :, self.number] = x, y
-        (ax, ay), (bx, by) = self.points[:, of, start], self.points[:, of, end]
+        (ax, bx), (ay, by) = self.places(of, np.stack((start, end)))
         px, py = x[of], y[of]
         real = (ax - px) * (by - py) - (ay - py) * (bx - px) > 0  # the point may lie on the rectangle's edge
         new, of = np.stack((start, end, np.full(len(of), self.number)))[:, real], of[real]
@@ -240,16 +249,16 @@ class _Meshes:
         return of, new
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
-        """The pictures and corners of all triangles, as :meth:`add` made them one after the other."""
+        """The pictures and corners of all triangles, those of a picture as they were made one after the other."""
         one, at = np.nonzero(np.arange(2 * self.most) < self.size[:, None])
-        a, b, _ = corners = self.triangles[:, one, at]
-        order = np.lexsort((np.maximum(a, b), np.minimum(a, b), self.made[one, at], one))
-        return one[order], corners[:, order]
+        order = np.argsort(one << 40 | self.made[one, at])
+        one, at = one[order], at[order]
+        return one, self.triangles[:, one, at]
 
     def cover(self, one: np.ndarray, corners: np.ndarray, lattice: _Lattice) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """Pixels of a lattice that triangles cover: the place of each in its picture's, its triangle, and the shares of the three corners."""
         g = float(self.grid - 1)
-        (ax, ay), (bx, by), (cx, cy) = (self.points[:, one, c].astype(float) for c in corners)
+        (ax, bx, cx), (ay, by, cy) = (p.astype(float) for p in self.places(one, corners))
         top, bottom = np.minimum(np.minimum(ay, by), cy), np.maximum(np.maximum(ay, by), cy)
         across, down = lattice.before
         first = down[np.ceil(top / g).astype(np.int64)]
@@ -263,26 +272,28 @@ class _Meshes:
         y = lattice.rows[line]
         low, high, base = np.full(len(of), -np.inf), np.full(len(of), np.inf), []
         for s, t, f in zip(slope, flat, fall, strict=True):
-            weight = f[of]
+            weight = f.take(of)
             weight *= y
-            weight += t[of]
+            weight += t.take(of)
             base.append(weight)
             # where the weight is zero: from there on or up to there; a level edge has the whole row
-            zero = weight / np.where(s == 0, -1, -s)[of]
-            np.maximum(low, zero + np.where(s > 0, 0, -np.inf)[of], out=low)
-            np.minimum(high, zero + np.where(s < 0, 0, np.inf)[of], out=high)
+            zero = weight / np.where(s == 0, -1, -s).take(of)
+            np.maximum(low, zero + np.where(s > 0, 0, -np.inf).take(of), out=low)
+            np.minimum(high, zero + np.where(s < 0, 0, np.inf).take(of), out=high)
         begin = across[np.ceil(low).astype(np.int64)]
         wide = across[np.floor(high).astype(np.int64) + 1] - begin
-        column = np.arange(wide.sum()) + np.repeat(begin - (np.cumsum(wide) - wide), wide)
-        place = column + np.repeat(one[of] * lattice.size + line * len(lattice.columns), wide)
-        of = np.repeat(of, wide)
-        x = lattice.columns[column]
-        area = (flat[0] + flat[1] + flat[2])[of]
+        begin -= np.cumsum(wide) - wide
+        span = np.repeat(np.arange(len(wide)), wide)
+        number = np.arange(len(span))
+        x = lattice.columns.take(number + begin.take(span))
+        place = number + (begin + one[of] * lattice.size + line * len(lattice.columns)).take(span)
+        of = of.take(span)
+        area = (flat[0] + flat[1] + flat[2]).take(of)
         shares = []
         for s, weight in zip(slope[:2], base, strict=False):
-            part = s[of]
+            part = s.take(of)
             part *= x
-            part += np.repeat(weight, wide)
+            part += weight.take(span)
             shares.append(part)
         shares.append(area - shares[0] - shares[1])
         for part in shares:
@@ -327,15 +338,13 @@ def _fits(target: np.ndarray, palette: np.ndarray, grid: int, budget: int, passe
     for v in range(4, most):
         place, which, shares = meshes.cover(of, new, lattice)
         error = 0.0
-        for tone, own in zip(colors, seen, strict=True):
-            shown_now = shares[0] * tone[of, new[0]][which]
-            shown_now += shares[1] * tone[of, new[1]][which]
-            shown_now += shares[2] * tone[of, new[2]][which]
-            shown_now -= own[place]
-            shown_now *= shown_now
-            error += shown_now
+        for tone, own in zip(colors.reshape(3, -1), seen, strict=True):
+            off = _blend(shares, tone[of * most + new], which)
+            off -= own.take(place)
+            off *= off
+            error += off
         # of triangles that share a pixel the last one counts
-        score[place] = np.where(free[place], error, -1)
+        score[place] = np.where(free.take(place), error, -1)
         each = score.reshape(n, size)
         worst = each.argmax(axis=1)
         # of equal errors the first row of points, then the first column: the first pixel, unless a point of it is used
@@ -356,6 +365,14 @@ def _fits(target: np.ndarray, palette: np.ndarray, grid: int, budget: int, passe
     return np.stack((vertices % grid, vertices // grid), axis=-1), chosen, errors
 
 
+def _blend(shares: list[np.ndarray], tones: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Pixels that blend the tones (3, triangles) of the corners of their triangles ``which``."""
+    out = shares[0] * tones[0].take(which)
+    out += shares[1] * tones[1].take(which)
+    out += shares[2] * tones[2].take(which)
+    return out
+
+
 def _descent(meshes: _Meshes, target: np.ndarray, tones: np.ndarray, colors: np.ndarray, chosen: np.ndarray, passes: int) -> tuple[np.ndarray, list[float]]:
     """Colours that passes over all vertices leave, and mean squared errors, of pictures in planes (3, pixels) with palettes in planes."""
     n, w, h, most = meshes.n, meshes.w, meshes.h, meshes.most
@@ -365,24 +382,17 @@ def _descent(meshes: _Meshes, target: np.ndarray, tones: np.ndarray, colors: np.
     # of triangles that share a pixel the last one counts
     last = np.zeros(n * size, dtype=np.int64)
     last[place] = np.arange(len(place))
-    which, shares = which[last], [s[last] for s in shares]
-    mine = of[which]
-    corners = [t[which] for t in triangles]
-    rest = []
-    for tone, own in zip(colors, target, strict=True):
-        drawn = shares[0] * tone[mine, corners[0]]
-        drawn += shares[1] * tone[mine, corners[1]]
-        drawn += shares[2] * tone[mine, corners[2]]
-        rest.append(drawn - own)
-    # the pixels of each vertex, by vertex and picture
-    share, key = np.concatenate(shares), np.concatenate([c * n + mine for c in corners])
-    bits = len(key).bit_length()
+    which, shares = which.take(last), [s.take(last) for s in shares]
+    rest = [_blend(shares, tone[of * most + triangles], which) - own for tone, own in zip(colors.reshape(3, -1), target, strict=True)]
+    # the pixels of each vertex, one picture after the other
+    share = np.stack(shares, axis=-1).reshape(-1)
     held = np.flatnonzero(share)
-    order = np.sort(key[held] << bits | held)
-    key, order = order >> bits, order & (1 << bits) - 1
-    share, pixel, mine = share[order], order % (n * size), key % n
-    cuts = np.searchsorted(key, np.arange(most + 1) * n)
-    weight = np.bincount(key, share * share, most * n).reshape(most, n)
+    vertex = triangles.T.astype(np.uint16 if most < 1 << 16 else np.int64).take(which, axis=0).reshape(-1)[held]
+    order = held[np.argsort(vertex, kind="stable")]
+    share, pixel = share[order], order // 3
+    mine = pixel // size
+    cuts = np.append(0, np.cumsum(np.bincount(vertex, minlength=most)))
+    weight = np.bincount(np.repeat(np.arange(most), np.diff(cuts)) * n + mine, share * share, most * n).reshape(most, n)
     for _ in range(passes):
         for v in range(most):
             some = slice(cuts[v], cuts[v + 1])
@@ -390,12 +400,12 @@ def _descent(meshes: _Meshes, target: np.ndarray, tones: np.ndarray, colors: np.
             change, steps = 0.0, []
             for tone, r in zip(tones, rest, strict=True):
                 step = tone - tone[one, chosen[:, v]][:, None]
-                change = change + step * (2 * np.bincount(own, part * r[pixels], n)[:, None] + step * weight[v, :, None])
+                change = change + step * (2 * np.bincount(own, part * r.take(pixels), n)[:, None] + step * weight[v, :, None])
                 steps.append(step)
             best = change.argmin(axis=1)
             better = change[one, best] < 0
             for step, r in zip(steps, rest, strict=True):
-                r[pixels] += part * np.where(better, step[one, best], 0)[own]
+                r[pixels] += part * np.where(better, step[one, best], 0).take(own)
             chosen[better, v] = best[better]
     return chosen, (sum(r * r for r in rest).reshape(n, size).mean(axis=1) / 3).tolist()
 
